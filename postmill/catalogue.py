@@ -1,0 +1,4 @@
+"""All queries of the engine by name, with the SQL that gives the same rows."""
+
+QUERIES: dict = {}
+ORACLES: dict[str, str] = {}
