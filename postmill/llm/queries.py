@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, line_dedup, mixing, packing, quality_rules, shard_shuffle, warc
+from . import exact_dedup, jaccard_join, line_dedup, mixing, packing, quality_rules, shard_shuffle, warc
 
 
 def queries() -> dict:
@@ -10,6 +10,7 @@ def queries() -> dict:
         "op1_line_dedup": line_dedup.op1_line_dedup,
         "op2_quality_rules": quality_rules.op2_quality_rules,
         "op5_shard_shuffle": shard_shuffle.op5_shard_shuffle,
+        "op6_jaccard_join": jaccard_join.op6_jaccard_join,
         "op7_mixing": mixing.op7_mixing,
         "op8_warc": warc.op8_warc,
         "op9_exact_dedup": exact_dedup.op9_exact_dedup,
@@ -18,4 +19,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_line_dedup": line_dedup.ORACLE, "op8_warc": warc.ORACLE, "op9_exact_dedup": exact_dedup.ORACLE}
+    return {"op1_line_dedup": line_dedup.ORACLE, "op6_jaccard_join": jaccard_join.ORACLE, "op8_warc": warc.ORACLE, "op9_exact_dedup": exact_dedup.ORACLE}
