@@ -17,11 +17,12 @@ much is multiplied, never the result.
 from __future__ import annotations
 
 import hashlib
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import components, stored, table
@@ -32,6 +33,8 @@ MOST_FREQUENT = 1 << 18
 #: A shingle counts as frequent where so many documents of one batch hold it.
 LOCALLY = 3
 BITS, BLOCK = 1024, 2000
+#: Parts of a frequent column.
+SALTS = 32
 MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -45,9 +48,9 @@ class WordHashes(dict):
         return out
 
 
-def shingles(text: str | None, hashes: WordHashes, words: int = WORDS) -> np.ndarray:
+def shingles(text: str | bytes | None, hashes: WordHashes, words: int = WORDS) -> np.ndarray:
     """The distinct shingles of text as sorted 64-bit hashes: of fewer words the whole sequence, of none nothing."""
-    found = (text or "").encode().lower().split()  # bytes: A-Z and the six ASCII blanks alone
+    found = (text if isinstance(text, bytes) else (text or "").encode()).lower().split()  # bytes: A-Z and the six ASCII blanks alone
     if not found:
         return np.empty(0, dtype=np.int64)
     w = np.fromiter(map(hashes.__getitem__, found), dtype=np.uint64, count=len(found))
@@ -80,45 +83,117 @@ def frequent(docs: DataFrame, words: int, text_col: str) -> np.ndarray:
     return np.sort(sums.where(F.col("n") >= 2.0**least).select("token").toArrow().column(0).to_numpy().astype(np.int64))
 
 
-def incidence(docs: DataFrame, words: int = WORDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, key, n, bits, shingles): a row for each document; key digests the set, shingles are in column order."""
+def profiles(docs: DataFrame, words: int = WORDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(doc_id, key, n): for each row of docs the digest of its shingle set and the set's size."""
+
+    def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hashes = WordHashes()
+        for batch in batches:
+            sets = [shingles(t.as_py(), hashes, words) for t in batch.column(1)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(map(digest, sets), pa.binary()), pa.array(map(len, sets), pa.int64())], ["doc_id", "key", "n"])
+
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), text_col).mapInArrow(emit, "doc_id long, key binary, n long")
+
+
+def digest(s: np.ndarray) -> bytes:
+    return hashlib.blake2b(s.tobytes(), digest_size=16).digest()
+
+
+def node_of(key, least):
+    """A set's node: the least id of the documents that have it, or where none has an id a negative number from the digest."""
+    return F.coalesce(least, -F.abs(F.shiftright(F.xxhash64(key), 1)) - 1)
+
+
+def incidence(docs: DataFrame, percent: int, words: int, id_col: str, text_col: str) -> DataFrame:
+    """(token, node, n, at, hot): the leading entries of each distinct set's row, at their places in the column order."""
     late = docs.sparkSession.sparkContext.broadcast(frequent(docs, words, text_col))
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes, last = WordHashes(), late.value
         for batch in batches:
-            for lo in range(0, batch.num_rows, 1000):
-                part = batch.slice(lo, 1000)
-                keys, sizes, bits, sets = [], [], [], []
-                for t in part.column(1):
-                    s = shingles(t.as_py(), hashes, words)
-                    keys.append(hashlib.blake2b(s.tobytes(), digest_size=16).digest())
-                    at = np.zeros(BITS, dtype=np.uint8)
-                    at[(s.view(np.uint64) >> np.uint64(20)).astype(np.int64) & (BITS - 1)] = 1
-                    bits.append(np.packbits(at).tobytes())
-                    if len(last) and len(s):
-                        place = np.minimum(np.searchsorted(last, s), len(last) - 1)
-                        hot = last[place] == s
-                        s = np.concatenate([s[~hot], s[hot]])
-                    sizes.append(len(s))
-                    sets.append(s)
-                ends = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)
-                flat = pa.array(np.concatenate(sets) if sets else np.empty(0, np.int64))
-                yield pa.RecordBatch.from_arrays(
-                    [part.column(0), pa.array(keys, pa.binary()), pa.array(sizes, pa.int64()), pa.array(bits, pa.binary()), pa.ListArray.from_arrays(pa.array(ends), flat)],
-                    ["doc_id", "key", "n", "bits", "shingles"],
-                )
-
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), text_col).mapInArrow(emit, "doc_id long, key binary, n long, bits binary, shingles array<bigint>")
-
-
-def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+            keys, sizes, cold, sets = [], [], [], []
+            for t in batch.column(1):
+                s = shingles(t.as_py(), hashes, words)
+                n = len(s)
+                keys.append(digest(s))
+                sizes.append(n)
+                hot = np.zeros(n, dtype=bool)
+                if len(last) and n:
+                    hot = last[np.minimum(np.searchsorted(last, s), len(last) - 1)] == s
+                cold.append(n - int(hot.sum()))
+                sets.append(np.concatenate([s[~hot], s[hot]])[: n + (-n * percent // 100) + 1 if n else 0])
+            ends = pa.array(np.concatenate([[0], np.cumsum([len(x) for x in sets])]).astype(np.int32))
+            flat = pa.array(np.concatenate(sets) if sets else np.empty(0, np.int64))
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), pa.array(keys, pa.binary()), pa.array(sizes, pa.int32()), pa.array(cold, pa.int32()), pa.ListArray.from_arrays(ends, flat)],
+                ["doc_id", "key", "n", "cold", "leading"],
+            )
+
+    sets = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_col).mapInArrow(emit, "doc_id long, key binary, n int, cold int, leading array<bigint>")
+    sets = sets.where("n > 0").groupBy("key").agg(F.min("doc_id").alias("least"), F.first("n").alias("n"), F.first("cold").alias("cold"), F.first("leading").alias("leading"))
+    return sets.select(node_of("key", F.col("least")).alias("node"), "n", "cold", F.posexplode("leading").alias("at", "token")).select("token", "node", "n", "at", (F.col("at") >= F.col("cold")).alias("hot"))
+
+
+def candidates(docs: DataFrame, nodes: DataFrame, words: int, id_col: str, text_col: str) -> DataFrame:
+    """(node, text, bits) of the nodes: the text compressed, and a bit signature of its set. Texts of equal sets are alike."""
+
+    def squeeze(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            small = [zlib.compress((t.as_py() or "").encode(), 1) for t in batch.column(1)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(small, pa.binary())], ["node", "text"])
+
+    def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hashes = WordHashes()
+        for batch in batches:
+            bits = []
+            for t in batch.column(1):
+                at = np.zeros(BITS, dtype=np.uint8)
+                at[(shingles(zlib.decompress(t.as_py()), hashes, words).view(np.uint64) >> np.uint64(20)).astype(np.int64) & (BITS - 1)] = 1
+                bits.append(np.packbits(at).tobytes())
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(bits, pa.binary())], ["node", "text", "bits"])
+
+    texts = docs.select(F.col(id_col).cast("long").alias("node"), text_col).where(F.col("node").isNotNull()).mapInArrow(squeeze, "node long, text binary")
+    texts = texts.join(nodes, "node", "left_semi")
+    if nodes.where("node < 0").limit(1).count():  # sets of rows without an id
+        bare = docs.where(F.col(id_col).isNull()).select(F.lit(None).cast("long").alias("doc_id"), text_col)
+        keyed = profiles(bare, words, "doc_id", text_col)
+        with_text = bare.mapInArrow(_keyed(words), "key binary, text binary")
+        texts = texts.unionByName(
+            with_text.groupBy("key").agg(F.first("text").alias("text")).join(keyed.select("key").distinct(), "key", "left_semi")
+            .select(node_of("key", F.lit(None).cast("long")).alias("node"), "text").join(nodes, "node", "left_semi")
+        )
+    return stored(texts.mapInArrow(sign, "node long, text binary, bits binary"), "candidates")
+
+
+def _keyed(words: int):
+    def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hashes = WordHashes()
+        for batch in batches:
+            texts = [(t.as_py() or "").encode() for t in batch.column(1)]
+            yield pa.RecordBatch.from_arrays([pa.array([digest(shingles(t, hashes, words)) for t in texts], pa.binary()), pa.array([zlib.compress(t, 1) for t in texts], pa.binary())], ["key", "text"])
+
+    return emit
+
+
+def verified(pairs: DataFrame, texts: DataFrame, percent: int, words: int) -> DataFrame:
     """Of the pairs (src, dst) those whose sets are similar enough, by the whole overlap."""
-    one = sets.select(F.col("key").alias("src"), F.col("shingles").alias("one"))
-    two = sets.select(F.col("key").alias("dst"), F.col("shingles").alias("two"))
-    both = pairs.join(one, "src").join(two, "dst")
-    overlap = F.size(F.array_intersect("one", "two"))
-    return both.where(100 * overlap >= percent * (F.size("one") + F.size("two") - overlap)).select("src", "dst")
+
+    def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hashes, held, two = WordHashes(), None, None
+        for batch in batches:
+            good = []
+            for dst, a, b in zip(batch.column(1).to_pylist(), batch.column(2), batch.column(3), strict=True):
+                if dst != held:
+                    held, two = dst, shingles(zlib.decompress(b.as_py()), hashes, words)
+                one = shingles(zlib.decompress(a.as_py()), hashes, words)
+                overlap = len(np.intersect1d(one, two, assume_unique=True))
+                good.append(100 * overlap >= percent * (len(one) + len(two) - overlap))
+            yield batch.select([0, 1]).filter(pa.array(good, pa.bool_()))
+
+    one = texts.select(F.col("node").alias("src"), F.col("text").alias("one"))
+    two = texts.select(F.col("node").alias("dst"), F.col("text").alias("two"))
+    both = pairs.join(one, "src").join(two, "dst").select("src", "dst", "one", "two")
+    return both.mapInArrow(check, "src long, dst long")
 
 
 def needed(one, two, percent: int):
@@ -127,58 +202,68 @@ def needed(one, two, percent: int):
 
 
 def jaccard_classes(docs: DataFrame, percent: int = PERCENT, words: int = WORDS, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
-    """(rows, links). rows: doc_id, n_shingles, key, component_id for each row of docs. links: verified pairs of keys.
+    """(rows, links). rows: doc_id, n_shingles, component_id for each row of docs. links: verified pairs (src, dst) of nodes.
 
-    Texts with equal sets are linked; texts without words have no shingles and are linked with nothing, so their
-    component is their own id. Null text has no words. Rows without an id take part, but no component is named by them.
+    Texts with equal sets are linked and share a node; texts without words have no shingles and are linked with nothing, so
+    their component is their own id. Null text has no words. Rows without an id take part, but no component is named by
+    them: one of such rows alone has none. Rows that share an id share a node.
     """
-    rows = stored(incidence(docs, words, id_col, text_col), "incidence")
-    sets = rows.where("n > 0").groupBy("key").agg(F.first("n").alias("n"), F.first("bits").alias("bits"), F.first("shingles").alias("shingles"))
-    sets = stored(sets, "sets")
-    first = F.slice("shingles", F.lit(1), (F.col("n") - F.ceil(F.col("n") * percent / 100) + 1).cast("int"))
-    postings = sets.select("key", F.col("n").cast("int").alias("n"), F.posexplode(first).alias("at", "token"))
-    pivots = postings.groupBy("token").agg(F.min(F.struct("n", "key", "at")).alias("pivot"), F.count("*").alias("members")).where("members > 1")
-    shared = stored(postings.join(pivots, "token"), "postings")
+    found = Window.partitionBy("token", "salt").orderBy("n", "node", "at")
+    whole = found.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    # a frequent column is split into parts, each with its own pivot
+    salt = F.when(F.col("hot"), F.pmod(F.xxhash64("node"), F.lit(SALTS)) + 1).otherwise(F.lit(0)).cast("int")
+    entries = incidence(docs, percent, words, id_col, text_col).select("token", "node", "n", "at", salt.alias("salt"))
+    entry = F.struct("n", "node", "at")
+    shared = entries.select("*", F.first(entry).over(whole).alias("pivot"), F.count(F.lit(1)).over(whole).alias("members")).where("members > 1 or salt > 0")
+    shared = stored(shared.drop("members"), "entries")
 
     def bound(at, n, at2, n2):
         most = F.least(at, at2) + 1 + F.least(n - 1 - at, n2 - 1 - at2)
         return ((100 + percent) * most >= needed(n, n2, percent)) & (100 * F.least(n, n2) >= percent * F.greatest(n, n2))
 
-    star = shared.where((F.col("key") != F.col("pivot.key")) & bound(F.col("at"), F.col("n"), F.col("pivot.at"), F.col("pivot.n")))
-    star = star.select(F.col("key").alias("src"), F.col("pivot.key").alias("dst")).distinct()
-    linked = stored(verified(star, sets, percent), "links")
-    named = components(linked).withColumnRenamed("node", "key")
-    blocks = crossing(shared, sets.select("key", "bits").join(named, "key", "left").withColumn("component", F.coalesce("component", "key")))
-    pairs = blocks.groupBy("token", "i", "j").applyInArrow(_product(percent), "src binary, dst binary").distinct()
-    more = stored(verified(pairs, sets, percent), "links")
-    links = linked.unionByName(more)
-    named = components(named.select(F.col("key").alias("src"), F.col("component").alias("dst")).unionByName(more)).withColumnRenamed("node", "key")
-    groups = rows.where("n > 0").groupBy("key").agg(F.min("doc_id").alias("least")).join(named, "key", "left").withColumn("component", F.coalesce("component", "key"))
+    def star(rows: DataFrame) -> DataFrame:
+        near = rows.where((F.col("node") != F.col("pivot.node")) & bound(F.col("at"), F.col("n"), F.col("pivot.at"), F.col("pivot.n")))
+        return near.select(F.col("node").alias("src"), F.col("pivot.node").alias("dst"))
+
+    heads = shared.where((F.col("salt") > 0) & (F.col("node") == F.col("pivot.node"))).select("token", "node", "n", "at")
+    heads = heads.join(heads.groupBy("token").agg(F.min(entry).alias("pivot")), "token")  # a row for each part of a column
+    stars = stored(star(shared).unionByName(star(heads)).distinct(), "stars")
+    texts = candidates(docs, shared.select("node").distinct(), words, id_col, text_col)
+    linked = stored(verified(stars, texts, percent, words), "links")
+    named = components(linked)
+    blocks = crossing(shared, texts.select("node", "bits").dropDuplicates(["node"]).join(named, "node", "left").withColumn("component", F.coalesce("component", "node")))
+    pairs = blocks.groupBy("token", "i", "j").applyInArrow(_product(percent), "src long, dst long").distinct()
+    more = stored(verified(pairs, texts, percent, words), "links")
+    named = components(named.select(F.col("node").alias("src"), F.col("component").alias("dst")).unionByName(more))
+    rows = stored(profiles(docs, words, id_col, text_col), "profiles")
+    groups = rows.where("n > 0").groupBy("key").agg(F.min("doc_id").alias("least")).withColumn("node", node_of("key", F.col("least")))
+    groups = groups.join(named, "node", "left").withColumn("component", F.coalesce("component", "node"))
     least = groups.groupBy("component").agg(F.min("least").alias("component_id"))
-    out = rows.select("doc_id", F.col("n").alias("n_shingles"), "key").join(groups.join(least, "component").select("key", "component_id"), "key", "left")
-    return out.select("doc_id", "n_shingles", "key", F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id")), links
+    of = groups.join(least, "component").select("key", "component_id")
+    out = rows.select("doc_id", F.col("n").alias("n_shingles"), "key").join(of, "key", "left")
+    return out.select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id")), linked.unionByName(more)
 
 
 def crossing(shared: DataFrame, named: DataFrame) -> DataFrame:
-    """Blocks (token, i, j, side, key, n, at, component, bits) of the columns with members of two components or more.
+    """Blocks (token, i, j, side, node, n, at, component, bits) of the columns with members of two components or more.
 
     In a column the members of its largest component lie in bulk blocks, all others in other blocks. Each bulk block meets
     each other block, and the other blocks meet each other; bulk blocks never meet, for that would be one component.
     """
-    members = shared.select("token", "key", "n", "at").join(named.select("key", "component"), "key")
+    members = shared.select("token", "node", "n", "at").join(named.select("node", "component"), "node")
     parts = members.groupBy("token", "component").agg(F.count("*").alias("c"))
     mixed = parts.groupBy("token").agg(F.max(F.struct("c", "component")).alias("top"), F.sum("c").alias("k"), F.count("*").alias("parts")).where("parts > 1")
     mixed = mixed.select("token", F.col("top.component").alias("bulk"), F.ceil(F.col("top.c") / BLOCK).cast("int").alias("nb"), F.ceil((F.col("k") - F.col("top.c")) / BLOCK).cast("int").alias("no"))
-    live = members.join(mixed, "token").join(named.select("key", "bits"), "key")
+    live = members.join(mixed, "token").join(named.select("node", "bits"), "node")
     big = F.col("component") == F.col("bulk")
-    own = F.pmod(F.xxhash64("key"), F.when(big, F.col("nb")).otherwise(F.col("no"))).cast("int")
+    own = F.pmod(F.xxhash64("node"), F.when(big, F.col("nb")).otherwise(F.col("no"))).cast("int")
     others = F.sequence(F.lit(0), F.col("no") - 1)
     # a task is (i, j): i >= 0 an other block and -1 - i a bulk block, j an other block
     as_bulk = F.transform(others, lambda j: F.struct((-1 - own).alias("i"), j.alias("j"), F.lit(0).alias("side")))
     with_bulk = F.transform(F.sequence(F.lit(0), F.col("nb") - 1), lambda b: F.struct((-1 - b).alias("i"), own.alias("j"), F.lit(1).alias("side")))
     among = F.transform(others, lambda o: F.struct(F.least(own, o).alias("i"), F.greatest(own, o).alias("j"), F.when(own <= o, 0).otherwise(1).alias("side")))
     tasks = F.explode(F.when(big, as_bulk).otherwise(F.concat(with_bulk, among))).alias("t")
-    return live.select("token", "key", "n", "at", "component", "bits", tasks).select("token", "t.i", "t.j", "t.side", "key", "n", "at", "component", "bits")
+    return live.select("token", "node", "n", "at", "component", "bits", tasks).select("token", "t.i", "t.j", "t.side", "node", "n", "at", "component", "bits")
 
 
 def _product(percent: int):
@@ -186,9 +271,9 @@ def _product(percent: int):
         """Pairs of two blocks of one column that lie in different components and whose bounds allow enough overlap."""
         i, j = rows.column("i")[0].as_py(), rows.column("j")[0].as_py()
         side = rows.column("side").to_numpy()
-        keys = rows.column("key").to_pylist()
+        nodes = rows.column("node").to_numpy()
         n, at = rows.column("n").to_numpy().astype(np.int64), rows.column("at").to_numpy().astype(np.int64)
-        part = np.unique(np.array([c.hex() for c in rows.column("component").to_pylist()]), return_inverse=True)[1]
+        part = rows.column("component").to_numpy()
         bits = np.frombuffer(b"".join(rows.column("bits").to_pylist()), dtype=np.uint64).reshape(-1, BITS // 64)
         left = np.flatnonzero(side == 0)
         right = left if i == j else np.flatnonzero(side == 1)
@@ -204,9 +289,9 @@ def _product(percent: int):
                 only = np.bitwise_count(bits[a] & ~bits[b]).sum(axis=1), np.bitwise_count(~bits[a] & bits[b]).sum(axis=1)
                 most = np.minimum(n[a] - only[0].astype(np.int64), n[b] - only[1].astype(np.int64))
                 for x in b[(100 + percent) * most >= needed(n[a], n[b], percent)]:
-                    src.append(max(keys[a], keys[x]))
-                    dst.append(min(keys[a], keys[x]))
-        return pa.table({"src": pa.array(src, pa.binary()), "dst": pa.array(dst, pa.binary())})
+                    src.append(max(nodes[a], nodes[x]))
+                    dst.append(min(nodes[a], nodes[x]))
+        return pa.table({"src": pa.array(src, pa.int64()), "dst": pa.array(dst, pa.int64())})
 
     return product
 
