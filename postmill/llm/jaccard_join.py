@@ -83,18 +83,6 @@ def frequent(docs: DataFrame, words: int, text_col: str) -> np.ndarray:
     return np.sort(sums.where(F.col("n") >= 2.0**least).select("token").toArrow().column(0).to_numpy().astype(np.int64))
 
 
-def profiles(docs: DataFrame, words: int = WORDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, key, n): for each row of docs the digest of its shingle set and the set's size."""
-
-    def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes = WordHashes()
-        for batch in batches:
-            sets = [shingles(t.as_py(), hashes, words) for t in batch.column(1)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(map(digest, sets), pa.binary()), pa.array(map(len, sets), pa.int64())], ["doc_id", "key", "n"])
-
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), text_col).mapInArrow(emit, "doc_id long, key binary, n long")
-
-
 def digest(s: np.ndarray) -> bytes:
     return hashlib.blake2b(s.tobytes(), digest_size=16).digest()
 
@@ -104,8 +92,8 @@ def node_of(key, least):
     return F.coalesce(least, -F.abs(F.shiftright(F.xxhash64(key), 1)) - 1)
 
 
-def incidence(docs: DataFrame, percent: int, words: int, id_col: str, text_col: str) -> DataFrame:
-    """(token, node, n, at, hot): the leading entries of each distinct set's row, at their places in the column order."""
+def leading(docs: DataFrame, percent: int, words: int, id_col: str, text_col: str) -> DataFrame:
+    """(doc_id, key, n, cold, leading): the leading shingles of each document, the first `cold` of all not frequent ones."""
     late = docs.sparkSession.sparkContext.broadcast(frequent(docs, words, text_col))
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -129,8 +117,12 @@ def incidence(docs: DataFrame, percent: int, words: int, id_col: str, text_col:
                 ["doc_id", "key", "n", "cold", "leading"],
             )
 
-    sets = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_col).mapInArrow(emit, "doc_id long, key binary, n int, cold int, leading array<bigint>")
-    sets = sets.where("n > 0").groupBy("key").agg(F.min("doc_id").alias("least"), F.first("n").alias("n"), F.first("cold").alias("cold"), F.first("leading").alias("leading"))
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), text_col).mapInArrow(emit, "doc_id long, key binary, n int, cold int, leading array<bigint>")
+
+
+def incidence(rows: DataFrame) -> DataFrame:
+    """(token, node, n, at, hot): the leading entries of each distinct set's row, at their places in the column order."""
+    sets = rows.where("n > 0").groupBy("key").agg(F.min("doc_id").alias("least"), F.first("n").alias("n"), F.first("cold").alias("cold"), F.first("leading").alias("leading"))
     return sets.select(node_of("key", F.col("least")).alias("node"), "n", "cold", F.posexplode("leading").alias("at", "token")).select("token", "node", "n", "at", (F.col("at") >= F.col("cold")).alias("hot"))
 
 
@@ -156,12 +148,8 @@ def candidates(docs: DataFrame, nodes: DataFrame, words: int, id_col: str, text_
     texts = texts.join(nodes, "node", "left_semi")
     if nodes.where("node < 0").limit(1).count():  # sets of rows without an id
         bare = docs.where(F.col(id_col).isNull()).select(F.lit(None).cast("long").alias("doc_id"), text_col)
-        keyed = profiles(bare, words, "doc_id", text_col)
-        with_text = bare.mapInArrow(_keyed(words), "key binary, text binary")
-        texts = texts.unionByName(
-            with_text.groupBy("key").agg(F.first("text").alias("text")).join(keyed.select("key").distinct(), "key", "left_semi")
-            .select(node_of("key", F.lit(None).cast("long")).alias("node"), "text").join(nodes, "node", "left_semi")
-        )
+        with_text = bare.mapInArrow(_keyed(words), "key binary, text binary").groupBy("key").agg(F.first("text").alias("text"))
+        texts = texts.unionByName(with_text.select(node_of("key", F.lit(None).cast("long")).alias("node"), "text").join(nodes, "node", "left_semi"))
     return stored(texts.mapInArrow(sign, "node long, text binary, bits binary"), "candidates")
 
 
@@ -212,7 +200,8 @@ def jaccard_classes(docs: DataFrame, percent: int = PERCENT, words: int = WORDS,
     whole = found.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     # a frequent column is split into parts, each with its own pivot
     salt = F.when(F.col("hot"), F.pmod(F.xxhash64("node"), F.lit(SALTS)) + 1).otherwise(F.lit(0)).cast("int")
-    entries = incidence(docs, percent, words, id_col, text_col).select("token", "node", "n", "at", salt.alias("salt"))
+    rows = stored(leading(docs, percent, words, id_col, text_col), "leading")
+    entries = incidence(rows).select("token", "node", "n", "at", salt.alias("salt"))
     entry = F.struct("n", "node", "at")
     shared = entries.select("*", F.first(entry).over(whole).alias("pivot"), F.count(F.lit(1)).over(whole).alias("members")).where("members > 1 or salt > 0")
     shared = stored(shared.drop("members"), "entries")
@@ -232,15 +221,15 @@ def jaccard_classes(docs: DataFrame, percent: int = PERCENT, words: int = WORDS,
     linked = stored(verified(stars, texts, percent, words), "links")
     named = components(linked)
     blocks = crossing(shared, texts.select("node", "bits").dropDuplicates(["node"]).join(named, "node", "left").withColumn("component", F.coalesce("component", "node")))
-    pairs = blocks.groupBy("token", "i", "j").applyInArrow(_product(percent), "src long, dst long").distinct()
+    blocks = blocks.repartition("token", "i", "j").sortWithinPartitions("token", "i", "j")
+    pairs = blocks.mapInArrow(_products(percent), "src long, dst long").distinct()
     more = stored(verified(pairs, texts, percent, words), "links")
     named = components(named.select(F.col("node").alias("src"), F.col("component").alias("dst")).unionByName(more))
-    rows = stored(profiles(docs, words, id_col, text_col), "profiles")
     groups = rows.where("n > 0").groupBy("key").agg(F.min("doc_id").alias("least")).withColumn("node", node_of("key", F.col("least")))
     groups = groups.join(named, "node", "left").withColumn("component", F.coalesce("component", "node"))
     least = groups.groupBy("component").agg(F.min("least").alias("component_id"))
     of = groups.join(least, "component").select("key", "component_id")
-    out = rows.select("doc_id", F.col("n").alias("n_shingles"), "key").join(of, "key", "left")
+    out = rows.select("doc_id", F.col("n").cast("long").alias("n_shingles"), "key").join(of, "key", "left")
     return out.select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id")), linked.unionByName(more)
 
 
@@ -266,32 +255,48 @@ def crossing(shared: DataFrame, named: DataFrame) -> DataFrame:
     return live.select("token", "node", "n", "at", "component", "bits", tasks).select("token", "t.i", "t.j", "t.side", "node", "n", "at", "component", "bits")
 
 
-def _product(percent: int):
-    def product(rows: pa.Table) -> pa.Table:
-        """Pairs of two blocks of one column that lie in different components and whose bounds allow enough overlap."""
-        i, j = rows.column("i")[0].as_py(), rows.column("j")[0].as_py()
-        side = rows.column("side").to_numpy()
-        nodes = rows.column("node").to_numpy()
-        n, at = rows.column("n").to_numpy().astype(np.int64), rows.column("at").to_numpy().astype(np.int64)
-        part = rows.column("component").to_numpy()
+def _products(percent: int):
+    """Blocks come sorted by (token, i, j), each with some thousand rows at most; whole blocks are multiplied together."""
+
+    def multiply(rows: pa.Table, starts: np.ndarray) -> pa.RecordBatch:
+        number = lambda c: rows.column(c).to_numpy().astype(np.int64)
+        i, j, side, node, n, at, part = map(number, ("i", "j", "side", "node", "n", "at", "component"))
         bits = np.frombuffer(b"".join(rows.column("bits").to_pylist()), dtype=np.uint64).reshape(-1, BITS // 64)
-        left = np.flatnonzero(side == 0)
-        right = left if i == j else np.flatnonzero(side == 1)
-        src, dst = [], []
-        for k, a in enumerate(left):
-            b = right[k + 1 :] if i == j else right
-            b = b[part[b] != part[a]]
+        lengths = np.diff(np.append(starts, len(i)))
+        left = np.repeat(starts + lengths, lengths) - np.arange(len(i))  # rows from here to the end of the block
+        src, dst = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
+        here = np.arange(len(i))
+        for step in range(1, int(lengths.max())):
+            here = here[left[here] > step]
+            a, b = here, here + step
+            ok = (part[a] != part[b]) & ((i[a] == j[a]) | (side[a] != side[b])) & (100 * np.minimum(n[a], n[b]) >= percent * np.maximum(n[a], n[b]))
+            a, b = a[ok], b[ok]
             most = np.minimum(at[a], at[b]) + 1 + np.minimum(n[a] - 1 - at[a], n[b] - 1 - at[b])
-            low = needed(n[a], n[b], percent)
-            b = b[((100 + percent) * most >= low) & (100 * np.minimum(n[a], n[b]) >= percent * np.maximum(n[a], n[b]))]
-            if len(b):
-                # each bit that only one has stands for a shingle that the other lacks
-                only = np.bitwise_count(bits[a] & ~bits[b]).sum(axis=1), np.bitwise_count(~bits[a] & bits[b]).sum(axis=1)
-                most = np.minimum(n[a] - only[0].astype(np.int64), n[b] - only[1].astype(np.int64))
-                for x in b[(100 + percent) * most >= needed(n[a], n[b], percent)]:
-                    src.append(max(nodes[a], nodes[x]))
-                    dst.append(min(nodes[a], nodes[x]))
-        return pa.table({"src": pa.array(src, pa.int64()), "dst": pa.array(dst, pa.int64())})
+            ok = (100 + percent) * most >= needed(n[a], n[b], percent)
+            a, b = a[ok], b[ok]
+            # each bit that only one has stands for a shingle that the other lacks
+            only = np.bitwise_count(bits[a] & ~bits[b]).sum(axis=1), np.bitwise_count(~bits[a] & bits[b]).sum(axis=1)
+            most = np.minimum(n[a] - only[0].astype(np.int64), n[b] - only[1].astype(np.int64))
+            ok = (100 + percent) * most >= needed(n[a], n[b], percent)
+            src.append(np.maximum(node[a[ok]], node[b[ok]]))
+            dst.append(np.minimum(node[a[ok]], node[b[ok]]))
+        found = np.unique(np.stack([np.concatenate(src), np.concatenate(dst)], axis=1), axis=0)
+        return pa.RecordBatch.from_arrays([pa.array(found[:, 0]), pa.array(found[:, 1])], ["src", "dst"])
+
+    def product(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: pa.Table | None = None
+        for batch in batches:
+            rows = pa.Table.from_batches([batch])
+            rows = pa.concat_tables([held, rows]) if held is not None else rows
+            if not rows.num_rows:
+                continue
+            ids = np.stack([rows.column(c).to_numpy().astype(np.int64) for c in ("token", "i", "j")])
+            starts = np.concatenate([[0], np.flatnonzero((ids[:, 1:] != ids[:, :-1]).any(axis=0)) + 1])
+            held = rows.slice(int(starts[-1]))  # the last block may go on
+            if len(starts) > 1:
+                yield multiply(rows.slice(0, int(starts[-1])), starts[:-1])
+        if held is not None and held.num_rows:
+            yield multiply(held, np.array([0]))
 
     return product
 
