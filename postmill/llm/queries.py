@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, jaccard_join, line_dedup, mixing, packing, quality_rules, shard_shuffle, warc
+from . import exact_dedup, jaccard_join, line_dedup, mixing, packing, quality_rules, repeat_removal, shard_shuffle, toxicity, warc
 
 
 def queries() -> dict:
     return {
         "op1_line_dedup": line_dedup.op1_line_dedup,
         "op2_quality_rules": quality_rules.op2_quality_rules,
+        "op3_toxicity": toxicity.op3_toxicity,
+        "op4_suffix_array_dedup": repeat_removal.op4_suffix_array_dedup,
         "op5_shard_shuffle": shard_shuffle.op5_shard_shuffle,
         "op6_jaccard_join": jaccard_join.op6_jaccard_join,
         "op7_mixing": mixing.op7_mixing,
