@@ -1,4 +1,381 @@
-"""All queries of the engine by name, with the SQL that gives the same rows."""
+"""All queries of the engine by name, applied to whole tables, with the SQL that gives the same rows."""
 
-QUERIES: dict = {}
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from .functions import canonical as C
+from .functions import markup
+from .functions import tokens as T
+from .operators import history, integrity, merge, rules, runs
+from .sources import payloads
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
+
+
+def query(sql: str | None = None):
+    def add(f: Callable[[SparkSession, str], DataFrame]):
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLES[f.__name__] = sql
+        return f
+
+    return add
+
+
+def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+#: The canonical description in SQL: line ends, blanks at line ends, edges, empty runs.
+_DESCRIPTION = r"""regexp_replace(trim(regexp_replace(regexp_replace(text, '\r\n?', chr(10), 'g'), '[ \t]+(\n|$)', '\1', 'g'), chr(10)), '\n{4,}', repeat(chr(10), 3), 'g')"""
+_TOKENS = r"""list_transform(regexp_extract_all(lower({0}), '[\p{{L}}\p{{N}}]+(?:''[\p{{L}}\p{{N}}]+)*'), lambda t: replace(t, '''', ''))"""
+
+
+@query(f"select doc_id, sha256({_DESCRIPTION}) as description_hash from documents")
+def canonical_description_hash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return read(spark, sf_dir, "documents").select("doc_id", F.sha2(C.description(F.col("text")), 256).alias("description_hash"))
+
+
+@query(r"select doc_id, replace(lower(trim(regexp_replace(split_part(text, chr(10), 1), '\s+', ' ', 'g'))), 'ß', 'ss') as title_norm from documents")
+def title_norm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return read(spark, sf_dir, "documents").select("doc_id", C.title_norm(F.split_part("text", F.lit("\n"), F.lit(1))).alias("title_norm"))
+
+
+@query("""select doc_id, sha256('{"description_md":null,"locations":["' || lang || '","' || source || '"],"title":"' || lang || '"}') as content_hash from documents""")
+def content_json_hash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = read(spark, sf_dir, "documents")
+    return d.select("doc_id", C.content_hash(F.col("lang"), F.lit(None).cast("string"), C.locations(F.array("source", "lang", "lang"))).alias("content_hash"))
+
+
+@query("""select r_regionkey, (select list(n order by n) from (select distinct trim(n_name) as n from nation where n_regionkey = r_regionkey)) as locations from region""")
+def locations_canonical(spark: SparkSession, sf_dir: str) -> DataFrame:
+    names = read(spark, sf_dir, "nation").groupBy(F.col("n_regionkey").alias("r_regionkey")).agg(C.locations(F.collect_list("n_name")).alias("locations"))
+    return read(spark, sf_dir, "region").select("r_regionkey").join(names, "r_regionkey", "left")
+
+
+@query("""
+with o as (select source, doc_id, sha256(text) as h from documents)
+select doc_id, source, row_number() over (partition by source, h order by doc_id) = 1 as is_new,
+       lag(h) over (partition by source order by doc_id) is distinct from h as is_change from o""")
+def version_history(spark: SparkSession, sf_dir: str) -> DataFrame:
+    o = read(spark, sf_dir, "documents").select("source", "doc_id", F.sha2("text", 256).alias("h"))
+    return merge.version_history(o, "source", "h", "doc_id").select("doc_id", "source", "is_new", "is_change")
+
+
+@query("select source, max(doc_id) as current_id, arg_max(sha256(text), doc_id) as current_hash, count(distinct text) as versions from documents group by source")
+def current_version(spark: SparkSession, sf_dir: str) -> DataFrame:
+    h = read(spark, sf_dir, "documents").select("source", "doc_id", F.sha2("text", 256).alias("h"))
+    per = h.groupBy("source", "h").agg(F.max("doc_id").alias("last"))  # combined by version first
+    return per.groupBy("source").agg(F.max("last").alias("current_id"), F.max_by("h", "last").alias("current_hash"), F.count("*").alias("versions"))
+
+
+_FETCH = """with f as (
+    select event_id as id, user_id as endpoint_id, ts as finished_at, ts - interval 30 second as started_at,
+           case when event_type = (select min(event_type) from events) then 304 else 200 end as http_status,
+           event_type <> (select max(event_type) from events) as complete, cast(floor(value) as bigint) as seen,
+           json_extract_string(props, '$.k') as etag from events)
+"""
+
+
+def fetches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events as a fetch history: a user is an endpoint, the value what was seen."""
+    e = read(spark, sf_dir, "events")
+    ends = e.agg(F.min("event_type").alias("lo"), F.max("event_type").alias("hi"))
+    at = F.col("ts").cast("timestamp")
+    return e.join(F.broadcast(ends), F.lit(True)).select(  # one row
+        F.col("event_id").alias("id"), F.col("user_id").alias("endpoint_id"), at.alias("finished_at"), (at - F.expr("interval 30 seconds")).alias("started_at"),
+        F.when(F.col("event_type") == F.col("lo"), 304).otherwise(200).alias("http_status"), (F.col("event_type") != F.col("hi")).alias("complete"),
+        F.floor("value").alias("seen"), F.get_json_object("props", "$.k").alias("etag"),
+    )
+
+
+@query(_FETCH + """
+select f.id, round(cast(sum(cast(p.seen as decimal(20,4))) as double) / count(p.seen), 6) as prior_avg,
+       any_value(f.complete) and any_value(f.seen) = 0 and coalesce(round(cast(sum(cast(p.seen as decimal(20,4))) as double) / count(p.seen), 6) > 20, false) as suspicious_zero
+from f left join f p on p.endpoint_id = f.endpoint_id and p.complete and p.finished_at < f.finished_at group by f.id""")
+def suspicious_zero(spark: SparkSession, sf_dir: str) -> DataFrame:
+    f = fetches(spark, sf_dir).withColumn("finished_us", F.unix_micros("finished_at"))
+    return history.prior_average(f, 20).select("id", "prior_avg", "suspicious_zero")
+
+
+@query(_FETCH + """
+select id, coalesce(max(finished_at) over (partition by endpoint_id order by id rows between unbounded preceding and 1 preceding) > started_at, false) as stale from f""")
+def stale_order_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return history.stale(fetches(spark, sf_dir)).select("id", "stale")
+
+
+@query(_FETCH + """
+, u as (select *, row_number() over (partition by endpoint_id order by finished_at desc, id desc) as n from f where http_status = 200 or etag is not null)
+select e.endpoint_id, u.etag from (select distinct endpoint_id from f) e left join u on u.endpoint_id = e.endpoint_id and u.n = 1""")
+def validator_rebuild(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return history.validators(fetches(spark, sf_dir))
+
+
+@query(_FETCH + "select id, row_number() over (partition by endpoint_id, cast(finished_at as date) order by finished_at, id) = 1 as owner from f")
+def first_attempt_wins(spark: SparkSession, sf_dir: str) -> DataFrame:
+    f = fetches(spark, sf_dir).withColumn("day", F.to_date("finished_at"))
+    return history.first_attempts(f, ["endpoint_id", "day"], ["finished_at", "id"]).select("id", "owner")
+
+
+@query(_FETCH + "select endpoint_id, arg_max(id, (finished_at, id)) as id from f group by endpoint_id")
+def latest_fetch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return history.latest(fetches(spark, sf_dir), "endpoint_id", "finished_at", "id").select("endpoint_id", "id")
+
+
+@query(_FETCH + """
+select endpoint_id, count(*) as attempts, count(*) filter (where complete) as complete, count(distinct etag) as validators, cast(sum(seen) as bigint) as seen,
+       count(*) filter (where http_status = 304) as unchanged from f group by endpoint_id""")
+def run_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fetches(spark, sf_dir).groupBy("endpoint_id").agg(
+        F.count("*").alias("attempts"), F.count_if("complete").alias("complete"), F.countDistinct("etag").alias("validators"), F.sum("seen").alias("seen"),
+        F.count_if(F.col("http_status") == 304).alias("unchanged"),
+    )
+
+
+@query(_FETCH + """
+select id, case when http_status = 304 then 'succeeded' when complete and seen = 0 then 'partial' when complete then 'succeeded' else 'partial' end as outcome from f""")
+def run_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    f = fetches(spark, sf_dir)
+    return f.select("id", runs.outcome(F.col("http_status"), F.col("complete"), F.lit(False), F.col("complete") & (F.col("seen") == 0)).alias("outcome"))
+
+
+@query("""select o_orderkey, case when o_orderstatus = 'F' then 'endpoint_paused' when o_orderpriority not in ('1-URGENT', '2-HIGH') then 'unsupported_kind' else 'eligible' end as eligibility from orders""")
+def endpoint_eligibility(spark: SparkSession, sf_dir: str) -> DataFrame:
+    status = F.when(F.col("o_orderstatus") == "F", "paused").otherwise("active")
+    return read(spark, sf_dir, "orders").select("o_orderkey", runs.eligibility(status, F.col("o_orderpriority"), ("1-URGENT", "2-HIGH")).alias("eligibility"))
+
+
+_OPEN = "(select * from orders where o_orderstatus <> 'F')"
+
+
+@query(f"""select o_orderkey as external_id, o_orderdate as closed_at from {_OPEN} o
+where not exists (select 1 from lineitem l where l.l_orderkey = o.o_orderkey and l.l_linenumber >= 4)""")
+def close_reconcile(spark: SparkSession, sf_dir: str) -> DataFrame:
+    seen = read(spark, sf_dir, "lineitem").where("l_linenumber >= 4").select(F.col("l_orderkey").alias("o_orderkey"))
+    gone = read(spark, sf_dir, "orders").where("o_orderstatus <> 'F'").join(seen, "o_orderkey", "left_anti")
+    return gone.select(F.col("o_orderkey").alias("external_id"), F.col("o_orderdate").cast("timestamp_ntz").alias("closed_at"))
+
+
+@query("""
+select o.o_orderkey as external_id, l.at >= o.o_orderdate + interval 60 day as reopened, greatest(o.o_orderdate, l.at) as last_seen
+from orders o join (select l_orderkey, max(l_shipdate) as at from lineitem group by l_orderkey) l on l.l_orderkey = o.o_orderkey""")
+def reopen_last_seen(spark: SparkSession, sf_dir: str) -> DataFrame:
+    at = read(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(F.max("l_shipdate").alias("at"))
+    o = read(spark, sf_dir, "orders").select("o_orderkey", "o_orderdate").join(at, "o_orderkey")
+    return o.select(
+        F.col("o_orderkey").alias("external_id"), (F.col("at") >= F.col("o_orderdate") + F.expr("interval 60 days")).alias("reopened"),
+        F.greatest("o_orderdate", "at").cast("timestamp_ntz").alias("last_seen"),
+    )
+
+
+@query("""
+with s as (select n_nationkey as endpoint_id from nation), st as (
+    select c_nationkey as endpoint_id, c_custkey as external_id, c_mktsegment as h from customer where c_custkey % 3 <> 0), ob as (
+    select c_nationkey as endpoint_id, c_custkey as external_id, case when c_custkey % 5 = 0 then 'changed' else c_mktsegment end as h from customer where c_custkey % 4 <> 0),
+j as (select coalesce(st.endpoint_id, ob.endpoint_id) as endpoint_id, st.h as old, ob.h as new from st full join ob using (endpoint_id, external_id))
+select s.endpoint_id, count(new) as seen, count(*) filter (where old is null and new is not null) as created, count(*) filter (where old <> new) as changed,
+       count(*) filter (where new is null and old is not null and s.endpoint_id % 2 = 0) as closed
+from s left join j using (endpoint_id) group by s.endpoint_id""")
+def merge_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = read(spark, sf_dir, "customer").select(F.col("c_nationkey").alias("endpoint_id"), F.col("c_custkey").alias("external_id"), F.col("c_mktsegment").alias("content_hash"), F.col("c_name").alias("url"))
+    t0, t1, t2 = (F.lit(f"2024-01-0{i} 00:00:00").cast("timestamp") for i in (1, 2, 3))
+    state = c.where("external_id % 3 <> 0").select("*", t0.alias("first_seen"), t0.alias("last_seen"), F.lit(None).cast("timestamp").alias("closed_at"))
+    versions = state.select("endpoint_id", "external_id", "content_hash", F.col("first_seen").alias("observed_at"))
+    observed = c.where("external_id % 4 <> 0").withColumn("content_hash", F.when(F.col("external_id") % 5 == 0, "changed").otherwise(F.col("content_hash")))
+    batch = read(spark, sf_dir, "nation").select(
+        F.col("n_nationkey").alias("endpoint_id"), t1.alias("started_at"), t2.alias("finished_at"), (F.col("n_nationkey") % 2 == 0).alias("complete"),
+        F.lit(200).alias("http_status"), F.lit(False).alias("stale"), F.lit(False).alias("suspicious_zero"),
+    )
+    return merge.merge(state, versions, batch, observed).log.select("endpoint_id", "seen", "created", "changed", "closed")
+
+
+@query("""
+select o.o_orderkey, case when bool_or(l.l_returnflag = 'R') then 'skipped' when bool_or(l.l_returnflag = 'A') then 'applied'
+       when bool_or(l.l_linestatus = 'F' and c.c_mktsegment = 'BUILDING') then 'expired' else 'none' end as action
+from orders o join lineitem l on l.l_orderkey = o.o_orderkey left join customer c on c.c_custkey = o.o_custkey group by o.o_orderkey""")
+def action_precedence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    o, li, c = (read(spark, sf_dir, t) for t in ("orders", "lineitem", "customer"))
+    facts = li.groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(  # before the join, so each order is joined once
+        F.bool_or(F.col("l_returnflag") == "R").alias("skipped"), F.bool_or(F.col("l_returnflag") == "A").alias("applied"), F.bool_or(F.col("l_linestatus") == "F").alias("ended"),
+    )
+    all_ = o.select("o_orderkey", "o_custkey").join(facts, "o_orderkey").join(c.select(F.col("c_custkey").alias("o_custkey"), "c_mktsegment"), "o_custkey", "left")
+    expired = F.col("ended") & F.coalesce(F.col("c_mktsegment") == "BUILDING", F.lit(False))
+    return all_.select("o_orderkey", runs.action(F.col("skipped"), F.col("applied"), expired).alias("action"))
+
+
+@query("""select o_orderkey, case when o_orderdate > timestamp '1997-06-30' then 'invalid' when o_orderdate < timestamp '1997-06-30' - interval 45 day then 'reject' else 'pass' end as staleness from orders""")
+def staleness_45d(spark: SparkSession, sf_dir: str) -> DataFrame:
+    at = F.col("o_orderdate").cast("timestamp")
+    return read(spark, sf_dir, "orders").select("o_orderkey", runs.staleness(at, at, F.lit("1997-06-30").cast("timestamp")).alias("staleness"))
+
+
+@query(rf"select doc_id, len({_TOKENS.format('text')}) as tokens, len(regexp_replace(text, '[^\p{{L}}\p{{N}}]', '', 'g')) as letters from documents")
+def token_count(spark: SparkSession, sf_dir: str) -> DataFrame:
+    letters = F.length(F.regexp_replace("text", r"[^\p{L}\p{N}]", "")).cast("long")
+    return read(spark, sf_dir, "documents").select("doc_id", F.size(T.tokens(F.col("text"))).cast("long").alias("tokens"), letters.alias("letters"))
+
+
+@query(rf"""
+with t as (select doc_id, len({_TOKENS.format('text')}) as tokens, len(regexp_replace(text, '[^\p{{L}}\p{{N}}]', '', 'g')) as letters from documents)
+select doc_id, case when letters = 0 then 'empty' when letters < 500 then 'too_few_letters' when tokens < 75 then 'too_few_tokens' else 'complete' end as gate from t""")
+def completeness_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    t = token_count(spark, sf_dir)
+    gate = F.when(F.col("letters") == 0, "empty").when(F.col("letters") < 500, "too_few_letters").when(F.col("tokens") < 75, "too_few_tokens").otherwise("complete")
+    return t.select("doc_id", gate.alias("gate"))
+
+
+@query(r"""select doc_id, len(list_filter(string_split_regex(text, '\n(?:[ \t\r\f\v]*\n)+|[.!?。！？]+'), lambda s: trim(regexp_replace(s, '\s+', ' ', 'g')) <> '')) as segments from documents""")
+def segment_count(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return read(spark, sf_dir, "documents").select("doc_id", F.size(T.segments(F.col("text"))).cast("long").alias("segments"))
+
+
+@query(r"""
+with g as (select doc_id, unnest(regexp_extract_all(text, '[^\p{L}\p{N}]+')) as gap from documents), k as (
+    select case when regexp_matches(gap, '\n[ \t\r\f\v]*\n') then 'paragraph' when regexp_matches(gap, '[.!?。！？]') then 'sentence' when contains(gap, ',') then 'comma'
+           when contains(gap, ';') then 'semicolon' when contains(gap, '/') then 'slash' when regexp_full_match(gap, '\s+') then 'whitespace' else 'other' end as gap from g)
+select gap, count(*) as n from k group by gap""")
+def gap_categories(spark: SparkSession, sf_dir: str) -> DataFrame:
+    gaps = read(spark, sf_dir, "documents").select(F.explode(F.regexp_extract_all("text", F.lit(r"[^\p{L}\p{N}]+"), F.lit(0))).alias("between"))
+    return gaps.select(T.gap(F.col("between")).alias("gap")).groupBy("gap").agg(F.count("*").alias("n"))
+
+
+_PADDED = f"' ' || array_to_string({_TOKENS.format('text')}, ' ') || ' '"
+
+
+@query(rf"""
+with t as (select lang, {_PADDED} as p from documents)
+select lang, case when contains(p, ' of the ') then 'reject' when contains(p, ' the ') then 'pass' else 'unknown' end as outcome, count(*) as n from t group by all""")
+def phrase_match(spark: SparkSession, sf_dir: str) -> DataFrame:
+    words = read(spark, sf_dir, "documents").select("lang", T.padded(T.tokens(F.col("text"))).alias("p"))
+    outcome = F.when(F.col("p").contains(" of the "), "reject").when(F.col("p").contains(" the "), "pass").otherwise("unknown")
+    return words.groupBy("lang", outcome.alias("outcome")).agg(F.count("*").alias("n"))
+
+
+@query(rf"""
+with s as (select doc_id, unnest(list_filter(string_split_regex(text, '\n(?:[ \t\r\f\v]*\n)+|[.!?。！？]+'), lambda s: trim(regexp_replace(s, '\s+', ' ', 'g')) <> '')) as text from documents),
+p as (select doc_id, {_PADDED} as p from s)
+select d.doc_id, coalesce(bool_or(contains(p, ' the ') and contains(p, ' and ')), false) as both from documents d left join p using (doc_id) group by d.doc_id""")
+def same_segment_pair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return read(spark, sf_dir, "documents").select("doc_id", T.same_segment(F.col("text"), "the", "and").alias("both"))
+
+
+@query(rf"""
+with t as (select doc_id, {_TOKENS.format('text')} as w from documents), x as (select doc_id, w[i] as w, i from t, range(1, len(w) + 1) as r(i) where w[i] in ('with', 'that'))
+select d.doc_id, exists (select 1 from x a join x b on a.doc_id = b.doc_id where a.doc_id = d.doc_id and a.w = 'with' and b.w = 'that' and abs(a.i - b.i) <= 4) as near from documents d""")
+def proximity_rule(spark: SparkSession, sf_dir: str) -> DataFrame:
+    words = read(spark, sf_dir, "documents").select("doc_id", T.tokens(F.col("text")).alias("w"))
+    return words.select("doc_id", T.near(F.col("w"), "with", "that", 4).alias("near"))
+
+
+@query(rf"""
+with t as (select doc_id, {_TOKENS.format('text')} as w from documents)
+select doc_id, len(list_filter(range(1, len(w) + 1), lambda i: w[i] = 'the' and not (i > 1 and w[i - 1] = 'of'))) as unsuppressed from t""")
+def span_suppression(spark: SparkSession, sf_dir: str) -> DataFrame:
+    words = read(spark, sf_dir, "documents").select("doc_id", T.tokens(F.col("text")).alias("w"))
+    return words.select("doc_id", F.size(T.unsuppressed(F.col("w"), "the", ("of the",))).cast("long").alias("unsuppressed"))
+
+
+@query()
+def html_markdown(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return read(spark, sf_dir, "pages").select("page_id", C.description(markup.markdown("html")).alias("markdown"))
+
+
+@query(r"select page_id, regexp_matches(url, '^(?i)https?://[^/@\s?#]+([/?#]\S*)?$') as public, lower(regexp_extract(url, '^[a-zA-Z]+://([^/:?#]+)', 1)) as host from pages")
+def url_recognise(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return read(spark, sf_dir, "pages").select("page_id", payloads.public_url(F.col("url")).alias("public"), payloads.host(F.col("url")).alias("host"))
+
+
+@query("""select event_id, case when not json_valid(props) or json_type(props) <> 'OBJECT' then 'not_an_object' when json_type(props, '$.jobs') is distinct from 'ARRAY' then 'no_jobs' else 'ok' end as envelope,
+       json_extract_string(props, '$.k') as k from events""")
+def json_envelope(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return read(spark, sf_dir, "events").select("event_id", payloads.envelope(F.col("props")).alias("envelope"), F.get_json_object("props", "$.k").alias("k"))
+
+
+@query("""
+with p as (select user_id, event_id, value > 5 as ok, row_number() over (partition by user_id order by event_id) as n from events),
+q as (select *, min(ok) over (partition by user_id order by event_id rows between unbounded preceding and current row) as so_far from p)
+select user_id, count(*) as pages from q where so_far and n <= 100 group by user_id""")
+def page_prefix_until_failure(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = read(spark, sf_dir, "events").select("user_id", "event_id", (F.col("value") > 5).alias("ok"))
+    return payloads.leading_pages(pages, "user_id", "event_id", "ok").groupBy("user_id").agg(F.count("*").alias("pages"))
+
+
+@query("""
+with q as (select vec_id as q, embedding as e from embeddings where vec_id % 100 = 0),
+s as (select q, vec_id, round(list_cosine_similarity(e, embedding), 4) as sim, row_number() over (partition by q order by list_cosine_similarity(e, embedding) desc, vec_id) as place from q, embeddings where vec_id <> q)
+select q, vec_id, sim from s where place <= 3""")
+def cosine_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """For each stated query vector the three nearest of all, exactly; the queries are sent to the vectors, not the reverse."""
+    v = read(spark, sf_dir, "embeddings").select("vec_id", F.transform("embedding", lambda x: x.cast("double")).alias("e"))
+    dot = lambda a, b: F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
+    v = v.select("vec_id", "e", F.sqrt(dot(F.col("e"), F.col("e"))).alias("norm"))
+    q = v.where("vec_id % 100 = 0").select(F.col("vec_id").alias("q"), F.col("e").alias("qe"), F.col("norm").alias("qnorm"))
+    sim = v.join(q, F.col("vec_id") != F.col("q")).select("q", "vec_id", (dot(F.col("e"), F.col("qe")) / (F.col("norm") * F.col("qnorm"))).alias("s"))
+    place = F.row_number().over(Window.partitionBy("q").orderBy(F.col("s").desc(), "vec_id"))  # Spark keeps three of each task before the shuffle
+    return sim.withColumn("place", place).where("place <= 3").select("q", "vec_id", F.round("s", 4).alias("sim"))
+
+
+@query(rf"""
+with t as (select doc_id, {_PADDED} as p from documents), r as (select doc_id, contains(p, ' of the ') as a, contains(p, ' the ') as b from t)
+select doc_id, sha256('{{"eligible":' || (not a) || ',"rule_a":' || a || ',"rule_b":' || b || '}}') as output_hash, case when a then 0 else -1 end as score from r""")
+def evaluation_hash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    r = read(spark, sf_dir, "documents").select("doc_id", T.padded(T.tokens(F.col("text"))).alias("p")).select("doc_id", F.col("p").contains(" of the ").alias("a"), F.col("p").contains(" the ").alias("b"))
+    return r.select("doc_id", F.sha2(C.canonical_json(eligible=~F.col("a"), rule_a=F.col("a"), rule_b=F.col("b")), 256).alias("output_hash"), F.when(F.col("a"), 0).otherwise(-1).alias("score"))
+
+
+@query("""
+select 'status_domain' as rule, count(*) filter (where o_orderstatus not in ('F', 'O')) as violations from orders
+union all select 'price_positive', count(*) filter (where not o_totalprice > 0) from orders
+union all select 'order_key_unique', count(*) from (select o_orderkey from orders group by 1 having count(*) > 1)
+union all select 'line_key_unique', count(*) from (select l_orderkey, l_linenumber from lineitem group by all having count(*) > 1)
+union all select 'order_customer', count(*) from orders where o_custkey is not null and o_custkey not in (select c_custkey from customer)
+union all select 'line_order', count(*) from lineitem where l_orderkey not in (select o_orderkey from orders)""")
+def constraint_violations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    o, li, c = (read(spark, sf_dir, t) for t in ("orders", "lineitem", "customer"))
+    parts = [
+        integrity.checks(o, {"status_domain": F.col("o_orderstatus").isin("F", "O"), "price_positive": F.col("o_totalprice") > 0}),
+        integrity.unique(o, "order_key_unique", "o_orderkey"), integrity.unique(li, "line_key_unique", "l_orderkey", "l_linenumber"),
+        integrity.references(o, "order_customer", "o_custkey", c, "c_custkey"), integrity.references(li, "line_order", "l_orderkey", o, "o_orderkey"),
+    ]
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out
+
+
+@query("""select l_returnflag, cast(sum(cast(cast(l_quantity as decimal(12,2)) as decimal(12,2))) as decimal(18,2)) as total, count(*) filter (where l_discount > 0.05) as high from lineitem group by l_returnflag""")
+def decimal_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return read(spark, sf_dir, "lineitem").groupBy("l_returnflag").agg(
+        F.sum(F.col("l_quantity").cast("decimal(12,2)")).cast("decimal(18,2)").alias("total"), F.count_if(F.col("l_discount") > 0.05).alias("high"),
+    )
+
+
+@query()
+def md_normalise(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return read(spark, sf_dir, "documents").select("doc_id", C.markdown_lines(F.col("text")).alias("markdown"))
+
+
+@query("""
+select conv_id, count(*) as turns, arg_min(role, turn) as first_role, arg_max(role, turn) as last_role, count(*) filter (where is_change) as changes
+from (select *, lag(role) over (partition by conv_id order by turn) is distinct from role as is_change from conversations) group by conv_id""")
+def role_dialogue_state(spark: SparkSession, sf_dir: str) -> DataFrame:
+    w = Window.partitionBy("conv_id").orderBy("turn")
+    c = read(spark, sf_dir, "conversations").withColumn("is_change", ~F.lag("role").over(w).eqNullSafe(F.col("role")))
+    return c.groupBy("conv_id").agg(F.count("*").alias("turns"), F.min_by("role", "turn").alias("first_role"), F.max_by("role", "turn").alias("last_role"), F.count_if("is_change").alias("changes"))
+
+
+@query()
+def eligibility_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All nine rules over documents as listings: the first line is the title, the rest the description."""
+    d = read(spark, sf_dir, "documents")
+    listings = d.select(
+        F.col("doc_id").alias("posting_id"), F.split_part("text", F.lit("\n"), F.lit(1)).alias("title"), F.col("text").alias("description"), F.array("lang").alias("country_codes"),
+        F.lit(None).cast("string").alias("workplace"), F.lit("2024-01-01").cast("timestamp").alias("published_at"), F.lit("2024-01-01").cast("timestamp").alias("first_seen_at"),
+        F.lit("none").alias("action"), F.lit(False).alias("company_blocked"),
+    )
+    return rules.evaluate(listings, rules.EXAMPLE, F.lit("2024-01-20").cast("timestamp"))
