@@ -6,8 +6,9 @@ plus WIDTH. Contexts whose anchor occurs once hold no repeats. Of the others, eq
 the distinct contexts are dealt by anchor into shards, and each shard's suffix array and common prefixes tell where strings
 of WIDTH bytes occur again. A context that itself occurs more than once is repeated throughout.
 
-An anchor with more distinct contexts than one task should sort has its strings counted by their hashes instead, which
-spreads over all tasks; it finds the same places.
+An anchor with more distinct contexts than one task should sort has them cut into pieces by the distance of a string's
+begin from the anchor. Strings of a piece share most of their bytes, which become part of its key, and equal pieces are
+one; so the pieces spread over many shards, and sorting them finds the same places.
 """
 
 from __future__ import annotations
@@ -26,7 +27,7 @@ from .suffix_array import Prints, mixed, repeated
 
 WIDTH, GRAM = 400, 32
 #: Text that is hashed at once; the bytes of contexts that one suffix array is built over, on average; contexts of one anchor in it.
-CHUNK, SHARD_BYTES, MOST_CONTEXTS = 4 << 20, 1 << 20, 1200
+CHUNK, SHARD_BYTES, MOST_CONTEXTS, PIECES = 4 << 20, 1 << 20, 1200, 8
 
 
 def _window_least(h: np.ndarray, w: int) -> np.ndarray:
@@ -146,18 +147,32 @@ def _sorted_shard(width: int):
     return sort
 
 
-def _strings(width: int):
-    def strings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Every string of the contexts of an oversized anchor by its hash."""
-        for batch in batches:
-            for a, c, n, raw in zip(*(batch.column(i) for i in range(4)), strict=True):
-                t = np.frombuffer(raw.as_py(), dtype=np.uint8)
-                at = np.arange(len(t) - width + 1)
-                h = Prints(t).of(at, at + width).view(np.int64)
-                size = len(at)
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(size, x.as_py())) for x in (a, c, n)] + [pa.array(at), pa.array(h)], ["anchor", "context", "n", "at", "h"])
+def _pieces(width: int):
+    """Contexts of an oversized anchor cut by the distance of a string's begin from the anchor.
+
+    All strings of a piece cover the same bytes around the anchor; these bytes are part of the new key, so a piece meets
+    only pieces that agree in nearly all of a string. `shift` is where the piece begins in its context.
+    """
+    step = -(-(width - GRAM + 1) // PIECES)
 
-    return strings
+    def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = []
+            for anchor, context, n, raw in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
+                t = np.frombuffer(raw, dtype=np.uint8)
+                at = np.arange(len(t) - GRAM + 1)
+                here = int(np.flatnonzero(Prints(t).of(at, at + GRAM).view(np.int64) == anchor)[0])
+                for k in range(PIECES):
+                    lo, hi = max(0, here - (k + 1) * step + 1), min(here - k * step, len(t) - width)
+                    if lo <= hi:
+                        own = raw[lo : hi + width]
+                        common = raw[here - k * step : here - (k + 1) * step + 1 + width]
+                        sub, whole = (int.from_bytes(hashlib.blake2b(x, digest_size=8).digest(), "little", signed=True) for x in (b"%d %d " % (anchor, k) + common, b"%d %d " % (here - lo, k) + own))
+                        rows.append((anchor, context, n, sub, whole, lo, own))
+            columns = list(zip(*rows, strict=True)) or [()] * 7
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns[:6]] + [pa.array(columns[6], pa.binary())], ["anchor", "context", "n", "sub", "whole", "shift", "bytes"])
+
+    return pieces
 
 
 def remove_repeats(docs: DataFrame, width: int = WIDTH, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -193,10 +208,16 @@ def remove_repeats(docs: DataFrame, width: int = WIDTH, id_col: str = "doc_id",
         .groupBy("shard").applyInArrow(_sorted_shard(width), "anchor long, context long, runs array<int>")
     )
     if huge.limit(1).count():
-        strings = cut.join(huge, "anchor", "left_semi").select("anchor", "context", "n", "bytes").mapInArrow(_strings(width), "anchor long, context long, n long, at long, h long")
-        twice = strings.groupBy("anchor", "h").agg(F.sum("n").alias("m")).where("m > 1")
-        ones = strings.join(twice, ["anchor", "h"]).groupBy("anchor", "context").agg(F.collect_set(F.col("at").cast("int")).alias("at"))
-        runs = runs.unionByName(ones.select("anchor", "context", F.flatten(F.transform("at", lambda x: F.array(x, x))).alias("runs")))
+        parts = cut.join(huge, "anchor", "left_semi").select("anchor", "context", "n", "bytes").mapInArrow(_pieces(width), "anchor long, context long, n long, sub long, whole long, shift long, bytes binary")
+        parts = stored(parts, "pieces")
+        alike = parts.groupBy(F.col("sub").alias("anchor"), F.col("whole").alias("context")).agg(F.sum("n").alias("n"), F.first("bytes").alias("bytes"))
+        found_in = (
+            alike.select(shard, "anchor", "context", "n", "bytes").groupBy("shard").applyInArrow(_sorted_shard(width), "anchor long, context long, runs array<int>")
+            .select(F.col("anchor").alias("sub"), F.col("context").alias("whole"), "runs").where(F.size("runs") > 0)
+        )
+        back = parts.select("anchor", "context", "sub", "whole", F.col("shift").cast("int").alias("shift")).join(found_in, ["sub", "whole"])
+        moved = back.select("anchor", "context", F.transform("runs", lambda x: x + F.col("shift")).alias("runs"))
+        runs = runs.unionByName(moved.groupBy("anchor", "context").agg(F.flatten(F.collect_set("runs")).alias("runs")))
     runs = stored(runs.where(F.size("runs") > 0), "runs")
     spans = found.join(runs, ["anchor", "context"]).groupBy("doc").agg(F.collect_set(F.struct("lo", "runs")).alias("spans"))
     every = rows.select("doc", "doc_id", "text").mapInArrow(_packed_rows, "doc long, doc_id long, packed binary")

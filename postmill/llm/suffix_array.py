@@ -147,7 +147,11 @@ def common_prefixes(t: np.ndarray, sa: np.ndarray, most: int) -> np.ndarray:
 def repeated(t: np.ndarray, width: int) -> np.ndarray:
     """True at the places of t at which a string of `width` symbols begins that begins elsewhere in t too."""
     sa = suffix_array(t)
-    shared = common_prefixes(t, sa, width) >= width
+    # whether the permuted common prefix reaches `width`: one comparison settles it, its exact length isn't needed
+    shared = np.zeros(len(t), dtype=bool)
+    fits = np.flatnonzero(np.maximum(sa[1:], sa[:-1]) + width <= len(t))
+    prints, a, b = Prints(t), sa[1:][fits], sa[:-1][fits]
+    shared[a] = prints.of(a, a + width) == prints.of(b, b + width)
     out = shared.copy()
     place = np.flatnonzero(shared[sa])
     out[sa[place - 1]] = True
