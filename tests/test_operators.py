@@ -1,0 +1,78 @@
+from pyspark.sql import functions as F
+
+from postmill.functions import canonical as C
+from postmill.functions import tokens as T
+from postmill.functions.markup import markdown
+from postmill.operators import history, merge, rules
+
+
+def one(spark, text, column):
+    return spark.createDataFrame([(text,)], "t string").select(column(F.col("t")).alias("x")).first()["x"]
+
+
+def test_description(spark):
+    assert one(spark, "\r\n\na  \r\n\n\n\n\nb\t\n\n", C.description) == "a\n\n\nb"
+    assert one(spark, None, C.description) is None
+    assert one(spark, "", C.description) == ""
+
+
+def test_inline_and_folding(spark):
+    assert one(spark, " a \x1c b\n", C.inline) == "a b"
+    assert one(spark, "ﬁx Å", C.nfkc) == "fix Å"
+    assert one(spark, "Straße", C.casefold) == "strasse"
+
+
+def test_tokens_and_segments(spark):
+    assert one(spark, "Don't stop. Now", T.tokens) == ["dont", "stop", "now"]
+    assert one(spark, "a. b!\n\nc", lambda t: F.size(T.segments(t))) == 3
+    assert one(spark, "the end of the day", lambda t: T.unsuppressed(T.tokens(t), "the", ("of the",))) == [1]
+    assert one(spark, "one two", lambda t: T.places(T.tokens(t), "one two three")) == []
+    assert one(spark, "x a b c y", lambda t: T.near(T.tokens(t), "x", "y", 4)) is True
+
+
+def test_markdown(spark):
+    assert one(spark, "<h1>A</h1><script>x</script><ul><li>b &amp; c</li></ul>", lambda t: C.description(markdown(t))) == "# A\n\n\n* b & c"
+
+
+def ts(n):
+    return F.lit(f"2024-01-{n:02d}").cast("timestamp")
+
+
+def test_merge(spark):
+    state = spark.createDataFrame([(1, "a", "h1", "u1"), (1, "b", "h2", "u2"), (2, "c", "h3", "u3")], "endpoint_id long, external_id string, content_hash string, url string")
+    state = state.select("*", ts(1).alias("first_seen"), ts(1).alias("last_seen"), F.when(F.col("external_id") == "b", ts(2)).alias("closed_at"))
+    versions = spark.createDataFrame([(1, "a", "h1"), (1, "a", "h9"), (1, "b", "h2"), (2, "c", "h3")], "endpoint_id long, external_id string, content_hash string").withColumn("observed_at", ts(1))
+    fetches = spark.createDataFrame([(1, True), (2, False)], "endpoint_id long, complete boolean").select(
+        "*", ts(3).alias("started_at"), ts(4).alias("finished_at"), F.lit(200).alias("http_status"), F.lit(False).alias("stale"), F.lit(False).alias("suspicious_zero")
+    )
+    seen = spark.createDataFrame([(1, "a", "h9", "x"), (1, "b", "h2", "x"), (1, "d", "h4", "x")], "endpoint_id long, external_id string, content_hash string, url string")
+    out = merge.merge(state, versions, fetches, seen)
+    rows = {r["external_id"]: r for r in out.state.collect()}
+    assert rows["a"]["content_hash"] == "h9" and rows["a"]["url"] == "x"  # changed back to an older text
+    assert rows["b"]["closed_at"] is None and rows["b"]["url"] == "u2"  # reopened, unchanged
+    assert rows["c"]["closed_at"] is None  # an incomplete attempt closes nothing
+    assert out.versions.count() == 5  # only d is new
+    log = {r["endpoint_id"]: r for r in out.log.collect()}
+    assert (log[1]["created"], log[1]["changed"], log[1]["reopened"], log[2]["closed"]) == (1, 1, 1, 0)
+
+
+def test_history(spark):
+    f = spark.createDataFrame([(1, 7, 50, True, 10), (2, 7, 0, True, 20), (3, 7, 0, True, 30)], "id long, endpoint_id long, seen long, complete boolean, finished_us long")
+    assert [r["suspicious_zero"] for r in history.prior_average(f, 20).orderBy("id").collect()] == [False, True, True]
+
+
+def test_rules(spark):
+    p = rules.Policy(titles=("data engineer",), low_seniority=("junior",), excluded_regions=("canada",), included_regions=("united states",))
+    cases = [
+        (1, "Data Engineer", "Remote.", ["US"]), (2, "Junior Data Engineer", "Remote.", ["CA"]), (3, "Data Engineer", "Hybrid, not remote.", []),
+        (4, "Data Engineer", "Not remote. Remote possible.", []), (5, "Cook", None, None),
+    ]
+    rows = spark.createDataFrame(cases, "posting_id long, title string, description string, country_codes array<string>").select(
+        "*", F.lit(None).cast("string").alias("workplace"), ts(1).alias("published_at"), ts(1).alias("first_seen_at"), F.lit("none").alias("action"), F.lit(False).alias("company_blocked")
+    )
+    got = {r["posting_id"]: r for r in rules.evaluate(rows, p, ts(20)).collect()}
+    assert got[1]["eligible"] and [o["rule"] for o in got[1]["outcomes"]] == list(rules.RULES)
+    assert got[2]["rejections"] == ["seniority", "geography"]
+    assert got[3]["rejections"] == ["remote"] and "remote" in got[4]["unknowns"]
+    assert got[5]["rejections"] == ["title"]
+    assert rules.evaluate(rows, p, F.lit("2023-12-01").cast("timestamp")).first()["error"] == "invalid_date"
