@@ -22,10 +22,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import components, stored, table
+from .common import components, discard, stored, table
 
 WORDS, PERCENT = 5, 75
 #: Columns that are put last: at most so many of the most frequent, 8 bytes each, are sent to every task.
@@ -38,22 +39,12 @@ SALTS = 32
 MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
-class WordHashes(dict):
-    """64-bit hashes of words, remembered until a bound."""
-
-    def __missing__(self, word: bytes) -> int:
-        if len(self) > 500_000:
-            self.clear()
-        out = self[word] = int.from_bytes(hashlib.blake2b(word, digest_size=8).digest(), "little")
-        return out
-
-
-def shingles(text: str | bytes | None, hashes: WordHashes, words: int = WORDS) -> np.ndarray:
+def shingles(text: str | bytes | None, words: int = WORDS) -> np.ndarray:
     """The distinct shingles of text as sorted 64-bit hashes: of fewer words the whole sequence, of none nothing."""
     found = (text if isinstance(text, bytes) else (text or "").encode()).lower().split()  # bytes: A-Z and the six ASCII blanks alone
     if not found:
         return np.empty(0, dtype=np.int64)
-    w = np.fromiter(map(hashes.__getitem__, found), dtype=np.uint64, count=len(found))
+    w = np.fromiter(map(xxhash.xxh3_64_intdigest, found), dtype=np.uint64, count=len(found))
     n = min(words, len(w))
     out = np.full(len(w) - n + 1, n, dtype=np.uint64)
     for i in range(n):
@@ -66,9 +57,8 @@ def frequent(docs: DataFrame, words: int, text_col: str) -> np.ndarray:
     """Hashes of the most frequent shingles, MOST_FREQUENT at most, by counts over all documents."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes = WordHashes()
         for batch in batches:
-            sets = [shingles(t.as_py(), hashes, words) for t in batch.column(0)]
+            sets = [shingles(t.as_py(), words) for t in batch.column(0)]
             token, n = np.unique(np.concatenate(sets), return_counts=True) if sets else (np.empty(0, np.int64), np.empty(0, np.int64))
             often = n >= LOCALLY
             yield pa.RecordBatch.from_arrays([pa.array(token[often]), pa.array(n[often].astype(np.int64))], ["token", "n"])
@@ -97,11 +87,11 @@ def leading(docs: DataFrame, percent: int, words: int, id_col: str, text_col: st
     late = docs.sparkSession.sparkContext.broadcast(frequent(docs, words, text_col))
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes, last = WordHashes(), late.value
+        last = late.value
         for batch in batches:
             keys, sizes, cold, sets = [], [], [], []
             for t in batch.column(1):
-                s = shingles(t.as_py(), hashes, words)
+                s = shingles(t.as_py(), words)
                 n = len(s)
                 keys.append(digest(s))
                 sizes.append(n)
@@ -135,12 +125,11 @@ def candidates(docs: DataFrame, nodes: DataFrame, words: int, id_col: str, text_
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(small, pa.binary())], ["node", "text"])
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes = WordHashes()
         for batch in batches:
             bits = []
             for t in batch.column(1):
                 at = np.zeros(BITS, dtype=np.uint8)
-                at[(shingles(zlib.decompress(t.as_py()), hashes, words).view(np.uint64) >> np.uint64(20)).astype(np.int64) & (BITS - 1)] = 1
+                at[(shingles(zlib.decompress(t.as_py()), words).view(np.uint64) >> np.uint64(20)).astype(np.int64) & (BITS - 1)] = 1
                 bits.append(np.packbits(at).tobytes())
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(bits, pa.binary())], ["node", "text", "bits"])
 
@@ -155,10 +144,9 @@ def candidates(docs: DataFrame, nodes: DataFrame, words: int, id_col: str, text_
 
 def _keyed(words: int):
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes = WordHashes()
         for batch in batches:
             texts = [(t.as_py() or "").encode() for t in batch.column(1)]
-            yield pa.RecordBatch.from_arrays([pa.array([digest(shingles(t, hashes, words)) for t in texts], pa.binary()), pa.array([zlib.compress(t, 1) for t in texts], pa.binary())], ["key", "text"])
+            yield pa.RecordBatch.from_arrays([pa.array([digest(shingles(t, words)) for t in texts], pa.binary()), pa.array([zlib.compress(t, 1) for t in texts], pa.binary())], ["key", "text"])
 
     return emit
 
@@ -167,13 +155,13 @@ def verified(pairs: DataFrame, texts: DataFrame, percent: int, words: int) -> Da
     """Of the pairs (src, dst) those whose sets are similar enough, by the whole overlap."""
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes, held, two = WordHashes(), None, None
+        held, two = None, None
         for batch in batches:
             good = []
             for dst, a, b in zip(batch.column(1).to_pylist(), batch.column(2), batch.column(3), strict=True):
                 if dst != held:
-                    held, two = dst, shingles(zlib.decompress(b.as_py()), hashes, words)
-                one = shingles(zlib.decompress(a.as_py()), hashes, words)
+                    held, two = dst, shingles(zlib.decompress(b.as_py()), words)
+                one = shingles(zlib.decompress(a.as_py()), words)
                 overlap = len(np.intersect1d(one, two, assume_unique=True))
                 good.append(100 * overlap >= percent * (len(one) + len(two) - overlap))
             yield batch.select([0, 1]).filter(pa.array(good, pa.bool_()))
@@ -189,6 +177,16 @@ def needed(one, two, percent: int):
     return percent * (one + two)
 
 
+def shared_entries(rows: DataFrame) -> DataFrame:
+    """(token, node, n, at, salt, pivot) of the columns with more than one member; a frequent column is split into parts, each with its own pivot."""
+    found = Window.partitionBy("token", "salt").orderBy("n", "node", "at")
+    whole = found.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    salt = F.when(F.col("hot"), F.pmod(F.xxhash64("node"), F.lit(SALTS)) + 1).otherwise(F.lit(0)).cast("int")
+    entries = incidence(rows).select("token", "node", "n", "at", salt.alias("salt"))
+    entries = entries.select("*", F.first(F.struct("n", "node", "at")).over(whole).alias("pivot"), F.count(F.lit(1)).over(whole).alias("members"))
+    return entries.where("members > 1 or salt > 0").drop("members")
+
+
 def jaccard_classes(docs: DataFrame, percent: int = PERCENT, words: int = WORDS, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
     """(rows, links). rows: doc_id, n_shingles, component_id for each row of docs. links: verified pairs (src, dst) of nodes.
 
@@ -196,15 +194,11 @@ def jaccard_classes(docs: DataFrame, percent: int = PERCENT, words: int = WORDS,
     their component is their own id. Null text has no words. Rows without an id take part, but no component is named by
     them: one of such rows alone has none. Rows that share an id share a node.
     """
-    found = Window.partitionBy("token", "salt").orderBy("n", "node", "at")
-    whole = found.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    # a frequent column is split into parts, each with its own pivot
-    salt = F.when(F.col("hot"), F.pmod(F.xxhash64("node"), F.lit(SALTS)) + 1).otherwise(F.lit(0)).cast("int")
     rows = stored(leading(docs, percent, words, id_col, text_col), "leading")
-    entries = incidence(rows).select("token", "node", "n", "at", salt.alias("salt"))
+    shared = stored(shared_entries(rows), "entries")
+    whole, rows = rows, stored(rows.select("doc_id", "key", "n"), "profiles")
+    discard(whole)
     entry = F.struct("n", "node", "at")
-    shared = entries.select("*", F.first(entry).over(whole).alias("pivot"), F.count(F.lit(1)).over(whole).alias("members")).where("members > 1 or salt > 0")
-    shared = stored(shared.drop("members"), "entries")
 
     def bound(at, n, at2, n2):
         most = F.least(at, at2) + 1 + F.least(n - 1 - at, n2 - 1 - at2)
