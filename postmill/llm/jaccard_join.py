@@ -19,14 +19,15 @@ from __future__ import annotations
 import hashlib
 import zlib
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import components, discard, stored, table
+from .suffix_array import BACK, BASE, mixed
 
 WORDS, PERCENT = 5, 75
 #: Columns that are put last: at most so many of the most frequent, 8 bytes each, are sent to every task.
@@ -37,20 +38,51 @@ BITS, BLOCK = 1024, 2000
 #: Parts of a frequent column.
 SALTS = 32
 MIX = np.uint64(0x9E3779B97F4A7C15)
+#: Words that are hashed at once; whether a byte belongs to a word; a code for each byte, the same for A-Z and a-z.
+RUN = 1 << 16
+INK = ~np.isin(np.arange(256), list(b" \t\n\x0b\x0c\r"))
+CODES = mixed(np.arange(1, 257, dtype=np.uint64) * MIX)
+CODES[65:91] = CODES[97:123]
+
+
+@lru_cache(maxsize=4)
+def _powers(size: int) -> tuple[np.ndarray, np.ndarray]:
+    """The first powers of BASE and of its inverse."""
+    both = np.full((2, size), BASE, dtype=np.uint64)
+    both[1] = BACK
+    both[:, 0] = 1
+    return tuple(np.cumprod(both, axis=1, dtype=np.uint64))
+
+
+def word_hashes(text: bytes) -> np.ndarray:
+    """A 64-bit hash of each word, in order: differences of a running polynomial of its bytes' codes."""
+    t = np.frombuffer(text, dtype=np.uint8)
+    edges = np.flatnonzero(np.diff(INK[t], prepend=False, append=False))
+    starts, ends = edges[0::2], edges[1::2]
+    out = np.empty(len(starts), dtype=np.uint64)
+    for k in range(0, len(starts), RUN):
+        at = starts[k]
+        lo, hi = starts[k : k + RUN] - at, ends[k : k + RUN] - at
+        size = int(hi[-1])
+        power, back = _powers(max(RUN, 1 << (size - 1).bit_length()))
+        sums = np.zeros(size + 1, dtype=np.uint64)
+        np.cumsum(CODES[t[at : at + size]] * power[:size], out=sums[1:])
+        out[k : k + RUN] = mixed((sums[hi] - sums[lo]) * back[lo])
+    return out
 
 
 def shingles(text: str | bytes | None, words: int = WORDS) -> np.ndarray:
     """The distinct shingles of text as sorted 64-bit hashes: of fewer words the whole sequence, of none nothing."""
-    found = (text if isinstance(text, bytes) else (text or "").encode()).lower().split()  # bytes: A-Z and the six ASCII blanks alone
-    if not found:
+    w = word_hashes(text if isinstance(text, bytes) else (text or "").encode())
+    if not len(w):
         return np.empty(0, dtype=np.int64)
-    w = np.fromiter(map(xxhash.xxh3_64_intdigest, found), dtype=np.uint64, count=len(found))
     n = min(words, len(w))
     out = np.full(len(w) - n + 1, n, dtype=np.uint64)
     for i in range(n):
         out = (out ^ w[i : len(w) - n + 1 + i]) * MIX
         out ^= out >> np.uint64(29)
-    return np.unique(out.view(np.int64))
+    out = np.sort(out.view(np.int64))
+    return out[np.concatenate([[True], out[1:] != out[:-1]])]
 
 
 def frequent(docs: DataFrame, words: int, text_col: str) -> np.ndarray:
