@@ -8,9 +8,9 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .functions import canonical as C
-from .functions import markup
+from .functions import markup, scopes
 from .functions import tokens as T
-from .operators import history, integrity, merge, rules, runs
+from .operators import deletes, documents, history, integrity, merge, rules, runs
 from .sources import payloads
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -379,3 +379,55 @@ def eligibility_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.lit("none").alias("action"), F.lit(False).alias("company_blocked"),
     )
     return rules.evaluate(listings, rules.EXAMPLE, F.lit("2024-01-20").cast("timestamp"))
+
+
+_DECIDED = """
+with f as (select doc_id, lang, source, sha256(text) as h, case when n_chars % 7 = 0 then 304 when n_chars % 11 = 0 then 500 else 200 end as http_status, n_chars >= 500 as complete from documents),
+v as (select h, arg_min({'lang': lang, 'source': source}, doc_id) as held from f where lang <> 'en' and doc_id in (select doc_id from labels) group by h),
+u as (select *, http_status = 200 and complete as usable from f), g as (
+    select u.*, v.held, first({'lang': lang, 'source': source}) over w as owner, row_number() over w as place from u left join v using (h) window w as (partition by h, usable order by doc_id)),
+d as (select *, case when http_status = 304 then 'not_modified' when http_status <> 200 then 'failed' when not usable then 'incomplete' when held is null and place = 1 then 'inserted'
+    when coalesce(held, owner) = {'lang': lang, 'source': source} then 'unchanged' else 'provenance_conflict' end as status from g)
+select doc_id, status, status = 'inserted' and lang = 'en' and doc_id = (select min(doc_id) from d where status = 'inserted' and lang = 'en') as activates from d"""
+
+
+@query(_DECIDED)
+def document_sync(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents as fetches of sources whose language is the variant; the labelled ones in other languages are known versions."""
+    status = F.when(F.col("n_chars") % 7 == 0, 304).when(F.col("n_chars") % 11 == 0, 500).otherwise(200)
+    f = read(spark, sf_dir, "documents").select(
+        F.col("doc_id").alias("id"), F.col("lang").alias("variant"), F.col("source").alias("source_kind"), F.sha2("text", 256).alias("content_hash"),
+        status.alias("http_status"), (F.col("n_chars") >= 500).alias("complete"),
+    )
+    known = f.where("variant <> 'en'").join(read(spark, sf_dir, "labels").select(F.col("doc_id").alias("id")), "id", "left_semi")
+    known = known.groupBy("content_hash").agg(F.min_by(F.struct("variant", "source_kind"), "id").alias("held")).select("content_hash", "held.*")
+    return documents.decide(f, known, "en").select(F.col("id").alias("doc_id"), "status", "activates")
+
+
+@query("""
+with n as (select n_nationkey from nation where n_regionkey = 0), c as (select c_custkey from customer semi join n on c_nationkey = n_nationkey),
+o as (select o_orderkey from orders semi join c on o_custkey = c_custkey)
+select 'nation' as name, 'delete' as action, count(*) as n from n union all select 'customer', 'delete', count(*) from c union all select 'orders', 'delete', count(*) from o
+union all select 'supplier', 'set_null', count(*) from supplier semi join n on s_nationkey = n_nationkey
+union all select 'lineitem', 'restrict', count(*) from lineitem semi join o on l_orderkey = o_orderkey""")
+def delete_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    tables = {t: read(spark, sf_dir, t) for t in ("nation", "customer", "orders", "lineitem", "supplier")}
+    to = deletes.Reference
+    links = [
+        to("customer", "c_nationkey", "nation", "n_nationkey", "cascade"), to("orders", "o_custkey", "customer", "c_custkey", "cascade"),
+        to("lineitem", "l_orderkey", "orders", "o_orderkey", "restrict"), to("supplier", "s_nationkey", "nation", "n_nationkey", "set_null"),
+    ]
+    gone, nulls, blocked = deletes.plan(tables, links, "nation", tables["nation"].where("n_regionkey = 0"))
+    parts = [(t, "delete", d) for t, d in gone.items()] + [(r.child, r.action, d) for r, d in (nulls | blocked).items()]
+    counts = [d.agg(F.count("*").alias("n")).select(F.lit(t).alias("name"), F.lit(a).alias("action"), "n") for t, a, d in parts]
+    out = counts[0]
+    for c in counts[1:]:
+        out = out.unionByName(c)
+    return out
+
+
+@query()
+def named_scope(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lists of regions in the texts, with region names and default prefixes as a policy would give them."""
+    found = scopes.named_scopes(F.col("text"), ("us", "usa", "united states"), ("canada", "europe", "united kingdom"))
+    return read(spark, sf_dir, "documents").select("doc_id", found.alias("s")).select("doc_id", "s.included", "s.excluded")

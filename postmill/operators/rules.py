@@ -9,10 +9,13 @@ from __future__ import annotations
 import hashlib
 import json
 from dataclasses import asdict, dataclass, field
+from functools import reduce
+from operator import or_
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import scopes
 from ..functions import tokens as T
 from . import runs
 
@@ -32,6 +35,8 @@ class Policy:
     remote_denied: tuple[str, ...] = ("not remote", "no remote")
     included_regions: tuple[str, ...] = ()
     excluded_regions: tuple[str, ...] = ()
+    named_inside: tuple[str, ...] = ()
+    named_outside: tuple[str, ...] = ()
     included_codes: tuple[str, ...] = ("US",)
     clearance: tuple[str, ...] = ("security clearance",)
     clearance_waived: tuple[str, ...] = ("no security clearance",)
@@ -60,10 +65,16 @@ def remote_rule(words: Column, workplace: Column, p: Policy) -> Column:
     )
 
 
-def geography_rule(words: Column, codes: Column, remote: Column, p: Policy) -> Column:
-    """Rejects only where the remote rule passed: an exclusion, or codes none of which is included, with nothing that includes."""
-    inside = F.exists(codes, lambda c: c.isin(*p.included_codes)) | T.any_phrase(words, p.included_regions)
+def geography_rule(words: Column, fields: tuple[Column, ...], codes: Column, remote: Column, p: Policy) -> Column:
+    """Rejects only where the remote rule passed: an exclusion, or codes none of which is included, with nothing that includes.
+
+    Lists of named regions count for each field; over all fields an inclusion outweighs the lists that name others only.
+    """
+    named = [scopes.named_scopes(f, p.named_inside, p.named_outside) for f in fields]
+    listed = reduce(or_, [n["included"] for n in named])
+    inside = F.exists(codes, lambda c: c.isin(*p.included_codes)) | T.any_phrase(words, p.included_regions) | listed
     outside = F.exists(codes, lambda c: c.rlike("^[A-Z]{2}$") & ~c.isin(*p.included_codes)) | T.any_phrase(words, p.excluded_regions)
+    outside = outside | (reduce(or_, [n["excluded"] for n in named]) & ~listed)
     return F.when(inside & outside, "unknown").when(inside, "pass").when(outside & (remote == "pass"), "reject").otherwise("unknown")
 
 
@@ -94,7 +105,7 @@ def evaluate(listings: DataFrame, policy: Policy, as_of: Column) -> DataFrame:
     found = {
         "title": verdict(~T.any_phrase(title, policy.titles)), "seniority": verdict(F.arrays_overlap(title, F.array(*map(F.lit, policy.low_seniority)).cast("array<string>"))),
         "discipline": verdict(T.any_phrase(title, policy.wrong_disciplines) | pairs), "remote": F.col("remote"),
-        "geography": geography_rule(words, F.coalesce("country_codes", F.array().cast("array<string>")), F.col("remote"), policy), "clearance": clearance_rule(words, policy),
+        "geography": geography_rule(words, (F.col("title"), F.col("description")), F.coalesce("country_codes", F.array().cast("array<string>")), F.col("remote"), policy), "clearance": clearance_rule(words, policy),
         "stale": age, "actioned": verdict(F.coalesce(F.col("action") != "none", F.lit(False))), "company": verdict(F.coalesce("company_blocked", F.lit(False))),
     }
     t = t.select("posting_id", F.array(*[F.struct(F.lit(r).alias("rule"), found[r].alias("status")) for r in RULES]).alias("outcomes"))

@@ -3,7 +3,8 @@ from pyspark.sql import functions as F
 from postmill.functions import canonical as C
 from postmill.functions import tokens as T
 from postmill.functions.markup import markdown
-from postmill.operators import history, merge, rules
+from postmill.functions.scopes import named_scopes
+from postmill.operators import deletes, documents, history, merge, rules
 
 
 def one(spark, text, column):
@@ -76,3 +77,56 @@ def test_rules(spark):
     assert got[3]["rejections"] == ["remote"] and "remote" in got[4]["unknowns"]
     assert got[5]["rejections"] == ["title"]
     assert rules.evaluate(rows, p, F.lit("2023-12-01").cast("timestamp")).first()["error"] == "invalid_date"
+
+
+def test_named_scopes(spark):
+    def found(text):
+        return tuple(one(spark, text, lambda t: named_scopes(t, ("us", "united states"), ("canada", "united kingdom"))))
+
+    assert found("Remote in Canada.") == (False, True)
+    assert found("Remote in the moon") == (False, False)
+    assert found("Candidates must be based in United States, Canada or United Kingdom. More") == (True, False)
+    assert found("Remote in Canada, and US") == (True, False)
+    assert found("Remote in Canada and elsewhere") == (False, False)  # an unknown item voids the list
+    assert found("Remote in Canada today") == (False, False)
+    assert found("Remote. In Canada") == (False, False)  # the prefix crosses a segment
+    assert found("Remote in Canada and. Then") == (False, True)
+    assert found("remote in canada ------------ us") == (False, False)
+    assert found(None) == found("") == (False, False)
+    assert found("-" * 200_000) == (False, False)
+
+
+def test_document_sync(spark):
+    kinds = "id long, variant string, source_kind string, source_url string, http_status int, complete boolean, content_hash string, raw_sha256 string, etag string, last_modified string"
+    fetches = spark.createDataFrame(
+        [
+            (1, "base", "web", "a", 200, True, "new", "r1", None, "m1"), (2, "base", "web", "b", 200, True, "new", "r2", "e2", None), (3, "other", "web", "c", 200, True, "new", "r3", None, None),
+            (4, "other", "web", "d", 304, True, None, None, "e4", None), (5, "other", "web", "e", 200, False, "x", "r5", None, None), (6, "other", None, "f", 200, True, "old", "r6", None, None),
+            (7, "base", "web", "g", None, None, None, None, None, None), (8, "base", "web", "h", 200, True, "more", "r8", None, None),
+        ],
+        kinds,
+    )
+    versions = spark.createDataFrame([("old", "other", None, True)], "content_hash string, variant string, source_kind string, active boolean")
+    state = spark.createDataFrame(
+        [("base", "web", "a", "r1", "e1", None), ("other", "web", "d", "r4", "e0", "m4"), ("other", "web", "e", "r0", "e5", None)],
+        "variant string, source_kind string, source_url string, raw_sha256 string, etag string, last_modified string",
+    )
+    out = documents.sync(fetches, versions, state)
+    got = {r["id"]: r for r in out.decisions.collect()}
+    assert [got[i]["status"] for i in range(1, 9)] == ["inserted", "unchanged", "provenance_conflict", "not_modified", "incomplete", "unchanged", "failed", "inserted"]
+    assert [i for i in got if got[i]["activates"]] == [1] and not got[1]["raw_changed"] and got[2]["raw_changed"]
+    after = {r["source_url"]: (r["raw_sha256"], r["etag"], r["last_modified"]) for r in out.state.collect()}
+    assert after == {"a": ("r1", None, "m1"), "b": ("r2", "e2", None), "d": ("r4", "e4", "m4"), "e": ("r0", "e5", None), "f": ("r6", None, None), "h": ("r8", None, None)}
+    assert {(r["content_hash"], r["active"]) for r in out.versions.collect()} == {("old", True), ("new", True), ("more", False)}
+    again = documents.decide(fetches, out.versions.where("content_hash = 'more'"))  # an inactive base version blocks activation
+    assert not again.where("activates").count()
+
+
+def test_delete_plan(spark):
+    t = {n: spark.createDataFrame(r, c) for n, r, c in (("a", [(1,), (2,)], "k long"), ("b", [(1, 1), (2, 2), (3, None)], "k long, a long"), ("c", [(9, 1, 1), (8, 2, 2)], "k long, b long, a long"), ("d", [(5, 9), (6, 8)], "k long, c long"))}
+    to = deletes.Reference
+    links = [to("c", "a", "a", "k", "cascade"), to("b", "a", "a", "k", "cascade"), to("c", "b", "b", "k", "restrict"), to("d", "c", "c", "k", "set_null")]
+    gone, nulls, blocked = deletes.plan(t, links, "a", t["a"].where("k = 1"))
+    assert {n: [r["k"] for r in d.collect()] for n, d in gone.items()} == {"a": [1], "b": [1], "c": [9]}
+    assert [r["k"] for r in nulls[links[3]].collect()] == [5]
+    assert blocked[links[2]].count() == 0  # the row that refers goes by a cascade of its own
