@@ -78,25 +78,29 @@ def assign(lengths: list[int], capacity: int = CAPACITY) -> list[tuple[int, int,
     room = [capacity] * count
     if count:
         room[-1] -= count * capacity - total  # the only padding: the last sequence is that much shorter
-    order = [(0.0, s) for s in range(count)]
-    heapq.heapify(order)
-    left = []
+    # lengths only fall, so a sequence with room for one document has room for all later ones until it takes one:
+    # `order` holds exactly the sequences with room, the others wait by their room until the length has come down to it
+    waiting: list[list[tuple[float, int]]] = [[] for _ in range(capacity + 1)]
+    for s in range(count):
+        waiting[room[s]].append((0.0, s))
+    order: list[tuple[float, int]] = []
+    bound, left = capacity + 1, []
     for n, d, start in rest:
-        passed, found = [], False
-        while order and len(passed) < 64:  # sequences too full for this document; the rest of the heap costs more
-            c, s = heapq.heappop(order)
-            if room[s] >= n:
-                out.append((d, start, n, used + s))
-                room[s] -= n
-                if room[s]:
-                    heapq.heappush(order, (c + cost(n), s))
-                found = True
-                break
-            passed.append((c, s))
-        for x in passed:
-            heapq.heappush(order, x)
-        if not found:
+        while bound > n:
+            bound -= 1
+            for x in waiting[bound]:
+                heapq.heappush(order, x)
+            waiting[bound] = []
+        if not order:
             left.append((n, d, start))
+            continue
+        c, s = heapq.heappop(order)
+        out.append((d, start, n, used + s))
+        room[s] -= n
+        if room[s] >= n:
+            heapq.heappush(order, (c + cost(n), s))
+        elif room[s]:
+            waiting[room[s]].append((c + cost(n), s))
     open_ = sorted((s for s in range(count) if room[s]), key=lambda s: (room[s], -s))
     for n, d, start in left:
         while n:

@@ -212,6 +212,22 @@ def test_packing(spark, rows):
     assert packing.pack(rows.limit(0)).count() == 0
 
 
+def test_packing_takes_the_cheapest_sequence_with_room():
+    lengths = [880] * 50 + [450] * 400 + [130] * 50 + [100] * 255  # 200 sequences of 450 + 450 cost less than those of 880
+    pieces = packing.assign(lengths)
+    assert all(sum(p[0] == d for p in pieces) == 1 for d in range(450, 500))
+    lengths = [int(n) for n in np.random.default_rng(3).integers(1, 700, 1500)]
+    count = -(-sum(lengths) // 1024)
+    room, spent, whole = [1024] * count, [0.0] * count, {}
+    room[-1] -= count * 1024 - sum(lengths)
+    for d in sorted(range(len(lengths)), key=lambda d: (-lengths[d], d)):
+        if fits := [s for s in range(count) if room[s] >= lengths[d]]:
+            s = whole[d] = min(fits, key=lambda s: (spent[s], s))
+            room[s], spent[s] = room[s] - lengths[d], spent[s] + packing.cost(lengths[d])
+    pieces = packing.assign(lengths)
+    assert {d: s for d, _, n, s in pieces if n == lengths[d]} == whole and sum(p[2] for p in pieces) == sum(lengths)
+
+
 def test_toxicity(spark):
     texts = [("you are an idiotic fool " if i % 2 else "a quiet day in the garden ") + f"word{i}" for i in range(400)]
     d = docs(spark, [*texts, None, ""])
