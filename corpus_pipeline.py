@@ -16,10 +16,10 @@ COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the base rules and the learned decision list keep. Ids tell rows apart."""
+    """Documents that the base rules and the learned decision list keep, each row by its own verdict; ids may be null or repeated."""
     rules = quality_rules.learn_rules(quality_rules.labelled_statistics(docs, table(spark, sf_dir, "labels")))
-    kept = quality_rules.judge(docs, rules).where("kept").select("doc_id").distinct()
-    return docs.join(kept, "doc_id", "left_semi").select(*COLUMNS)
+    rows = docs.select(F.struct(*COLUMNS).alias("record"), "text")
+    return quality_rules.judge(rows, rules, "record").where("kept").select("doc_id.*")
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -29,10 +29,26 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates, the one of least id."""
-    classes, _ = jaccard_join.jaccard_classes(docs)
-    kept = classes.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select("doc_id").distinct()
-    return docs.join(kept, "doc_id", "left_semi").select(*COLUMNS)
+    """One row of each group of near duplicates, the one of least id, null ids last; rows without words all stay.
+
+    Rows whose id is null or repeated are told apart by a 63-bit hash of all their columns, so texts that only share an id
+    are no duplicates. Rows that agree in all columns are copies, of which one stays.
+    """
+    repeated = docs.where("doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1")
+    repeated = stored(repeated.select(F.col("doc_id").alias("again")), "repeated-ids")
+    # the null flags keep a value of one column from standing for that of the next
+    whole = F.xxhash64(*[x for c in COLUMNS for x in (F.col(c).isNull(), F.col(c))]).bitwiseAND(F.lit((1 << 63) - 1))
+    own = F.when(F.col("doc_id").isNotNull() & F.col("again").isNull(), F.col("doc_id")).otherwise(whole)
+    rows = docs.join(repeated, F.col("doc_id") == F.col("again"), "left").select(*COLUMNS, own.alias("row"))
+    classes, _ = jaccard_join.jaccard_classes(rows, id_col="row")
+    classes = classes.groupBy(F.col("doc_id").alias("row")).agg(F.first("n_shingles").alias("n"), F.first("component_id").alias("component"), F.count("*").alias("copies"))
+    ids = rows.select("row", "doc_id").groupBy("row").agg(F.first("doc_id").alias("doc_id"))
+    classes = stored(classes.join(ids, "row"), "classes")
+    least = classes.where("n > 0").groupBy("component").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "row")).alias("least"))
+    kept = classes.join(least.select(F.col("least.row").alias("row"), F.lit(True).alias("first")), "row", "left").where("n = 0 or first")
+    kept = stored(kept.select("row", ((F.col("n") > 0) & (F.col("copies") > 1)).alias("once")), "kept")
+    found = rows.join(kept, "row")
+    return found.where("not once").select(*COLUMNS).unionByName(found.where("once").dropDuplicates(["row"]).select(*COLUMNS))
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

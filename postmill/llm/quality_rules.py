@@ -193,10 +193,13 @@ def verdict(rules: list[Rule]) -> Column:
     return out.otherwise(F.lit(0)) if rules else F.lit(0)
 
 
-def judge(docs: DataFrame, rules: list[Rule]) -> DataFrame:
-    """Counts, base_failed, rule (0: none, else its place in the list) and kept for every row of docs."""
+def judge(docs: DataFrame, rules: list[Rule], id_col: str = "doc_id") -> DataFrame:
+    """Counts, base_failed, rule (0: none, else its place in the list) and kept for every row of docs.
+
+    id_col may be a struct: it comes back as it is, so a caller can have whole rows with their own verdicts.
+    """
     used = {c.statistic for r in rules for c in r}
-    judged = with_statistics(docs, tuple(s for s in STATISTICS if s in used)).withColumn("rule", verdict(rules))
+    judged = with_statistics(docs, tuple(s for s in STATISTICS if s in used), id_col).withColumn("rule", verdict(rules))
     return judged.select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed",
         (~F.col("base_failed") & (F.col("rule") == 0)).alias("kept"), "rule",
