@@ -2,21 +2,34 @@
 
 from __future__ import annotations
 
+import re
+import sys
 import unicodedata
+from functools import cache
 
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType
+from pyspark.sql.types import ArrayType, StringType
 
 #: White space as Unicode text functions see it: Java's Unicode class and the four separators that it leaves out.
 SPACES = r"(?U)[\s\x1c-\x1f]+"
 
 
+def _composed(x: str | None) -> str | None:
+    return x if x is None or x.isascii() else unicodedata.normalize("NFKC", x)
+
+
 @F.pandas_udf(StringType())
 def nfkc(text: pd.Series) -> pd.Series:
     """Compatibility composition; Spark has no such function."""
-    return text.map(lambda x: x if x is None or x.isascii() else unicodedata.normalize("NFKC", x))
+    return text.map(_composed)
+
+
+@F.pandas_udf(ArrayType(StringType()))
+def nfkc_all(texts: pd.Series) -> pd.Series:
+    """nfkc() of each element: the lambdas of Spark's array functions can't call Python."""
+    return texts.map(lambda xs: None if xs is None else [_composed(x) for x in xs])
 
 
 @F.pandas_udf(StringType())
@@ -24,21 +37,25 @@ def casefold(text: pd.Series) -> pd.Series:
     return text.map(lambda x: None if x is None else x.casefold())
 
 
-def inline(text: Column) -> Column:
-    """One line: runs of white space become one space, none at the ends. Apply nfkc() first where text isn't known to be composed."""
+def _one_line(text: Column) -> Column:
     return F.btrim(F.regexp_replace(text, SPACES, " "))
 
 
+def inline(text: Column) -> Column:
+    """One composed line: runs of white space become one space, none at the ends."""
+    return _one_line(nfkc(text))
+
+
 def description(text: Column) -> Column:
-    """Block text: LF line ends, no blanks at line ends, no empty lines at the edges, two empty lines in a row at most."""
+    """Composed block text: LF line ends, no blanks at line ends, no empty lines at the edges, two empty lines in a row at most."""
     lf = F.regexp_replace(text, r"\r\n?", "\n")
-    bare = F.regexp_replace(lf, r"(?m)[ \t]+$", "")
+    bare = F.regexp_replace(nfkc(lf), r"(?md)[ \t]+$", "")  # d: LF alone ends a line
     return F.regexp_replace(F.btrim(bare, F.lit("\n")), r"\n{4,}", "\n\n\n")
 
 
 def title_norm(text: Column) -> Column:
-    """Folded title; exact for text whose only fold beyond lower case is the sharp s. casefold() is exact for all."""
-    return F.replace(F.lower(inline(text)), F.lit("ß"), F.lit("ss"))
+    """Folded title."""
+    return casefold(inline(text))
 
 
 def canonical_json(**fields: Column) -> Column:
@@ -48,20 +65,53 @@ def canonical_json(**fields: Column) -> Column:
 
 def locations(labels: Column) -> Column:
     """Distinct non-blank places in code point order."""
-    return F.array_sort(F.array_distinct(F.filter(F.transform(labels, inline), lambda x: x != "")))
+    return F.array_sort(F.array_distinct(F.filter(F.transform(nfkc_all(labels), _one_line), lambda x: x != "")))
 
 
 def content_hash(title: Column, text: Column, places: Column) -> Column:
-    return F.sha2(canonical_json(description_md=text, locations=places, title=title), 256)
+    return F.sha2(canonical_json(description_md=description(text), locations=places, title=inline(title)), 256)
+
+
+@cache
+def _deleted() -> dict[int, None]:
+    """Control and format characters, all but tab and LF."""
+    return {c: None for c in range(sys.maxunicode + 1) if unicodedata.category(chr(c)) in ("Cc", "Cf") and chr(c) not in "\t\n"}
+
+
+_BLANKS, _MARK, _NUMBER = re.compile(r"[^\S\n]+"), re.compile(r"[-*+•·–—] (?=\S)"), re.compile(r"(\d+)[.)] (?=\S)")
+
+
+def _markdown(text: str | None) -> str | None:
+    if text is None:
+        return None
+    t = _composed(text.replace("\r\n", "\n").replace("\r", "\n"))
+    blocks: list[list[str]] = []  # the lines that make up each output line; an empty one for a blank line
+    for line in _BLANKS.sub(" ", t.translate(_deleted())).split("\n"):
+        line = line.strip(" ")
+        if not line:
+            if blocks and blocks[-1]:
+                blocks.append([])
+            continue
+        mark, number = _MARK.match(line), _NUMBER.match(line)
+        if mark:
+            line = "- " + line[mark.end() :]
+        elif number:
+            line = f"{number[1]}. {line[number.end() :]}"
+        if mark or number or not blocks or not blocks[-1] or blocks[-1][-1].endswith((".", ":", ";", "?", "!")):
+            blocks.append([line])
+        else:
+            blocks[-1].append(line)
+    if blocks and not blocks[-1]:
+        blocks.pop()
+    return "\n".join(map(" ".join, blocks)) + "\n"
 
 
-def markdown_lines(text: Column) -> Column:
-    """Plain Markdown of extracted pages: list marks unified, blank runs single, one LF at the end."""
-    t = F.regexp_replace(F.regexp_replace(text, r"\r\n?", "\n"), r"[ \t]+", " ")
-    t = F.regexp_replace(t, r"(?m)^ | $", "")
-    t = F.regexp_replace(t, r"(?m)^[-*+•·–—] +", "- ")
-    t = F.regexp_replace(t, r"(?m)^(\d+)[.)] +", "$1. ")
-    return F.concat(F.btrim(F.regexp_replace(t, r"\n{3,}", "\n\n"), F.lit("\n")), F.lit("\n"))
+@F.pandas_udf(StringType())
+def markdown_lines(text: pd.Series) -> pd.Series:
+    """Composed plain Markdown of extracted pages, one LF at the end: no control or format characters, white space runs and
+    blank runs single, list marks unified, and a wrapped line joined to the one before unless that ends a sentence or the
+    line is a list item."""
+    return text.map(_markdown)
 
 
 def rfc3339(ts: Column) -> Column:

@@ -23,6 +23,26 @@ def test_inline_and_folding(spark):
     assert one(spark, "Straße", C.casefold) == "strasse"
 
 
+def test_canonical_text_is_composed(spark):
+    assert one(spark, "\u00a0ﬁx\u2003Å\u00a0", C.inline) == "fix Å"
+    assert one(spark, "ﬁ \u2028b\u00a0\nc", C.description) == "fi \u2028b\nc"
+    assert one(spark, "ＳＴＲＡＳＳＥ ΣΑΣ", C.title_norm) == "strasse σασ"
+    assert one(spark, "x", lambda t: C.locations(F.array(F.lit("Ｂ"), F.lit("B\u00a0"), F.lit(None).cast("string"), F.lit(" "), t))) == ["B", "x"]
+    same = lambda title: one(spark, title, lambda t: C.content_hash(t, t, C.locations(F.array(t))))
+    assert same("ﬁx\u00a0") == same("fix")
+
+
+def test_markdown_lines(spark):
+    cases = {
+        None: None, "": "\n", "\n \n": "\n", "a\nb": "a b\n", "a.\nb": "a.\nb\n", "a\n\n\n\nb\n": "a\n\nb\n", "one\r\ntwo\rthree": "one two three\n",
+        "so\u00adft \u200bzero\ufeff\x00": "soft zero\n", "a\u00a0\u2003\u3000\tb\u2028c": "a b c\n", "ﬁn Ａ…\nx": "fin A...\nx\n", "a\x0bb\x1cc\x85d": "abcd\n",
+        "• a\nb\n– c\n·d\n2) e": "- a b\n- c ·d\n2. e\n", "-\n- \nx": "- - x\n", "* - a": "- - a\n", "\u200b\na\n\u00ad\nb": "a\n\nb\n", "wrap-\nped:\n3.x\n3. x": "wrap- ped:\n3.x\n3. x\n",
+        "٣) x\ny;\nz": "٣. x y;\nz\n",
+    }
+    for text, want in cases.items():
+        assert one(spark, text, C.markdown_lines) == want, text
+
+
 def test_tokens_and_segments(spark):
     assert one(spark, "Don't stop. Now", T.tokens) == ["dont", "stop", "now"]
     assert one(spark, "a. b!\n\nc", lambda t: F.size(T.segments(t))) == 3
