@@ -21,6 +21,13 @@ def prefixes() -> tuple[str, ...]:
     return (*(f"remote {w}" for w in (*near, "across", "throughout")), *(f"{a} {w}" for a, w in product([*opened, *asked], near)))
 
 
+def broad_prefixes() -> tuple[str, ...]:
+    """The phrases that a broad region may follow, by rule; those that begin with `remote` come first."""
+    jobs, who = ("role", "position", "job"), ("candidates", "applicants")
+    placed = [f"{w} {may} {what}" for w, may, what in product(who, ("may", "can", "must"), ("be located", "be based", "reside", "apply"))]
+    return ("remote", *(f"remote {j}" for j in jobs), *(f"this {j} is remote" for j in jobs), *(f"{how} to {w}" for how, w in product(("open", "available"), who)), *placed)
+
+
 def marked(text: Column) -> Column:
     """Lower-case tokens with one mark between: a blank, or the kind of gap among , ; / | and . for the end of a segment."""
     t = F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), r"(?<=[\p{L}\p{N}])'(?=[\p{L}\p{N}])", "")
@@ -36,6 +43,13 @@ def _words(phrases: tuple[str, ...]) -> str:
     return "(?:" + "|".join(GAP.join(map(re.escape, p.split())) for p in longest_first) + ")"
 
 
+def broad_scope(text: Column, broad: tuple[str, ...], after: tuple[str, ...] | None = None) -> Column:
+    """True if a broad region follows one of the prefixes, with one connector between or none, all in one segment."""
+    if not broad:
+        return F.lit(False)
+    return marked(text).rlike(rf"(?:^| ){_words(after or broad_prefixes())}(?:{GAP}(?:in|within|across|throughout|from))?{GAP}{_words(broad)}(?: |$)")
+
+
 def named_scopes(text: Column, inside: tuple[str, ...], outside: tuple[str, ...], after: tuple[str, ...] | None = None) -> Column:
     """struct(included, excluded): whether a list names a region of `inside`; whether lists name only regions of `outside`.
 

@@ -35,6 +35,7 @@ class Policy:
     remote_denied: tuple[str, ...] = ("not remote", "no remote")
     included_regions: tuple[str, ...] = ()
     excluded_regions: tuple[str, ...] = ()
+    broad: tuple[str, ...] = ()
     named_inside: tuple[str, ...] = ()
     named_outside: tuple[str, ...] = ()
     included_codes: tuple[str, ...] = ("US",)
@@ -51,39 +52,53 @@ class Policy:
 EXAMPLE = Policy(titles=("the", "of"), low_seniority=("a",), wrong_disciplines=("of of",), remote=("with",), not_remote=("that that",), clearance=("and the",), clearance_waived=("and the the",))
 
 
-def remote_rule(words: Column, workplace: Column, p: Policy) -> Column:
-    """The first that holds: attendance rejects; a denial beside an independent positive is unknown; a denial rejects; a positive passes; else unknown."""
+def any_field(fields: tuple[Column, ...], phrases: tuple[str, ...]) -> Column:
+    """True if one field holds one of the phrases; a phrase never reaches from one field into the next."""
+    return reduce(or_, [T.any_phrase(f, phrases) for f in fields])
+
+
+def independent(fields: tuple[Column, ...], phrases: tuple[str, ...], longer: tuple[str, ...]) -> Column:
+    """True if one field holds one of the phrases at a place that no longer phrase of that field contains."""
+    return reduce(or_, [F.size(T.unsuppressed(f, p, longer)) > 0 for f in fields for p in phrases], F.lit(False))
+
+
+def scoped_remote(texts: tuple[Column, ...], p: Policy) -> Column:
+    """True if a broad region or a list of named ones follows `remote`."""
+    broad = [scopes.broad_scope(t, p.broad, tuple(x for x in scopes.broad_prefixes() if x.startswith("remote"))) for t in texts]
+    named = [scopes.named_scopes(t, p.named_inside, p.named_outside, tuple(x for x in scopes.prefixes() if x.startswith("remote"))) for t in texts]
+    return reduce(or_, [*broad, *(n["included"] | n["excluded"] for n in named)])
+
+
+def remote_rule(fields: tuple[Column, ...], texts: tuple[Column, ...], workplace: Column, p: Policy) -> Column:
+    """The first that holds: attendance rejects; a denial beside an independent positive is unknown; a denial rejects; a positive or a scoped remote passes; else unknown."""
     place = F.lower(F.coalesce(workplace, F.lit("")))
-    denied = T.any_phrase(words, p.remote_denied)
+    denied = any_field(fields, p.remote_denied)
     # a positive inside a denial is no positive of its own
-    positive = F.lit(False)
-    for r in p.remote:
-        positive = positive | (F.size(T.unsuppressed(words, r, p.remote_denied)) > 0)
+    positive = independent(fields, p.remote, p.remote_denied)
     return (
-        F.when(place.isin("hybrid", "on-site", "onsite") | T.any_phrase(words, p.not_remote), "reject").when(denied & (positive | (place == "remote")), "unknown")
-        .when(denied, "reject").when(positive | (place == "remote"), "pass").otherwise("unknown")
+        F.when(place.isin("hybrid", "on-site", "onsite") | any_field(fields, p.not_remote), "reject").when(denied & (positive | (place == "remote")), "unknown")
+        .when(denied, "reject").when(positive | (place == "remote") | scoped_remote(texts, p), "pass").otherwise("unknown")
     )
 
 
-def geography_rule(words: Column, fields: tuple[Column, ...], codes: Column, remote: Column, p: Policy) -> Column:
+def geography_rule(fields: tuple[Column, ...], texts: tuple[Column, ...], codes: Column, remote: Column, p: Policy) -> Column:
     """Rejects only where the remote rule passed: an exclusion, or codes none of which is included, with nothing that includes.
 
-    Lists of named regions count for each field; over all fields an inclusion outweighs the lists that name others only.
+    A broad scope passes unless a phrase excludes, whatever the codes. An inclusion inside an exclusion is none. Scopes
+    count for each field; over all fields an inclusion outweighs the lists that name others only.
     """
-    named = [scopes.named_scopes(f, p.named_inside, p.named_outside) for f in fields]
+    named = [scopes.named_scopes(t, p.named_inside, p.named_outside) for t in texts]
     listed = reduce(or_, [n["included"] for n in named])
-    inside = F.exists(codes, lambda c: c.isin(*p.included_codes)) | T.any_phrase(words, p.included_regions) | listed
-    outside = F.exists(codes, lambda c: c.rlike("^[A-Z]{2}$") & ~c.isin(*p.included_codes)) | T.any_phrase(words, p.excluded_regions)
-    outside = outside | (reduce(or_, [n["excluded"] for n in named]) & ~listed)
-    return F.when(inside & outside, "unknown").when(inside, "pass").when(outside & (remote == "pass"), "reject").otherwise("unknown")
+    broad = reduce(or_, [scopes.broad_scope(t, p.broad) for t in texts])
+    inside = F.exists(codes, lambda c: c.isin(*p.included_codes)) | independent(fields, p.included_regions, p.excluded_regions) | listed
+    excluded = any_field(fields, p.excluded_regions)
+    outside = excluded | F.exists(codes, lambda c: c.rlike("^[A-Z]{2}$") & ~c.isin(*p.included_codes)) | (reduce(or_, [n["excluded"] for n in named]) & ~listed)
+    return F.when(inside & outside, "unknown").when(inside | (broad & ~excluded), "pass").when(outside & (remote == "pass"), "reject").otherwise("unknown")
 
 
-def clearance_rule(words: Column, p: Policy) -> Column:
+def clearance_rule(fields: tuple[Column, ...], p: Policy) -> Column:
     """An obligation rejects, one beside a waiver is unknown; what a waiver contains is no obligation."""
-    must = F.lit(False)
-    for c in p.clearance:
-        must = must | (F.size(T.unsuppressed(words, c, p.clearance_waived)) > 0)
-    waived = T.any_phrase(words, p.clearance_waived)
+    must, waived = independent(fields, p.clearance, p.clearance_waived), any_field(fields, p.clearance_waived)
     return F.when(must & waived, "unknown").when(must, "reject").when(waived, "pass").otherwise("unknown")
 
 
@@ -94,18 +109,18 @@ def evaluate(listings: DataFrame, policy: Policy, as_of: Column) -> DataFrame:
     company_blocked. A date after as_of is an invalid input: `error` says so and eligible is null.
     """
     t = listings.withColumn("title_words", T.tokens(F.coalesce("title", F.lit(""))))
-    t = t.withColumn("words", F.concat("title_words", T.tokens(F.coalesce("description", F.lit("")))))
-    title, words = F.col("title_words"), F.col("words")
+    t = t.withColumn("text_words", T.tokens(F.coalesce("description", F.lit(""))))
+    title, fields, texts = F.col("title_words"), (F.col("title_words"), F.col("text_words")), (F.col("title"), F.col("description"))
     verdict = lambda bad, good="pass": F.when(bad, "reject").otherwise(good)
     pairs = F.lit(False)
     for a, b in policy.discipline_pairs:
         pairs = pairs | T.same_segment(F.coalesce("description", F.lit("")), a, b)
-    t = t.withColumn("remote", remote_rule(words, F.col("workplace"), policy))
+    t = t.withColumn("remote", remote_rule(fields, texts, F.col("workplace"), policy))
     age = runs.staleness(F.col("published_at"), F.col("first_seen_at"), as_of, policy.max_age_days)
     found = {
         "title": verdict(~T.any_phrase(title, policy.titles)), "seniority": verdict(F.arrays_overlap(title, F.array(*map(F.lit, policy.low_seniority)).cast("array<string>"))),
         "discipline": verdict(T.any_phrase(title, policy.wrong_disciplines) | pairs), "remote": F.col("remote"),
-        "geography": geography_rule(words, (F.col("title"), F.col("description")), F.coalesce("country_codes", F.array().cast("array<string>")), F.col("remote"), policy), "clearance": clearance_rule(words, policy),
+        "geography": geography_rule(fields, texts, F.coalesce("country_codes", F.array().cast("array<string>")), F.col("remote"), policy), "clearance": clearance_rule(fields, policy),
         "stale": age, "actioned": verdict(F.coalesce(F.col("action") != "none", F.lit(False))), "company": verdict(F.coalesce("company_blocked", F.lit(False))),
     }
     t = t.select("posting_id", F.array(*[F.struct(F.lit(r).alias("rule"), found[r].alias("status")) for r in RULES]).alias("outcomes"))

@@ -3,7 +3,7 @@ from pyspark.sql import functions as F
 from postmill.functions import canonical as C
 from postmill.functions import tokens as T
 from postmill.functions.markup import markdown
-from postmill.functions.scopes import named_scopes
+from postmill.functions.scopes import broad_prefixes, broad_scope, named_scopes
 from postmill.operators import deletes, documents, history, merge, rules
 
 
@@ -116,6 +116,36 @@ def test_named_scopes(spark):
     assert found("-" * 200_000) == (False, False)
 
 
+def test_broad_scopes(spark):
+    def found(text, *after):
+        return one(spark, text, lambda t: broad_scope(t, ("worldwide", "north america"), after or None))
+
+    assert len(set(broad_prefixes())) == 35
+    assert found("Open to candidates worldwide.") and found("Remote (North America)") and found("This job is remote, from\nnorth america!") and found("Remote role across worldwide")
+    assert not found("Remote. Worldwide") and not found("Remote in all of north america") and not found("Remote in north. America") and not found("worldwide remote") and not found(None)
+    assert not found("Open to candidates worldwide", "remote", "remote role") and found("remote role worldwide", "remote", "remote role")
+
+
+def test_rules_by_scope_and_field(spark):
+    p = rules.Policy(
+        titles=("engineer",), remote=("fully remote",), included_regions=("united states",), excluded_regions=("outside united states", "no united states"),
+        broad=("worldwide",), named_inside=("us",), named_outside=("canada",),
+    )
+    cases = [
+        (1, "Engineer", "Fully remote. Open to candidates worldwide.", ["CA"], "pass", "pass"), (2, "Engineer", "Remote, worldwide", ["CA"], "pass", "pass"),
+        (3, "Engineer", "Remote in Canada", [], "pass", "reject"), (4, "Engineer", "Remote in US", [], "pass", "pass"), (5, "Engineer", "Remote", ["CA"], "unknown", "unknown"),
+        (6, "Engineer", "Fully remote, outside United States", [], "pass", "reject"), (7, "Engineer", "Fully remote worldwide, no United States", [], "pass", "reject"),
+        (8, "Engineer fully", "remote work", [], "unknown", "unknown"), (9, "Engineer, no security", "clearance", [], "unknown", "unknown"), (10, None, None, None, "unknown", "unknown"),
+        (11, "Engineer", "Not remote. Remote worldwide", ["CA"], "reject", "pass"), (12, "Engineer outside United States", "Fully remote in the United States", [], "pass", "unknown"),
+    ]
+    rows = spark.createDataFrame([c[:4] for c in cases], "posting_id long, title string, description string, country_codes array<string>").select(
+        "*", F.lit(None).cast("string").alias("workplace"), ts(1).alias("published_at"), ts(1).alias("first_seen_at"), F.lit("none").alias("action"), F.lit(False).alias("company_blocked")
+    )
+    got = {r["posting_id"]: {o["rule"]: o["status"] for o in r["outcomes"]} for r in rules.evaluate(rows, p, ts(20)).collect()}
+    assert {i: (o["remote"], o["geography"]) for i, o in got.items()} == {c[0]: c[4:] for c in cases}
+    assert got[9]["clearance"] == "unknown"
+
+
 def test_document_sync(spark):
     kinds = "id long, variant string, source_kind string, source_url string, http_status int, complete boolean, content_hash string, raw_sha256 string, etag string, last_modified string"
     fetches = spark.createDataFrame(
