@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -17,22 +18,35 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: Spark's own switch to delete the shuffle files of a query once it has ended.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share (spark.checkpoint.dir); only where none is set, as in tests, a local one."""
+    """The folder that driver and executors share (spark.checkpoint.dir). Where none is set, one process alone may use its own."""
     sc = spark.sparkContext
     place = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
-    if not place:
-        place = tempfile.mkdtemp(prefix="postmill-")
-        sc.setCheckpointDir(place)
+    if not place and re.match(r"local(\[|$)", sc.master):
+        sc.setCheckpointDir(tempfile.mkdtemp(prefix="postmill-"))
         place = sc.getCheckpointDir()
+    if not place:
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     return place
 
 
 def stored(df: DataFrame, label: str) -> DataFrame:
-    """Write df as a table in the shared folder and read it back: lineage ends there, and a lost executor loses nothing of it."""
+    """Write df as a table in the shared folder and read it back: lineage ends there, and a lost executor loses nothing of it.
+
+    What was shuffled to make the table isn't needed any more and goes with the query.
+    """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
+    before = spark.conf.get(CLEANUP, None)
+    spark.conf.set(CLEANUP, "true")
+    try:
+        df.write.option("compression", "zstd").parquet(path)
+    finally:
+        spark.conf.unset(CLEANUP) if before is None else spark.conf.set(CLEANUP, before)
     out = spark.read.schema(df.schema).parquet(path)
     out.stored_at = path
     return out
@@ -45,7 +59,7 @@ def discard(df: DataFrame) -> None:
     path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
 
 
-def components(links: DataFrame, src: str = "src", dst: str = "dst", max_rounds: int = 60) -> DataFrame:
+def components(links: DataFrame, src: str = "src", dst: str = "dst") -> DataFrame:
     """Connected components: (node, component), component the smallest node reachable; only nodes that have links.
 
     Alternating large-star and small-star rounds on the link table, each round stored in the shared folder; ends when
@@ -55,7 +69,7 @@ def components(links: DataFrame, src: str = "src", dst: str = "dst", max_rounds:
     edges = stored(
         links.select(F.greatest(src, dst).alias("a"), F.least(src, dst).alias("b")).where("a <> b").distinct(), "links"
     )
-    for _ in range(max_rounds):
+    while True:  # each round lowers what some node points at, so the rounds end
         # large star: every neighbour above a node points at the least of the node and its neighbours
         both = edges.union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
         low = both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m"))
@@ -68,12 +82,10 @@ def components(links: DataFrame, src: str = "src", dst: str = "dst", max_rounds:
             .union(least.select("a", F.col("m").alias("b"))).distinct()
         )
         after = stored(small, "links")
+        discard(edges)
         # roots only on the right and one link for each node: nothing moves any more
         state = after.agg(F.count("*").alias("n"), F.countDistinct("a").alias("d")).first()
         chained = after.select("b").distinct().join(after.select(F.col("a").alias("b")), "b", "left_semi").limit(1).count()
         edges = after
         if state["n"] == state["d"] and not chained:
-            break
-    else:
-        raise RuntimeError("components did not settle")
-    return edges.select(F.col("a").alias("node"), F.col("b").alias("component")).union(edges.select(F.col("b"), F.col("b")).distinct())
+            return edges.select(F.col("a").alias("node"), F.col("b").alias("component")).union(edges.select(F.col("b"), F.col("b")).distinct())
