@@ -5,7 +5,8 @@ documents share last, the others by hash. Two sets of similarity t share a shing
 each, so only that part of the matrix is multiplied:
 
 1. every column's members are paired with one of them, the pivot. Pairs that are similar enough are links, and their
-   components already hold nearly all copies, however many there are;
+   components already hold nearly all copies, however many there are. Columns that still hold several components get
+   other pivots, one of the largest component and one apart from it, as long as that finds many links;
 2. columns that still hold members of different components are multiplied in blocks of rows. A block's product
    accumulates for each pair of rows how many leading shingles both have; pairs within a component are left out, and so
    are pairs whose sizes, places in the column order or bit signatures bound the overlap below what the threshold
@@ -35,6 +36,8 @@ MOST_FREQUENT = 1 << 18
 LOCALLY = 3
 #: Bits of a signature; rows of a block's side; parts of a frequent column.
 BITS, BLOCK, SALTS = 2048, 1000, 32
+#: Another round of pivots pays while it finds a link for each so many rows that columns of several components still hold.
+ROUND_LEAST = 20
 MIX = np.uint64(0x9E3779B97F4A7C15)
 #: Bytes of text that are hashed at once; words of more bytes than LONG are digested one by one.
 CHUNK, LONG = 1 << 21, 64
@@ -305,11 +308,27 @@ def jaccard_classes(docs: DataFrame, percent: int = PERCENT, words: int = WORDS,
     heads = heads.join(heads.groupBy("token").agg(F.min(entry).alias("pivot")), "token")  # a row for each part of a column
     linked = verified(signed(star(shared).unionByName(star(heads)).distinct(), nodes, percent), sets_of, percent)
     named = components(linked)
-    blocks = stored(incidence(shared, nodes, named), "blocks")
+    live = stored(mixed_columns(shared, named), "columns")
+    discard(shared)
+    k = 0
+    while True:  # each further round has merged components
+        k += 1
+        pairs = pivot_pairs(live, k)
+        pairs = pairs.where(bound(F.col("at"), F.col("n"), F.col("pivot.at"), F.col("pivot.n"))).select(F.greatest("node", "pivot.node").alias("src"), F.least("node", "pivot.node").alias("dst"))
+        more = verified(signed(pairs.distinct(), nodes, percent), sets_of, percent)
+        linked, found = linked.unionByName(more), more.count()
+        if not found:
+            break
+        named = components(named.select(F.col("node").alias("src"), F.col("component").alias("dst")).unionByName(more))
+        before, live = live, stored(mixed_columns(live, named), "columns")
+        discard(before)
+        if ROUND_LEAST * found < (live.agg(F.approx_count_distinct("node")).first()[0] or 0):
+            break
+    blocks = stored(incidence(live, nodes), "blocks")
     pairs = crossing(blocks).mapInArrow(_products(percent), "src long, dst long, common long, least int")
     pairs = pairs.groupBy("src", "dst").agg(F.sum("common").alias("common"), F.first("least").alias("least")).where("common >= least").select("src", "dst")
     more = verified(pairs, sets_of, percent)
-    discard(blocks), discard(shared)
+    discard(blocks), discard(live)
     named = components(named.select(F.col("node").alias("src"), F.col("component").alias("dst")).unionByName(more))
     of = nodes.select("key", "node", "least").join(named, "node", "left").withColumn("component", F.coalesce("component", "node"))
     least = of.groupBy("component").agg(F.min("least").alias("component_id"))
@@ -318,16 +337,28 @@ def jaccard_classes(docs: DataFrame, percent: int = PERCENT, words: int = WORDS,
     return out.select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id")), linked.unionByName(more)
 
 
-def incidence(shared: DataFrame, nodes: DataFrame, named: DataFrame) -> DataFrame:
+def mixed_columns(entries: DataFrame, named: DataFrame) -> DataFrame:
+    """(token, node, n, at, component, bulk) of the columns with members of two components or more; bulk: the one with the most."""
+    members = entries.select("token", "node", "n", "at").join(named, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    parts = members.groupBy("token", "component").agg(F.count("*").alias("c"))
+    tops = parts.groupBy("token").agg(F.max(F.struct("c", "component")).alias("top"), F.count("*").alias("parts")).where("parts > 1")
+    return members.join(tops.select("token", F.col("top.component").alias("bulk")), "token")
+
+
+def pivot_pairs(live: DataFrame, k: int) -> DataFrame:
+    """Each member of a column with two others, one of the bulk and one apart from it, if they are of another component; the k-th choice."""
+    one = F.struct(F.xxhash64(F.lit(k), F.col("node")).alias("by"), "node", "n", "at", "component")
+    own = F.col("component") == F.col("bulk")
+    pivots = live.groupBy("token").agg(F.array(F.min(F.when(own, one)), F.min(F.when(~own, one))).alias("pivots"))
+    met = live.join(pivots, "token").select("node", "n", "at", "component", F.explode("pivots").alias("pivot"))
+    return met.where("pivot.component <> component")
+
+
+def incidence(live: DataFrame, nodes: DataFrame) -> DataFrame:
     """Rows of the sparse matrix: (bulk, node, component, n, bits, own, entries), entries an array of (token, at).
 
-    Only columns with members of two components or more are left. A column belongs to `bulk`, the component with the most
-    members in it, and a row's columns are kept apart by their bulk; own: whether the row is of that component.
+    A row's columns are kept apart by their bulk; own: whether the row is of that component.
     """
-    members = shared.select("token", "node", "at").join(named, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    parts = members.groupBy("token", "component").agg(F.count("*").alias("c"))
-    mixed_ = parts.groupBy("token").agg(F.max(F.struct("c", "component")).alias("top"), F.count("*").alias("parts")).where("parts > 1")
-    live = members.join(mixed_.select("token", F.col("top.component").alias("bulk")), "token")
     lines = live.groupBy("bulk", "node").agg(F.first("component").alias("component"), F.collect_list(F.struct("token", F.col("at").cast("int").alias("at"))).alias("entries"))
     return lines.join(nodes.select("node", "n", "bits"), "node").select("bulk", "node", "component", "n", "bits", (F.col("component") == F.col("bulk")).alias("own"), "entries")
 
