@@ -2,9 +2,9 @@
 
 A string of WIDTH bytes is cut into short grams; the least of their hashes is its anchor, so equal strings have equal
 anchors at equal places. Runs of neighbouring strings with one anchor form a context, about half of WIDTH long on average
-plus WIDTH. Contexts whose anchor occurs once hold no repeats. Of the others, equal ones are one context with a count;
-the distinct contexts are dealt by anchor into shards, and each shard's suffix array and common prefixes tell where strings
-of WIDTH bytes occur again. A context that itself occurs more than once is repeated throughout.
+plus WIDTH. Contexts whose anchor occurs once hold no repeats, and a context that occurs more than once is repeated
+throughout. Where an anchor has several distinct contexts, these are dealt by anchor into shards, and each shard's suffix
+array and permuted common prefixes tell where strings of WIDTH bytes occur again.
 
 An anchor with more distinct contexts than one task should sort has them cut into pieces by the distance of a string's
 begin from the anchor. Strings of a piece share most of their bytes, which become part of its key, and equal pieces are
@@ -14,7 +14,6 @@ one; so the pieces spread over many shards, and sorting them finds the same plac
 from __future__ import annotations
 
 import hashlib
-import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -22,12 +21,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import stored, table
-from .suffix_array import Prints, mixed, repeated
+from .common import discard, stored, table
+from .jaccard_join import MIX, mixed
+from .suffix_array import repeated
 
 WIDTH, GRAM = 400, 32
-#: Text that is hashed at once; the bytes of contexts that one suffix array is built over, on average; contexts of one anchor in it.
-CHUNK, SHARD_BYTES, MOST_CONTEXTS, PIECES = 4 << 20, 1 << 20, 1200, 8
+#: Bytes of text that are hashed at once, few enough for a processor cache; the bytes of contexts that one suffix array is built over, on average; contexts of one anchor in it.
+CHUNK, SHARD_BYTES, MOST_CONTEXTS, PIECES = 1 << 17, 1 << 20, 1200, 8
 
 
 def _window_least(h: np.ndarray, w: int) -> np.ndarray:
@@ -41,30 +41,42 @@ def _window_least(h: np.ndarray, w: int) -> np.ndarray:
     return np.minimum(right[: n - w + 1], left[w - 1 : n])
 
 
-def contexts(texts: list[bytes], width: int = WIDTH, gram: int = GRAM) -> tuple[np.ndarray, ...]:
-    """Of texts: (text number, anchor, context, lo, hi) arrays. Strings that begin at lo..hi of the text share the anchor."""
-    t = np.frombuffer(b"".join(texts), dtype=np.uint8)
-    ends = np.cumsum([len(x) for x in texts])
+def gram_hashes(raw: bytes) -> np.ndarray:
+    """A hash of the GRAM bytes from each place on."""
+    n = len(raw) - GRAM + 1
+    h = np.zeros(max(0, n), dtype=np.uint64)
+    for k in range(0, GRAM, 8) if n > 0 else ():
+        h = mixed(h * MIX ^ np.ndarray((n,), dtype="<u8", buffer=raw, offset=k, strides=(1,)))
+    return h
+
+
+def contexts(texts: list[bytes], width: int = WIDTH) -> tuple[np.ndarray, ...]:
+    """Of texts: (text number, anchor, context, lo, hi) arrays. Strings that begin at lo..hi of the text share the anchor.
+
+    context is a digest of the bytes that these strings cover and of the anchor's place in them.
+    """
+    raw = b"".join(texts)
+    sizes = np.array([len(x) for x in texts], dtype=np.int64)
+    ends = np.cumsum(sizes)
     empty = np.empty(0, dtype=np.int64)
-    if len(t) < width:
+    if len(raw) < width:
         return empty, empty, empty, empty, empty
-    prints = Prints(t)
-    at = np.arange(len(t) - gram + 1)
-    h = prints.of(at, at + gram)
+    h = gram_hashes(raw)
     low = np.uint64((1 << 24) - 1)
-    anchor_at = (_window_least((h & ~low) | at.astype(np.uint64), width - gram + 1) & low).astype(np.int64)
-    start = np.arange(len(anchor_at))
-    text = np.searchsorted(ends, start, side="right")
-    fits = start + width <= ends[np.minimum(text, len(ends) - 1)]
-    start, anchor_at, text = start[fits], anchor_at[fits], text[fits]
+    anchor_at = (_window_least((h & ~low) | np.arange(len(h), dtype=np.uint64), width - GRAM + 1) & low).astype(np.int64)
+    text = np.repeat(np.arange(len(texts)), sizes)[: len(anchor_at)]
+    start = np.flatnonzero(np.arange(width, len(anchor_at) + width) <= ends[text])
+    anchor_at, text = anchor_at[start], text[start]
     if not len(start):
         return empty, empty, empty, empty, empty
     first = np.flatnonzero(np.concatenate([[True], (np.diff(anchor_at) != 0) | (np.diff(text) != 0) | (np.diff(start) != 1)]))
     last = np.append(first[1:], len(start)) - 1
     lo, hi, number, at = start[first], start[last], text[first], anchor_at[first]
-    whole = mixed(prints.of(lo, hi + width) + (hi - lo).astype(np.uint64) * np.uint64(1009) + (at - lo).astype(np.uint64))
-    begin = (ends - [len(x) for x in texts])[number]
-    return number, h[at].view(np.int64), whole.view(np.int64), lo - begin, hi - begin
+    whole = b"".join(
+        hashlib.blake2b(raw[a:b], digest_size=8, salt=place.to_bytes(8, "little")).digest() for a, b, place in zip(lo.tolist(), (hi + width).tolist(), (at - lo).tolist(), strict=True)
+    )
+    begin = (ends - sizes)[number]
+    return number, h[at].view(np.int64), np.frombuffer(whole, dtype="<i8"), lo - begin, hi - begin
 
 
 def _chunks(texts: list[bytes]) -> Iterator[tuple[int, list[bytes]]]:
@@ -80,26 +92,24 @@ def _chunks(texts: list[bytes]) -> Iterator[tuple[int, list[bytes]]]:
 
 
 def anchored(docs: DataFrame, width: int) -> DataFrame:
-    """(doc, anchor, context, lo, hi) of all texts of (doc, text)."""
+    """(doc, too, anchor, context, lo, hi) of all texts of (doc, too, text)."""
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids, cut, shift = [], [], []
-            for d, t in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                raw = (t.as_py() or "").encode()
+            of, cut, shift = [], [], []
+            for d, raw in enumerate(batch.column(2).cast(pa.binary()).to_pylist()):
                 for lo in range(0, max(1, len(raw) - width + 1), CHUNK):
-                    ids.append(d)
+                    of.append(d)
                     cut.append(raw[lo : lo + CHUNK + width - 1])
                     shift.append(lo)
-            ids, shift = np.array(ids, dtype=np.int64), np.array(shift, dtype=np.int64)
+            of, shift = np.array(of, dtype=np.int64), np.array(shift, dtype=np.int64)
             for k, some in _chunks(cut):
                 number, anchor, context, lo, hi = contexts(some, width)
                 place = number + k
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(x) for x in (ids[place], anchor, context, lo + shift[place], hi + shift[place])], ["doc", "anchor", "context", "lo", "hi"]
-                )
+                ids = batch.select([0, 1]).take(pa.array(of[place]))
+                yield pa.RecordBatch.from_arrays([*ids.columns, *(pa.array(x) for x in (anchor, context, lo + shift[place], hi + shift[place]))], ["doc", "too", "anchor", "context", "lo", "hi"])
 
-    return docs.mapInArrow(emit, "doc long, anchor long, context long, lo long, hi long")
+    return docs.select("doc", "too", "text").mapInArrow(emit, "doc long, too int, anchor long, context long, lo long, hi long")
 
 
 def _cut(width: int):
@@ -107,7 +117,7 @@ def _cut(width: int):
         for batch in batches:
             rows = []
             for text, wanted in zip(batch.column(0), batch.column(1), strict=True):
-                raw = zlib.decompress(text.as_py())
+                raw = text.as_py().encode()
                 rows += [(w["anchor"], w["context"], w["n"], raw[w["lo"] : w["hi"] + width]) for w in wanted.as_py()]
                 if len(rows) > 5000:
                     yield _batch(rows)
@@ -127,12 +137,10 @@ def _sorted_shard(width: int):
         texts, n = rows.column("bytes").to_pylist(), rows.column("n").to_numpy()
         sizes = np.array([len(x) for x in texts])
         ends = np.cumsum(sizes + 1)
-        t = np.ones(int(ends[-1]) + 1, dtype=np.int64)  # 1 between contexts, 0 at the very end
-        t[-1] = 0
-        inside = np.ones(len(t), dtype=bool)
-        inside[ends - 1] = inside[-1] = False
-        t[inside] = np.frombuffer(b"".join(texts), dtype=np.uint8).astype(np.int64) + 2
-        again = repeated(t, width)
+        # bytes of UTF-8 are 244 at most: they move up by 2, 1 is between contexts, 0 at the very end
+        t = np.frombuffer(b"\xff".join([*texts, b"\xfe"]), dtype=np.uint8) + np.uint8(2)
+        left = np.append(np.repeat(ends - 1, sizes + 1) - np.arange(ends[-1]), 0)
+        again = repeated(t, width, left)
         runs = []
         for k, end in enumerate(ends):
             own = again[end - 1 - sizes[k] : end - width]  # only places from which a whole string lies inside
@@ -159,11 +167,9 @@ def _pieces(width: int):
         for batch in batches:
             rows = []
             for anchor, context, n, raw in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
-                t = np.frombuffer(raw, dtype=np.uint8)
-                at = np.arange(len(t) - GRAM + 1)
-                here = int(np.flatnonzero(Prints(t).of(at, at + GRAM).view(np.int64) == anchor)[0])
+                here = int(np.flatnonzero(gram_hashes(raw).view(np.int64) == anchor)[0])
                 for k in range(PIECES):
-                    lo, hi = max(0, here - (k + 1) * step + 1), min(here - k * step, len(t) - width)
+                    lo, hi = max(0, here - (k + 1) * step + 1), min(here - k * step, len(raw) - width)
                     if lo <= hi:
                         own = raw[lo : hi + width]
                         common = raw[here - k * step : here - (k + 1) * step + 1 + width]
@@ -182,22 +188,23 @@ def remove_repeats(docs: DataFrame, width: int = WIDTH, id_col: str = "doc_id",
     judged on the input. What is left may end within a character, so it is binary. Null text is empty; texts shorter than
     `width` stay; rows that agree in id and text are copies of each other. Ids may be null.
     """
+    if width < GRAM:
+        raise ValueError(f"width must be {GRAM} bytes at least")
     spark = docs.sparkSession
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).withColumn("doc", F.xxhash64("doc_id", "text"))
-    found = stored(anchored(rows.select("doc", "text"), width), "anchors")
-    groups = found.groupBy("anchor", "context").agg(F.count("*").alias("n"), F.min(F.struct("doc", "lo", "hi")).alias("first"))
-    often = found.groupBy("anchor").agg(F.count("*").alias("total")).where("total > 1").select("anchor")
-    groups = groups.join(often, "anchor")
-
-    def squeeze(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([zlib.compress(t.as_py().encode(), 1) for t in batch.column(1)], pa.binary())], ["doc", "packed"])
-
-    packed = rows.where(F.octet_length("text") >= width).select("doc", "text").mapInArrow(squeeze, "doc long, packed binary")
-    wanted = groups.select(F.col("first.doc").alias("doc"), F.struct("anchor", "context", "n", F.col("first.lo").alias("lo"), F.col("first.hi").alias("hi")).alias("w"))
-    wanted = wanted.groupBy("doc").agg(F.collect_list("w").alias("wanted"))
-    cut = packed.dropDuplicates(["doc"]).join(wanted, "doc").select("packed", "wanted").mapInArrow(_cut(width), "anchor long, context long, n long, bytes binary")
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    # two hashes, 96 bits, stand for a row
+    rows = rows.withColumn("doc", F.xxhash64("doc_id", "text")).withColumn("too", F.hash("text", "doc_id"))
+    found = stored(anchored(rows, width), "anchors")
+    groups = found.groupBy("anchor", "context").agg(F.count("*").alias("n"), F.min(F.struct("doc", "too", "lo", "hi")).alias("first"))
+    often = groups.groupBy("anchor").agg(F.count("*").alias("contexts"), F.sum("n").alias("total")).where("total > 1").select("anchor", "contexts")
+    groups = stored(groups.join(often, "anchor"), "groups")
+    wanted = groups.where("contexts > 1").select("first.doc", "first.too", F.struct("anchor", "context", "n", F.col("first.lo").alias("lo"), F.col("first.hi").alias("hi")).alias("w"))
+    wanted = wanted.groupBy("doc", "too").agg(F.collect_list("w").alias("wanted"))
+    texts = rows.where(F.octet_length("text") >= width).select("doc", "too", "text").join(wanted, ["doc", "too"])
+    cut = texts.dropDuplicates(["doc", "too"]).select("text", "wanted").mapInArrow(_cut(width), "anchor long, context long, n long, bytes binary")
     cut = stored(cut, "contexts")
+    # the only context of an anchor occurs more than once: all its strings do
+    alone = groups.where("contexts = 1").select("anchor", "context", F.array(F.lit(0), (F.col("first.hi") - F.col("first.lo")).cast("int")).alias("runs"))
     sizes = cut.groupBy("anchor").agg(F.count("*").alias("contexts"))
     total = cut.agg(F.sum(F.octet_length("bytes"))).first()[0] or 0
     shards = max(spark.sparkContext.defaultParallelism, -(-total // SHARD_BYTES))
@@ -218,34 +225,27 @@ def remove_repeats(docs: DataFrame, width: int = WIDTH, id_col: str = "doc_id",
         back = parts.select("anchor", "context", "sub", "whole", F.col("shift").cast("int").alias("shift")).join(found_in, ["sub", "whole"])
         moved = back.select("anchor", "context", F.transform("runs", lambda x: x + F.col("shift")).alias("runs"))
         runs = runs.unionByName(moved.groupBy("anchor", "context").agg(F.flatten(F.collect_set("runs")).alias("runs")))
-    runs = stored(runs.where(F.size("runs") > 0), "runs")
-    spans = found.join(runs, ["anchor", "context"]).groupBy("doc").agg(F.collect_set(F.struct("lo", "runs")).alias("spans"))
-    every = rows.select("doc", "doc_id", "text").mapInArrow(_packed_rows, "doc long, doc_id long, packed binary")
-    return every.join(spans, "doc", "left").select("doc_id", "packed", "spans").mapInArrow(_apply(width), "doc_id long, kept binary, n_bytes long, n_removed long, n_spans long")
-
-
-def _packed_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        small = pa.array([zlib.compress(t.as_py().encode(), 1) for t in batch.column(2)], pa.binary())
-        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1).cast(pa.int64()), small], ["doc", "doc_id", "packed"])
+    runs = stored(runs.where(F.size("runs") > 0).unionByName(alone), "runs")
+    spans = stored(found.join(runs, ["anchor", "context"]).groupBy("doc", "too").agg(F.collect_set(F.struct("lo", "runs")).alias("spans")), "spans")
+    for old in (found, groups, cut, runs):
+        discard(old)
+    return rows.join(spans, ["doc", "too"], "left").select("doc_id", "text", "spans").mapInArrow(_apply(width), "doc_id long, kept binary, n_bytes long, n_removed long, n_spans long")
 
 
 def _apply(width: int):
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            kept, size, removed, runs = [], [], [], []
-            for text, spans in zip(batch.column(1), batch.column(2), strict=True):
-                raw = zlib.decompress(text.as_py())
-                edge = np.zeros(len(raw) + 1, dtype=np.int32)
-                for s in spans.as_py() or ():
-                    r = np.array(s["runs"], dtype=np.int64) + s["lo"]
-                    np.add.at(edge, r[0::2], 1)
-                    np.add.at(edge, r[1::2] + width, -1)
+            kept = batch.column(1).cast(pa.binary()).to_pylist()
+            size, removed, runs = [len(x) for x in kept], [0] * len(kept), [0] * len(kept)
+            for k in np.flatnonzero(batch.column(2).is_valid().to_numpy(zero_copy_only=False)).tolist():
+                spans = batch.column(2)[k].values
+                of = spans.field("runs").combine_chunks() if isinstance(spans, pa.ChunkedArray) else spans.field("runs")
+                ends = of.flatten().to_numpy().astype(np.int64) + np.repeat(spans.field("lo").to_numpy(), of.value_lengths().to_numpy())
+                edge = np.bincount(ends[0::2], minlength=size[k] + 1) - np.bincount(ends[1::2] + width, minlength=size[k] + 1)
                 gone = np.cumsum(edge)[:-1] > 0
-                kept.append(np.frombuffer(raw, dtype=np.uint8)[~gone].tobytes() if gone.any() else raw)
-                size.append(len(raw))
-                removed.append(int(gone.sum()))
-                runs.append(int((np.diff(np.concatenate([[False], gone]).astype(np.int8)) == 1).sum()))
+                kept[k] = np.frombuffer(kept[k], dtype=np.uint8)[~gone].tobytes()
+                removed[k] = int(gone.sum())
+                runs[k] = int(gone[0]) + int((gone[1:] & ~gone[:-1]).sum())
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), pa.array(kept, pa.binary()), *(pa.array(x, pa.int64()) for x in (size, removed, runs))], ["doc_id", "kept", "n_bytes", "n_removed", "n_spans"]
             )
@@ -257,22 +257,3 @@ def op4_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = remove_repeats(table(spark, sf_dir, "documents"))
     return out.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
 
-
-def brute_force(texts: dict[int, str], width: int) -> dict[int, tuple[int, int, int, str]]:
-    """For tests: (n_bytes, n_removed, n_spans, kept_sha256) of each text, by counting all strings."""
-    counts: dict[bytes, int] = {}
-    raw = {d: (t or "").encode() for d, t in texts.items()}
-    for t in raw.values():
-        for i in range(len(t) - width + 1):
-            counts[t[i : i + width]] = counts.get(t[i : i + width], 0) + 1
-    out = {}
-    for d, t in raw.items():
-        gone = [False] * len(t)
-        until = 0
-        for i in range(len(t)):
-            if i + width <= len(t) and counts[t[i : i + width]] > 1:
-                until = i + width
-            gone[i] = i < until
-        spans = sum(g and (i == 0 or not gone[i - 1]) for i, g in enumerate(gone))
-        out[d] = (len(t), sum(gone), spans, hashlib.sha256(bytes(b for b, g in zip(t, gone, strict=True) if not g)).hexdigest())
-    return out

@@ -4,30 +4,19 @@ from __future__ import annotations
 
 import numpy as np
 
-BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
-#: The inverse of BASE modulo 2**64.
-BACK = np.uint64(pow(int(BASE), -1, 1 << 64))
 
 
-def mixed(h: np.ndarray) -> np.ndarray:
-    h = (h ^ (h >> np.uint64(31))) * np.uint64(0xD6E8FEB86659FD93)
-    return h ^ (h >> np.uint64(32))
-
-
-class Prints:
-    """Hashes of all substrings of a byte or integer string in constant time each."""
-
-    def __init__(self, t: np.ndarray):
-        n = len(t)
-        powers = np.full(n, BASE, dtype=np.uint64)
-        back = np.full(n, BACK, dtype=np.uint64)
-        if n:
-            powers[0] = back[0] = 1
-        powers, self.back = np.cumprod(powers, dtype=np.uint64), np.cumprod(back, dtype=np.uint64)
-        self.sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum((t.astype(np.uint64) + np.uint64(1)) * powers, dtype=np.uint64)])
-
-    def of(self, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
-        return mixed((self.sums[hi] - self.sums[lo]) * self.back[np.minimum(lo, len(self.back) - 1)])
+def common(t: np.ndarray, a: np.ndarray, b: np.ndarray, most: np.ndarray) -> np.ndarray:
+    """How many symbols the suffixes of the byte string t at a and at b share from their begins, up to `most`; eight are compared at a time."""
+    raw = t.tobytes() + bytes(8)
+    eight = np.ndarray((len(t) + 1,), dtype="<u8", buffer=raw, strides=(1,))
+    out = np.zeros(len(a), dtype=np.int64)
+    on = np.flatnonzero(most > 0)
+    while len(on):
+        other = eight[a[on] + out[on]] ^ eight[b[on] + out[on]]
+        out[on] += np.where(other == 0, 8, np.bitwise_count((other & -other) - np.uint64(1)).astype(np.int64) >> 3)
+        on = on[(other == 0) & (out[on] < most[on])]
+    return np.minimum(out, most)
 
 
 def smaller(t: np.ndarray) -> np.ndarray:
@@ -94,7 +83,7 @@ def _doubled(t: np.ndarray) -> np.ndarray:
         after = np.zeros(n, dtype=np.int64)
         after[: max(0, n - k)] = rank[k:] + 1
         both = rank * (n + 2) + after
-        order = np.argsort(both, kind="stable")
+        order = np.argsort(both)
         rank = np.empty(n, dtype=np.int64)
         rank[order] = np.concatenate([[0], np.cumsum(np.diff(both[order]) != 0)])
         if rank[order[-1]] == n - 1:
@@ -103,7 +92,7 @@ def _doubled(t: np.ndarray) -> np.ndarray:
 
 
 def suffix_array(t: np.ndarray) -> np.ndarray:
-    """Order of the suffixes of t, small non-negative symbols of which the last is the only 0."""
+    """Order of the suffixes of t, a byte string of which the last byte is the only 0."""
     if len(t) <= 2:
         return np.argsort(t, kind="stable")
     s = smaller(t)
@@ -114,45 +103,39 @@ def suffix_array(t: np.ndarray) -> np.ndarray:
     is_lms = np.zeros(len(t), dtype=bool)
     is_lms[lms] = True
     ordered = sa[is_lms[sa]]
-    ends = np.empty(len(t), dtype=np.int64)
-    ends[lms] = np.minimum(np.append(lms[1:], len(t) - 1) + 1, len(t))
-    prints = Prints(t).of(ordered, ends[ordered])
-    size = ends[ordered] - ordered
-    names = np.concatenate([[0], np.cumsum((np.diff(size) != 0) | (prints[1:] != prints[:-1]))])
+    size = np.zeros(len(t), dtype=np.int64)
+    size[lms] = np.minimum(np.append(lms[1:], len(t) - 1) + 1, len(t)) - lms
+    a, b = ordered[1:], ordered[:-1]
+    names = np.concatenate([[0], np.cumsum((size[a] != size[b]) | (common(t, a, b, np.minimum(size[a], size[b])) < size[a]))])
     named = np.empty(len(t), dtype=np.int64)
     named[ordered] = names
-    reduced = named[lms]
     if names[-1] + 1 < len(lms):
-        ordered = lms[_doubled(reduced)]
+        ordered = lms[_doubled(named[lms])]
     return _induce(t, s, ordered, starts)
 
 
-def common_prefixes(t: np.ndarray, sa: np.ndarray, most: int) -> np.ndarray:
-    """For each place of t the length, up to `most`, of the prefix that its suffix shares with the one before it in sa."""
-    n = len(t)
-    out = np.zeros(n, dtype=np.int64)
-    prints = Prints(t)
-    a, b = sa[1:], sa[:-1]
-    low, high = np.zeros(n - 1, dtype=np.int64), np.minimum(most, n - np.maximum(a, b))
-    while (open_ := np.flatnonzero(low < high)).size:
-        mid = (low[open_] + high[open_] + 1) // 2
-        x, y = a[open_], b[open_]
-        same = prints.of(x, x + mid) == prints.of(y, y + mid)
-        low[open_] = np.where(same, mid, low[open_])
-        high[open_] = np.where(same, high[open_], mid - 1)
-    out[a] = low
-    return out
+def permuted_prefixes(t: np.ndarray, sa: np.ndarray, left: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """In text order: how many symbols each suffix shares with the one before it in sa, and where that one begins.
 
-
-def repeated(t: np.ndarray, width: int) -> np.ndarray:
-    """True at the places of t at which a string of `width` symbols begins that begins elsewhere in t too."""
-    sa = suffix_array(t)
-    # whether the permuted common prefix reaches `width`: one comparison settles it, its exact length isn't needed
-    shared = np.zeros(len(t), dtype=bool)
-    fits = np.flatnonzero(np.maximum(sa[1:], sa[:-1]) + width <= len(t))
-    prints, a, b = Prints(t), sa[1:][fits], sa[:-1][fits]
-    shared[a] = prints.of(a, a + width) == prints.of(b, b + width)
-    out = shared.copy()
-    place = np.flatnonzero(shared[sa])
-    out[sa[place - 1]] = True
+    left: how many symbols from a place on count; 0 at a separator. A value whose preceding symbols are equal is one less
+    than the value before it, so only the others are compared.
+    """
+    n = len(t)
+    before = np.empty(n, dtype=np.int64)
+    before[sa[1:]] = sa[:-1]
+    before[sa[0]] = sa[0]
+    follows = np.zeros(n, dtype=bool)
+    follows[1:] = (before[1:] > 0) & (t[:-1] == t[before[1:] - 1]) & (left[:-1] > 0)
+    own = np.flatnonzero(~follows)
+    value = np.zeros(n, dtype=np.int64)
+    value[own] = common(t, own, before[own], np.minimum(left[own], left[before[own]]))
+    last = np.maximum.accumulate(np.where(follows, 0, np.arange(n)))
+    return value[last] - (np.arange(n) - last), before
+
+
+def repeated(t: np.ndarray, width: int, left: np.ndarray) -> np.ndarray:
+    """True at the places of t at which a string of `width` symbols, none of them a separator, begins that begins elsewhere in t too."""
+    prefixes, before = permuted_prefixes(t, suffix_array(t), left)
+    out = prefixes >= width
+    out[before[out]] = True
     return out

@@ -3,6 +3,7 @@
 import hashlib
 import re
 import zlib
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -11,7 +12,7 @@ from pyspark.sql import functions as F
 from postmill.llm import exact_dedup, jaccard_join, line_dedup, mixing, packing, quality_rules, repeat_removal, shard_shuffle, toxicity, warc
 from postmill.llm.common import components
 from postmill.llm.cuckoo import CuckooFilter
-from postmill.llm.suffix_array import common_prefixes, repeated, suffix_array
+from postmill.llm.suffix_array import permuted_prefixes, repeated, suffix_array
 
 SHAPE = "doc_id long, text string, lang string, source string, n_chars long, shard int, key string, size long"
 LINE = "a line that is long enough to count"
@@ -105,27 +106,51 @@ def test_quality_rules_learn(spark):
 def test_suffix_array():
     rng = np.random.default_rng(3)
     for _ in range(150):
-        t = np.append(rng.integers(1, rng.integers(2, 6), rng.integers(1, 50)), 0).astype(np.int64)
+        t = np.append(rng.integers(1, rng.integers(2, 6), rng.integers(1, 50)), 0).astype(np.uint8)  # 1 is a separator
         sa = suffix_array(t)
         assert list(sa) == sorted(range(len(t)), key=lambda i: list(t[i:]))
-        lcp = common_prefixes(t, sa, 6)
+        left = [next(k for k in range(len(t)) if t[i + k] <= 1) for i in range(len(t))]
+        lcp, before = permuted_prefixes(t, sa, np.array(left))
         for a, b in zip(sa[1:], sa[:-1], strict=True):
-            assert lcp[a] == next((k for k in range(6) if max(a, b) + k >= len(t) or t[a + k] != t[b + k]), 6)
-        strings = [tuple(t[i : i + 3]) for i in range(len(t) - 2)]
-        assert list(repeated(t, 3)) == [i < len(strings) and strings.count(strings[i]) > 1 for i in range(len(t))]
+            most = min(left[a], left[b])
+            assert before[a] == b and lcp[a] == next((k for k in range(most) if t[a + k] != t[b + k]), most)
+        strings = [tuple(t[i : i + 3]) if left[i] >= 3 else i for i in range(len(t))]
+        assert list(repeated(t, 3, np.array(left))) == [left[i] >= 3 and strings.count(strings[i]) > 1 for i in range(len(t))]
+
+
+def without_repeats(texts, width):
+    """(n_bytes, n_removed, n_spans, kept_sha256) of each text, by counting all strings."""
+    raw = {d: (t or "").encode() for d, t in texts.items()}
+    counts = Counter(t[i : i + width] for t in raw.values() for i in range(len(t) - width + 1))
+    out = {}
+    for d, t in raw.items():
+        gone, until = [False] * len(t), 0
+        for i in range(len(t)):
+            if i + width <= len(t) and counts[t[i : i + width]] > 1:
+                until = i + width
+            gone[i] = i < until
+        spans = sum(g and (i == 0 or not gone[i - 1]) for i, g in enumerate(gone))
+        out[d] = (len(t), sum(gone), spans, hashlib.sha256(bytes(b for b, g in zip(t, gone, strict=True) if not g)).hexdigest())
+    return out
 
 
 def test_repeat_removal(spark, monkeypatch):
     rng = np.random.default_rng(5)
     word = lambda n: " ".join("".join(chr(97 + c) for c in rng.integers(0, 26, 5)) for _ in range(n))
     shared = word(40)
-    texts = [None, "", "short", shared, word(20) + shared, shared[:150] + word(30), "ab" * 200, word(10) + shared + word(3) + shared, word(50), shared, "é" * 150]
-    want = repeat_removal.brute_force(dict(enumerate(texts)), 80)
+    texts = [None, "", "short", shared, word(20) + shared, shared[:150] + word(30), "ab" * 200, word(10) + shared + word(3) + shared, word(50), shared, "é" * 150, word(4000), "\U0010ffff" * 60]
+    texts += [t[:300] + "x" + t[300:] for t in (texts[11],)]
+    want = without_repeats(dict(enumerate(texts)), 80)
     for most in (1200, 1):  # with and without pieces
         monkeypatch.setattr(repeat_removal, "MOST_CONTEXTS", most)
         got = repeat_removal.remove_repeats(docs(spark, texts), 80).collect()
         assert {r["doc_id"]: (r["n_bytes"], r["n_removed"], r["n_spans"], hashlib.sha256(r["kept"]).hexdigest()) for r in got} == want
+    # rows without an id and rows that share one are documents like any others
+    got = repeat_removal.remove_repeats(docs(spark, [word(30), shared, shared, word(30)], [None, None, 3, 3]), 80).collect()
+    assert sorted(r["n_removed"] for r in got) == [0, 0, len(shared), len(shared)]
     assert repeat_removal.remove_repeats(docs(spark, texts).limit(0), 80).count() == 0
+    with pytest.raises(ValueError):
+        repeat_removal.remove_repeats(docs(spark, texts), 8)
 
 
 def test_components(spark):
