@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import base64
 import heapq
+import json
 import re
 import zlib
 from collections.abc import Iterator
@@ -37,10 +38,11 @@ class ByteTokens:
 
     The rank file holds the same vocabulary and merges as the tokenizers file beside it, so ids are equal (tests compare
     them). The split pattern looks ahead only to leave a run of white space its last character; a text without two white
-    space characters in a row is split the same way without it, which is much faster.
+    space characters in a row is split the same way without it, which is much faster. Where a text holds one of the
+    tokenizer's added tokens, that is one id, and the parts around it are encoded by themselves.
     """
 
-    def __init__(self, ranks: str, pattern: str):
+    def __init__(self, ranks: str, pattern: str, added: dict[str, int]):
         import tiktoken
 
         with open(ranks, "rb") as lines:
@@ -48,15 +50,28 @@ class ByteTokens:
         self.full = tiktoken.Encoding("full", pat_str=pattern, mergeable_ranks=known, special_tokens={})
         self.fast = tiktoken.Encoding("fast", pat_str=pattern.replace(r"\s+(?!\S)|", ""), mergeable_ranks=known, special_tokens={})
         self.run = re.compile(r"\s\s")
+        self.added = added
+        self.cut = re.compile("|".join(map(re.escape, sorted(added, key=len, reverse=True))) or r"(?!)")
 
     def ids(self, text: str) -> list[int]:
+        if not self.cut.search(text):
+            return self._plain(text)
+        out, at = [], 0
+        for found in self.cut.finditer(text):
+            out += [*self._plain(text[at : found.start()]), self.added[found[0]]]
+            at = found.end()
+        return out + self._plain(text[at:])
+
+    def _plain(self, text: str) -> list[int]:
         return (self.full if self.run.search(text) else self.fast).encode_ordinary(text)
 
 
-def tokenizer(name: str = "byte_bpe_50k.tiktoken") -> ByteTokens:
+def tokenizer(name: str = "byte_bpe_50k") -> ByteTokens:
     import public_tokenizers
 
-    return ByteTokens(public_tokenizers.path(name), public_tokenizers.PATTERN)
+    with open(public_tokenizers.path(f"{name}.json")) as whole:
+        added = {x["content"]: x["id"] for x in json.load(whole)["added_tokens"]}
+    return ByteTokens(public_tokenizers.path(f"{name}.tiktoken"), public_tokenizers.PATTERN, added)
 
 
 def assign(lengths: list[int], capacity: int = CAPACITY) -> list[tuple[int, int, int, int]]:
@@ -113,7 +128,7 @@ def assign(lengths: list[int], capacity: int = CAPACITY) -> list[tuple[int, int,
     return out
 
 
-def pack(docs: DataFrame, name: str = "byte_bpe_50k.tiktoken", capacity: int = CAPACITY, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def pack(docs: DataFrame, name: str = "byte_bpe_50k", capacity: int = CAPACITY, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per piece: doc_id, start, length, ids (little-endian 32 bits each), doc_tokens, sequence_id, offset.
 
     Null and empty texts have the end id alone. Every row of docs is packed, rows of one id each for themselves; other

@@ -219,8 +219,7 @@ def test_packing(spark, rows):
     from tokenizers import Tokenizer
 
     t = Tokenizer.from_file(public.path("byte_bpe_50k.json"))
-    t.encode_special_tokens = True
-    texts = [*TEXTS, "two  blanks \n\n and <|endoftext|>", " x  y "]
+    texts = [*TEXTS, "two  blanks \n\n and <|endoftext|>", " x  y ", "a <|endoftext|> b", "<|endoftext|><|endoftext|>  c", "<|endoftext| >"]
     want = {d: [*t.encode(x or "", add_special_tokens=False).ids, 0] for d, x in enumerate(texts)}
     got = packing.pack(docs(spark, texts), capacity=64).collect()
     for d, ids in want.items():
@@ -232,6 +231,8 @@ def test_packing(spark, rows):
             assert r["offset"] == at
             at += r["length"]
         assert at <= 64
+    again = packing.pack(docs(spark, ["a b", None, "a b"], [None, 7, 7])).collect()  # rows without an id, rows that share one
+    assert sorted(((r["doc_id"] is None, r["doc_tokens"]) for r in again)) == [(False, 1), (False, 3), (True, 3)]
     first = packing.digest(packing.pack(docs(spark, ["a"]))).first()
     assert first["ids_crc32"] == zlib.crc32(np.array([*t.encode("a").ids, 0], dtype="<u4").tobytes())
     assert packing.pack(rows.limit(0)).count() == 0
