@@ -1,7 +1,9 @@
 """The corpus pipeline: quality rules, line dedup, near-duplicate removal, mixing, packing.
 
 Each stage takes (spark, docs, sf_dir) and works on all rows that its predecessor kept; all but the last return the
-columns of documents. Stages are written as Parquet in the shared folder and read again.
+columns of documents, other columns are not read. Stages are written as Parquet in the shared folder and read again; a
+stage's table is deleted once its successor's is written. Rows are kept by their own verdict, so null and repeated ids
+are rows like any others; null and empty texts fail the base rules of the first stage. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -10,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from postmill.llm import jaccard_join, line_dedup, mixing, packing, quality_rules
-from postmill.llm.common import stored, table
+from postmill.llm.common import discard, stored, table
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
@@ -39,7 +41,8 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     # the null flags keep a value of one column from standing for that of the next
     whole = F.xxhash64(*[x for c in COLUMNS for x in (F.col(c).isNull(), F.col(c))]).bitwiseAND(F.lit((1 << 63) - 1))
     own = F.when(F.col("doc_id").isNotNull() & F.col("again").isNull(), F.col("doc_id")).otherwise(whole)
-    rows = docs.join(repeated, F.col("doc_id") == F.col("again"), "left").select(*COLUMNS, own.alias("row"))
+    docs = docs.join(repeated, F.col("doc_id") == F.col("again"), "left") if repeated.limit(1).count() else docs.withColumn("again", F.lit(None))
+    rows = docs.select(*COLUMNS, own.alias("row"))
     classes, _ = jaccard_join.jaccard_classes(rows, id_col="row")
     classes = classes.groupBy(F.col("doc_id").alias("row")).agg(F.first("n_shingles").alias("n"), F.first("component_id").alias("component"), F.count("*").alias("copies"))
     ids = rows.select("row", "doc_id").groupBy("row").agg(F.first("doc_id").alias("doc_id"))
@@ -53,7 +56,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The mix of the sources at their targets: a document is a row for each time that it is taken."""
-    return mixing.mixture(mixing.mix(docs)).select(*COLUMNS)
+    return mixing.mixture(mixing.mix(docs)).select(*[f"record.{c}" for c in COLUMNS])
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -72,6 +75,10 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
+    before = None
     for name, stage in STAGES[:-1]:
         docs = stored(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+        if before:
+            discard(before)
+        before = docs
     return STAGES[-1][1](spark, docs, sf_dir)

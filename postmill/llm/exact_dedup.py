@@ -15,9 +15,9 @@ from pyspark.sql import functions as F
 
 from .common import table
 
-#: A text is heavy if at least 1/HEAVY_PARTS of all rows hold it, so at most HEAVY_PARTS texts are heavy.
-HEAVY_PARTS = 1000
-HEAVY_LEAST = 64
+#: A text is heavy if 1/HEAVY_PARTS of all rows hold it, or HEAVY_MOST rows, but for fewer than HEAVY_LEAST rows or
+#: 1/HEAVY_BOUND of all: a task never gets many more copies than HEAVY_MOST, and HEAVY_BOUND texts are heavy at most.
+HEAVY_PARTS, HEAVY_LEAST, HEAVY_MOST, HEAVY_BOUND = 1000, 64, 10_000, 1_000_000
 SALTS = 128
 #: Characters of the text in the sort key; ties are ordered by hash, then compared whole.
 PREFIX = 48
@@ -31,9 +31,10 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     """
     rows = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     rows = rows.withColumn("h", F.xxhash64("text"))
-    limit = max(HEAVY_LEAST, rows.count() // HEAVY_PARTS)
+    total = rows.count()
+    limit = max(HEAVY_LEAST, min(total // HEAVY_PARTS, HEAVY_MOST), total // HEAVY_BOUND)
     heavy = rows.groupBy("h").count().where(F.col("count") >= limit).select("h", F.lit(True).alias("heavy"))
-    salted = rows.join(F.broadcast(heavy), "h", "left").withColumn(  # at most HEAVY_PARTS rows, by the limit above
+    salted = rows.join(F.broadcast(heavy), "h", "left").withColumn(  # HEAVY_BOUND rows at most, by the limit above
         "salt", F.when(F.col("heavy"), F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)) + 1).otherwise(F.lit(0).cast("long"))
     )
     key = [F.substring("text", 1, PREFIX).alias("prefix"), "h", "salt"]
@@ -50,14 +51,14 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
         F.count(F.lit(1)).over(whole).alias("run_size"),
         F.row_number().over(near).alias("place"),
     )
-    # survivors of the salted runs: at most HEAVY_PARTS * SALTS rows, compared by their whole text
+    # survivors of the salted runs: at most HEAVY_BOUND * SALTS rows, compared by their whole text
     merged = (
         runs.where("salt > 0 and place = 1").groupBy("text")
         .agg(F.max("run_keep").alias("all_keep"), F.sum("run_size").alias("all_size"))
         .select(F.sha2("text", 256).alias("text_sha256"), "all_keep", "all_size")
     )
     out = runs.select("doc_id", "salt", "run_keep", "run_size", "place", F.sha2("text", 256).alias("text_sha256"))
-    out = out.join(F.broadcast(merged), "text_sha256", "left")  # at most HEAVY_PARTS rows
+    out = out.join(F.broadcast(merged), "text_sha256", "left")  # HEAVY_BOUND rows at most
     keep = F.when(F.col("salt") > 0, F.col("all_keep")).otherwise(F.col("run_keep"))
     return out.select(
         "doc_id", keep.alias("keep_id"),

@@ -42,7 +42,7 @@ def keys_of(text: str | None, min_chars: int = MIN_CHARS) -> list[bytes | None]:
 
 
 def line_keys(docs: DataFrame, min_chars: int = MIN_CHARS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, key): the distinct line keys of each document."""
+    """(doc_id, key): the distinct line keys of each row."""
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -56,6 +56,16 @@ def line_keys(docs: DataFrame, min_chars: int = MIN_CHARS, id_col: str = "doc_id
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), text_col).mapInArrow(emit, "doc_id long, key binary")
 
 
+def document_keys(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
+    """(doc_id, key): the distinct line keys of each document. Rows that share an id are one document, rows without one each their own."""
+    again = docs.where("doc_id is not null").groupBy(F.col("doc_id").cast("long").alias("again")).count().where("count > 1").select("again")
+    if not again.limit(1).count():
+        return line_keys(docs, min_chars)
+    again = stored(again, "repeated-ids")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(again, F.col("doc_id") == F.col("again"), "left")
+    return line_keys(rows.where("again is null"), min_chars).unionByName(line_keys(rows.where("again is not null"), min_chars).distinct())
+
+
 def shard_of(shards: int):
     return F.pmod(F.conv(F.substring(F.hex("key"), 1, 12), 16, 10).cast("long"), F.lit(shards)).cast("int").alias("shard")
 
@@ -72,16 +82,16 @@ class LineState:
 
     @classmethod
     def build(cls, docs: DataFrame, min_docs: int = MIN_DOCS, min_chars: int = MIN_CHARS) -> LineState:
-        """State of all rows of docs. Each row is one document; null text is one empty line; null ids are never holders."""
-        refs = line_keys(docs, min_chars).groupBy("key").agg(F.count("*").alias("refs"), F.max("doc_id").alias("holder"))
+        """State of all rows of docs. Rows of one id are one document; null text is one empty line; null ids are never holders."""
+        refs = document_keys(docs, min_chars).groupBy("key").agg(F.count("*").alias("refs"), F.max("doc_id").alias("holder"))
         refs = stored(refs, "line-refs")
         shards = max(4, -(-refs.count() // SHARD_KEYS))
         made = refs.where(F.col("refs") >= min_docs).select(shard_of(shards), "key").groupBy("shard").applyInArrow(_make, "shard int, data binary")
         return cls(refs, stored(made, "line-filters"), shards, min_docs, min_chars)
 
     def insert(self, docs: DataFrame) -> LineState:
-        """State after docs came in, in time that follows docs and the two tables, not the documents seen before."""
-        more = line_keys(docs, self.min_chars).groupBy("key").agg(F.count("*").alias("d"), F.max("doc_id").alias("h"))
+        """State after docs, of ids not seen before, came in, in time that follows docs and the two tables, not the documents seen before."""
+        more = document_keys(docs, self.min_chars).groupBy("key").agg(F.count("*").alias("d"), F.max("doc_id").alias("h"))
         return self._changed(more)
 
     def delete(self, docs: DataFrame, remaining: DataFrame) -> LineState:
@@ -90,7 +100,7 @@ class LineState:
         Of remaining only the lines whose holder went are counted again. Inserting and then deleting the same documents
         gives the state before, filters' free cells included in meaning if not in place.
         """
-        gone = line_keys(docs, self.min_chars)
+        gone = document_keys(docs, self.min_chars)
         less = gone.groupBy("key").agg((-F.count("*")).alias("d"), F.max("doc_id").alias("g"))
         lost = self.references.join(less, "key").where(F.col("refs") + F.col("d") > 0).where(F.col("holder") == F.col("g")).select("key")
         fresh = line_keys(remaining, self.min_chars).join(lost, "key", "left_semi").groupBy("key").agg(F.max("doc_id").alias("h"))

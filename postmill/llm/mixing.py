@@ -76,7 +76,7 @@ def mix(docs: DataFrame, shards: int = SHARDS, seed: int = SEED, id_col: str = "
     """
     key = F.when(F.col(id_col).isNotNull(), F.xxhash64(F.lit(seed), F.col(id_col))).otherwise(F.xxhash64(F.lit(seed), F.col(text_col)))
     rows = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("record"), F.col(source_col).cast("string").alias("source"), words(F.col(text_col)).alias("size"), key.alias("key"))
-    facts = rows.select("source", "size", "key")
+    facts = stored(rows.select("source", "size", "key"), "mix-facts")
     # one row per source
     sums = sorted(facts.groupBy("source").agg(F.sum("size").alias("size"), F.count("*").alias("n")).collect(), key=lambda r: (r[0] is None, r[0] or ""))
     goal = targets([r["size"] for r in sums])
@@ -119,8 +119,12 @@ def mix(docs: DataFrame, shards: int = SHARDS, seed: int = SEED, id_col: str = "
 
 
 def mixture(mixed: DataFrame) -> DataFrame:
-    """The records of the mix: shard, key and the columns of the documents; a shard's order is that of key."""
-    return mixed.select("record", F.explode("draws").alias("draw")).select("draw.shard", "draw.key", "record.*")
+    """The records of the mix: (shard, key, record), record with all columns of the documents, dealt by ranges of shard and key.
+
+    A shard's draws come from all sources and blocks; ordered by key, which is a hash of the draw, they are shuffled.
+    """
+    drawn = mixed.select("record", F.explode("draws").alias("draw")).select("draw.shard", "draw.key", "record")
+    return drawn.repartitionByRange("shard", "key").sortWithinPartitions("shard", "key")
 
 
 def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -84,17 +84,25 @@ def _archive(part: int, n: int, content: bytes) -> pa.RecordBatch:
 
 
 def inflated(content: bytes) -> Iterator[bytes]:
-    """The plain bytes of a gzip file, of one member or of many, in blocks."""
-    unzip = zlib.decompressobj(31)
-    while content:
-        data = unzip.decompress(content, BLOCK)
-        content = unzip.unconsumed_tail or unzip.unused_data
-        if unzip.eof:
-            unzip = zlib.decompressobj(31)
-        if data:
-            yield data
-    while tail := unzip.decompress(unzip.unconsumed_tail, BLOCK):
-        yield tail
+    """The plain bytes of a gzip file, of one member or of many, in blocks; a member that is cut off raises."""
+    whole, unzip = memoryview(content), None
+    for lo in range(0, len(content), BLOCK):
+        data = bytes(whole[lo : lo + BLOCK])
+        while data:
+            unzip = unzip or zlib.decompressobj(31)
+            plain = unzip.decompress(data, 4 * BLOCK)
+            data = unzip.unused_data if unzip.eof else unzip.unconsumed_tail
+            if plain:
+                yield plain
+            if unzip.eof:
+                unzip = None
+            elif not data:
+                while plain := unzip.decompress(b"", 4 * BLOCK):
+                    yield plain
+                if unzip.eof:
+                    unzip = None
+    if unzip:
+        raise ValueError("the archive ends within a gzip member")
 
 
 def records(blocks: Iterator[bytes]) -> Iterator[bytes]:

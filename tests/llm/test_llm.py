@@ -62,6 +62,14 @@ def test_line_dedup(spark, rows):
     assert line_dedup.LineState.build(rows.limit(0)).clean(rows.limit(0)).count() == 0
 
 
+def test_line_dedup_counts_documents(spark):
+    same = docs(spark, [f"{LINE}\na", f"{LINE}\nb", f"{LINE}\nc"], [1, 1, 2])  # two documents hold the line
+    assert {r["n_dropped"] for r in line_dedup.LineState.build(same).clean(same).collect()} == {0}
+    three = docs(spark, [f"{LINE}\na", f"{LINE}\nb", f"{LINE}\nc", LINE, LINE], [1, 1, 2, None, None])
+    got = line_dedup.LineState.build(three).clean(three).select("record.doc_id", "n_dropped").collect()
+    assert sorted((r["doc_id"] or 0, r["n_dropped"]) for r in got) == [(0, 1), (0, 1), (1, 1), (1, 1), (2, 0)]
+
+
 def test_line_dedup_is_reversible(spark, rows):
     before = line_dedup.LineState.build(rows)
     extra = docs(spark, [f"{LINE}\nq", "another line that is quite long\n"] * 3, list(range(100, 106)))
@@ -181,6 +189,40 @@ def test_jaccard_join(spark, rows):
     got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in jaccard_join.jaccard_classes(docs(spark, texts))[0].collect()}
     assert got == {d: (len(s), root[d]) for d, s in enumerate(sets)}
     assert len(set(root[len(TEXTS) :])) < 25
+    assert jaccard_join.jaccard_classes(rows.limit(0))[0].count() == 0
+
+
+def test_jaccard_join_with_repeated_and_missing_ids(spark):
+    other = " ".join(f"v{i}" for i in range(120))
+    d = docs(spark, [WORDS, other, WORDS + " more", other, WORDS, None, "alone by itself here now"], [5, 5, 7, None, None, 3, None])
+    got = jaccard_join.jaccard_classes(d)[0].collect()
+    assert sorted((r["n_shingles"], r["component_id"] or 0) for r in got) == [(0, 3), (1, 0), (116, 5), (116, 5), (116, 5), (116, 5), (117, 5)]
+
+
+def test_jaccard_join_keeps_apart_words_that_polynomials_confuse(spark):
+    word = "a"
+    for _ in range(10):  # the Thue-Morse word and its complement
+        word += word.translate({97: 98, 98: 97})
+    d = docs(spark, [word, word.translate({97: 98, 98: 97}), word.upper()])
+    assert {r["doc_id"]: r["component_id"] for r in jaccard_join.jaccard_classes(d)[0].collect()} == {0: 0, 1: 1, 2: 0}
+
+
+def test_jaccard_join_in_small_blocks(spark, monkeypatch):
+    rng = np.random.default_rng(11)
+    base = [[f"c{c}w{i}" for i in range(60)] for c in range(4)]
+    texts = []
+    for k in range(80):
+        w = [x if rng.random() > 0.06 else f"n{rng.integers(0, 30)}" for x in base[k % 4]]
+        texts.append(" ".join(w[: 60 - k % 3]))
+    sets = [{tuple(t.split()[i : i + 5]) for i in range(len(t.split()) - 4)} for t in texts]
+    root = list(range(80))
+    for a in range(80):
+        for b in range(a):
+            if 100 * len(sets[a] & sets[b]) >= 75 * len(sets[a] | sets[b]):
+                root = [min(root[a], root[b]) if r in (root[a], root[b]) else r for r in root]
+    monkeypatch.setattr(jaccard_join, "BLOCK", 3)
+    monkeypatch.setattr(jaccard_join, "ROUND_LEAST", 0)
+    assert [r["component_id"] for r in jaccard_join.jaccard_classes(docs(spark, texts))[0].orderBy("doc_id").collect()] == root
 
 
 def test_mixing(spark):
@@ -210,6 +252,13 @@ def test_warc_round_trip(spark):
     again = warc.normalise(members.select("archive", "content"))  # archives of many members are read too
     assert sorted(again.select("index").collect()) == sorted(members.select("index").collect())
     assert b"".join(warc.inflated(whole.first()["content"])).startswith(b"WARC/1.1\r\n")
+    assert warc.read(warc.normalise(warc.write_monolithic(warc.classify(pages.limit(0))))).count() == 0
+    long = zlib.compressobj(9, zlib.DEFLATED, 31)
+    long = long.compress(b"a" * 5_000_000) + long.flush()
+    assert sum(map(len, warc.inflated(long))) == 5_000_000 and sum(map(len, warc.inflated(long + long))) == 10_000_000
+    for cut in (4, 9, len(long) - 20):  # within the trailer and before
+        with pytest.raises(ValueError):
+            list(warc.inflated(long[:-cut]))
     with pytest.raises(ValueError):
         list(warc.records(iter([b"WARC/1.1\r\nContent-Length: 9\r\n\r\nab"])))
 
