@@ -51,6 +51,8 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     kept = classes.join(least.select(F.col("least.row").alias("row"), F.lit(True).alias("first")), "row", "left").where("n = 0 or first")
     kept = stored(kept.select("row", ((F.col("n") > 0) & (F.col("copies") > 1)).alias("once")), "kept")
     found = rows.join(kept, "row")
+    if not kept.where("once").limit(1).count():
+        return found.select(*COLUMNS)
     return found.where("not once").select(*COLUMNS).unionByName(found.where("once").dropDuplicates(["row"]).select(*COLUMNS))
 
 

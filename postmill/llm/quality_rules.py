@@ -21,7 +21,7 @@ SYMBOLS = "[#*$%&|<>]"
 STATISTICS = ("words", "word_length", "symbols", "dup_lines", "repeats", "upper", "stops", "digits", "distinct", "line_words")
 #: Labelled rows that the learner sees at most: those of least hash. It bounds the learner's tables, not what is filtered.
 MAX_LABELLED = 8_000
-BINS, MAX_RULES, MAX_CONDITIONS = 24, 12, 3
+BINS = 24
 #: A rule stays if this share of what it covers in the pruning rows is junk, and it covers so many of them.
 LEAST_PRECISION, LEAST_COVER = 0.9, 4
 
@@ -133,7 +133,7 @@ def learn_rules(known: DataFrame) -> list[Rule]:
 
     of = F.explode(F.array(*[F.struct(F.lit(k).alias("k"), bin_of(s).alias("bin")) for k, s in enumerate(STATISTICS)])).alias("b")
     rules: list[Rule] = []
-    while len(rules) < MAX_RULES:
+    while True:  # a rule covers rows that no rule before it did, so there are at most as many as rows
         rest = known
         for r in rules:
             rest = rest.where(~_both(r))
@@ -146,7 +146,7 @@ def learn_rules(known: DataFrame) -> list[Rule]:
 
 def grow(rows: DataFrame, cuts: dict[str, list[float]], of: Column) -> Rule:
     rule: Rule = ()
-    while len(rule) < MAX_CONDITIONS:
+    while True:  # each condition leaves fewer rows that aren't junk
         counts: dict[int, dict[int, list[int]]] = {}
         seen = rows.where(_both(rule)).select("junk", of).groupBy("b.k", "b.bin").agg(F.count_if("junk").alias("p"), F.count_if(~F.col("junk")).alias("n"))
         for k, b, p, n in seen.collect():  # bins, not rows
@@ -163,7 +163,7 @@ def grow(rows: DataFrame, cuts: dict[str, list[float]], of: Column) -> Rule:
                 dp, dn = counts[k].get(b, (0, 0))
                 p, n = p + dp, n + dn
                 for above, x, y in ((False, p, n), (True, p0 - p, n0 - n)):
-                    if x and (gain := x * (math.log2(x / (x + y)) - before)) > best_gain * (1 + 1e-9):
+                    if x and y < n0 and (gain := x * (math.log2(x / (x + y)) - before)) > best_gain * (1 + 1e-9):
                         best, best_gain = Condition(s, above, cut), gain
         if best is None:
             break

@@ -111,6 +111,22 @@ def test_quality_rules_learn(spark):
     assert quality_rules.learn_rules(quality_rules.labelled_statistics(d, labels.limit(0))) == []
 
 
+def held_out(spark, sf="/root/testdata/sf0.01"):
+    """Documents and labels of the test tables, and the ids of a third of the labelled ones that nothing is learned from."""
+    docs, labels = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet")
+    away = F.pmod(F.xxhash64(F.lit("held"), F.col("doc_id")), F.lit(3)) == 0
+    return docs, labels.where(~away), labels.where(away)
+
+
+def test_quality_rules_on_held_out_documents(spark):
+    d, known, away = held_out(spark, "/root/testdata/sf0.1")
+    learned = quality_rules.learn_rules(quality_rules.labelled_statistics(d, known))
+    judged = quality_rules.judge(d.join(away, "doc_id"), learned).join(away, "doc_id").where("not base_failed")
+    got = {(r["quality"], r["kept"]): r["count"] for r in judged.groupBy("quality", "kept").count().collect()}
+    junk, good = got.get((0, False), 0) + got.get((0, True), 0), got.get((1, False), 0) + got.get((1, True), 0)
+    assert junk and got.get((0, False), 0) >= 0.9 * junk and got.get((1, False), 0) <= 0.02 * good, got
+
+
 def test_suffix_array():
     rng = np.random.default_rng(3)
     for _ in range(150):
