@@ -75,7 +75,7 @@ def current_version(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _FETCH = """with f as (
-    select event_id as id, user_id as endpoint_id, ts as finished_at, ts - interval 30 second as started_at,
+    select event_id as id, user_id as endpoint_id, ts as finished_at, ts - interval 1 day as started_at,
            case when event_type = (select min(event_type) from events) then 304 else 200 end as http_status,
            event_type <> (select max(event_type) from events) as complete, cast(floor(value) as bigint) as seen,
            json_extract_string(props, '$.k') as etag from events)
@@ -88,7 +88,7 @@ def fetches(spark: SparkSession, sf_dir: str) -> DataFrame:
     ends = e.agg(F.min("event_type").alias("lo"), F.max("event_type").alias("hi"))
     at = F.col("ts").cast("timestamp")
     return e.join(F.broadcast(ends), F.lit(True)).select(  # one row
-        F.col("event_id").alias("id"), F.col("user_id").alias("endpoint_id"), at.alias("finished_at"), (at - F.expr("interval 30 seconds")).alias("started_at"),
+        F.col("event_id").alias("id"), F.col("user_id").alias("endpoint_id"), at.alias("finished_at"), (at - F.expr("interval 1 day")).alias("started_at"),
         F.when(F.col("event_type") == F.col("lo"), 304).otherwise(200).alias("http_status"), (F.col("event_type") != F.col("hi")).alias("complete"),
         F.floor("value").alias("seen"), F.get_json_object("props", "$.k").alias("etag"),
     )
@@ -97,9 +97,9 @@ def fetches(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(_FETCH + """
 select f.id, round(cast(sum(cast(p.seen as decimal(20,4))) as double) / count(p.seen), 6) as prior_avg,
        any_value(f.complete) and any_value(f.seen) = 0 and coalesce(round(cast(sum(cast(p.seen as decimal(20,4))) as double) / count(p.seen), 6) > 20, false) as suspicious_zero
-from f left join f p on p.endpoint_id = f.endpoint_id and p.complete and p.finished_at < f.finished_at group by f.id""")
+from f left join f p on p.endpoint_id = f.endpoint_id and p.complete and p.http_status = 200 and p.finished_at <= f.started_at and p.id <> f.id group by f.id""")
 def suspicious_zero(spark: SparkSession, sf_dir: str) -> DataFrame:
-    f = fetches(spark, sf_dir).withColumn("finished_us", F.unix_micros("finished_at"))
+    f = fetches(spark, sf_dir).withColumn("finished_us", F.unix_micros("finished_at")).withColumn("started_us", F.unix_micros("started_at"))
     return history.prior_average(f, 20).select("id", "prior_avg", "suspicious_zero")
 
 
@@ -428,6 +428,6 @@ def delete_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def named_scope(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Lists of regions in the texts, with region names and default prefixes as a policy would give them."""
-    found = scopes.named_scopes(F.col("text"), ("us", "usa", "united states"), ("canada", "europe", "united kingdom"))
+    """Lists of regions in the texts, with region names and prefixes as a policy would give them."""
+    found = scopes.named_scopes(F.col("text"), ("us", "usa", "united states"), ("canada", "europe", "united kingdom"), ("work from", "based in", "remote in"))
     return read(spark, sf_dir, "documents").select("doc_id", found.alias("s")).select("doc_id", "s.included", "s.excluded")

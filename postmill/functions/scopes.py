@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import re
-from itertools import product
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -13,21 +12,6 @@ GAP = r"(?: | [,;/|] )"
 _RUN = r"(?<![^\p{L}\p{N}])[^\p{L}\p{N}]*"
 
 
-def prefixes() -> tuple[str, ...]:
-    """The phrases that a list of regions may follow, by rule: who, what is asked of them, and in or within."""
-    near = ("in", "within")
-    asked = [f"{who} {must} {what}" for who, must in product(("candidates", "applicants", "this role"), ("must", "required to")) for what in ("be located", "be based", "reside")]
-    opened = [f"{how} to {who}" for how, who in product(("open", "available"), ("candidates", "applicants"))]
-    return (*(f"remote {w}" for w in (*near, "across", "throughout")), *(f"{a} {w}" for a, w in product([*opened, *asked], near)))
-
-
-def broad_prefixes() -> tuple[str, ...]:
-    """The phrases that a broad region may follow, by rule; those that begin with `remote` come first."""
-    jobs, who = ("role", "position", "job"), ("candidates", "applicants")
-    placed = [f"{w} {may} {what}" for w, may, what in product(who, ("may", "can", "must"), ("be located", "be based", "reside", "apply"))]
-    return ("remote", *(f"remote {j}" for j in jobs), *(f"this {j} is remote" for j in jobs), *(f"{how} to {w}" for how, w in product(("open", "available"), who)), *placed)
-
-
 def marked(text: Column) -> Column:
     """Lower-case tokens with one mark between: a blank, or the kind of gap among , ; / | and . for the end of a segment."""
     t = F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), r"(?<=[\p{L}\p{N}])'(?=[\p{L}\p{N}])", "")
@@ -43,26 +27,26 @@ def _words(phrases: tuple[str, ...]) -> str:
     return "(?:" + "|".join(GAP.join(map(re.escape, p.split())) for p in longest_first) + ")"
 
 
-def broad_scope(text: Column, broad: tuple[str, ...], after: tuple[str, ...] | None = None) -> Column:
-    """True if a broad region follows one of the prefixes, with one connector between or none, all in one segment."""
-    if not broad:
+def broad_scope(text: Column, broad: tuple[str, ...], after: tuple[str, ...]) -> Column:
+    """True if a broad region follows one of the prefixes `after`, with one connector between or none, all in one segment."""
+    if not broad or not after:
         return F.lit(False)
-    return marked(text).rlike(rf"(?:^| ){_words(after or broad_prefixes())}(?:{GAP}(?:in|within|across|throughout|from))?{GAP}{_words(broad)}(?: |$)")
+    return marked(text).rlike(rf"(?:^| ){_words(after)}(?:{GAP}(?:in|within|across|throughout|from))?{GAP}{_words(broad)}(?: |$)")
 
 
-def named_scopes(text: Column, inside: tuple[str, ...], outside: tuple[str, ...], after: tuple[str, ...] | None = None) -> Column:
+def named_scopes(text: Column, inside: tuple[str, ...], outside: tuple[str, ...], after: tuple[str, ...]) -> Column:
     """struct(included, excluded): whether a list names a region of `inside`; whether lists name only regions of `outside`.
 
-    A list follows one of the prefixes in the same segment. Items are separated by a comma, semicolon or slash, with `and`
+    A list follows one of the prefixes `after` in the same segment. Items are separated by a comma, semicolon or slash, with `and`
     or `or` or without, or by `and` or `or` alone; anything else after an item in the segment voids the whole list. Of each
     prefix the first list that holds counts. Null text and no regions: neither.
     """
-    if not inside and not outside:
+    if not after or not inside and not outside:
         return F.struct(F.lit(False).alias("included"), F.lit(False).alias("excluded"))
     item, ands = _words((*inside, *outside)), "(?:and|or)"
     separator = rf"(?: [,;/] (?:{ands} )?| {ands} )"
     end = rf"(?=$| \.|(?: | [,;/] ){ands}(?:$| [.,;/|]))"
-    found = rf"(?<=^| )({_words(after or prefixes())}){GAP}({item}(?:{separator}{item})*){end}"
+    found = rf"(?<=^| )({_words(after)}){GAP}({item}(?:{separator}{item})*){end}"
     t = marked(text)
     both = F.arrays_zip(F.transform(F.regexp_extract_all(t, F.lit(found), F.lit(1)), lambda p: F.regexp_replace(p, r" [,;/|] ", " ")).alias("p"), F.regexp_extract_all(t, F.lit(found), F.lit(2)).alias("l"))
     firsts = F.filter(both, lambda x, i: F.array_position(F.transform(both, lambda y: y["p"]), x["p"]) == i + 1)

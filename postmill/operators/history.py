@@ -7,16 +7,27 @@ from pyspark.sql import functions as F
 
 
 def prior_average(fetches: DataFrame, threshold: float) -> DataFrame:
-    """For each attempt the mean of `seen` over the endpoint's complete attempts that had finished before it started.
+    """For each attempt the mean of `seen` over the endpoint's complete attempts with status 200 that had finished when it started.
 
     Adds prior_avg (null without history) and suspicious_zero: complete, nothing seen, yet the mean is above threshold.
-    A range frame over the finish times does it in one sort for each endpoint, with no self join.
+    Starts and finishes (started_us, finished_us) are put in one order for each endpoint, where a finish comes before a
+    start of the same time; a running sum over the finishes is then read at each start. No self join is needed.
     """
-    before = Window.partitionBy("endpoint_id").orderBy("finished_us").rangeBetween(Window.unboundedPreceding, -1)
-    counted = F.when(F.col("complete"), F.col("seen"))
-    # order-independent sums: exact in any order
-    total, n = F.sum(counted.cast("decimal(20,4)")).over(before), F.count(counted).over(before)
-    out = fetches.withColumn("prior_avg", F.round(total.cast("double") / F.when(n > 0, n), 6))
+    columns = [fetches[c] for c in fetches.columns]
+    counted = F.when(F.col("complete") & (F.col("http_status") == 200), F.col("seen")).cast("decimal(20,4)")
+    none = F.lit(None)
+    moments = F.array(
+        F.struct(F.col("finished_us").alias("at"), F.lit(0).alias("kind"), counted.alias("value")), F.struct(F.col("started_us").alias("at"), F.lit(1).alias("kind"), none.cast("decimal(20,4)").alias("value"))
+    )
+    rows = fetches.select("endpoint_id", F.struct(*columns).alias("fetch"), F.explode(moments).alias("m")).where("m.at is not null or m.kind = 1")
+    rows = rows.select("endpoint_id", F.when(F.col("m.kind") == 1, F.col("fetch")).alias("fetch"), "m")
+    upto = Window.partitionBy("endpoint_id").orderBy("m.at", "m.kind").rowsBetween(Window.unboundedPreceding, 0)
+    # decimal sums: exact in any order
+    rows = rows.select("fetch", "m.kind", F.sum("m.value").over(upto).alias("total"), F.count("m.value").over(upto).alias("n")).where("kind = 1").select("fetch.*", "total", "n")
+    # an attempt that finished at its own start is no history of itself
+    own = F.coalesce((F.col("finished_us") <= F.col("started_us")) & F.col("complete") & (F.col("http_status") == 200) & F.col("seen").isNotNull(), F.lit(False))
+    total, n = F.col("total") - F.when(own, F.col("seen").cast("decimal(20,4)")).otherwise(0), F.col("n") - own.cast("int")
+    out = rows.withColumn("prior_avg", F.round(total.cast("double") / F.when(n > 0, n), 6)).drop("total", "n")
     return out.withColumn("suspicious_zero", F.col("complete") & (F.col("seen") == 0) & F.coalesce(F.col("prior_avg") > threshold, F.lit(False)))
 
 

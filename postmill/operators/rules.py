@@ -19,6 +19,7 @@ from ..functions import scopes
 from ..functions import tokens as T
 from . import runs
 
+# fixed values: the rules and their order
 RULES = ("title", "seniority", "discipline", "remote", "geography", "clearance", "stale", "actioned", "company")
 
 
@@ -38,6 +39,9 @@ class Policy:
     broad: tuple[str, ...] = ()
     named_inside: tuple[str, ...] = ()
     named_outside: tuple[str, ...] = ()
+    #: The phrases that a list of named regions, and a broad region, may follow; those that begin with `remote` also make a remote scope.
+    list_after: tuple[str, ...] = ()
+    broad_after: tuple[str, ...] = ()
     included_codes: tuple[str, ...] = ("US",)
     clearance: tuple[str, ...] = ("security clearance",)
     clearance_waived: tuple[str, ...] = ("no security clearance",)
@@ -64,11 +68,43 @@ def independent(fields: tuple[Column, ...], phrases: tuple[str, ...], longer: tu
 
 def scoped_remote(texts: tuple[Column, ...], p: Policy) -> Column:
     """True if a broad region or a list of named ones follows `remote`."""
-    broad = [scopes.broad_scope(t, p.broad, tuple(x for x in scopes.broad_prefixes() if x.startswith("remote"))) for t in texts]
-    named = [scopes.named_scopes(t, p.named_inside, p.named_outside, tuple(x for x in scopes.prefixes() if x.startswith("remote"))) for t in texts]
+    broad = [scopes.broad_scope(t, p.broad, _remote(p.broad_after)) for t in texts]
+    named = [scopes.named_scopes(t, p.named_inside, p.named_outside, _remote(p.list_after)) for t in texts]
     return reduce(or_, [*broad, *(n["included"] | n["excluded"] for n in named)])
 
 
+def _remote(phrases: tuple[str, ...]) -> tuple[str, ...]:
+    return tuple(x for x in phrases if x.split()[0] == "remote")
+
+
+# fixed values: the words by which days in an office each week are asked for
+NUMBERS = "1 2 3 4 5 6 7 one two three four five six seven".split()
+OBLIGED = "required must expected attendance".split()
+WEEKLY = ("per week", "a week", "each week", "weekly")
+OFFICE = ("office", "in office", "in the office", "onsite", "on site")
+PRESENT = ("report to the office", "report onsite", "report on site")
+
+
+def weekly_attendance(text: Column) -> Column:
+    """True if a segment asks for a number of days in an office each week.
+
+    Beside the word day or days, in the same segment: a number within two words, a weekly phrase that begins within four, an
+    office phrase within eight (`home office` is none), and anywhere in the segment an obligation or a phrase of presence.
+    """
+    close = lambda day, reach: F.sequence(day - reach, day + reach)
+
+    def asks(words: Column) -> Column:
+        days = F.concat(T.places(words, "day"), T.places(words, "days"))
+        numbers = F.concat(*[T.places(words, n) for n in NUMBERS])
+        weekly = F.concat(*[T.places(words, p) for p in WEEKLY])
+        office = F.concat(F.array_except(T.places(words, "office"), F.transform(T.places(words, "home"), lambda i: i + 1)), *[T.places(words, p) for p in OFFICE[1:]])
+        near = F.exists(days, lambda d: F.arrays_overlap(close(d, 2), numbers) & F.arrays_overlap(close(d, 4), weekly) & F.arrays_overlap(close(d, 8), office))
+        return (F.arrays_overlap(words, F.array(*map(F.lit, OBLIGED))) | T.any_phrase(words, PRESENT)) & near
+
+    candidates = F.filter(T.segments(F.coalesce(text, F.lit(""))), lambda s: F.lower(s).rlike(r"\bdays?\b") & F.lower(s).rlike("week"))
+    return F.exists(F.transform(candidates, T.tokens), asks)
+
+
 def remote_rule(fields: tuple[Column, ...], texts: tuple[Column, ...], workplace: Column, p: Policy) -> Column:
     """The first that holds: attendance rejects; a denial beside an independent positive is unknown; a denial rejects; a positive or a scoped remote passes; else unknown."""
     place = F.lower(F.coalesce(workplace, F.lit("")))
@@ -76,7 +112,7 @@ def remote_rule(fields: tuple[Column, ...], texts: tuple[Column, ...], workplace
     # a positive inside a denial is no positive of its own
     positive = independent(fields, p.remote, p.remote_denied)
     return (
-        F.when(place.isin("hybrid", "on-site", "onsite") | any_field(fields, p.not_remote), "reject").when(denied & (positive | (place == "remote")), "unknown")
+        F.when(place.isin("hybrid", "on-site", "onsite") | any_field(fields, p.not_remote) | reduce(or_, map(weekly_attendance, texts)), "reject").when(denied & (positive | (place == "remote")), "unknown")
         .when(denied, "reject").when(positive | (place == "remote") | scoped_remote(texts, p), "pass").otherwise("unknown")
     )
 
@@ -87,9 +123,9 @@ def geography_rule(fields: tuple[Column, ...], texts: tuple[Column, ...], codes:
     A broad scope passes unless a phrase excludes, whatever the codes. An inclusion inside an exclusion is none. Scopes
     count for each field; over all fields an inclusion outweighs the lists that name others only.
     """
-    named = [scopes.named_scopes(t, p.named_inside, p.named_outside) for t in texts]
+    named = [scopes.named_scopes(t, p.named_inside, p.named_outside, p.list_after) for t in texts]
     listed = reduce(or_, [n["included"] for n in named])
-    broad = reduce(or_, [scopes.broad_scope(t, p.broad) for t in texts])
+    broad = reduce(or_, [scopes.broad_scope(t, p.broad, p.broad_after) for t in texts])
     inside = F.exists(codes, lambda c: c.isin(*p.included_codes)) | independent(fields, p.included_regions, p.excluded_regions) | listed
     excluded = any_field(fields, p.excluded_regions)
     outside = excluded | F.exists(codes, lambda c: c.rlike("^[A-Z]{2}$") & ~c.isin(*p.included_codes)) | (reduce(or_, [n["excluded"] for n in named]) & ~listed)
@@ -114,7 +150,7 @@ def evaluate(listings: DataFrame, policy: Policy, as_of: Column) -> DataFrame:
     verdict = lambda bad, good="pass": F.when(bad, "reject").otherwise(good)
     pairs = F.lit(False)
     for a, b in policy.discipline_pairs:
-        pairs = pairs | T.same_segment(F.coalesce("description", F.lit("")), a, b)
+        pairs = pairs | reduce(or_, [T.same_segment(F.coalesce(x, F.lit("")), a, b) for x in texts])
     t = t.withColumn("remote", remote_rule(fields, texts, F.col("workplace"), policy))
     age = runs.staleness(F.col("published_at"), F.col("first_seen_at"), as_of, policy.max_age_days)
     found = {

@@ -3,7 +3,7 @@ from pyspark.sql import functions as F
 from postmill.functions import canonical as C
 from postmill.functions import tokens as T
 from postmill.functions.markup import markdown
-from postmill.functions.scopes import broad_prefixes, broad_scope, named_scopes
+from postmill.functions.scopes import broad_scope, named_scopes
 from postmill.operators import deletes, documents, history, merge, rules
 
 
@@ -78,8 +78,15 @@ def test_merge(spark):
 
 
 def test_history(spark):
-    f = spark.createDataFrame([(1, 7, 50, True, 10), (2, 7, 0, True, 20), (3, 7, 0, True, 30)], "id long, endpoint_id long, seen long, complete boolean, finished_us long")
-    assert [r["suspicious_zero"] for r in history.prior_average(f, 20).orderBy("id").collect()] == [False, True, True]
+    cases = [
+        (1, 7, 50, True, 0, 10, 200), (2, 7, 0, True, 10, 20, 200),  # 1 had finished when 2 started
+        (3, 7, 0, True, 15, 100, 200), (4, 7, 0, True, 5, 30, 200),  # nothing had finished when 4 started
+        (5, 7, 900, True, 16, 90, 304), (6, 7, 900, False, 17, 91, 200), (7, 7, 0, True, 95, 99, 200), (8, 8, 0, True, 99, 99, 200), (9, 7, 0, True, 40, None, 200),
+    ]
+    f = spark.createDataFrame(cases, "id long, endpoint_id long, seen long, complete boolean, started_us long, finished_us long, http_status int")
+    got = {r["id"]: (r["prior_avg"], r["suspicious_zero"]) for r in history.prior_average(f, 20).collect()}
+    assert got[2] == (50.0, True) and got[3] == (50.0, True) and got[4] == (None, False)
+    assert got[7] == (round(50 / 3, 6), False) and got[8] == (None, False) and got[9] == (round(50 / 3, 6), False) and len(got) == 9
 
 
 def test_rules(spark):
@@ -101,7 +108,7 @@ def test_rules(spark):
 
 def test_named_scopes(spark):
     def found(text):
-        return tuple(one(spark, text, lambda t: named_scopes(t, ("us", "united states"), ("canada", "united kingdom"))))
+        return tuple(one(spark, text, lambda t: named_scopes(t, ("us", "united states"), ("canada", "united kingdom"), ("remote in", "candidates must be based in"))))
 
     assert found("Remote in Canada.") == (False, True)
     assert found("Remote in the moon") == (False, False)
@@ -118,9 +125,9 @@ def test_named_scopes(spark):
 
 def test_broad_scopes(spark):
     def found(text, *after):
-        return one(spark, text, lambda t: broad_scope(t, ("worldwide", "north america"), after or None))
+        return one(spark, text, lambda t: broad_scope(t, ("worldwide", "north america"), after or ("remote", "remote role", "open to candidates", "this job is remote")))
 
-    assert len(set(broad_prefixes())) == 35
+    assert not one(spark, "remote worldwide", lambda t: broad_scope(t, ("worldwide",), ()))
     assert found("Open to candidates worldwide.") and found("Remote (North America)") and found("This job is remote, from\nnorth america!") and found("Remote role across worldwide")
     assert not found("Remote. Worldwide") and not found("Remote in all of north america") and not found("Remote in north. America") and not found("worldwide remote") and not found(None)
     assert not found("Open to candidates worldwide", "remote", "remote role") and found("remote role worldwide", "remote", "remote role")
@@ -129,7 +136,8 @@ def test_broad_scopes(spark):
 def test_rules_by_scope_and_field(spark):
     p = rules.Policy(
         titles=("engineer",), remote=("fully remote",), included_regions=("united states",), excluded_regions=("outside united states", "no united states"),
-        broad=("worldwide",), named_inside=("us",), named_outside=("canada",),
+        broad=("worldwide",), named_inside=("us",), named_outside=("canada",), list_after=("remote in",), broad_after=("remote", "open to candidates"),
+        discipline_pairs=(("cloud", "network"),),
     )
     cases = [
         (1, "Engineer", "Fully remote. Open to candidates worldwide.", ["CA"], "pass", "pass"), (2, "Engineer", "Remote, worldwide", ["CA"], "pass", "pass"),
@@ -144,6 +152,19 @@ def test_rules_by_scope_and_field(spark):
     got = {r["posting_id"]: {o["rule"]: o["status"] for o in r["outcomes"]} for r in rules.evaluate(rows, p, ts(20)).collect()}
     assert {i: (o["remote"], o["geography"]) for i, o in got.items()} == {c[0]: c[4:] for c in cases}
     assert got[9]["clearance"] == "unknown"
+    titled = rules.evaluate(rows.where("posting_id = 1").withColumn("title", F.lit("Engineer cloud network")), p, ts(20)).first()  # a pair may lie in the title
+    assert "discipline" in titled["rejections"]
+
+
+def test_weekly_attendance(spark):
+    def found(text):
+        return one(spark, text, rules.weekly_attendance)
+
+    assert found("You must work three days per week in the office.") and found("Attendance: 2 days weekly, onsite") and found("Report to the office 4 days each week")
+    assert not found("Three days per week in the office.")  # nobody has to
+    assert not found("You must work three days per week in the home office") and not found("You must be here. Three days per week in the office")
+    assert not found("Must have three years of experience; one day a year in the office") and not found("required: many days per week in the office")
+    assert not found(None) and not found("")
 
 
 def test_document_sync(spark):
