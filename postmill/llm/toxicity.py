@@ -1,13 +1,16 @@
 """Toxicity by a weighted finite-state pattern grammar.
 
-Five transducers are composed over a clause. The lexical ones rewrite each word as a symbol: INSULT or THREAT with a
-weight, TARGET (whom it is aimed at), NEGATION, REPORT (speech of others) or nothing. The clause machine reads the symbols
-from left to right; its state is how far back a target and a negation lie and whether speech is reported, and at each
-INSULT or THREAT it emits that symbol's weight into the pattern that its state names: aimed, plain, negated or reported.
-A clause ends at a sentence mark or a line break, and so does the state.
+Six small transducers, each a table of states and symbols, are composed once into one machine: a lexical one rewrites each
+word as a symbol (INSULT or THREAT with a weight, TARGET whom it is aimed at, NEGATION, REPORT of others' speech, END of
+a clause, or nothing); those of target, negation and report remember how far back such a word lies or whether there was
+one; those of insult and threat hold a hit until a target can no longer follow it. A state of the composed machine is a
+state of each. Where a hit is settled, the machine emits the pattern that its state names: aimed, plain, negated or
+reported. A clause's match is the heaviest weight of each pattern in it, and a text is scored by its clauses: for each
+pattern the sum over clauses and the heaviest one.
 
 The insult and threat vocabulary, by word stems, is learned from one part of the labelled rows, the weights of the
-patterns by logistic regression on another part. Nothing but the text enters a score.
+patterns by logistic regression on another part. Nothing but the text enters a score. A hit with no other word of the
+grammar in its clause matches the plain pattern; how much that says is learned like the other weights.
 """
 
 from __future__ import annotations
@@ -22,22 +25,70 @@ from pyspark.sql import functions as F
 
 from .common import stored, table
 
-#: Labelled rows used at most, those of least hash; stems in the lexicon at most; the score from which a text counts as toxic.
-MAX_LABELLED, MAX_STEMS, THRESHOLD = 30_000, 20_000, 0.3
-STEM, LEAST_DOCS, LEAST_ODDS, REACH = 5, 3, 2.5, 4
+#: Labelled rows used at most, those of least hash, which also bounds the lexicon; the score from which a text counts as toxic.
+MAX_LABELLED, THRESHOLD = 30_000, 0.3
+#: REACH: words over which a target or negation before a hit acts on it; AFTER: words within which a target may follow it.
+STEM, LEAST_DOCS, LEAST_ODDS, REACH, AFTER = 5, 3, 2.5, 4, 2
 # fixed values: closed word classes of the four languages
 TARGETS = "you your youre he she they them him her u du dich dir ihr euch er sie tu te toi vous il elle ils elles usted ustedes tú ti él ella ellos vosotros".split()
 NEGATIONS = "not no never neither nor isnt arent wasnt dont doesnt nicht kein keine keinen nie niemals ne pas jamais aucun aucune ni nunca jamás tampoco ningún ninguna".split()
 REPORTS = "said says say told wrote writes called claims claimed quoted according sagte sagt schrieb nannte behauptet laut dit disait écrit appelé selon dijo dice escribió llamó según".split()
 THREATS = "kill hurt destroy beat punch shoot stab burn töten schlagen verletzen vernichten tuer frapper blesser détruire matar golpear herir destruir".split()
-NOTHING, TARGET, NEGATION, REPORT, INSULT, THREAT = range(6)
+NOTHING, TARGET, NEGATION, REPORT, INSULT, THREAT, END = range(7)
 PATTERNS = tuple(f"{k}_{s}" for k in ("insult", "threat") for s in ("plain", "aimed", "negated", "reported"))
 MARKS = ".,;:!?\"'()[]{}#*$%&|<>-_~`“”„«»¿¡"
 END_MARKS = ".!?;"
 
 
+def since(symbol: int, reach: int) -> list[list[int]]:
+    """A transducer's table, next[state][symbol]: the state is how many words ago the symbol was, 0 if over `reach` or never."""
+    return [[1 if x == symbol else 0 if x == END or not 0 < s < reach else s + 1 for x in range(7)] for s in range(reach + 1)]
+
+
+def seen(symbol: int) -> list[list[int]]:
+    """The state is whether the clause has had the symbol."""
+    return [[int(x == symbol or (s == 1 and x != END)) for x in range(7)] for s in range(2)]
+
+
+def machine() -> tuple[list[list[int]], list[list[tuple[int, ...]]]]:
+    """The composed machine: next[state][symbol] and the patterns emitted there, state 0 at a clause's begin.
+
+    A hit is settled `AFTER` words later or when the clause ends: as reported or negated by what was known when it came,
+    else as aimed if a target came before or since. A hit that follows a hit settles the earlier one.
+    """
+    target, negation, report = since(TARGET, REACH), since(NEGATION, REACH), seen(REPORT)
+    begin = (0, 0, 0, 0, 0, 0)  # target, negation, report; the held hit: kind (0: none), its mode, words since
+    states, order = {begin: 0}, [begin]
+    following: list[list[int]] = []
+    emitted: list[list[tuple[int, ...]]] = []
+    while len(following) < len(order):
+        t, n, r, kind, mode, age = order[len(following)]
+        nexts, outs = [], []
+        for x in range(7):
+            out, held = [], (kind, mode, age)
+            if kind:
+                held = (kind, 1 if x == TARGET and mode == 0 else mode, age + 1)
+                if x in (INSULT, THREAT, END) or held[2] >= AFTER:
+                    out.append(4 * (kind == 2) + held[1])
+                    held = (0, 0, 0)
+            if x in (INSULT, THREAT):
+                held = (1 + (x == THREAT), 3 if r else 2 if n else 1 if t else 0, 0)
+            after = (target[t][x], negation[n][x], report[r][x], *held)
+            if after not in states:
+                states[after] = len(order)
+                order.append(after)
+            nexts.append(states[after])
+            outs.append(tuple(out))
+        following.append(nexts)
+        emitted.append(outs)
+    return following, emitted
+
+
+NEXT, EMITTED = machine()
+
+
 class Lexicon(dict):
-    """Words to (symbol, weight, whether the clause ends there), remembered until a bound."""
+    """The lexical transducer: words to (symbol, weight, whether the clause ends there), remembered until a bound."""
 
     def __init__(self, stems: dict[str, float]):
         super().__init__()
@@ -55,33 +106,37 @@ class Lexicon(dict):
         return out
 
 
-def emissions(text: str | None, lexicon: Lexicon) -> np.ndarray:
-    """What the composed machine emits for text: for each pattern the sum of its weights and the largest of them."""
-    out = np.zeros(2 * len(PATTERNS) + 1)
+def clauses(text: str | None, lexicon: Lexicon) -> list[dict[int, float]]:
+    """The matched clauses of text: for each the patterns that the machine emitted in it, with the heaviest weight of each."""
     words = (text or "").lower().replace("\n", " . ").split()
     symbols = [lexicon[w] for w in words]
-    if not any(s[0] >= INSULT for s in symbols):
-        return out
-    target = negation = -99
-    reported = False
-    for i, (symbol, weight, ends) in enumerate(symbols):
-        if symbol == TARGET:
-            target = i
-        elif symbol == NEGATION:
-            negation = i
-        elif symbol == REPORT:
-            reported = True
-        elif symbol >= INSULT:
-            # a target may also follow at once
-            follows = next((True for s, _, _ in symbols[i + 1 : i + 3] if s == TARGET), False) and not ends
-            k = 4 * (symbol == THREAT) + (3 if reported else 2 if i - negation <= REACH else 1 if i - target <= REACH or follows else 0)
+    if not any(INSULT <= s[0] for s in symbols):
+        return []
+    out: list[dict[int, float]] = []
+    found: dict[int, float] = {}
+    state, held = 0, 0.0
+    for symbol, weight, ends in [*symbols, (NOTHING, 0.0, True)]:
+        for x in (symbol, END) if ends else (symbol,):
+            for k in EMITTED[state][x]:
+                found[k] = max(found.get(k, 0.0), held)
+            if x == INSULT or x == THREAT:
+                held = weight
+            state = NEXT[state][x]
+        if ends and found:
+            out.append(found)
+            found = {}
+    return out
+
+
+def emissions(text: str | None, lexicon: Lexicon) -> np.ndarray:
+    """For each pattern the sum of its clauses' weights, by logarithm, and the heaviest clause; last, whether any matched."""
+    out = np.zeros(2 * len(PATTERNS) + 1)
+    for match in clauses(text, lexicon):
+        for k, weight in match.items():
             out[k] += weight
             out[len(PATTERNS) + k] = max(out[len(PATTERNS) + k], weight)
-        if ends:
-            target = negation = -99
-            reported = False
+        out[-1] = 1.0
     out[: len(PATTERNS)] = np.log1p(out[: len(PATTERNS)])
-    out[-1] = 1.0
     return out
 
 
@@ -109,7 +164,7 @@ def learned_stems(texts: DataFrame) -> dict[str, float]:
     base = math.log((total["t"] + 1) / (total["n"] - total["t"] + 1))
     odds = F.log((F.col("t") + 0.1) / (F.col("n") - F.col("t") + 0.1)) - base
     best = counts.where(F.col("t") >= LEAST_DOCS).withColumn("odds", odds).where((F.col("odds") >= LEAST_ODDS) & (F.col("t") >= 0.8 * F.col("n")))
-    return {r["stem"]: r["odds"] for r in best.orderBy(F.col("t").desc(), "stem").limit(MAX_STEMS).collect()}
+    return {r["stem"]: r["odds"] for r in best.collect()}  # of MAX_LABELLED rows
 
 
 def fitted(x: np.ndarray, y: np.ndarray, ridge: float = 0.5) -> np.ndarray:
@@ -143,7 +198,11 @@ class Grammar:
         return cls(stems, fitted(x, y) if len(y) else np.append(np.zeros(2 * len(PATTERNS) + 1), -3.0))
 
     def score(self, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-        """(doc_id, score) for every row; null and empty texts get the score of a text without any pattern."""
+        """(doc_id, score) for every row; null and empty texts get the score of a text without any pattern.
+
+        Rows of one id are scored each by its own text, equal texts alike; texts of any length are read whole; other columns
+        are not read. An empty table gives an empty result.
+        """
         sent = docs.sparkSession.sparkContext.broadcast((self.stems, self.weights))
 
         def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

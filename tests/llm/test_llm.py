@@ -326,7 +326,31 @@ def test_toxicity(spark):
     grammar = toxicity.Grammar.learn(d, labels)
     got = {r["doc_id"]: r["score"] for r in grammar.score(d).collect()}
     assert len(got) == 402 and all((got[i] >= 0.3) == bool(i % 2) for i in range(400)) and got[400] == got[401] < 0.3
-    lexicon = toxicity.Lexicon({"idiot": 2.0})
-    kind = lambda t: toxicity.PATTERNS[int(np.argmax(toxicity.emissions(t, lexicon)[:8]))]
-    assert [kind(t) for t in ("an idiot", "you idiot", "not an idiot", "he said: idiot")] == ["insult_plain", "insult_aimed", "insult_negated", "insult_reported"]
-    assert not toxicity.emissions("not. fine", lexicon).any()
+    assert grammar.score(d.limit(0)).count() == 0
+    again = grammar.score(docs(spark, ["you are an idiotic fool " * 20_000, "fine", "fine"], [7, None, 7])).collect()
+    assert len(again) == 3 and max(r["score"] for r in again) >= 0.3 and len({r["score"] for r in again}) == 2
+
+
+def test_toxicity_patterns():
+    lexicon = toxicity.Lexicon({"idiot": 2.0, "fool": 1.0})
+    kinds = lambda t: [sorted(toxicity.PATTERNS[k] for k in c) for c in toxicity.clauses(t, lexicon)]
+    for text, want in [
+        ("an idiot", "plain"), ("you idiot", "aimed"), ("idiot that you are", "aimed"), ("idiot. you are", "plain"), ("an idiot or so it was you", "plain"), ("you a b c d idiot", "plain"),
+        ("you a b c idiot", "aimed"), ("not an idiot", "negated"), ("not. an idiot", "plain"), ("he said: idiot", "reported"), ("said so. you idiot", "aimed"), ("idiot", "plain"), ("said not you idiot", "reported"),
+    ]:
+        assert kinds(text) == [[f"insult_{want}"]], text
+    assert kinds("kill him") == [["threat_aimed"]] and kinds("never kill") == [["threat_negated"]]
+    assert kinds("you idiot, kill\na fool") == [["insult_aimed", "threat_aimed"], ["insult_plain"]]
+    assert kinds("not fine") == kinds("") == kinds(None) == []
+    assert toxicity.clauses("idiot and fool", lexicon) == [{0: 2.0}]  # a clause counts its heaviest match
+    assert toxicity.emissions("you fool. you idiot", lexicon)[1] == pytest.approx(np.log1p(3.0))
+
+
+def test_toxicity_on_held_out_documents(spark):
+    d, labels = spark.read.parquet("/root/testdata/sf0.1/documents.parquet"), spark.read.parquet("/root/testdata/sf0.1/labels.parquet")
+    away = labels.where(toxicity.part(F.col("doc_id")) == 2)
+    scored = toxicity.Grammar.learn(d, labels).score(d.join(away, "doc_id")).join(away, "doc_id")
+    got = {(r["toxic"], r["hit"]): r["count"] for r in scored.groupBy("toxic", (F.col("score") >= 0.3).alias("hit")).count().collect()}
+    toxic, other = got.get((1, True), 0) + got.get((1, False), 0), got.get((0, True), 0) + got.get((0, False), 0)
+    print(got)
+    assert got[1, True] >= 0.85 * toxic and got.get((0, True), 0) <= 0.02 * other, got
