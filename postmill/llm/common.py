@@ -83,9 +83,9 @@ def components(links: DataFrame, src: str = "src", dst: str = "dst") -> DataFram
         )
         after = stored(small, "links")
         discard(edges)
-        # roots only on the right and one link for each node: nothing moves any more
-        state = after.agg(F.count("*").alias("n"), F.countDistinct("a").alias("d")).first()
-        chained = after.select("b").distinct().join(after.select(F.col("a").alias("b")), "b", "left_semi").limit(1).count()
         edges = after
-        if state["n"] == state["d"] and not chained:
+        # settled when no node has two links or stands on both sides: one link for each node, roots only on the right
+        sides = edges.select(F.col("a").alias("node"), F.lit(1).alias("left"), F.lit(0).alias("right")).union(edges.select("b", F.lit(0), F.lit(1)))
+        open_ = sides.groupBy("node").agg(F.sum("left").alias("left"), F.max("right").alias("right")).where("left > 1 or left > 0 and right > 0")
+        if not open_.limit(1).count():
             return edges.select(F.col("a").alias("node"), F.col("b").alias("component")).union(edges.select(F.col("b"), F.col("b")).distinct())

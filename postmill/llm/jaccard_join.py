@@ -37,7 +37,7 @@ LOCALLY = 3
 #: Bits of a signature; rows of a block's side; parts of a frequent column.
 BITS, BLOCK, SALTS = 2048, 1000, 32
 #: Another round of pivots pays while it finds a link for each so many rows that columns of several components still hold.
-ROUND_LEAST = 20
+ROUND_LEAST = 10
 MIX = np.uint64(0x9E3779B97F4A7C15)
 #: Bytes of text that are hashed at once; words of more bytes than LONG are digested one by one.
 CHUNK, LONG = 1 << 21, 64
@@ -279,11 +279,12 @@ def jaccard_classes(docs: DataFrame, percent: int = PERCENT, words: int = WORDS,
     whole = stored(profiles(docs, percent, words, id_col, text_col), "profiles")
     again = repeated_ids(whole)
     rows = with_own(whole, again)
+    nameless = again is not None or bool(whole.where("doc_id is null and n > 0").limit(1).count())
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
 
     def sets_of(wanted: DataFrame) -> DataFrame:
         own = whole_sets(texts.join(wanted.withColumnRenamed("node", "doc_id"), "doc_id", "left_semi"), words).select(F.col("doc_id").alias("node"), "entries")
-        if wanted.where("node < 0").limit(1).count():  # sets that no id stands for
+        if nameless:  # sets that no id stands for
             bare = texts.where("doc_id is null")
             if again is not None:
                 bare = bare.unionByName(texts.join(again.withColumnRenamed("again", "doc_id"), "doc_id", "left_semi"))
@@ -319,7 +320,7 @@ def jaccard_classes(docs: DataFrame, percent: int = PERCENT, words: int = WORDS,
         linked, found = linked.unionByName(more), more.count()
         if not found:
             break
-        named = components(named.select(F.col("node").alias("src"), F.col("component").alias("dst")).unionByName(more))
+        named = stored(hooked(named, more), "named")
         before, live = live, stored(mixed_columns(live, named), "columns")
         discard(before)
         if ROUND_LEAST * found < (live.agg(F.approx_count_distinct("node")).first()[0] or 0):
@@ -329,12 +330,13 @@ def jaccard_classes(docs: DataFrame, percent: int = PERCENT, words: int = WORDS,
     pairs = pairs.groupBy("src", "dst").agg(F.sum("common").alias("common"), F.first("least").alias("least")).where("common >= least").select("src", "dst")
     more = verified(pairs, sets_of, percent)
     discard(blocks), discard(live)
-    named = components(named.select(F.col("node").alias("src"), F.col("component").alias("dst")).unionByName(more))
+    linked = linked.unionByName(more)
+    named = components(linked)
     of = nodes.select("key", "node", "least").join(named, "node", "left").withColumn("component", F.coalesce("component", "node"))
     least = of.groupBy("component").agg(F.min("least").alias("component_id"))
     of = of.join(least, "component").select("key", "component_id")
     out = whole.select("doc_id", F.col("n").cast("long").alias("n_shingles"), "key").join(of, "key", "left")
-    return out.select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id")), linked.unionByName(more)
+    return out.select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id")), linked
 
 
 def mixed_columns(entries: DataFrame, named: DataFrame) -> DataFrame:
@@ -345,6 +347,17 @@ def mixed_columns(entries: DataFrame, named: DataFrame) -> DataFrame:
     return members.join(tops.select("token", F.col("top.component").alias("bulk")), "token")
 
 
+def hooked(named: DataFrame, links: DataFrame) -> DataFrame:
+    """named with the components that links join hung on a lower one, twice over. What is left apart here a later round, or the end, joins."""
+    ends = links.select(F.explode(F.array("src", "dst")).alias("node")).distinct().join(named, "node", "left_anti")
+    named = named.unionByName(ends.select("node", F.col("node").alias("component")))
+    one, two = named.select(F.col("node").alias("src"), F.col("component").alias("c1")), named.select(F.col("node").alias("dst"), F.col("component").alias("c2"))
+    joined = links.join(one, "src").join(two, "dst").where("c1 <> c2")
+    hook = joined.groupBy(F.greatest("c1", "c2").alias("component")).agg(F.min(F.least("c1", "c2")).alias("on"))
+    further = hook.join(hook.select(F.col("component").alias("on"), F.col("on").alias("further")), "on", "left").select("component", F.coalesce("further", "on").alias("on"))
+    return named.join(further, "component", "left").select("node", F.coalesce("on", "component").alias("component"))
+
+
 def pivot_pairs(live: DataFrame, k: int) -> DataFrame:
     """Each member of a column with two others, one of the bulk and one apart from it, if they are of another component; the k-th choice."""
     one = F.struct(F.xxhash64(F.lit(k), F.col("node")).alias("by"), "node", "n", "at", "component")
