@@ -10,8 +10,8 @@ from pyspark.sql import functions as F
 from .functions import canonical as C
 from .functions import markup, scopes
 from .functions import tokens as T
-from .operators import deletes, documents, history, integrity, merge, rules, runs
-from .sources import payloads
+from .operators import deletes, documents, evaluations, history, integrity, merge, rules, runs
+from .sources import listings, payloads
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -431,3 +431,118 @@ def named_scope(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Lists of regions in the texts, with region names and prefixes as a policy would give them."""
     found = scopes.named_scopes(F.col("text"), ("us", "usa", "united states"), ("canada", "europe", "united kingdom"), ("work from", "based in", "remote in"))
     return read(spark, sf_dir, "documents").select("doc_id", found.alias("s")).select("doc_id", "s.included", "s.excluded")
+
+
+@query(r"""
+with c as (select *, c_custkey % 6 as k from customer where c_nationkey is not null)
+select cast(c_nationkey as bigint) as fetch_id, case when k = 1 then null else cast(c_custkey as varchar) end as external_id, case when k = 2 then null else c_name end as title,
+       c_mktsegment as description_md, case when k = 3 then null else 'https://example.org/' || c_custkey || '?a#b' end as posting_url, case when k = 4 then null else c_address end as label,
+       case when k = 5 then null else c_mktsegment end as department, k not in (1, 2, 3) as valid
+from c""")
+def board_one_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Customers as listings of a board for each nation: JSON bodies are built, then read back; one field in six is bad or missing."""
+    k, s, n = F.col("c_custkey") % 6, lambda x: F.to_json(F.struct(x.alias("x")), {"ignoreNullFields": "false"}).substr(6, 1 << 20), F.col("c_custkey").cast("string")
+    value = lambda x: F.regexp_replace(s(x), r"\}$", "")
+    row = F.concat(
+        F.lit('{"id":'), F.when(k == 1, F.concat(F.lit('"'), n, F.lit('"'))).otherwise(n), F.lit(',"title":'), F.when(k == 2, F.lit('" "')).otherwise(value(F.concat(F.lit(" "), F.col("c_name")))),
+        F.lit(',"content":'), value(F.concat(F.lit("&lt;p&gt;"), "c_mktsegment", F.lit("&lt;/p&gt;"))), F.lit(',"absolute_url":'),
+        value(F.concat(F.when(k == 3, "ftp").otherwise("https"), F.lit("://example.org/"), n, F.lit("?a#b"))), F.lit(',"location":'),
+        F.when(k == 4, F.lit("7")).otherwise(F.concat(F.lit('{"name":'), value(F.col("c_address")), F.lit("}"))), F.lit(',"departments":[{"name":'),
+        F.when(k == 5, F.lit("null")).otherwise(value(F.col("c_mktsegment"))), F.lit("}]}"),
+    )
+    c = read(spark, sf_dir, "customer").where("c_nationkey is not null").select(F.col("c_nationkey").cast("long").alias("fetch_id"), row.alias("row"))
+    # one body for a row: a body is one HTTP response, at most BODY_BYTES
+    r = listings.board_one(c.select("fetch_id", F.concat(F.lit('{"meta":{"total":1},"jobs":['), "row", F.lit("]}")).alias("body")))
+    return r.select("fetch_id", "external_id", "title", "description_md", "posting_url", F.get("locations", 0)["label"].alias("label"), "department", "valid")
+
+
+@query(r"""
+select cast(p_partkey as bigint) as fetch_id, p_partkey || ' x' as external_id, p_name as title, p_type || chr(10) || chr(10) || '## ' || p_brand || chr(10) || chr(10) || '* ' || p_brand as description_md,
+       case when p_partkey % 4 = 1 then null else 'https://jobs.lever.co/board/' || p_partkey || '%20x' end as posting_url, p_brand as label, p_partkey % 4 <> 1 as valid from part""")
+def board_two_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Parts as listings of the second board: percent-coded ids in the URLs, a description of three parts, a wrong token in one URL of four."""
+    n = F.col("p_partkey").cast("string")
+    url = F.concat(F.lit("https://jobs.lever.co/"), F.when(F.col("p_partkey") % 4 == 1, "other").otherwise("board"), F.lit("/"), n, F.lit("%20x"))
+    row = F.struct(
+        F.concat(F.lit(" "), n, F.lit(" x")).alias("id"), F.col("p_name").alias("text"), F.concat(F.lit("<p>"), "p_type", F.lit("</p>")).alias("description"), url.alias("hostedUrl"),
+        F.concat(F.lit("https://jobs.lever.co/board/"), n, F.lit("%20x/apply")).alias("applyUrl"),
+        F.array(F.struct(F.col("p_brand").alias("text"), F.concat(F.lit("<li>"), "p_brand", F.lit("</li>")).alias("content"))).alias("lists"), F.struct(F.array("p_brand", "p_brand").alias("allLocations")).alias("categories"),
+    )
+    bodies = read(spark, sf_dir, "part").select(F.col("p_partkey").cast("long").alias("fetch_id"), F.to_json(F.array(row)).alias("body"), F.lit("board").alias("token"), F.lit("global").alias("region"))
+    return listings.board_two(bodies).select("fetch_id", "external_id", "title", "description_md", "posting_url", F.get("locations", 0)["label"].alias("label"), "valid")
+
+
+_QUOTED = "'\"' || replace(replace({0}, '\\', '\\\\'), '\"', '\\\"') || '\"'"
+
+
+@query(rf"""
+select s_suppkey, sha256('{{"description_md":' || {_QUOTED.format('s_name')} || ',"locations":[{{"city":null,"country_code":"US","label":' || {_QUOTED.format('s_name')} || ',"region":null,"workplace_type":null}},'
+       || '{{"city":"x","country_code":null,"label":"zz","region":null,"workplace_type":"remote"}}],"title":' || {_QUOTED.format('lower(s_name)')} || '}}') as content_hash from supplier""")
+def listing_content_hash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The hash of a listing's version, over folded title, text and locations of five fields, one of them twice."""
+    p = lambda label, country, city, kind: F.struct(label.alias("label"), F.lit(country).cast("string").alias("country_code"), F.lit("").alias("region"), F.lit(city).cast("string").alias("city"), F.lit(kind).cast("string").alias("workplace_type"))
+    places = F.array(p(F.lit("zz "), None, "x", "remote"), p(F.col("s_name"), "US", None, None), p(F.lit(" zz"), None, "x", "remote"))
+    s = read(spark, sf_dir, "supplier").withColumn("places", C.five_field_locations(places))
+    return s.select("s_suppkey", C.content_hash(F.concat(F.lit(" "), "s_name"), F.col("s_name"), F.col("places")).alias("content_hash"))
+
+
+@query(r"""
+select page_id, case when page_id % 3 = 0 then 'b' || page_id when page_id % 3 = 1 and page_id % 2 = 0 then 'e' || page_id else null end as token from pages""")
+def board_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tokens of board URLs that are made from page ids: listings, embeds (every other one under a wrong host), and the pages' own URLs."""
+    n, kind = F.col("page_id").cast("string"), F.col("page_id") % 3
+    host = F.when(F.col("page_id") % 2 == 0, "https://boards.greenhouse.io").otherwise("https://boards.greenhouse.io.example.org")
+    url = F.when(kind == 0, F.concat(F.lit("https://job-boards.greenhouse.io/b"), n, F.lit("/jobs/"), n, F.lit("?q"))).when(kind == 1, F.concat(host, F.lit("/embed/job_board?for=e"), n)).otherwise(F.col("url"))
+    return read(spark, sf_dir, "pages").select("page_id", payloads.board_token(url).alias("token"))
+
+
+@query(_FETCH + """
+, s as (select *, case when id % 9 = 0 then 'failed' when complete then 'complete' else 'incomplete' end as st,
+        case when id % 9 = 0 then 'adapter.tls_error' when id % 7 = 0 then 'ingestion.stale_observation' when id % 11 = 0 then 'made.up' end as code from f)
+select id, case when code = 'made.up' then 'failed' when st = 'failed' then 'failed' when st = 'complete' then case when http_status = 200 and code is null then 'succeeded' else 'failed' end
+    when http_status = 304 and code is null then 'succeeded' when code is not null or seen > 0 then 'partial' else 'failed' end as status,
+    case when code = 'made.up' then 'runner.ingestion_result_invalid' when st = 'failed' then code when st = 'complete' then case when http_status = 200 and code is null then null else 'runner.ingestion_result_invalid' end
+    when http_status = 304 and code is null then null when code is not null then code else 'runner.fetch_incomplete' end as failure from s""")
+def run_failures(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Status and failure code of a run for each fetch, from its status and the code in its error."""
+    i, code = F.col("id"), lambda c: F.lit('{"code":"%s"}' % c)
+    error = F.when(i % 9 == 0, code("adapter.tls_error")).when(i % 7 == 0, code(runs.STALE)).when(i % 11 == 0, code("made.up"))
+    f = fetches(spark, sf_dir).select("id", "http_status", "seen", F.when(i % 9 == 0, "failed").when(F.col("complete"), "complete").otherwise("incomplete").alias("status"), runs.reason(error).alias("code"))
+    return f.select("id", runs.matrix(F.col("status"), F.col("http_status"), F.col("code"), F.col("seen"), i >= 0).alias("m")).select("id", "m.status", "m.failure")
+
+
+@query(_FETCH + """
+, w as (select *, complete and http_status = 200 and seen < 20 as bad from f), x as (
+    select *, bad and coalesce(lag(bad) over (partition by endpoint_id order by finished_at, id), false) as fails from w),
+y as (select *, case when fails then 'failing' when complete and http_status = 200 and not bad then 'active' end as ev from x),
+z as (select *, case when bool_or(fails) over (partition by endpoint_id order by finished_at, id) then ev end as e2 from y)
+select id, coalesce(last_value(e2 ignore nulls) over (partition by endpoint_id order by finished_at, id rows between unbounded preceding and current row), 'active') as endpoint_status from z""")
+def endpoint_health(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The state of each endpoint after each attempt; few rows stand for none, so that states change."""
+    bad = F.col("complete") & (F.col("http_status") == 200) & (F.col("seen") < 20)
+    f = fetches(spark, sf_dir).withColumn("suspicious_zero", bad).withColumn("seen", F.when(bad, 0).otherwise(F.col("seen") + 1)).withColumn("initial_status", F.lit("active"))
+    return history.endpoint_health(f).select("id", "endpoint_status")
+
+
+@query("""
+with l as (select o_orderkey, count(*) as n, count(distinct l_linenumber % 5) as d from orders left join lineitem on l_orderkey = o_orderkey group by o_orderkey)
+select o_orderkey as fetch_id, case when s = 99 then 'http_status' when c and s <> 200 then 'complete_non_200' when s = 304 and d > 0 then 'rows_of_304' when d < n then 'duplicate_id' end as problem, nullif(s, 99) as http_status
+from (select o_orderkey, case o_orderkey % 4 when 0 then 304 when 1 then 99 else 200 end as s, o_orderkey % 8 < 7 and o_orderkey % 3 > 0 as c from orders) join l using (o_orderkey)""")
+def fetch_problems(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders as fetches whose lines are the listings: why one may not be stored, and what stays valid."""
+    k = F.col("o_orderkey")
+    f = read(spark, sf_dir, "orders").select(
+        k.alias("fetch_id"), F.when(k % 4 == 0, 304).when(k % 4 == 1, 99).otherwise(200).alias("http_status"), ((k % 8 < 7) & (k % 3 > 0)).alias("complete"), F.lit(None).cast("string").alias("etag"), F.lit(None).cast("string").alias("last_modified")
+    )
+    rows = read(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("fetch_id"), (F.col("l_linenumber") % 5).cast("string").alias("external_id"), F.lit("t").alias("title"), F.array().alias("locations"))
+    return history.fetch_problems(f, rows).select("fetch_id", "problem", "http_status")
+
+
+@query()
+def evaluation_replay(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Evaluations of all documents, replayed against those stored under a policy that has since changed for some languages' texts."""
+    results = eligibility_rules(spark, sf_dir)
+    inputs = read(spark, sf_dir, "documents").select(F.col("doc_id").alias("posting_id"), F.sha2(F.concat_ws("\n", F.col("doc_id").cast("string"), "text"), 256).alias("payload"))
+    kept, scores = evaluations.record(results, inputs)
+    stored = kept.withColumn("output_hash", F.when(F.col("posting_id") % 5 == 0, F.sha2(F.lit(""), 256)).otherwise(F.col("output_hash")))
+    return evaluations.replay(kept, stored, scores).groupBy("state").agg(F.count("*").alias("n"))

@@ -41,18 +41,27 @@ def _one_line(text: Column) -> Column:
     return F.btrim(F.regexp_replace(text, SPACES, " "))
 
 
+def stripped(text: Column) -> Column:
+    """The text without white space at its ends."""
+    return F.regexp_replace(text, r"(?U)^[\s\x1c-\x1f]+|[\s\x1c-\x1f]+\z", "")
+
+
 def inline(text: Column) -> Column:
     """One composed line: runs of white space become one space, none at the ends."""
     return _one_line(nfkc(text))
 
 
-def description(text: Column) -> Column:
-    """Composed block text: LF line ends, no blanks at line ends, no empty lines at the edges, two empty lines in a row at most."""
-    lf = F.regexp_replace(text, r"\r\n?", "\n")
-    bare = F.regexp_replace(nfkc(lf), r"(?md)[ \t]+$", "")  # d: LF alone ends a line
+def block(text: Column) -> Column:
+    """Block text: LF line ends, no blanks at line ends, no empty lines at the edges, two empty lines in a row at most."""
+    bare = F.regexp_replace(F.regexp_replace(text, r"\r\n?", "\n"), r"(?md)[ \t]+$", "")  # d: LF alone ends a line
     return F.regexp_replace(F.btrim(bare, F.lit("\n")), r"\n{4,}", "\n\n\n")
 
 
+def description(text: Column) -> Column:
+    """Composed block text."""
+    return block(nfkc(text))
+
+
 def title_norm(text: Column) -> Column:
     """Folded title."""
     return casefold(inline(text))
@@ -68,8 +77,31 @@ def locations(labels: Column) -> Column:
     return F.array_sort(F.array_distinct(F.filter(F.transform(nfkc_all(labels), _one_line), lambda x: x != "")))
 
 
+LOCATION_FIELDS = ("label", "country_code", "region", "city", "workplace_type")
+
+
+def five_field_locations(places: Column) -> Column:
+    """Distinct locations of five composed one-line fields, in code point order of the fields, where null counts as empty.
+
+    Blank fields become null. The result is null if a label is blank: such a listing is invalid. Fields of the structs are
+    in alphabetical order, as the canonical JSON has them.
+    """
+    # lambdas can't call Python, so each field is composed as an array of its own
+    composed = F.arrays_zip(*[nfkc_all(places[f]) for f in LOCATION_FIELDS])
+    rows = F.transform(composed, lambda z: F.array(*[F.nullif(_one_line(z[str(i)]), F.lit("")) for i in range(len(LOCATION_FIELDS))]))
+    ordered = F.transform(rows, lambda r: F.struct(F.transform(r, lambda x: F.coalesce(x, F.lit(""))).alias("order"), r.alias("r")))
+    names = sorted(LOCATION_FIELDS)
+    out = F.transform(F.array_distinct(F.array_sort(ordered)), lambda o: F.struct(*[F.get(o["r"], LOCATION_FIELDS.index(f)).alias(f) for f in names]))
+    return F.when(F.forall(out, lambda p: p["label"].isNotNull()), out)
+
+
+def content_json(title: Column, text: Column, places: Column) -> Column:
+    """The canonical JSON that a version's hash is taken of; places: five_field_locations() or plain labels."""
+    return canonical_json(description_md=description(text), locations=places, title=title_norm(title))
+
+
 def content_hash(title: Column, text: Column, places: Column) -> Column:
-    return F.sha2(canonical_json(description_md=description(text), locations=places, title=inline(title)), 256)
+    return F.sha2(content_json(title, text, places), 256)
 
 
 @cache

@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
+from html import unescape
 from html.parser import HTMLParser
 
 import pandas as pd
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType
+from pyspark.sql.types import ArrayType, StringType
 
 
 class _Writer(HTMLParser):
@@ -44,14 +45,27 @@ class _Writer(HTMLParser):
             self.out.append(" ".join(data.split()) if data.strip() else " " if data else "")
 
 
+def _convert(x: str | None) -> str | None:
+    if x is None:
+        return None
+    writer = _Writer()
+    writer.feed(x)
+    writer.close()
+    return "".join(writer.out)
+
+
 @F.pandas_udf(StringType())
 def markdown(html: pd.Series) -> pd.Series:
-    def convert(x: str | None) -> str | None:
-        if x is None:
-            return None
-        writer = _Writer()
-        writer.feed(x)
-        writer.close()
-        return "".join(writer.out)
-
-    return html.map(convert)
+    return html.map(_convert)
+
+
+@F.pandas_udf(ArrayType(StringType()))
+def markdown_all(parts: pd.Series) -> pd.Series:
+    """markdown() of each element."""
+    return parts.map(lambda xs: None if xs is None else [_convert(x) for x in xs])
+
+
+@F.pandas_udf(StringType())
+def unescaped(text: pd.Series) -> pd.Series:
+    """Character references resolved once."""
+    return text.map(lambda x: None if x is None else unescape(x))

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions import canonical as C
+
 
 def prior_average(fetches: DataFrame, threshold: float) -> DataFrame:
     """For each attempt the mean of `seen` over the endpoint's complete attempts with status 200 that had finished when it started.
@@ -57,3 +59,44 @@ def latest(fetches: DataFrame, key: str, at: str, tie: str) -> DataFrame:
     """The newest row of each key; a null time counts as newest, as in a descending sort with nulls first."""
     w = Window.partitionBy(key).orderBy(F.col(at).desc_nulls_first(), F.col(tie).desc())
     return fetches.withColumn("_place", F.row_number().over(w)).where("_place = 1").drop("_place")
+
+
+def endpoint_health(fetches: DataFrame) -> DataFrame:
+    """Adds endpoint_status (after the attempt), marked_failing, marked_active and alert to attempts in order of finish and id.
+
+    fetches: endpoint_id, id, finished_at, complete, http_status, seen, suspicious_zero, initial_status. The second suspicious zero
+    in a row makes an endpoint failing and raises an alert, unless it is failing; a complete 200 with rows makes a failing
+    one active. Both are events, so the state is the last event so far; nothing is iterated.
+    """
+    w = Window.partitionBy("endpoint_id").orderBy("finished_at", "id")
+    so_far, before = w.rowsBetween(Window.unboundedPreceding, 0), w.rowsBetween(Window.unboundedPreceding, -1)
+    suspicious = F.coalesce("suspicious_zero", F.lit(False))
+    f = fetches.withColumn("_fails", suspicious & F.coalesce(F.lag(suspicious).over(w), F.lit(False)))
+    recovers = F.coalesce(F.col("complete") & (F.col("http_status") == 200) & (F.col("seen") > 0), F.lit(False))
+    f = f.withColumn("_event", F.when(F.col("_fails"), "failing").when(recovers, "active"))
+    # a recovery changes an endpoint only if it is failing, at first or by an event
+    failed = F.coalesce(F.max("_fails").over(so_far), F.lit(False)) | (F.col("initial_status") == "failing")
+    f = f.withColumn("_event", F.when(failed, F.col("_event")))
+    f = f.withColumn("_before", F.coalesce(F.last("_event", True).over(before), "initial_status")).withColumn("endpoint_status", F.coalesce("_event", "_before"))
+    f = f.withColumn("marked_failing", F.col("_fails") & (F.col("_before") != "failing")).withColumn("marked_active", F.coalesce(F.col("_event") == "active", F.lit(False)) & (F.col("_before") == "failing"))
+    return f.withColumn("alert", F.col("marked_failing")).drop("_fails", "_event", "_before")
+
+
+def fetch_problems(fetches: DataFrame, listings: DataFrame) -> DataFrame:
+    """fetch_id, problem (null if the fetch may be stored) and the facts of it that stay valid by themselves.
+
+    fetches: fetch_id, http_status, complete, etag, last_modified. listings: fetch_id, external_id, title, locations (null
+    where a label is blank). A fetch with a problem is stored as failed, with no counts.
+    """
+    ids = listings.select("fetch_id", C.stripped(F.col("external_id")).alias("id"), C.inline(F.col("title")).alias("title"), F.col("locations").isNull().alias("unplaced"))
+    blank = lambda c: F.coalesce(F.col(c) == "", F.lit(True))
+    # by id first, so that a fetch with very many listings is added up in parts
+    each = ids.groupBy("fetch_id", "id").agg(F.count("*").alias("n"), F.bool_or(blank("id")).alias("no_id"), F.bool_or(blank("title")).alias("no_title"), F.bool_or("unplaced").alias("no_place"))
+    sums = each.groupBy("fetch_id").agg(F.sum("n").alias("n"), (F.max("n") > 1).alias("twice"), *[F.bool_or(c).alias(c) for c in ("no_id", "no_title", "no_place")])
+    valid = F.coalesce(F.col("http_status").between(100, 599), F.lit(False))
+    yes = lambda c: F.coalesce(F.col(c), F.lit(False))
+    problem = (
+        F.when(F.col("complete").isNull(), "completeness").when(~valid, "http_status").when(F.col("complete") & (F.col("http_status") != 200), "complete_non_200")
+        .when((F.col("http_status") == 304) & (F.col("n") > 0), "rows_of_304").when(yes("no_id"), "empty_id").when(yes("no_title"), "empty_title").when(yes("no_place"), "empty_label").when(yes("twice"), "duplicate_id")
+    )
+    return fetches.join(sums, "fetch_id", "left").select("fetch_id", problem.alias("problem"), F.when(valid, F.col("http_status")).alias("http_status"), "etag", "last_modified")

@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import hashlib
 import json
+import re
 from dataclasses import asdict, dataclass, field
 from functools import reduce
 from operator import or_
@@ -20,8 +21,21 @@ from ..functions import tokens as T
 from . import runs
 
 # fixed values: the rules and their order
+# and what an outcome rests on; where a status has several, the rule itself says which
 RULES = ("title", "seniority", "discipline", "remote", "geography", "clearance", "stale", "actioned", "company")
 
+EVIDENCE = {
+    "title": {"pass": ("allowed_title_match",), "reject": ("allowed_title_absent",)},
+    "seniority": {"pass": ("excluded_seniority_absent",), "reject": ("excluded_seniority_match",)},
+    "discipline": {"pass": ("excluded_discipline_absent",), "reject": ("excluded_discipline_match",)},
+    "remote": {"pass": ("remote_permitted",), "reject": ("attendance_required",), "unknown": ("remote_arrangement_unresolved",)},
+    "geography": {"pass": ("us_not_excluded",), "reject": ("remote_scope_excludes_us",), "unknown": ("remote_geography_unresolved",)},
+    "clearance": {"pass": ("active_clearance_not_required",), "reject": ("active_clearance_required",), "unknown": ("clearance_not_stated", "clearance_ambiguous")},
+    "stale": {"pass": ("within_45_days",), "reject": ("older_than_45_days",)},
+    "actioned": {"pass": ("no_qualifying_action",), "reject": ("prior_skipped", "prior_applied", "current_version_expired")},
+    "company": {"pass": ("company_not_blocked",), "reject": ("company_blocked",)},
+}
+
 
 @dataclass(frozen=True)
 class Policy:
@@ -44,7 +58,10 @@ class Policy:
     broad_after: tuple[str, ...] = ()
     included_codes: tuple[str, ...] = ("US",)
     clearance: tuple[str, ...] = ("security clearance",)
-    clearance_waived: tuple[str, ...] = ("no security clearance",)
+    #: Phrases before a clearance that oblige, that say it is absent, and that speak of obtaining it.
+    clearance_obliged: tuple[str, ...] = ("must have", "requires")
+    clearance_absent: tuple[str, ...] = ("without",)
+    clearance_obtain: tuple[str, ...] = ("able to obtain",)
     max_age_days: int = 45
     notes: dict = field(default_factory=dict)
 
@@ -53,7 +70,7 @@ class Policy:
         return hashlib.sha256(json.dumps(asdict(self), sort_keys=True, separators=(",", ":")).encode()).hexdigest()
 
 
-EXAMPLE = Policy(titles=("the", "of"), low_seniority=("a",), wrong_disciplines=("of of",), remote=("with",), not_remote=("that that",), clearance=("and the",), clearance_waived=("and the the",))
+EXAMPLE = Policy(titles=("the", "of"), low_seniority=("a",), wrong_disciplines=("of of",), remote=("with",), not_remote=("that that",), clearance=("the",), clearance_obliged=("and",), clearance_obtain=("that and",))
 
 
 def any_field(fields: tuple[Column, ...], phrases: tuple[str, ...]) -> Column:
@@ -133,13 +150,45 @@ def geography_rule(fields: tuple[Column, ...], texts: tuple[Column, ...], codes:
 
 
 def clearance_rule(fields: tuple[Column, ...], p: Policy) -> Column:
-    """An obligation rejects, one beside a waiver is unknown; what a waiver contains is no obligation."""
-    must, waived = independent(fields, p.clearance, p.clearance_waived), any_field(fields, p.clearance_waived)
-    return F.when(must & waived, "unknown").when(must, "reject").when(waived, "pass").otherwise("unknown")
+    """(status, evidence). Obligations reject, waivers pass, both together are unknown; an obligation inside a waiver is none.
+
+    Obligations: an obliging phrase, an article or none, and a clearance; or a clearance that `is required`. Waivers: one that is
+    preferred or not required; `no` or a phrase of absence before one that is required; `does not require` one; a phrase of
+    obtaining one. Each is one pattern over a field's words, and what a waiver would contain is excluded by looking around.
+    """
+    if not p.clearance:
+        return F.struct(F.lit("unknown").alias("status"), F.lit("clearance_not_stated").alias("evidence"))
+    some = lambda xs: "(?:" + "|".join(map(re.escape, sorted(xs, key=len, reverse=True))) + ")"
+    # fixed values: the templates' words
+    what, article, required = some(p.clearance), " (?:(?:a|an|the) )?", " (?:is )?required(?= )"
+    refuse = "does not require"
+    absent = [x for x in p.clearance_absent if x != refuse]
+    waivers = [f" {what} (?:is )?(?:preferred|not required)(?= )", f" no {what}{required}", f" {refuse}{article}{what}(?= )"]
+    waivers += [f" {some(absent)}{article}{what}{required}"] if absent else []
+    waivers += [f" {some(p.clearance_obtain)}{article}{what}(?= )"] if p.clearance_obtain else []
+    must = []
+    for c in map(re.escape, p.clearance):
+        # a phrase may lie inside a longer one: what the longer one has before and after it belongs to a waiver too
+        lead = "|".join(q[: -len(c)].rstrip("\\ ") for q in map(re.escape, p.clearance) if q.endswith("\\ " + c))
+        tail = "|".join(q[len(c) :] for q in map(re.escape, p.clearance) if q.startswith(c + "\\ "))
+        lead, tail = f"(?: (?:{lead}))?" if lead else "", f"(?:{tail})?" if tail else ""
+        for x in p.clearance_obliged:
+            inside = lambda longer: [y[: -len(x)].strip() for y in longer if y == x or y.endswith(" " + x)]  # noqa: B023, E731
+            always, if_required = inside((refuse, *p.clearance_obtain)), inside(absent)
+            free = "".join(f"(?<! {re.escape(y)})" if y else "(?!)" for y in always)
+            form = f"{free} {re.escape(x)}{article}{c}(?= )"
+            needs = "".join(f"(?<! {re.escape(y)})" if y else "(?!)" for y in if_required)
+            must.append(f"(?:{form}(?!{tail}{required})|{needs}{form})" if if_required else form)
+        behind = f"(?<! no{lead})" + (f"(?<! {some(absent)}(?: (?:a|an|the))?{lead})" if absent else "")
+        must.append(f"{behind} {c}{required}")
+    padded = [T.padded(f) for f in fields]
+    found = lambda patterns: reduce(or_, [f.rlike("|".join(patterns)) for f in padded])
+    said = lambda status, i=0: F.struct(F.lit(status).alias("status"), F.lit(EVIDENCE["clearance"][status][i]).alias("evidence"))
+    return F.when(found(must) & found(waivers), said("unknown", 1)).when(found(must), said("reject")).when(found(waivers), said("pass")).otherwise(said("unknown"))
 
 
 def evaluate(listings: DataFrame, policy: Policy, as_of: Column) -> DataFrame:
-    """posting_id, eligible, rejections, unknowns, outcomes (nine, in order), error, policy_hash.
+    """posting_id, eligible, rejections, unknowns, outcomes (nine of rule, status, evidence, in order), error, policy_hash.
 
     listings: posting_id, title, description, country_codes, workplace, published_at, first_seen_at, action,
     company_blocked. A date after as_of is an invalid input: `error` says so and eligible is null.
@@ -151,15 +200,22 @@ def evaluate(listings: DataFrame, policy: Policy, as_of: Column) -> DataFrame:
     pairs = F.lit(False)
     for a, b in policy.discipline_pairs:
         pairs = pairs | reduce(or_, [T.same_segment(F.coalesce(x, F.lit("")), a, b) for x in texts])
-    t = t.withColumn("remote", remote_rule(fields, texts, F.col("workplace"), policy))
+    t = t.withColumn("remote", remote_rule(fields, texts, F.col("workplace"), policy)).withColumn("clearance", clearance_rule(fields, policy))
     age = runs.staleness(F.col("published_at"), F.col("first_seen_at"), as_of, policy.max_age_days)
     found = {
         "title": verdict(~T.any_phrase(title, policy.titles)), "seniority": verdict(F.arrays_overlap(title, F.array(*map(F.lit, policy.low_seniority)).cast("array<string>"))),
         "discipline": verdict(T.any_phrase(title, policy.wrong_disciplines) | pairs), "remote": F.col("remote"),
-        "geography": geography_rule(fields, texts, F.coalesce("country_codes", F.array().cast("array<string>")), F.col("remote"), policy), "clearance": clearance_rule(fields, policy),
+        "geography": geography_rule(fields, texts, F.coalesce("country_codes", F.array().cast("array<string>")), F.col("remote"), policy), "clearance": F.col("clearance.status"),
         "stale": age, "actioned": verdict(F.coalesce(F.col("action") != "none", F.lit(False))), "company": verdict(F.coalesce("company_blocked", F.lit(False))),
     }
-    t = t.select("posting_id", F.array(*[F.struct(F.lit(r).alias("rule"), found[r].alias("status")) for r in RULES]).alias("outcomes"))
+    named_by = {"clearance": F.col("clearance.evidence")}
+    prior = F.get(F.array(*map(F.lit, EVIDENCE["actioned"]["reject"])), F.array_position(F.array(*map(F.lit, ("skipped", "applied", "expired"))), F.col("action")).cast("int") - 1)
+    for r in RULES[:-3] + RULES[-1:]:
+        if r != "clearance":
+            named_by[r] = F.create_map(*[F.lit(x) for st, e in EVIDENCE[r].items() for x in (st, e[0])])[found[r]]
+    named_by["stale"] = F.when(found["stale"] == "pass", EVIDENCE["stale"]["pass"][0]).when(found["stale"] == "reject", EVIDENCE["stale"]["reject"][0])
+    named_by["actioned"] = F.when(found["actioned"] == "reject", prior).otherwise(EVIDENCE["actioned"]["pass"][0])
+    t = t.select("posting_id", F.array(*[F.struct(F.lit(r).alias("rule"), found[r].alias("status"), named_by[r].alias("evidence")) for r in RULES]).alias("outcomes"))
     named = lambda s: F.transform(F.filter("outcomes", lambda o: o["status"] == s), lambda o: o["rule"])
     error = F.when(F.size(named("invalid")) > 0, "invalid_date")
     return t.select(

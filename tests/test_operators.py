@@ -1,10 +1,15 @@
+import hashlib
+import json
+import random
+
 from pyspark.sql import functions as F
 
 from postmill.functions import canonical as C
 from postmill.functions import tokens as T
 from postmill.functions.markup import markdown
 from postmill.functions.scopes import broad_scope, named_scopes
-from postmill.operators import deletes, documents, history, merge, rules
+from postmill.operators import deletes, documents, evaluations, history, merge, rules, runs
+from postmill.sources import listings
 
 
 def one(spark, text, column):
@@ -201,3 +206,172 @@ def test_delete_plan(spark):
     assert {n: [r["k"] for r in d.collect()] for n, d in gone.items()} == {"a": [1], "b": [1], "c": [9]}
     assert [r["k"] for r in nulls[links[3]].collect()] == [5]
     assert blocked[links[2]].count() == 0  # the row that refers goes by a cascade of its own
+
+
+def test_golden_content_hash(spark):
+    place = "array<struct<label:string,country_code:string,region:string,city:string,workplace_type:string>>"
+    rows = spark.createDataFrame(
+        [
+            (1, "Senior Product Manager", "Build things.\r\n\r\nShip them.", [("Remote — US", "US", None, None, "remote")]),
+            (2, " Ｓｅｎｉｏｒ  product manager", "Build things.\n\nShip them.\n", [("Remote — US", "US", " ", "", "remote"), ("Remote  — US ", "US", None, None, "remote")]),
+            (3, "x", "", [(" ", None, None, None, None)]), (4, "x", "", []), (5, "x", "", [("b", None, None, "z", None), ("b", None, None, None, None), ("a", "US", None, None, None)]),
+        ],
+        f"id long, title string, text string, places {place}",
+    ).select("*", C.five_field_locations(F.col("places")).alias("five"))
+    got = {r["id"]: r for r in rows.select("*", C.content_json(F.col("title"), F.col("text"), F.col("five")).alias("json"), C.content_hash(F.col("title"), F.col("text"), F.col("five")).alias("h")).collect()}
+    want = r'{"description_md":"Build things.\n\nShip them.","locations":[{"city":null,"country_code":"US","label":"Remote — US","region":null,"workplace_type":"remote"}],"title":"senior product manager"}'
+    assert got[1]["json"] == got[2]["json"] == want
+    assert got[1]["h"] == got[2]["h"] == hashlib.sha256(want.encode()).hexdigest() == "5695c190b2412ffbbde7ef1728e01bde6fc2a10f1234d189adc265df82b0a8e7"
+    assert got[3]["five"] is None and got[4]["five"] == []
+    assert [(p["label"], p["city"]) for p in got[5]["five"]] == [("a", None), ("b", None), ("b", "z")]
+
+
+def test_board_one(spark):
+    good = {"id": 7, "title": " T ", "content": "&lt;p&gt;a &amp;amp; b&lt;/p&gt;", "absolute_url": "https://x.org:80/a?b#c"}
+    rows = [
+        good | {"location": {"name": " Here "}, "departments": [1, {"name": " "}, {"name": "D "}], "first_published": "2024-01-02T03:04:05.5Z", "updated_at": "2024-01-02T03:04:05"},
+        good | {"id": 1.0}, good | {"id": True}, good | {"id": 0}, good | {"id": "7"}, good | {"title": " "}, good | {"content": None}, good | {"absolute_url": "https://a@x.org"},
+        good | {"absolute_url": "https://x.org:99999/"}, 5, good | {"id": 12345678901234567890, "location": "x", "updated_at": "20240102T0304+0530"},
+    ]
+    bodies = [
+        (1, json.dumps({"jobs": rows, "meta": {"total": len(rows)}})), (2, json.dumps({"jobs": [good], "meta": {"total": 2}})), (3, "[1]"), (4, "{bad"), (5, None),
+        (6, json.dumps({"jobs": [good], "meta": None})), (7, json.dumps({"jobs": [], "meta": {}})), (8, json.dumps({"jobs": [good], "meta": {"total": True}})), (9, json.dumps({"jobs": {}})), (10, json.dumps({"jobs": [], "meta": 3})),
+    ]
+    df = spark.createDataFrame(bodies, "fetch_id long, body string")
+    got = listings.board_one(df).cache()
+    r = {x["place"]: x for x in got.where("fetch_id = 1").collect()}
+    assert [i for i in sorted(r) if r[i]["valid"]] == [0, 10] and len(r) == 11
+    assert (r[0]["external_id"], r[0]["title"], r[0]["description_md"], r[0]["department"], r[0]["locations"][0]["label"]) == ("7", "T", "a & b", "D", "Here")
+    assert r[0]["source_published_at"].isoformat() == "2024-01-02T03:04:05.500000" and r[0]["source_updated_at"] is None and r[0]["apply_url"] == r[0]["posting_url"] == "https://x.org:80/a?b#c"
+    assert r[10]["external_id"] == "12345678901234567890" and r[10]["locations"] == [] and r[10]["source_updated_at"].isoformat() == "2024-01-01T21:34:00"
+    done = {x["fetch_id"]: (x["complete"], x["n_rows"]) for x in listings.completeness(df, listings.envelope(F.col("body")), got).collect()}
+    assert done == {1: (False, 2), 2: (False, 0), 3: (False, 0), 4: (False, 0), 5: (False, 0), 6: (True, 1), 7: (True, 0), 8: (False, 0), 9: (False, 0), 10: (False, 0)}
+
+
+def test_board_two(spark):
+    url = "https://jobs.lever.co/tok/a%20b"
+    good = {"id": " a b ", "text": "T", "description": "<p>one</p>", "hostedUrl": url, "applyUrl": url + "/apply"}
+    rows = [
+        good | {"lists": [{"text": " Needs \t it", "content": "<li>x</li>"}], "additional": "<b>z</b>", "country": "US", "workplaceType": "remote", "categories": {"allLocations": ["B ", "A", "B", " "], "department": " D "}},
+        good | {"categories": {"allLocations": ["A", 1], "location": " L "}, "country": "usa", "workplaceType": "x", "additional": ""}, good | {"lists": [{"text": "a"}]}, good | {"lists": {}}, good | {"additional": 3},
+        good | {"hostedUrl": url.replace("tok", "other")}, good | {"hostedUrl": url.replace("https", "http")}, good | {"hostedUrl": url.replace(".co", ".co:8080")}, good | {"hostedUrl": url.replace("%20", "%2")},
+        good | {"hostedUrl": url.replace("%20", "+")}, good | {"applyUrl": None}, good | {"id": 3}, good | {"hostedUrl": url.replace(".co", ".co:443") + "?q"}, good | {"hostedUrl": "https://jobs.eu.lever.co/tok/a%20b"}, 4,
+    ]
+    df = spark.createDataFrame([(1, json.dumps(rows), "tok", "global"), (2, "{}", "tok", "global"), (3, None, "tok", "eu")], "fetch_id long, body string, token string, region string")
+    r = {x["place"]: x for x in listings.board_two(df).collect()}
+    assert len(r) == len(rows) and [i for i in sorted(r) if r[i]["valid"]] == [0, 1, 12]
+    assert r[0]["description_md"] == "one\n\n## Needs it\n\n* x\n\n**z**" and r[0]["external_id"] == "a b" and r[0]["department"] == "D"
+    assert [(p["label"], p["country_code"], p["workplace_type"]) for p in r[0]["locations"]] == [("B", "US", "remote"), ("A", "US", "remote")]
+    assert [(p["label"], p["country_code"], p["workplace_type"]) for p in r[1]["locations"]] == [("L", None, None)]
+
+
+def test_pages_of_board_two(spark):
+    page = lambda start, n: json.dumps([{"id": f"i{k}"} for k in range(start, start + n)])
+    rows = [
+        (1, 0, 200, page(0, 100)), (1, 1, 200, page(100, 3)), (1, 2, 200, page(200, 3)), (2, 0, 200, page(0, 100)), (2, 1, 200, page(0, 100)), (3, 0, 200, page(0, 100)), (3, 1, 200, page(99, 5)),
+        (4, 0, 304, None), (5, 0, 200, page(0, 101)), (6, 0, 200, "{}"), (7, 0, 200, page(0, 100)), (7, 2, 200, page(100, 3)), (8, 0, 200, "[]"), (9, 0, 200, page(0, 100)), (9, 1, 500, page(100, 1)), (10, 0, 200, json.dumps([{"id": "a"}, {"id": " a"}])),
+    ]
+    got = listings.paged(spark.createDataFrame(rows, "fetch_id long, page int, http_status int, body string")).collect()
+    assert {(r["fetch_id"], r["page"]) for r in got if r["kept"]} == {(1, 0), (1, 1), (2, 0), (3, 0), (7, 0), (8, 0), (9, 0)}
+    assert {(r["fetch_id"], r["page"]) for r in got if r["last"]} == {(1, 1), (8, 0)} and len(got) == len(rows)
+
+
+def test_board_token(spark):
+    from postmill.sources.payloads import board_token
+
+    host = "https://boards.greenhouse.io"
+    cases = {
+        f"{host}/ab": "ab", f"{host}/ab/": "ab", f"{host}/ab/jobs/1?x=1#y": "ab", f"{host}/ab/jobs/..": None, f"{host}/ab/jobs/%2E.": None, f"{host}/ab/jobs/.x": "ab", f"{host}/ab/jobs/1/2": None, f"{host}.evil.org/ab": None,
+        f"{host}/embed/job_board?for=c_d&x": "c_d", f"{host}/embed/job_board": None, "https://job-boards.greenhouse.io/z/jobs": "z", "https://boards-api.greenhouse.io/v1/boards/q/jobs/3": "q", f"http{host[5:]}/ab": None, None: None, "": None,
+    }
+    assert {u: one(spark, u, board_token) for u in cases} == cases
+
+
+def test_clearance_templates(spark):
+    p = rules.Policy(titles=(), clearance=("clearance", "security clearance"), clearance_obliged=("must have", "requires", "obtain"), clearance_absent=("without", "no need for"), clearance_obtain=("able to obtain",))
+    cases = {
+        "Must have a security clearance": ("reject", "active_clearance_required"), "Security clearance is required": ("reject", "active_clearance_required"), "clearance required": ("reject", "active_clearance_required"),
+        "No security clearance is required": ("pass", "active_clearance_not_required"), "This does not require the clearance": ("pass", "active_clearance_not_required"), "Clearance preferred": ("pass", "active_clearance_not_required"),
+        "clearance is not required": ("pass", "active_clearance_not_required"), "Without a clearance required": ("pass", "active_clearance_not_required"), "Able to obtain a clearance": ("pass", "active_clearance_not_required"),
+        "obtain a clearance": ("reject", "active_clearance_required"), "must have clearance preferred": ("unknown", "clearance_ambiguous"), "Requires clearance. Clearance is not required": ("unknown", "clearance_ambiguous"),
+        "without a clearance": ("unknown", "clearance_not_stated"), "clearance": ("unknown", "clearance_not_stated"), "must have no clearance": ("unknown", "clearance_not_stated"), "": ("unknown", "clearance_not_stated"),
+        "able to obtain clearance required": ("unknown", "clearance_ambiguous"),
+    }
+    got = {t: tuple(one(spark, t, lambda x: rules.clearance_rule((T.tokens(x),), p))) for t in cases}
+    assert got == cases
+
+
+def test_run_matrix_codes(spark):
+    invalid, incomplete = ("failed", runs.RESULT_INVALID), runs.INCOMPLETE
+    cases = [
+        ("complete", 200, None, 3, ("succeeded", None)), ("complete", 304, None, 0, invalid), ("complete", None, None, 0, invalid), ("complete", 200, runs.STALE, 0, invalid), ("failed", None, "adapter.tls_error", 0, ("failed", "adapter.tls_error")),
+        ("failed", 200, runs.INVALID, 0, ("failed", runs.INVALID)), ("failed", None, None, 0, invalid), ("failed", 200, runs.STALE, 0, invalid), ("incomplete", 304, None, 0, ("succeeded", None)),
+        ("incomplete", 200, runs.SUSPICIOUS, 0, ("partial", runs.SUSPICIOUS)), ("incomplete", 200, runs.INVALID, 9, ("failed", runs.INVALID)), ("incomplete", None, "adapter.read_error", 0, invalid),
+        ("incomplete", 500, None, 0, ("failed", incomplete)), ("incomplete", 200, None, 2, ("partial", incomplete)), ("other", 200, None, 2, invalid), ("complete", 99, None, 2, invalid), ("complete", 200, "made.up", 2, invalid), (None, 200, None, 1, invalid),
+    ]
+    df = spark.createDataFrame([(i, *c[:4]) for i, c in enumerate(cases)], "id int, s string, h int, code string, seen int")
+    got = df.select("id", runs.matrix(F.col("s"), F.col("h"), F.col("code"), F.col("seen"), F.col("seen") >= 0).alias("m")).collect()
+    assert {r["id"]: tuple(r["m"]) for r in got} == {i: c[4] for i, c in enumerate(cases)}
+    codes = {'{"code": "adapter.tls_error"}': "adapter.tls_error", '{"code": "x"}': runs.RESULT_INVALID, "{}": None, None: None}
+    assert {e: one(spark, e, runs.reason) for e in codes} == codes
+
+
+def test_terminal_replay(spark):
+    kinds = "run_id long, endpoint_id long, status string, failure string, counts struct<a:int,b:int>"
+    stored = [(1, 1, "succeeded", None, (1, 2)), (2, 1, "failed", "x", (1, 2)), (3, 1, "succeeded", None, (1, 3)), (4, 2, "succeeded", None, (1, 2)), (5, 1, "succeeded", None, (1, 2)), (6, 1, "partial", None, (1, None)), (7, 1, "failed", None, (1, None))]
+    expected = [(1, 1, "succeeded", None, (1, 2)), (2, 1, "failed", "y", (1, 2)), (3, 1, "succeeded", None, (1, 2)), (4, 1, "succeeded", None, (1, 2)), (6, 1, "partial", None, (1, None)), (7, 1, "partial", None, (1, None))]
+    s = spark.createDataFrame(stored, kinds).withColumn("step", F.when(F.col("run_id") < 6, "source_fetch_recorded").when(F.col("run_id") == 7, "source_fetch_recorded"))
+    got = {r["run_id"]: r["problem"] for r in runs.terminal_problems(s, spark.createDataFrame(expected, kinds)).collect()}
+    assert got == {2: "failure", 3: "counts", 4: "target", 5: "fetch_missing", 6: "step", 7: "status"}
+
+
+def test_endpoint_health(spark):
+    def plain(rows):
+        status, before, out = dict.fromkeys({r[0] for r in rows}), {}, {}
+        for e, i, _, complete, http, seen, bad, first in sorted(rows, key=lambda r: (r[2], r[1])):
+            at, marks = status[e] or first, (False, False)
+            if bad and before.get(e) and at != "failing":
+                at, marks = "failing", (True, False)
+            elif complete and http == 200 and seen > 0 and at == "failing":
+                at, marks = "active", (False, True)
+            status[e], before[e], out[i] = at, bad, (at, *marks, marks[0])
+        return out
+
+    draw = random.Random(5)
+    rows = []
+    for i in range(300):
+        bad, e = draw.random() < 0.5, draw.randrange(12)
+        rows.append((e, i, draw.randrange(100), bad or draw.random() < 0.6, 200, 0 if bad else draw.randrange(2), bad, ("active", "paused", "failing")[e % 3]))
+    got = history.endpoint_health(spark.createDataFrame(rows, "endpoint_id int, id int, finished_at int, complete boolean, http_status int, seen int, suspicious_zero boolean, initial_status string"))
+    assert {r["id"]: (r["endpoint_status"], r["marked_failing"], r["marked_active"], r["alert"]) for r in got.collect()} == plain(rows)
+
+
+def test_fetch_problems(spark):
+    fetches = [(1, 200, True, "e", None), (2, 99, False, "e", "m"), (3, 304, True, None, None), (4, 304, False, None, None), (5, 200, True, None, None), (6, 200, True, None, None), (7, 200, True, None, None), (8, 200, None, None, None), (9, 304, False, None, None), (10, None, False, "x", None)]
+    rows = [(1, "a", "t", []), (1, "b", "t", []), (4, "a", "t", []), (5, " a", "t", []), (5, "a ", "t", []), (6, "a", " ", []), (7, "a", "t", None)]
+    got = history.fetch_problems(spark.createDataFrame(fetches, "fetch_id int, http_status int, complete boolean, etag string, last_modified string"), spark.createDataFrame(rows, "fetch_id int, external_id string, title string, locations array<string>"))
+    found = {r["fetch_id"]: r for r in got.collect()}
+    assert {i: r["problem"] for i, r in found.items()} == {1: None, 2: "http_status", 3: "complete_non_200", 4: "rows_of_304", 5: "duplicate_id", 6: "empty_title", 7: "empty_label", 8: "completeness", 9: None, 10: "http_status"}
+    assert found[2]["http_status"] is None and found[2]["etag"] == "e" and found[2]["last_modified"] == "m"
+
+
+def test_evaluations(spark):
+    p = rules.Policy(titles=("engineer",))
+    rows = spark.createDataFrame([(1, "Engineer", "x"), (2, "Cook", "must have a security clearance"), (3, "Engineer", "x")], "posting_id long, title string, description string").select(
+        "*", F.array().cast("array<string>").alias("country_codes"), F.lit(None).cast("string").alias("workplace"), F.when(F.col("posting_id") == 3, ts(25)).otherwise(ts(1)).alias("published_at"), ts(1).alias("first_seen_at"),
+        F.when(F.col("posting_id") == 2, "applied").otherwise("none").alias("action"), F.lit(False).alias("company_blocked"),
+    )
+    results = rules.evaluate(rows, p, ts(20)).cache()
+    two = results.where("posting_id = 2").first()
+    assert two["rejections"] == ["title", "clearance", "actioned"] and [o["evidence"] for o in two["outcomes"] if o["rule"] == "actioned"] == ["prior_applied"]
+    assert [r["problem"] for r in results.where("error is null").select(evaluations.problem(results).alias("problem")).collect()] == [None, None]
+    bent = results.where("error is null").withColumn("eligible", ~F.col("eligible"))
+    assert {r["problem"] for r in bent.select(evaluations.problem(bent).alias("problem")).collect()} == {"eligible"}
+    kept, scores = evaluations.record(results, rows.select("posting_id", F.to_json(F.struct("posting_id", "title", "description")).alias("payload")))
+    assert sorted(r["posting_id"] for r in kept.collect()) == [1, 2] and [(r["posting_id"], r["verdict"]) for r in scores.collect()] == [(2, "reject")]
+    state = lambda stored, s: {r["state"] for r in evaluations.replay(kept, stored, s).collect()}
+    assert state(kept, scores) == {"same"} and state(kept.limit(0), scores.limit(0)) == {"new"} and state(kept, scores.unionByName(scores)) == {"same", "score"} and state(kept, scores.limit(0)) == {"same", "score"}
+    assert state(kept.withColumn("output", F.lit("x")), scores) == {"stored_hash"} and state(kept.withColumn("posting_id", F.lit(9)), scores) == {"target"}
+    from postmill.operators import integrity
+
+    assert {r["violations"] for r in integrity.checks(kept, evaluations.checks(kept)).collect()} == {0}
