@@ -436,18 +436,18 @@ def named_scope(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(r"""
 with c as (select *, c_custkey % 6 as k from customer where c_nationkey is not null)
 select cast(c_nationkey as bigint) as fetch_id, case when k = 1 then null else cast(c_custkey as varchar) end as external_id, case when k = 2 then null else c_name end as title,
-       c_mktsegment as description_md, case when k = 3 then null else 'https://example.org/' || c_custkey || '?a#b' end as posting_url, case when k = 4 then null else c_address end as label,
+       c_mktsegment as description_md, case when k = 3 then null else 'https://example.org/' || c_custkey || '?a#b' end as posting_url, case when k = 4 then null else c_name end as label,
        case when k = 5 then null else c_mktsegment end as department, k not in (1, 2, 3) as valid
 from c""")
 def board_one_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Customers as listings of a board for each nation: JSON bodies are built, then read back; one field in six is bad or missing."""
-    k, s, n = F.col("c_custkey") % 6, lambda x: F.to_json(F.struct(x.alias("x")), {"ignoreNullFields": "false"}).substr(6, 1 << 20), F.col("c_custkey").cast("string")
-    value = lambda x: F.regexp_replace(s(x), r"\}$", "")
+    k, n = F.col("c_custkey") % 6, F.col("c_custkey").cast("string")
+    value = lambda x: F.regexp_extract(F.to_json(F.struct(x.alias("x")), {"ignoreNullFields": "false"}), r'^\{"x":(.*)\}$', 1)
     row = F.concat(
         F.lit('{"id":'), F.when(k == 1, F.concat(F.lit('"'), n, F.lit('"'))).otherwise(n), F.lit(',"title":'), F.when(k == 2, F.lit('" "')).otherwise(value(F.concat(F.lit(" "), F.col("c_name")))),
         F.lit(',"content":'), value(F.concat(F.lit("&lt;p&gt;"), "c_mktsegment", F.lit("&lt;/p&gt;"))), F.lit(',"absolute_url":'),
         value(F.concat(F.when(k == 3, "ftp").otherwise("https"), F.lit("://example.org/"), n, F.lit("?a#b"))), F.lit(',"location":'),
-        F.when(k == 4, F.lit("7")).otherwise(F.concat(F.lit('{"name":'), value(F.col("c_address")), F.lit("}"))), F.lit(',"departments":[{"name":'),
+        F.when(k == 4, F.lit("7")).otherwise(F.concat(F.lit('{"name":'), value(F.col("c_name")), F.lit("}"))), F.lit(',"departments":[{"name":'),
         F.when(k == 5, F.lit("null")).otherwise(value(F.col("c_mktsegment"))), F.lit("}]}"),
     )
     c = read(spark, sf_dir, "customer").where("c_nationkey is not null").select(F.col("c_nationkey").cast("long").alias("fetch_id"), row.alias("row"))
@@ -525,7 +525,7 @@ def endpoint_health(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""
-with l as (select o_orderkey, count(*) as n, count(distinct l_linenumber % 5) as d from orders left join lineitem on l_orderkey = o_orderkey group by o_orderkey)
+with l as (select o_orderkey, count(l_linenumber) as n, count(distinct l_linenumber % 5) as d from orders left join lineitem on l_orderkey = o_orderkey group by o_orderkey)
 select o_orderkey as fetch_id, case when s = 99 then 'http_status' when c and s <> 200 then 'complete_non_200' when s = 304 and d > 0 then 'rows_of_304' when d < n then 'duplicate_id' end as problem, nullif(s, 99) as http_status
 from (select o_orderkey, case o_orderkey % 4 when 0 then 304 when 1 then 99 else 200 end as s, o_orderkey % 8 < 7 and o_orderkey % 3 > 0 as c from orders) join l using (o_orderkey)""")
 def fetch_problems(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -540,7 +540,7 @@ def fetch_problems(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def evaluation_replay(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Evaluations of all documents, replayed against those stored under a policy that has since changed for some languages' texts."""
+    """Evaluations of all documents, replayed against stored ones of which every fifth holds a hash that is not its output's."""
     results = eligibility_rules(spark, sf_dir)
     inputs = read(spark, sf_dir, "documents").select(F.col("doc_id").alias("posting_id"), F.sha2(F.concat_ws("\n", F.col("doc_id").cast("string"), "text"), 256).alias("payload"))
     kept, scores = evaluations.record(results, inputs)
