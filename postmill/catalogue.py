@@ -435,9 +435,9 @@ def named_scope(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(r"""
 with c as (select *, c_custkey % 6 as k from customer where c_nationkey is not null)
-select cast(c_nationkey as bigint) as fetch_id, case when k = 1 then null else cast(c_custkey as varchar) end as external_id, case when k = 2 then null else c_name end as title,
+select cast(c_nationkey as bigint) as fetch_id, case when k = 1 or c_custkey <= 0 then null else cast(c_custkey as varchar) end as external_id, case when k = 2 then null else c_name end as title,
        c_mktsegment as description_md, case when k = 3 then null else 'https://example.org/' || c_custkey || '?a#b' end as posting_url, case when k = 4 then null else c_name end as label,
-       case when k = 5 then null else c_mktsegment end as department, k not in (1, 2, 3) as valid
+       case when k = 5 then null else c_mktsegment end as department, k not in (1, 2, 3) and c_custkey > 0 as valid
 from c""")
 def board_one_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Customers as listings of a board for each nation: JSON bodies are built, then read back; one field in six is bad or missing."""
