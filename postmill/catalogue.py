@@ -154,9 +154,10 @@ _OPEN = "(select * from orders where o_orderstatus <> 'F')"
 
 
 @query(f"""select o_orderkey as external_id, o_orderdate as closed_at from {_OPEN} o
-where not exists (select 1 from lineitem l where l.l_orderkey = o.o_orderkey and l.l_linenumber >= 4)""")
+where not exists (select 1 from lineitem l where l.l_orderkey = o.o_orderkey and l.l_linestatus = 'O')""")
 def close_reconcile(spark: SparkSession, sf_dir: str) -> DataFrame:
-    seen = read(spark, sf_dir, "lineitem").where("l_linenumber >= 4").select(F.col("l_orderkey").alias("o_orderkey"))
+    """Orders that are not finished, though none of their lines is open."""
+    seen = read(spark, sf_dir, "lineitem").where("l_linestatus = 'O'").select(F.col("l_orderkey").alias("o_orderkey"))
     gone = read(spark, sf_dir, "orders").where("o_orderstatus <> 'F'").join(seen, "o_orderkey", "left_anti")
     return gone.select(F.col("o_orderkey").alias("external_id"), F.col("o_orderdate").cast("timestamp_ntz").alias("closed_at"))
 
@@ -174,19 +175,20 @@ def reopen_last_seen(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""
-with s as (select n_nationkey as endpoint_id from nation), st as (
-    select c_nationkey as endpoint_id, c_custkey as external_id, c_mktsegment as h from customer where c_custkey % 3 <> 0), ob as (
-    select c_nationkey as endpoint_id, c_custkey as external_id, case when c_custkey % 5 = 0 then 'changed' else c_mktsegment end as h from customer where c_custkey % 4 <> 0),
-j as (select coalesce(st.endpoint_id, ob.endpoint_id) as endpoint_id, st.h as old, ob.h as new from st full join ob using (endpoint_id, external_id))
-select s.endpoint_id, count(new) as seen, count(*) filter (where old is null and new is not null) as created, count(*) filter (where old <> new) as changed,
-       count(*) filter (where new is null and old is not null and s.endpoint_id % 2 = 0) as closed
-from s left join j using (endpoint_id) group by s.endpoint_id""")
+with j as (select c_nationkey as endpoint_id, c_custkey, max(o_orderpriority) filter (where o_orderstatus = 'F') as old, max(o_orderpriority) filter (where o_orderstatus <> 'F') as new
+    from orders join customer on c_custkey = o_custkey group by all)
+select n_nationkey as endpoint_id, count(new) as seen, count(*) filter (where old is null and new is not null) as created, count(*) filter (where old <> new) as changed,
+       count(*) filter (where new is null and old is not null and n_nationkey % 2 = 0) as closed
+from nation left join j on j.endpoint_id = n_nationkey group by n_nationkey""")
 def merge_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    c = read(spark, sf_dir, "customer").select(F.col("c_nationkey").alias("endpoint_id"), F.col("c_custkey").alias("external_id"), F.col("c_mktsegment").alias("content_hash"), F.col("c_name").alias("url"))
+    """Customers by their finished orders as the state, by all other orders as what is seen; nations are endpoints."""
     t0, t1, t2 = (F.lit(f"2024-01-0{i} 00:00:00").cast("timestamp") for i in (1, 2, 3))
-    state = c.where("external_id % 3 <> 0").select("*", t0.alias("first_seen"), t0.alias("last_seen"), F.lit(None).cast("timestamp").alias("closed_at"))
+    of = F.max(F.when(F.col("o_orderstatus") == "F", F.col("o_orderpriority"))), F.max(F.when(F.col("o_orderstatus") != "F", F.col("o_orderpriority")))
+    each = read(spark, sf_dir, "orders").groupBy(F.col("o_custkey").alias("c_custkey")).agg(of[0].alias("old"), of[1].alias("new"))
+    c = read(spark, sf_dir, "customer").join(each, "c_custkey").select(F.col("c_nationkey").alias("endpoint_id"), F.col("c_custkey").alias("external_id"), F.col("c_name").alias("url"), "old", "new")
+    state = c.where("old is not null").withColumnRenamed("old", "content_hash").drop("new").select("*", t0.alias("first_seen"), t0.alias("last_seen"), F.lit(None).cast("timestamp").alias("closed_at"))
     versions = state.select("endpoint_id", "external_id", "content_hash", F.col("first_seen").alias("observed_at"))
-    observed = c.where("external_id % 4 <> 0").withColumn("content_hash", F.when(F.col("external_id") % 5 == 0, "changed").otherwise(F.col("content_hash")))
+    observed = c.where("new is not null").withColumnRenamed("new", "content_hash").drop("old")
     batch = read(spark, sf_dir, "nation").select(
         F.col("n_nationkey").alias("endpoint_id"), t1.alias("started_at"), t2.alias("finished_at"), (F.col("n_nationkey") % 2 == 0).alias("complete"),
         F.lit(200).alias("http_status"), F.lit(False).alias("stale"), F.lit(False).alias("suspicious_zero"),
@@ -405,24 +407,24 @@ def document_sync(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""
-with n as (select n_nationkey from nation where n_regionkey = 0), c as (select c_custkey from customer semi join n on c_nationkey = n_nationkey),
-o as (select o_orderkey from orders semi join c on o_custkey = c_custkey)
-select 'nation' as name, 'delete' as action, count(*) as n from n union all select 'customer', 'delete', count(*) from c union all select 'orders', 'delete', count(*) from o
-union all select 'supplier', 'set_null', count(*) from supplier semi join n on s_nationkey = n_nationkey
-union all select 'lineitem', 'restrict', count(*) from lineitem semi join o on l_orderkey = o_orderkey""")
+with n as (select n_nationkey, n_regionkey as root from nation), c as (select c_custkey, root from customer join n on c_nationkey = n_nationkey), o as (select o_orderkey, root from orders join c on o_custkey = c_custkey)
+select root, 'nation' as name, 'delete' as action, count(*) as n from n group by root union all select root, 'customer', 'delete', count(*) from c group by root
+union all select root, 'orders', 'delete', count(*) from o group by root union all select root, 'supplier', 'set_null', count(*) from supplier join n on s_nationkey = n_nationkey group by root
+union all select root, 'lineitem', 'restrict', count(*) from lineitem join o on l_orderkey = o_orderkey group by root""")
 def delete_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    tables = {t: read(spark, sf_dir, t) for t in ("nation", "customer", "orders", "lineitem", "supplier")}
-    to = deletes.Reference
-    links = [
-        to("customer", "c_nationkey", "nation", "n_nationkey", "cascade"), to("orders", "o_custkey", "customer", "c_custkey", "cascade"),
-        to("lineitem", "l_orderkey", "orders", "o_orderkey", "restrict"), to("supplier", "s_nationkey", "nation", "n_nationkey", "set_null"),
+    """For each region what deleting it would take along, set to null or be forbidden by."""
+    nation, customer, orders, lineitem, supplier = (read(spark, sf_dir, t) for t in ("nation", "customer", "orders", "lineitem", "supplier"))
+    n = nation.withColumn("root", F.col("n_regionkey"))
+    c = deletes.referring(customer, "c_nationkey", n, "n_nationkey")
+    o = deletes.referring(orders, "o_custkey", c, "c_custkey")
+    parts = [
+        ("nation", "delete", n), ("customer", "delete", c), ("orders", "delete", o), ("supplier", "set_null", deletes.referring(supplier, "s_nationkey", n, "n_nationkey")),
+        ("lineitem", "restrict", deletes.referring(lineitem, "l_orderkey", o, "o_orderkey")),
     ]
-    gone, nulls, blocked = deletes.plan(tables, links, "nation", tables["nation"].where("n_regionkey = 0"))
-    parts = [(t, "delete", d) for t, d in gone.items()] + [(r.child, r.action, d) for r, d in (nulls | blocked).items()]
-    counts = [d.agg(F.count("*").alias("n")).select(F.lit(t).alias("name"), F.lit(a).alias("action"), "n") for t, a, d in parts]
+    counts = [d.groupBy("root").agg(F.count("*").alias("n")).select("root", F.lit(t).alias("name"), F.lit(a).alias("action"), "n") for t, a, d in parts]
     out = counts[0]
-    for c in counts[1:]:
-        out = out.unionByName(c)
+    for x in counts[1:]:
+        out = out.unionByName(x)
     return out
 
 

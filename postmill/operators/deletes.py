@@ -1,46 +1,19 @@
-"""What a delete takes with it: cascades, references set to null, and the rows that forbid it."""
+"""What deleted rows take with them: rows that refer to them, found by joins along the references.
 
-from __future__ import annotations
+Deleted rows carry `root`, the key of the row whose delete takes them along. Keys are unique; a null reference refers to nothing.
+"""
 
-from dataclasses import dataclass
+from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
-@dataclass(frozen=True)
-class Reference:
-    """child.column refers to parent.key; action: cascade, restrict or set_null."""
-
-    child: str
-    column: str
-    parent: str
-    key: str
-    action: str
-
-
-def plan(tables: dict[str, DataFrame], references: list[Reference], table: str, doomed: DataFrame) -> tuple[dict[str, DataFrame], dict[Reference, DataFrame], dict[Reference, DataFrame]]:
-    """(deleted rows by table, rows whose reference becomes null, rows that forbid the delete) for `doomed` rows of `table`.
-
-    References form no cycle; a table that several cascades reach has the union of their rows, each once. Null references
-    refer to nothing. A row that goes by another cascade forbids nothing.
-    """
-    order, left = [table], [r for r in references if r.action == "cascade"]
-    gone: dict[str, DataFrame] = {table: doomed}
-    while left:
-        ready = [r for r in left if r.parent in order and not any(o.child == r.parent and o is not r for o in left)]
-        if not ready:
-            break  # the others start from tables that nothing is deleted from
-        for r in ready:
-            left.remove(r)
-            found = _referring(tables[r.child], r, gone[r.parent])
-            gone[r.child] = gone[r.child].unionByName(found).distinct() if r.child in gone else found
-            if r.child not in order:
-                order.append(r.child)
-    others = {r: _referring(tables[r.child], r, gone[r.parent]) for r in references if r.action != "cascade" and r.parent in gone}
-    others = {r: d.exceptAll(gone[r.child]) if r.child in gone else d for r, d in others.items()}
-    return gone, {r: d for r, d in others.items() if r.action == "set_null"}, {r: d for r, d in others.items() if r.action == "restrict"}
+def referring(children: DataFrame, column: str, gone: DataFrame, key: str) -> DataFrame:
+    """Children that refer to deleted rows, with their `root`."""
+    return children.join(gone.select(F.col(key).alias(column), "root"), column)
 
 
-def _referring(child: DataFrame, r: Reference, parents: DataFrame) -> DataFrame:
-    return child.join(parents.select(F.col(r.key).alias(r.column)).distinct(), r.column, "left_semi").select(*child.columns)
+def survivors(children: DataFrame, column: str, gone: DataFrame, key: str) -> DataFrame:
+    """Children that refer to no deleted row."""
+    return children.join(gone.select(F.col(key).alias(column)).distinct(), column, "left_anti").select(*children.columns)

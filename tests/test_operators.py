@@ -198,14 +198,15 @@ def test_document_sync(spark):
     assert not again.where("activates").count()
 
 
-def test_delete_plan(spark):
-    t = {n: spark.createDataFrame(r, c) for n, r, c in (("a", [(1,), (2,)], "k long"), ("b", [(1, 1), (2, 2), (3, None)], "k long, a long"), ("c", [(9, 1, 1), (8, 2, 2)], "k long, b long, a long"), ("d", [(5, 9), (6, 8)], "k long, c long"))}
-    to = deletes.Reference
-    links = [to("c", "a", "a", "k", "cascade"), to("b", "a", "a", "k", "cascade"), to("c", "b", "b", "k", "restrict"), to("d", "c", "c", "k", "set_null")]
-    gone, nulls, blocked = deletes.plan(t, links, "a", t["a"].where("k = 1"))
-    assert {n: [r["k"] for r in d.collect()] for n, d in gone.items()} == {"a": [1], "b": [1], "c": [9]}
-    assert [r["k"] for r in nulls[links[3]].collect()] == [5]
-    assert blocked[links[2]].count() == 0  # the row that refers goes by a cascade of its own
+def test_deletes(spark):
+    a = spark.createDataFrame([(1,), (2,)], "k long").where("k = 1").withColumn("root", F.col("k"))
+    b = spark.createDataFrame([(1, 1), (2, 2), (3, None)], "k long, a long")
+    c = spark.createDataFrame([(9, 1), (8, 2), (7, None)], "k long, b long")
+    gone = deletes.referring(b, "a", a, "k")
+    assert [(r["k"], r["root"]) for r in gone.collect()] == [(1, 1)]
+    assert [(r["k"], r["root"]) for r in deletes.referring(c, "b", gone, "k").collect()] == [(9, 1)]
+    assert sorted(r["k"] for r in deletes.survivors(c, "b", gone, "k").collect()) == [7, 8]
+    assert deletes.referring(c, "b", gone.limit(0), "k").count() == 0
 
 
 def test_golden_content_hash(spark):
