@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from .functions import canonical as C
 from .functions import markup, scopes
 from .functions import tokens as T
-from .operators import deletes, documents, evaluations, history, integrity, merge, rules, runs
+from .operators import binding, deletes, documents, evaluations, history, integrity, merge, rules, runs, snapshots
 from .sources import listings, payloads
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -548,3 +548,106 @@ def evaluation_replay(spark: SparkSession, sf_dir: str) -> DataFrame:
     kept, scores = evaluations.record(results, inputs)
     stored = kept.withColumn("output_hash", F.when(F.col("posting_id") % 5 == 0, F.sha2(F.lit(""), 256)).otherwise(F.col("output_hash")))
     return evaluations.replay(kept, stored, scores).groupBy("state").agg(F.count("*").alias("n"))
+
+
+@query(rf"""
+with p as (select conv_id, turn, len(regexp_replace(text, '[^\p{{L}}\p{{N}}]', '', 'g')) as letters, len({_TOKENS.format('text')}) as tokens from conversations),
+s as (select conv_id as document_id, count(*) as pages, min(turn) filter (where letters = 0) - min(turn) as page, cast(sum(letters) as bigint) as letters, cast(sum(tokens) as bigint) as tokens from p group by conv_id)
+select *, case when page is not null then 'page_no_letters' when letters < 500 then 'too_few_letters' when tokens < 75 then 'too_few_tokens' else 'complete' end as gate from s""")
+def page_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Conversations as documents whose turns are the pages."""
+    pages = read(spark, sf_dir, "conversations").select(F.col("conv_id").alias("document_id"), F.col("turn").alias("page"), "text")
+    return documents.page_gate(pages)
+
+
+@query("""select event_id, strftime(ts, '%a, %d %b %Y %H:%M:%S GMT') as header, date_trunc('second', ts) as parsed from events""")
+def http_dates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Times as date headers, and read back."""
+    e = read(spark, sf_dir, "events").select("event_id", C.http_date(F.col("ts").cast("timestamp")).alias("header"))
+    return e.select("event_id", "header", C.parse_http_date(F.col("header")).cast("timestamp_ntz").alias("parsed"))
+
+
+@query("""
+with r as (select o_orderkey, o_custkey, o_orderstatus as s, o_orderpriority as p, c_custkey is not null and c_mktsegment <> 'MACHINERY' as there,
+        case when c_mktsegment = 'BUILDING' then 'x' when o_custkey % 2 = 0 then 'a' else 'b' end as now, case when o_custkey % 2 = 0 then 'a' else 'b' end as kind from orders left join customer on c_custkey = o_custkey),
+k as (select *, case when s = 'P' then case when not there then 'runner.source_endpoint_not_found' end when p = '1-URGENT' then 'runner.pipeline_run_not_found' when p = '2-HIGH' then 'runner.pipeline_run_incompatible'
+        when s = 'F' then null when not there then 'runner.endpoint_deleted' when now = 'x' then 'runner.endpoint_changed' end as code from r)
+select o_orderkey as request_id, case when code in ('runner.endpoint_deleted', 'runner.endpoint_changed') then 'failed' when code is not null then 'rejected' when s = 'P' then 'created' when s = 'F' then 'replay' else 'bound' end as state, code,
+       case when s = 'P' then case when there then replace(now, 'x', 'malformed') end when p <> '1-URGENT' then kind end as adapter_kind from k""")
+def run_binding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders as requests: pending ones ask for a new run, the others name one that has ended, waits, is missing or is another endpoint's."""
+    o = read(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("k"), F.col("o_custkey").alias("endpoint_id"), "o_orderstatus", "o_orderpriority", F.col("o_orderdate").cast("timestamp").alias("at"))
+    kind = lambda c: F.when(c % 2 == 0, "a").otherwise("b")
+    requests = o.select(F.col("k").alias("request_id"), "endpoint_id", F.when(F.col("o_orderstatus") != "P", F.col("k")).alias("run_id"), F.lit("1").alias("config_version"))
+    ended, target = F.col("o_orderstatus") == "F", F.col("endpoint_id") + F.when(F.col("o_orderpriority") == "2-HIGH", 1).otherwise(0)
+    none = F.lit(None).cast("string")
+    stored = o.where("o_orderstatus <> 'P' and o_orderpriority <> '1-URGENT'").select(
+        F.col("k").alias("run_id"), F.lit("manual").alias("run_kind"), F.when(ended, "succeeded").otherwise("running").alias("status"), F.lit("1").alias("config_version"),
+        binding.reserved_counts(target, kind(F.col("endpoint_id"))).alias("counts"), none.alias("step"), none.alias("error"), F.col("at").alias("started_at"), F.when(ended, F.col("at")).alias("finished_at"),
+    )
+    c = read(spark, sf_dir, "customer").where("c_mktsegment <> 'MACHINERY'")
+    endpoints = c.select(F.col("c_custkey").alias("endpoint_id"), F.when(F.col("c_mktsegment") == "BUILDING", "x").otherwise(kind(F.col("c_custkey"))).alias("kind"))
+    attempts = stored.where("status = 'succeeded'").select("run_id", F.lit(0).cast("long").alias("endpoint_id"))
+    return binding.bind(requests, stored, endpoints, attempts, ("a", "b")).select("request_id", "state", "code", "adapter_kind")
+
+
+@query("""
+with m as (select distinct l_orderkey from lineitem where l_returnflag = 'R' and l_linestatus = 'F'), r as (
+    select o_orderkey as posting_id, case when o_orderpriority = '1-URGENT' then 'policy' when o_orderstatus = 'P' then 'version' when o_orderpriority = '2-HIGH' then 'content_hash' when c_mktsegment is not distinct from 'BUILDING' then 'company_blocked'
+        when m.l_orderkey is not null then 'actions' end as differs from orders left join customer on c_custkey = o_custkey left join m on m.l_orderkey = o_orderkey)
+select posting_id, case when differs = 'policy' then 'filter.policy_unsupported' when differs is not null then 'filter.input_stale' end as code, differs from r""")
+def stale_inputs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders as evaluated listings whose inputs are checked again: policies, versions, texts, companies and actions have moved for some."""
+    o = read(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("posting_id"), F.col("o_custkey").alias("company_id"), "o_orderstatus", "o_orderpriority", F.col("o_orderdate").cast("timestamp").alias("at"))
+    none = F.lit(None).cast("timestamp")
+    records = o.select(
+        "posting_id", F.when(F.col("o_orderpriority") == "1-URGENT", "old").otherwise("new").alias("policy_hash"), F.when(F.col("o_orderstatus") == "P", 0).otherwise(1).alias("version_id"), F.lit(1).alias("run_id"),
+        F.when(F.col("o_orderpriority") == "2-HIGH", "then").otherwise("now").alias("content_hash"), none.alias("closed_at"), F.lit(False).alias("company_blocked"), F.col("at").alias("first_seen_at"), none.alias("source_published_at"),
+    )
+    postings = o.select("posting_id", "company_id", F.lit(1).alias("current_version_id"), none.alias("closed_at"), F.col("at").alias("first_seen_at"), none.alias("source_published_at"))
+    versions = o.select("posting_id", F.lit(1).alias("version_id"), F.lit(1).alias("run_id"), F.lit("now").alias("content_hash"))
+    companies = read(spark, sf_dir, "customer").select(F.col("c_custkey").alias("company_id"), (F.col("c_mktsegment") == "BUILDING").alias("blocked"))
+    lines = read(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("posting_id"), F.col("l_linenumber").alias("digest_item_id"), F.col("l_suppkey").alias("score_version_id"), F.col("l_returnflag").alias("state"), "l_linestatus")
+    moved = F.when((F.col("state") == "R") & (F.col("l_linestatus") == "F"), "A").otherwise(F.col("state"))
+    return snapshots.stale(records, lines.drop("l_linestatus"), postings, versions, companies, lines.withColumn("state", moved).drop("l_linestatus"), "new")
+
+
+@query("""
+with s as (select event_id, event_type = 'purchase' as deep, cast(json_extract(props, '$.k') as int) as k, user_id from events)
+select 'deep_inputs' as rule, count(*) filter (where deep and user_id = 8) as violations from s
+union all select 'deep_location', count(*) filter (where deep and not (k < 50)) from s union all select 'rank', count(*) filter (where k % 5 = 0 or k % 5 = 4) from s
+union all select 'one_active', count(*) from (select user_id from s where k = 7 group by user_id having count(*) > 1)""")
+def score_constraints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events as scores; purchases are of the deep stage, some with a status that is missing, null or unknown."""
+    k = F.get_json_object("props", "$.k").cast("int")
+    status = F.when(k < 50, '{"status":"eligible"}').when(k < 60, '{"status":null}').when(k < 70, "{}").when(k < 80, '{"status":"other"}')
+    s = read(spark, sf_dir, "events").select(
+        F.when(F.col("event_type") == "purchase", "deep").otherwise("filter").alias("stage"), F.expr("nullif(user_id, 8)").alias("resume_version_id"), F.lit(1).alias("profile_version_id"), F.lit(1).alias("research_id"),
+        status.alias("location_eligibility"), (k % 5).alias("rank"), "user_id", (k == 7).alias("active"),
+    )
+    return integrity.checks(s, integrity.deep_scores()).unionByName(integrity.one_active(s, "one_active", "user_id"))
+
+
+@query(r"""
+with v as (select l_orderkey as p, l_linenumber as id, min(l_returnflag) = 'N' as blank from lineitem group by all)
+select o_orderkey as posting_id, case when v.id is null then 'filter.current_version_invalid' when c_custkey is null then 'filter.persisted_input_invalid' when o_orderstatus = 'F' then 'filter.posting_closed'
+       when blank or a.bad then 'filter.persisted_input_invalid' end as code, coalesce(a.n, 0) as actions
+from orders left join v on p = o_orderkey and id = 2 left join customer on c_custkey = o_custkey left join (select l_orderkey as k, count(*) as n, bool_or(l_linestatus = 'O' and l_returnflag = 'R') as bad from lineitem group by l_orderkey) a on a.k = o_orderkey""")
+def input_snapshots(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders as listings whose current version is their second line: which may be evaluated, and why the others may not."""
+    o, li = read(spark, sf_dir, "orders"), read(spark, sf_dir, "lineitem")
+    at = F.col("o_orderdate").cast("timestamp")
+    postings = o.select(
+        F.col("o_orderkey").alias("posting_id"), F.col("o_custkey").alias("company_id"), F.lit(2).alias("current_version_id"), F.when(F.col("o_orderstatus") == "F", at).alias("closed_at"), at.alias("first_seen_at"), F.lit(None).cast("timestamp").alias("source_published_at")
+    )
+    versions = li.groupBy(F.col("l_orderkey").alias("posting_id"), F.col("l_linenumber").alias("version_id")).agg(F.min("l_returnflag").alias("flag"))  # line numbers repeat
+    versions = versions.select(
+        "posting_id", "version_id", F.when(F.col("flag") == "N", "").otherwise("t").alias("title"), F.lit(None).cast("string").alias("description_md"), F.sha2("flag", 256).alias("content_hash"),
+        F.array(F.struct(F.lit("x").alias("label"))).alias("locations"),
+    )
+    companies = read(spark, sf_dir, "customer").select(F.col("c_custkey").alias("company_id"), F.lit(False).alias("blocked"))
+    state = F.when((F.col("l_linestatus") == "O") & (F.col("l_returnflag") == "R"), "made up").otherwise("skipped")
+    actions = li.select(
+        F.col("l_linenumber").alias("digest_item_id"), F.col("l_orderkey").alias("posting_id"), F.lit(1).alias("score_id"), F.lit(1).alias("score_version_id"), F.col("l_orderkey").alias("version_posting_id"), state.alias("state")
+    )
+    return snapshots.snapshot(postings, postings, versions, companies, actions).select("posting_id", "code", "actions")

@@ -5,12 +5,14 @@ from __future__ import annotations
 import re
 import sys
 import unicodedata
+from datetime import datetime, timedelta, timezone
+from email.utils import parsedate_to_datetime
 from functools import cache
 
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, StringType
+from pyspark.sql.types import ArrayType, LongType, StringType
 
 #: White space as Unicode text functions see it: Java's Unicode class and the four separators that it leaves out.
 SPACES = r"(?U)[\s\x1c-\x1f]+"
@@ -150,6 +152,39 @@ def rfc3339(ts: Column) -> Column:
     return F.date_format(ts, "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'Z'")
 
 
+def http_date(ts: Column) -> Column:
+    """The time as an HTTP date, in GMT and whole seconds."""
+    return F.date_format(F.to_utc_timestamp(ts, F.current_timezone()), "EEE, dd MMM yyyy HH:mm:ss 'GMT'")
+
+
+_EPOCH = datetime(1970, 1, 1, tzinfo=timezone.utc)
+
+
+def _mail_micros(text: str | None) -> int | None:
+    try:
+        at = parsedate_to_datetime(text) if text is not None else None
+    except (TypeError, ValueError, OverflowError):
+        return None
+    if at is None:
+        return None
+    return ((at if at.tzinfo else at.replace(tzinfo=timezone.utc)) - _EPOCH) // timedelta(microseconds=1)
+
+
+@F.pandas_udf(LongType())
+def _date_micros(text: pd.Series) -> pd.Series:
+    return pd.Series([_mail_micros(x) for x in text], dtype="Int64")
+
+
+def parse_http_date(text: Column) -> Column:
+    """The time of a date header in any form that mail dates take; without a zone it is UTC, anything else is null."""
+    return F.timestamp_micros(_date_micros(text))
+
+
+def validator_flags(etag: Column, last_modified: Column) -> Column:
+    """Which validators a response returned; a date that can't be parsed counts as none."""
+    return F.struct(etag.isNotNull().alias("etag"), parse_http_date(last_modified).isNotNull().alias("last_modified"))
+
+
 def masked_url(url: Column) -> Column:
     """A connection URL without its password."""
     return F.regexp_replace(url, r"(://[^:@/]*):[^@/]*@", "$1:***@")

@@ -7,6 +7,9 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions import canonical as C
+from ..functions import tokens as T
+
 SOURCE = ["variant", "source_kind", "source_url"]
 
 
@@ -68,3 +71,33 @@ def sync(fetches: DataFrame, versions: DataFrame, state: DataFrame, validators:
     rest = state.join(touched.select(*SOURCE), SOURCE, "left_anti").select(*SOURCE, "raw_sha256", *validators)
     fresh = decided.where("status = 'inserted'").select("content_hash", "variant", "source_kind", F.col("activates").alias("active"))
     return Synced(joined.drop(*[f"old_{c}" for c in (*validators, "raw_sha256")]), versions.select(*fresh.columns).unionByName(fresh), rest.unionByName(touched))
+
+
+def page_gate(pages: DataFrame, letters: int = 500, words: int = 75) -> DataFrame:
+    """(document_id, pages, page, letters, tokens, gate) of each document of pages: document_id, page, text.
+
+    gate: page_no_letters if a page has neither letter nor number (`page` is the first one's place, from 0, if pages are numbered without gaps), else
+    too_few_letters, too_few_tokens or complete. Pages are normalised and counted one by one and the counts added up: tokens never
+    cross the blank line between pages, so the document need not be joined for it. A null text is a page without letters.
+    """
+    md = C.markdown_lines(F.coalesce("text", F.lit("")))
+    each = pages.select("document_id", "page", md.alias("md"))
+    each = each.select("document_id", "page", F.length(F.regexp_replace("md", r"[^\p{L}\p{N}]", "")).cast("long").alias("letters"), F.size(T.tokens(F.col("md"))).cast("long").alias("tokens"))
+    sums = each.groupBy("document_id").agg(
+        F.count("*").alias("pages"), F.min(F.when(F.col("letters") == 0, F.col("page"))).alias("bare"), F.min("page").alias("least"), F.sum("letters").alias("letters"), F.sum("tokens").alias("tokens")
+    )
+    gate = (
+        F.when(F.col("bare").isNotNull(), "page_no_letters").when(F.col("letters") < letters, "too_few_letters").when(F.col("tokens") < words, "too_few_tokens").otherwise("complete")
+    )
+    return sums.select("document_id", "pages", (F.col("bare") - F.col("least")).alias("page"), "letters", "tokens", gate.alias("gate"))
+
+
+def joined(pages: DataFrame) -> DataFrame:
+    """(document_id, content_md, content_hash): normalised pages in order, one empty line between them, one LF at the end.
+
+    A document is one row here; it came as one HTTP body, which payloads.BODY_BYTES bounds.
+    """
+    md = F.rtrim(C.markdown_lines(F.coalesce("text", F.lit(""))), F.lit("\n"))
+    each = pages.select("document_id", "page", md.alias("md")).groupBy("document_id").agg(F.array_sort(F.collect_list(F.struct("page", "md"))).alias("p"))
+    out = each.select("document_id", F.concat(F.array_join(F.col("p.md"), "\n\n"), F.lit("\n")).alias("content_md"))
+    return out.withColumn("content_hash", F.sha2("content_md", 256))

@@ -22,3 +22,24 @@ def unique(df: DataFrame, rule: str, *keys: str) -> DataFrame:
 def references(df: DataFrame, rule: str, key: str, other: DataFrame, other_key: str) -> DataFrame:
     lost = df.where(F.col(key).isNotNull()).join(other.select(F.col(other_key).alias(key)).distinct(), key, "left_anti")
     return lost.agg(F.count("*").alias("violations")).select(F.lit(rule).alias("rule"), "violations")
+
+
+def one_active(df: DataFrame, rule: str, *keys: str) -> DataFrame:
+    """At most one active row of each key; without keys, of the whole table."""
+    active = df.where("active").withColumn("_all", F.lit(1))
+    return unique(active, rule, *(keys or ("_all",)))
+
+
+def provenance() -> dict[str, Column]:
+    """What a document version must hold for its kind of source, for checks()."""
+    kind = F.col("source_kind")
+    pdf = (F.col("variant") == "base") & F.col("source_url").isNotNull() & F.col("source_sha256").isNotNull()
+    return {"portfolio_pdf": (kind != "portfolio_pdf") | pdf, "n8n_parent": (kind != "n8n") | F.col("parent_id").isNotNull()}
+
+
+def deep_scores() -> dict[str, Column]:
+    """What a score of the deep stage must hold, for checks(). A status that is missing or null breaks its rule instead of passing."""
+    other = F.col("stage") != "deep"
+    inputs = F.col("resume_version_id").isNotNull() & F.col("profile_version_id").isNotNull() & F.col("research_id").isNotNull()
+    status = F.coalesce(F.get_json_object("location_eligibility", "$.status").isin("eligible", "ineligible", "unclear"), F.lit(False))
+    return {"deep_inputs": other | inputs, "deep_location": other | (F.col("location_eligibility").isNotNull() & status), "rank": F.col("rank").between(1, 3)}

@@ -8,7 +8,7 @@ from postmill.functions import canonical as C
 from postmill.functions import tokens as T
 from postmill.functions.markup import markdown
 from postmill.functions.scopes import broad_scope, named_scopes
-from postmill.operators import deletes, documents, evaluations, history, merge, rules, runs
+from postmill.operators import binding, deletes, documents, evaluations, history, integrity, merge, rules, runs, snapshots
 from postmill.sources import listings
 
 
@@ -373,6 +373,97 @@ def test_evaluations(spark):
     state = lambda stored, s: {r["state"] for r in evaluations.replay(kept, stored, s).collect()}
     assert state(kept, scores) == {"same"} and state(kept.limit(0), scores.limit(0)) == {"new"} and state(kept, scores.unionByName(scores)) == {"same", "score"} and state(kept, scores.limit(0)) == {"same", "score"}
     assert state(kept.withColumn("output", F.lit("x")), scores) == {"stored_hash"} and state(kept.withColumn("posting_id", F.lit(9)), scores) == {"target"}
-    from postmill.operators import integrity
-
     assert {r["violations"] for r in integrity.checks(kept, evaluations.checks(kept)).collect()} == {0}
+
+
+def test_counts_shape(spark):
+    base = {"schema_version": 1, "endpoint_id": 5, "adapter_kind": "a", "attempt_recorded": False, "source_fetch_id": None, "http_status": None, "postings_seen": 0, "postings_new": 0, "postings_changed": 0}
+    took = base | {"attempt_recorded": True, "source_fetch_id": 3, "http_status": 200, "postings_seen": 7}
+    cases = [
+        (base, "reserved"), (took, "attempt"), (took | {"http_status": None}, "attempt"), (base | {"postings_seen": 1}, None), (base | {"source_fetch_id": 1}, None), (took | {"source_fetch_id": 0}, None), (took | {"http_status": 600}, None),
+        (took | {"postings_new": -1}, None), (took | {"postings_new": "1"}, None), (took | {"postings_new": 1.5}, None), (took | {"postings_new": True}, None), (base | {"attempt_recorded": "no"}, None), (base | {"attempt_recorded": 0}, None),
+        (base | {"endpoint_id": 6}, None), (base | {"endpoint_id": "5"}, None), (base | {"adapter_kind": "b"}, None), (base | {"adapter_kind": None}, None), (base | {"schema_version": 2}, None), (base | {"more": 1}, None), ({"schema_version": 1}, None), ([], None), (None, None),
+    ]
+    df = spark.createDataFrame([(i, None if c is None else json.dumps(c)) for i, (c, _) in enumerate(cases)] + [(98, "{"), (99, None)], "id int, c string")
+    got = {r["id"]: r["s"] for r in df.select("id", binding.counts_shape(F.col("c"), F.lit(5), F.lit("a")).alias("s")).collect()}
+    assert got == {i: w for i, (_, w) in enumerate(cases)} | {98: None, 99: None}
+    made = df.limit(1).select(binding.reserved_counts(F.lit(5), F.lit("a")).alias("c")).first()["c"]
+    assert json.loads(made) == base
+
+
+def test_bind(spark):
+    t = lambda x: None if x is None else f"2024-01-0{x} 00:00:00"
+    requests = spark.createDataFrame([(1, 5, None), (2, 9, None), (3, 5, 30), (4, 5, 31), (5, 5, 32), (6, 5, 33), (7, 9, 34), (8, 6, 35), (9, 5, 36), (10, 5, 37), (11, 5, 31), (12, None, 31), (13, 7, None)], "request_id int, endpoint_id int, run_id int").withColumn("config_version", F.lit("v"))
+    count = lambda e, k: json.dumps({"schema_version": 1, "endpoint_id": e, "adapter_kind": k, "attempt_recorded": False, "source_fetch_id": None, "http_status": None, "postings_seen": 0, "postings_new": 0, "postings_changed": 0})
+    rows = [
+        (31, "manual", "running", "v", count(5, "a"), None, None, t(1), None), (32, "manual", "failed", "v", count(5, "a"), "s", "{}", t(1), t(2)), (33, "manual", "running", "w", count(5, "a"), None, None, t(1), None),
+        (34, "manual", "running", "v", count(9, "a"), None, None, t(1), None), (35, "manual", "running", "v", count(6, "a"), None, None, t(1), None), (36, "manual", "running", "v", count(5, "a"), None, None, t(1), None), (37, "manual", "failed", "v", count(5, "a"), "s", "{}", t(3), t(2)),
+    ]
+    r = spark.createDataFrame(rows, "run_id int, run_kind string, status string, config_version string, counts string, step string, error string, s string, f string")
+    r = r.select("*", F.to_timestamp("s").alias("started_at"), F.to_timestamp("f").alias("finished_at"))
+    endpoints = spark.createDataFrame([(5, "a"), (6, "b"), (7, "odd")], "endpoint_id int, kind string")
+    attempts = spark.createDataFrame([(36, 5), (36, 5)], "run_id int, endpoint_id int")
+    got = {x["request_id"]: (x["state"], x["code"], x["adapter_kind"]) for x in binding.bind(requests, r, endpoints, attempts, ("a", "b")).collect()}
+    assert got == {
+        1: ("created", None, "a"), 2: ("rejected", binding.ENDPOINT_MISSING, None), 3: ("rejected", binding.RUN_MISSING, None), 4: ("bound", None, "a"), 5: ("replay", None, "a"), 6: ("rejected", binding.INCOMPATIBLE, "a"),
+        7: ("failed", binding.DELETED, "a"), 8: ("failed", binding.CHANGED, "a"), 9: ("replay", None, "a"), 10: ("rejected", binding.INCOMPATIBLE, "a"), 11: ("bound", None, "a"), 12: ("rejected", binding.INCOMPATIBLE, "a"), 13: ("created", None, "malformed"),
+    }
+    assert binding.bind(requests.limit(0), r, endpoints, attempts, ("a",)).count() == 0
+    before = spark.createDataFrame([(5, "a", None), (6, "b", "t"), (8, "a", "x")], "endpoint_id int, kind string, token string")
+    after = spark.createDataFrame([(5, "a", None), (6, "b", "u")], "endpoint_id int, kind string, token string")
+    assert {x["endpoint_id"]: x["code"] for x in binding.recheck(before, after).collect()} == {5: None, 6: binding.CHANGED, 8: binding.DELETED}
+    assert [one(spark, c, lambda x: binding.terminal_step(x, F.lit(False))) for c in (binding.CHANGED, "runner.endpoint_paused")] == ["adapter_fetch_completed", "endpoint_snapshotted"]
+    assert [tuple(one(spark, c, lambda x: binding.finish_time(x, F.lit("b")))) for c in ("c", "b", "a", None)] == [("c", True), ("b", True), ("b", False), ("b", False)]
+
+
+def test_snapshots(spark):
+    h = "a" * 64
+    postings = spark.createDataFrame([(i, 1, 10 + i, None if i != 4 else "2024-01-01", None if i == 5 else "2024-01-01") for i in range(1, 9)] + [(9, 2, 19, None, "2024-01-01"), (10, 1, 0, None, "2024-01-01")], "posting_id int, company_id int, current_version_id int, c string, f string")
+    postings = postings.select("posting_id", "company_id", "current_version_id", F.to_timestamp("c").alias("closed_at"), F.to_timestamp("f").alias("first_seen_at"), F.lit(None).cast("timestamp").alias("source_published_at"))
+    versions = [(i, 10 + i, "" if i == 6 else "t", h if i != 7 else "xyz", [("x",)] if i != 8 else [(None,)]) for i in (1, 2, 4, 5, 6, 7, 8, 9)]
+    versions = spark.createDataFrame(versions, "posting_id int, version_id int, title string, content_hash string, locations array<struct<label:string>>").withColumn("description_md", F.lit(None).cast("string")).withColumn("run_id", F.lit(1))
+    companies = spark.createDataFrame([(1, False), (2, None)], "company_id int, blocked boolean")
+    actions = spark.createDataFrame([(1, 1, 1, 1, 1, "skipped"), (2, 2, 1, 1, 1, "skipped"), (3, 1, 1, 1, 1, "applied")], "digest_item_id int, posting_id int, score_id int, score_version_id int, version_posting_id int, state string")
+    targets = spark.createDataFrame([(i,) for i in range(1, 12)], "posting_id int")
+    got = {r["posting_id"]: (r["code"], r["actions"]) for r in snapshots.snapshot(targets, postings, versions, companies, actions).collect()}
+    bad = snapshots.UNSOUND
+    assert got == {1: (None, 2), 2: (bad, 1), 3: (snapshots.NO_VERSION, 0), 4: (snapshots.CLOSED, 0), 5: (bad, 0), 6: (bad, 0), 7: (bad, 0), 8: (bad, 0), 9: (bad, 0), 10: (snapshots.NO_VERSION, 0), 11: (snapshots.NOT_FOUND, 0)}
+
+    facts = ("posting_id", "digest_item_id", "score_version_id", "state")
+    now = actions.select(*facts)
+    records = postings.where("posting_id = 1").select("posting_id", F.lit("p").alias("policy_hash"), F.lit(11).alias("version_id"), F.lit(1).alias("run_id"), F.lit(h).alias("content_hash"), "closed_at", F.lit(False).alias("company_blocked"), "first_seen_at", "source_published_at")
+    check = lambda rec=records, was=now, policy="p": tuple(snapshots.stale(rec, was, postings, versions, companies, now, policy).first())[1:]
+    assert check() == (None, None) and check(policy="q") == (snapshots.UNSUPPORTED, "policy")
+    assert check(records.withColumn("version_id", F.lit(3)))[1] == "version" and check(records.withColumn("run_id", F.lit(3)))[1] == "run" and check(records.withColumn("content_hash", F.lit("x")))[1] == "content_hash"
+    assert check(records.withColumn("closed_at", ts(3)))[1] == "closed_at" and check(records.withColumn("first_seen_at", ts(3)))[1] == "first_seen_at" and check(records.withColumn("company_blocked", F.lit(None).cast("boolean")))[1] == "company_blocked"
+    assert check(was=now.where("digest_item_id <> 3")) == (snapshots.STALE, "actions") and check(was=now.unionByName(now)) == (snapshots.STALE, "actions") and check(was=now.withColumn("state", F.lit(None).cast("string")))[1] == "actions"
+    assert check(was=now.where("posting_id = 1")) == (None, None) and check(records.withColumn("posting_id", F.lit(77)))[0] == snapshots.STALE
+    assert snapshots.stale(records.limit(0), now, postings, versions, companies, now, "p").count() == 0
+
+
+def test_pages_of_documents(spark):
+    long = "word " * 130
+    rows = [(1, 0, long), (1, 1, "more\nwords\n\n"), (2, 0, long), (2, 1, " - \n"), (2, 2, None), (3, 0, "few words"), (4, 0, "x" * 600), (5, 0, None)]
+    pages = spark.createDataFrame(rows, "document_id int, page int, text string")
+    got = {r["document_id"]: (r["pages"], r["page"], r["gate"]) for r in documents.page_gate(pages).collect()}
+    assert got == {1: (2, None, "complete"), 2: (3, 1, "page_no_letters"), 3: (1, None, "too_few_letters"), 4: (1, None, "too_few_tokens"), 5: (1, 0, "page_no_letters")}
+    whole = {r["document_id"]: r for r in documents.joined(pages.orderBy(F.col("page").desc())).collect()}
+    assert whole[1]["content_md"] == long.strip() + "\n\nmore words\n" and whole[1]["content_hash"] == hashlib.sha256(whole[1]["content_md"].encode()).hexdigest()
+    assert documents.page_gate(pages.limit(0)).count() == 0 and documents.joined(pages.limit(0)).count() == 0
+
+
+def test_http_dates(spark):
+    cases = {"Mon, 01 Jan 2024 00:00:05 GMT": 1704067205, "01 Jan 2024 00:00:05": 1704067205, "Mon, 01 Jan 2024 01:00:05 +0100": 1704067205, "not a date": None, "": None, None: None, "Mon, 99 Jan 2024 00:00:05 GMT": None}
+    got = {c: one(spark, c, lambda x: F.unix_micros(C.parse_http_date(x))) for c in cases}
+    assert got == {c: None if v is None else v * 1_000_000 for c, v in cases.items()}
+    assert one(spark, "2024-02-29 23:59:59.9", lambda x: C.http_date(F.to_timestamp(x))) == "Thu, 29 Feb 2024 23:59:59 GMT"
+    assert tuple(one(spark, "junk", lambda x: C.validator_flags(x, x))) == (True, False)
+
+
+def test_conditional_constraints(spark):
+    s = spark.createDataFrame([("deep", 1, '{"status":"eligible"}', 1, True), ("deep", None, '{"status":"x"}', 4, True), ("deep", 1, "{}", 1, False), ("deep", 1, None, None, None), ("filter", None, None, 3, True)], "stage string, resume_version_id int, location_eligibility string, rank int, active boolean")
+    s = s.withColumn("profile_version_id", F.lit(1)).withColumn("research_id", F.lit(1))
+    assert {r["rule"]: r["violations"] for r in integrity.checks(s, integrity.deep_scores()).collect()} == {"deep_inputs": 1, "deep_location": 3, "rank": 1}
+    assert [integrity.one_active(s, "r", *k).first()["violations"] for k in ((), ("stage",), ("rank",))] == [1, 1, 0]
+    d = spark.createDataFrame([("portfolio_pdf", "base", "u", "h", None), ("portfolio_pdf", "product", "u", "h", None), ("portfolio_pdf", "base", None, "h", None), ("n8n", "base", None, None, None), ("n8n", "base", None, None, 1), ("manual", "base", None, None, None)], "source_kind string, variant string, source_url string, source_sha256 string, parent_id int")
+    assert {r["rule"]: r["violations"] for r in integrity.checks(d, integrity.provenance()).collect()} == {"portfolio_pdf": 2, "n8n_parent": 1}
