@@ -26,6 +26,8 @@ from .common import stored, table
 K, SKETCHES, TUPLE = 8, 96, 2
 #: Bits of a k-mer's hash; with the place in the other bits, one sort of plain integers groups and orders a text's k-mers.
 HASH_BITS = 40
+#: Texts of more k-mers are sorted with places beside their hashes; the result is the same.
+PACKED = 1 << (64 - HASH_BITS)
 #: Bytes of a tuple's hash in a signature.
 WIDTH = 3
 #: Elements looked at for each order before all of them are; changes time only.
@@ -63,7 +65,7 @@ def elements(points: np.ndarray, k: int = K) -> np.ndarray:
     h = kmers(points, k) >> np.uint64(64 - HASH_BITS)
     n = len(h)
     places = 64 - HASH_BITS
-    if n < 1 << places:  # hash and place in one integer
+    if n < PACKED:  # hash and place in one integer
         packed = np.sort((h << np.uint64(places)) | np.arange(n, dtype=np.uint64))
         order, run = (packed & np.uint64((1 << places) - 1)).astype(np.int64), packed >> np.uint64(places)
     else:
