@@ -8,10 +8,11 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .functions import canonical as C
-from .functions import markup, scopes
+from .functions import fields, markup, scopes
 from .functions import tokens as T
 from .operators import binding, deletes, documents, evaluations, history, integrity, merge, rules, runs, snapshots
 from .sources import listings, payloads
+from .tables import kept
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -33,7 +34,7 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 #: The canonical description in SQL: line ends, blanks at line ends, edges, empty runs.
 _DESCRIPTION = r"""regexp_replace(trim(regexp_replace(regexp_replace(text, '\r\n?', chr(10), 'g'), '[ \t]+(\n|$)', '\1', 'g'), chr(10)), '\n{4,}', repeat(chr(10), 3), 'g')"""
-_TOKENS = r"""list_transform(regexp_extract_all(lower({0}), '[\p{{L}}\p{{N}}]+(?:''[\p{{L}}\p{{N}}]+)*'), lambda t: replace(t, '''', ''))"""
+_TOKENS = r"""list_transform(regexp_extract_all(replace(translate(lower({0}), '’‘ʼ＇', ''''''''''), 'ß', 'ss'), '[\p{{L}}\p{{N}}]+(?:''[\p{{L}}\p{{N}}]+)*'), lambda t: replace(t, '''', ''))"""
 
 
 @query(f"select doc_id, sha256({_DESCRIPTION}) as description_hash from documents")
@@ -96,7 +97,7 @@ def fetches(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(_FETCH + """
 select f.id, round(cast(sum(cast(p.seen as decimal(20,4))) as double) / count(p.seen), 6) as prior_avg,
-       any_value(f.complete) and any_value(f.seen) = 0 and coalesce(round(cast(sum(cast(p.seen as decimal(20,4))) as double) / count(p.seen), 6) > 20, false) as suspicious_zero
+       any_value(f.complete) and any_value(f.seen) = 0 and coalesce(sum(cast(p.seen as decimal(20,4))) > 20 * count(p.seen), false) as suspicious_zero
 from f left join f p on p.endpoint_id = f.endpoint_id and p.complete and p.http_status = 200 and p.finished_at <= f.started_at and p.id <> f.id group by f.id""")
 def suspicious_zero(spark: SparkSession, sf_dir: str) -> DataFrame:
     f = fetches(spark, sf_dir).withColumn("finished_us", F.unix_micros("finished_at")).withColumn("started_us", F.unix_micros("started_at"))
@@ -239,7 +240,7 @@ def segment_count(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(r"""
 with g as (select doc_id, unnest(regexp_extract_all(text, '[^\p{L}\p{N}]+')) as gap from documents), k as (
     select case when regexp_matches(gap, '\n[ \t\r\f\v]*\n') then 'paragraph' when regexp_matches(gap, '[.!?。！？]') then 'sentence' when contains(gap, ',') then 'comma'
-           when contains(gap, ';') then 'semicolon' when contains(gap, '/') then 'slash' when regexp_full_match(gap, '\s+') then 'whitespace' else 'other' end as gap from g)
+           when contains(gap, ';') then 'semicolon' when regexp_matches(gap, '[/\\]') then 'slash' when regexp_full_match(gap, '\s+') then 'whitespace' else 'other' end as gap from g)
 select gap, count(*) as n from k group by gap""")
 def gap_categories(spark: SparkSession, sf_dir: str) -> DataFrame:
     gaps = read(spark, sf_dir, "documents").select(F.explode(F.regexp_extract_all("text", F.lit(r"[^\p{L}\p{N}]+"), F.lit(0))).alias("between"))
@@ -371,16 +372,96 @@ def role_dialogue_state(spark: SparkSession, sf_dir: str) -> DataFrame:
     return c.groupBy("conv_id").agg(F.count("*").alias("turns"), F.min_by("role", "turn").alias("first_role"), F.max_by("role", "turn").alias("last_role"), F.count_if("is_change").alias("changes"))
 
 
-@query()
+#: A policy of words that the documents hold, so that every kind of phrase, list and scope occurs.
+EXAMPLE = rules.Policy(
+    titles=("the", "of"), low_seniority=("a",), wrong_disciplines=("of of",), discipline_pairs=(("is", "was"),), remote=("with",), not_remote=("that that",), remote_denied=("by with",),
+    included_regions=("and of",), excluded_regions=("to and of",), broad=("to", "of"), broad_after=("remote", "in a"), named_inside=("is", "was"), named_outside=("it", "as", "be"), list_after=("remote in", "for"),
+    included_codes=("EN",), clearance=("on",), clearance_obliged=("is", "remote"), clearance_absent=("was",), clearance_obtain=("that is",),
+)
+
+
+def _listings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents as listings: the first line is the title, the text the description (with `the` as `remote`), language and source are labels."""
+    d, n = read(spark, sf_dir, "documents"), F.col("n_chars")
+    return d.select(
+        F.col("doc_id").alias("posting_id"), F.split_part("text", F.lit("\n"), F.lit(1)).alias("title"), F.replace("text", F.lit(" the "), F.lit(" remote ")).alias("description"), F.array("lang", "source").alias("labels"),
+        F.array("lang").alias("country_codes"), F.lit(None).cast("string").alias("workplace"), F.timestamp_add("DAY", (-(n % 60)).cast("int"), F.lit("2024-03-20").cast("timestamp")).alias("published_at"),
+        F.lit("2024-01-01").cast("timestamp").alias("first_seen_at"), F.when(n % 5 == 0, "skipped").when(n % 5 == 1, "applied").when(n % 11 == 0, "expired").otherwise("none").alias("action"), (n % 7 == 0).alias("company_blocked"),
+    )
+
+
+def _results(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rules.evaluate(_listings(spark, sf_dir), EXAMPLE, F.lit("2024-03-20").cast("timestamp"))
+
+
+_FOLDED = r"replace(translate(lower({0}), '’‘ʼ＇', ''''''''''), 'ß', 'ss')"
+_WORD = r"[\p{L}\p{N}]+(?:''[\p{L}\p{N}]+)*"
+#: Words and marked text of every field: gaps lie between the words that the text is split by.
+_SEARCHED = rf"""
+with x as (select doc_id, lang, n_chars, unnest([{{'k': 1, 't': split_part(text, chr(10), 1)}}, {{'k': 2, 't': replace(text, ' the ', ' remote ')}}, {{'k': 3, 't': lang}}, {{'k': 4, 't': source}}], recursive := true) from documents),
+y as (select * exclude (t), regexp_extract_all(t, '{_WORD}') as w, string_split_regex(t, '{_WORD}') as g from (select * replace (regexp_replace({_FOLDED.format('t')}, '\r\n?', chr(10), 'g') as t) from x)),
+f as materialized (select doc_id, lang, n_chars, k, ' ' || array_to_string(list_transform(w, lambda v: replace(v, '''', '')), ' ') || ' ' as words, array_to_string(list_transform(range(1, len(w) + 1), lambda i: replace(w[i], '''', '') || case
+    when i = len(w) then '' when regexp_matches(g[i + 1], '\n[ \t\r\f\v]*\n|[.!?。！？]') then ' . ' when contains(g[i + 1], ',') then ' , ' when contains(g[i + 1], ';') then ' ; ' when regexp_matches(g[i + 1], '[/\\]') then ' / '
+    when regexp_full_match(g[i + 1], '\s+') then ' ' else ' | ' end), '') as marked from y)"""
+_SQL_GAP, _SQL_END = "(?: | [,;/|] )", r"(?:$| \.|(?: | [,;/] )(?:and|or)(?:$| [.,;/|]))"
+_SQL_ITEM, _SQL_SEP = "(?:is|was|it|as|be)", "(?: [,;/] (?:(?:and|or) )?| (?:and|or) )"
+_LIST = rf"'(?:^| )(?:{{0}}){_SQL_GAP}({_SQL_ITEM}(?:{_SQL_SEP}{_SQL_ITEM})*){_SQL_END}', 1"
+_BROAD = rf"'(?:^| )(?:{{0}})(?:{_SQL_GAP}(?:in|within|across|throughout|from))?{_SQL_GAP}(?:to|of)(?: |$)'"
+_OUTCOMES = _SEARCHED + rf"""
+, l as (select *, regexp_extract(marked, {_LIST.format('remote' + _SQL_GAP + 'in')}) as l1, regexp_extract(marked, {_LIST.format('for')}) as l2 from f),
+c as (select doc_id, any_value(lang) = 'en' as home, regexp_matches(any_value(lang), '^[a-z][a-z]$') and any_value(lang) <> 'en' as abroad, any_value(n_chars) as n,
+    bool_or(k = 1 and (contains(words, ' the ') or contains(words, ' of '))) as title, bool_or(k = 1 and contains(words, ' a ')) as junior,
+    bool_or(k = 1 and contains(words, ' of of ')) or bool_or(k < 3 and len(list_filter(string_split(marked, ' . '), lambda s: regexp_matches(s, '(^| )is( |$)') and regexp_matches(s, '(^| )was( |$)'))) > 0) as other,
+    bool_or(contains(words, ' that that ')) as office, bool_or(contains(words, ' by with ')) as denied, bool_or(contains(replace(words, ' by with ', ' by '), ' with ')) as own,
+    bool_or(regexp_matches(marked, {_BROAD.format('remote')})) or bool_or(l1 <> '') as scoped, bool_or(regexp_matches(marked, {_BROAD.format('remote|in' + _SQL_GAP + 'a')})) as broad,
+    bool_or(contains(replace(words, ' to and of ', ' to '), ' and of ')) as included, bool_or(contains(words, ' to and of ')) as excluded,
+    bool_or(regexp_matches(l1 || ' ' || l2, '\b(is|was)\b')) as listed, bool_or(regexp_matches(l1 || ' ' || l2, '\b(it|as|be)\b') and not regexp_matches(l1 || ' ' || l2, '\b(is|was)\b')) as others,
+    bool_or(regexp_matches(words, ' that is (?:(?:a|an|the) )?on ')) as waived, bool_or(regexp_matches(regexp_replace(words, ' that is ((?:a|an|the) )?on ', ' that \1on ', 'g'), ' (?:is|remote) (?:(?:a|an|the) )?on ')) as obliged from l group by doc_id),
+r as (select *, case when office then 'reject' when denied and own then 'unknown' when denied then 'reject' when own or scoped then 'pass' else 'unknown' end as remote, home or included or listed as inside, excluded or abroad or (others and not listed) as outside from c),
+o as (select doc_id, [case when title then 'pass' else 'reject' end, case when junior then 'reject' else 'pass' end, case when other then 'reject' else 'pass' end, remote,
+    case when inside and outside then 'unknown' when inside or (broad and not excluded) then 'pass' when outside and remote = 'pass' then 'reject' else 'unknown' end,
+    case when obliged and waived then 'unknown' when obliged then 'reject' when waived then 'pass' else 'unknown' end, case when n % 60 > 45 then 'reject' else 'pass' end,
+    case when n % 5 < 2 or n % 11 = 0 then 'reject' else 'pass' end, case when n % 7 = 0 then 'reject' else 'pass' end] as s, {list(rules.RULES)!r} as names from r),
+e as (select doc_id, s, list_filter(names, lambda x, i: s[i] = 'reject') as rejections, list_filter(names, lambda x, i: s[i] = 'unknown') as unknowns from o)"""
+
+
+@query(_OUTCOMES + f"""
+select doc_id as posting_id, len(rejections) = 0 as eligible, array_to_string(rejections, ',') as rejections, array_to_string(unknowns, ',') as unknowns, array_to_string(s, ',') as statuses, '{EXAMPLE.digest()}' as policy_hash from e""")
 def eligibility_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All nine rules over documents as listings: the first line is the title, the rest the description."""
+    """All nine rules over documents as listings."""
+    r = _results(spark, sf_dir)
+    return r.select("posting_id", "eligible", F.array_join("rejections", ",").alias("rejections"), F.array_join("unknowns", ",").alias("unknowns"), F.array_join(F.transform("outcomes", lambda o: o["status"]), ",").alias("statuses"), "policy_hash")
+
+
+@query(_SEARCHED.replace("replace(text, ' the ', ' remote ')", "text") + rf"""
+, p as (select unnest(['of the', 'the', 'remote in', 'in the', 'en', 'de']) as phrase),
+b as materialized (select doc_id, k, regexp_extract_all(t, '{_WORD}') as w, string_split_regex(t, '{_WORD}') as g, list_transform(regexp_extract_all({_FOLDED.format('t')}, '{_WORD}'), lambda v: replace(v, '''', '')) as v
+    from (select doc_id, k, regexp_replace(t, '\r\n?', chr(10), 'g') as t from x)),
+t as materialized (select doc_id, k, unnest(w) as w, unnest(v) as v, unnest(g[1:len(w)]) as g, generate_subscripts(w, 1) as i from b),
+s as materialized (select *, lead(v) over n as after, sum(len(g)) over (n rows unbounded preceding) + coalesce(sum(len(w)) over (n rows between unbounded preceding and 1 preceding), 0) as start,
+    lead(len(g) + len(w)) over n as more from t window n as (partition by doc_id, k order by i))
+select doc_id, case k when 1 then 'title' when 2 then 'description' else 'location' end as kind, case when k = 4 then 1 else 0 end as ordinal, phrase, i - 1 as first, start::bigint as start,
+    (start + len(w) + case when contains(phrase, ' ') then more else 0 end)::bigint as end_ from s join p on phrase = v or phrase = v || ' ' || after where phrase not in ('en', 'de') or k > 2""")
+def phrase_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every place of six phrases in the titles, texts and labels of all documents: token number and place in the source."""
+    phrases = ("of the", "the", "remote in", "in the", "en", "de")
+    classes = tuple(fields.Wanted(p, (p,), ("location",) if p in ("en", "de") else ()) for p in phrases)
     d = read(spark, sf_dir, "documents")
-    listings = d.select(
-        F.col("doc_id").alias("posting_id"), F.split_part("text", F.lit("\n"), F.lit(1)).alias("title"), F.col("text").alias("description"), F.array("lang").alias("country_codes"),
-        F.lit(None).cast("string").alias("workplace"), F.lit("2024-01-01").cast("timestamp").alias("published_at"), F.lit("2024-01-01").cast("timestamp").alias("first_seen_at"),
-        F.lit("none").alias("action"), F.lit(False).alias("company_blocked"),
-    )
-    return rules.evaluate(listings, rules.EXAMPLE, F.lit("2024-01-20").cast("timestamp"))
+    found = d.select("doc_id", fields.searched(F.split_part("text", F.lit("\n"), F.lit(1)), F.col("text"), F.array("lang", "source"), classes).alias("s"))
+    each = found.select("doc_id", F.col("s.fields").alias("fields"), F.explode("s.spans").alias("x")).withColumn("f", F.get("fields", F.col("x.field")))
+    return each.select("doc_id", "f.kind", "f.ordinal", F.get(F.array(*map(F.lit, phrases)), F.col("x.of")).alias("phrase"), F.col("x.first").cast("long").alias("first"), F.col("x.start").cast("long").alias("start"), F.col("x.end").cast("long").alias("end_"))
+
+
+@query(rf"""
+with b as (select doc_id, regexp_extract_all(text, '{_WORD}') as w, string_split_regex(text, '{_WORD}') as g from documents),
+t as (select doc_id, unnest(w) as w, unnest(g[2:]) as g, generate_subscripts(w, 1) as i, len(w) as n from b),
+k as (select doc_id, i, replace({_FOLDED.format('w')}, '''', '') as token, case when i = n then null when regexp_matches(g, '\n[ \t\r\f\v]*\n') then 'paragraph' when regexp_matches(g, '[.!?。！？]') then 'sentence' when contains(g, ',') then 'comma'
+    when contains(g, ';') then 'semicolon' when regexp_matches(g, '[/\\]') then 'slash' when regexp_full_match(g, '\s+') then 'whitespace' else 'other' end as gap from t)
+select token, gap, count(*) as n, min(i - 1) as least, cast(sum(i - 1) as bigint) as places from k group by all""")
+def token_gaps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tokens of all texts with the gap after them: how often, and where."""
+    t = fields.token_table(read(spark, sf_dir, "documents"), "doc_id", "description", F.col("text"))
+    return t.groupBy("token", "gap").agg(F.count("*").alias("n"), F.min(F.col("place").cast("long")).alias("least"), F.sum(F.col("place").cast("long")).alias("places"))
 
 
 _DECIDED = """
@@ -431,8 +512,9 @@ def delete_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def named_scope(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Lists of regions in the texts, with region names and prefixes as a policy would give them."""
-    found = scopes.named_scopes(F.col("text"), ("us", "usa", "united states"), ("canada", "europe", "united kingdom"), ("work from", "based in", "remote in"))
-    return read(spark, sf_dir, "documents").select("doc_id", found.alias("s")).select("doc_id", "s.included", "s.excluded")
+    found = scopes.named_scopes(F.col("marked"), ("us", "usa", "united states"), ("canada", "europe", "united kingdom"), ("work from", "based in", "remote in"))
+    marked = read(spark, sf_dir, "documents").select("doc_id", fields.marked_text(F.col("text")).alias("marked"))
+    return marked.select("doc_id", found.alias("s")).select("doc_id", "s.included", "s.excluded")
 
 
 @query(r"""
@@ -540,14 +622,18 @@ def fetch_problems(spark: SparkSession, sf_dir: str) -> DataFrame:
     return history.fetch_problems(f, rows).select("fetch_id", "problem", "http_status")
 
 
-@query()
+@query(_OUTCOMES + """
+, d as (select doc_id, len(rejections) = 0 as eligible from e)
+select case when doc_id % 7 = 1 then 'new' when doc_id % 5 = 0 then 'stored_hash' when doc_id % 11 = 3 then 'output' when doc_id % 3 = 2 and not eligible then 'score' else 'same' end as state, count(*) as n from d group by all""")
 def evaluation_replay(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Evaluations of all documents, replayed against stored ones of which every fifth holds a hash that is not its output's."""
-    results = eligibility_rules(spark, sf_dir)
+    """Evaluations of all documents, replayed against stored ones: some are missing, some hold another hash or output, of some the score is gone."""
+    results = kept(_results(spark, sf_dir), "results")
     inputs = read(spark, sf_dir, "documents").select(F.col("doc_id").alias("posting_id"), F.sha2(F.concat_ws("\n", F.col("doc_id").cast("string"), "text"), 256).alias("payload"))
-    kept, scores = evaluations.record(results, inputs)
-    stored = kept.withColumn("output_hash", F.when(F.col("posting_id") % 5 == 0, F.sha2(F.lit(""), 256)).otherwise(F.col("output_hash")))
-    return evaluations.replay(kept, stored, scores).groupBy("state").agg(F.count("*").alias("n"))
+    fresh = kept(evaluations.record(results, inputs)[0], "evaluations")
+    k = F.col("posting_id")
+    stored = fresh.where(k % 7 != 1).withColumn("output", F.when(k % 11 == 3, "{}").otherwise(F.col("output")))
+    stored = stored.withColumn("output_hash", F.when(k % 5 == 0, F.sha2(F.lit(""), 256)).otherwise(F.sha2("output", 256)))
+    return evaluations.replay(fresh, stored, evaluations.scores(fresh).where(k % 3 != 2)).groupBy("state").agg(F.count("*").alias("n"))
 
 
 @query(rf"""

@@ -22,12 +22,21 @@ def _composed(x: str | None) -> str | None:
     return x if x is None or x.isascii() else unicodedata.normalize("NFKC", x)
 
 
+def _foreign(text: Column) -> Column:
+    """The text if it has a character beyond ASCII, else null: only such texts are sent to Python."""
+    return F.when(text.rlike(r"[^\x00-\x7f]"), text)
+
+
 @F.pandas_udf(StringType())
-def nfkc(text: pd.Series) -> pd.Series:
-    """Compatibility composition; Spark has no such function."""
+def _nfkc(text: pd.Series) -> pd.Series:
     return text.map(_composed)
 
 
+def nfkc(text: Column) -> Column:
+    """Compatibility composition; Spark has no such function, and ASCII needs none."""
+    return F.coalesce(_nfkc(_foreign(text)), text)
+
+
 @F.pandas_udf(ArrayType(StringType()))
 def nfkc_all(texts: pd.Series) -> pd.Series:
     """nfkc() of each element: the lambdas of Spark's array functions can't call Python."""
@@ -35,10 +44,14 @@ def nfkc_all(texts: pd.Series) -> pd.Series:
 
 
 @F.pandas_udf(StringType())
-def casefold(text: pd.Series) -> pd.Series:
+def _casefold(text: pd.Series) -> pd.Series:
     return text.map(lambda x: None if x is None else x.casefold())
 
 
+def casefold(text: Column) -> Column:
+    return F.coalesce(_casefold(_foreign(text)), F.lower(text))
+
+
 def _one_line(text: Column) -> Column:
     return F.btrim(F.regexp_replace(text, SPACES, " "))
 

@@ -1,4 +1,4 @@
-"""Lists of named regions after a phrase such as `remote in`, found by one pattern over text whose gaps are marked."""
+"""Lists of named regions after a phrase such as `remote in`, found by one pattern over a field's marked text (fields.marked)."""
 
 from __future__ import annotations
 
@@ -7,34 +7,21 @@ import re
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-#: A gap within a segment, as marked() writes it.
+#: A gap within a segment, as the marked text has it.
 GAP = r"(?: | [,;/|] )"
-_RUN = r"(?<![^\p{L}\p{N}])[^\p{L}\p{N}]*"
-
-
-def marked(text: Column) -> Column:
-    """Lower-case tokens with one mark between: a blank, or the kind of gap among , ; / | and . for the end of a segment."""
-    t = F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), r"(?<=[\p{L}\p{N}])'(?=[\p{L}\p{N}])", "")
-    t = F.regexp_replace(t, _RUN + r"(?:\n[^\S\n]*\n|[.!?。！？])[^\p{L}\p{N}]*", " . ")
-    for mark in ",;/":
-        t = F.regexp_replace(t, _RUN + mark + r"[^\p{L}\p{N}]*", f" {mark} ")
-    t = F.regexp_replace(t, r"(?<![^\p{L}\p{N}])\s*[^\p{L}\p{N}\s.,;/][^\p{L}\p{N}.,;/]*", " | ")
-    return F.btrim(F.regexp_replace(t, r"\s+", " "))
-
-
 def _words(phrases: tuple[str, ...]) -> str:
     longest_first = sorted(phrases, key=lambda p: (-len(p.split()), p))
     return "(?:" + "|".join(GAP.join(map(re.escape, p.split())) for p in longest_first) + ")"
 
 
-def broad_scope(text: Column, broad: tuple[str, ...], after: tuple[str, ...]) -> Column:
+def broad_scope(marked: Column, broad: tuple[str, ...], after: tuple[str, ...]) -> Column:
     """True if a broad region follows one of the prefixes `after`, with one connector between or none, all in one segment."""
     if not broad or not after:
         return F.lit(False)
-    return marked(text).rlike(rf"(?:^| ){_words(after)}(?:{GAP}(?:in|within|across|throughout|from))?{GAP}{_words(broad)}(?: |$)")
+    return F.coalesce(marked, F.lit("")).rlike(rf"(?:^| ){_words(after)}(?:{GAP}(?:in|within|across|throughout|from))?{GAP}{_words(broad)}(?: |$)")
 
 
-def named_scopes(text: Column, inside: tuple[str, ...], outside: tuple[str, ...], after: tuple[str, ...]) -> Column:
+def named_scopes(marked: Column, inside: tuple[str, ...], outside: tuple[str, ...], after: tuple[str, ...]) -> Column:
     """struct(included, excluded): whether a list names a region of `inside`; whether lists name only regions of `outside`.
 
     A list follows one of the prefixes `after` in the same segment. Items are separated by a comma, semicolon or slash, with `and`
@@ -47,7 +34,7 @@ def named_scopes(text: Column, inside: tuple[str, ...], outside: tuple[str, ...]
     separator = rf"(?: [,;/] (?:{ands} )?| {ands} )"
     end = rf"(?=$| \.|(?: | [,;/] ){ands}(?:$| [.,;/|]))"
     found = rf"(?<=^| )({_words(after)}){GAP}({item}(?:{separator}{item})*){end}"
-    t = marked(text)
+    t = F.coalesce(marked, F.lit(""))
     both = F.arrays_zip(F.transform(F.regexp_extract_all(t, F.lit(found), F.lit(1)), lambda p: F.regexp_replace(p, r" [,;/|] ", " ")).alias("p"), F.regexp_extract_all(t, F.lit(found), F.lit(2)).alias("l"))
     firsts = F.filter(both, lambda x, i: F.array_position(F.transform(both, lambda y: y["p"]), x["p"]) == i + 1)
     whole = lambda phrases: rf"(?:^| ){_words(phrases)}(?: |$)"

@@ -5,14 +5,21 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from . import fields
+
 TOKEN = r"[\p{L}\p{N}]+(?:'[\p{L}\p{N}]+)*"
 #: Paragraph breaks first, then runs of sentence marks.
 BOUNDARY = r"\n(?:[^\S\n]*\n)+|[.!?。！？]+"
 
 
 def tokens(text: Column) -> Column:
-    """Lower-case runs of letters and digits; inner apostrophes are taken out."""
-    return F.transform(F.regexp_extract_all(F.lower(text), F.lit(TOKEN), F.lit(0)), lambda t: F.replace(t, F.lit("'"), F.lit("")))
+    """Folded runs of letters and digits; inner apostrophes are taken out."""
+    return words(fields.fold(text))
+
+
+def words(folded: Column) -> Column:
+    """The tokens of a text that is folded already."""
+    return F.transform(F.regexp_extract_all(folded, F.lit(TOKEN), F.lit(0)), lambda t: F.replace(t, F.lit("'"), F.lit("")))
 
 
 def segments(text: Column) -> Column:
@@ -37,8 +44,9 @@ def any_phrase(words: Column, phrases: tuple[str, ...]) -> Column:
 
 
 def segments_with(text: Column, phrase: str) -> Column:
-    """Numbers of the segments that hold the phrase."""
-    return F.filter(F.transform(segments(text), lambda s, i: F.when(has_phrase(tokens(s), phrase), i)), lambda i: i.isNotNull())
+    """Numbers of the segments that hold the phrase, among those with tokens."""
+    parts = F.split(fields.marked_text(text), r" \. ")
+    return F.filter(F.transform(parts, lambda s, i: F.when(F.contains(F.concat(F.lit(" "), F.regexp_replace(s, " [,;/|] ", " "), F.lit(" ")), F.lit(f" {phrase} ")), i)), lambda i: i.isNotNull())
 
 
 def same_segment(text: Column, one: str, two: str) -> Column:
@@ -79,5 +87,5 @@ def gap(between: Column) -> Column:
     """The kind of what lies between two tokens."""
     return (
         F.when(between.rlike(r"\n[^\S\n]*\n"), "paragraph").when(between.rlike(r"[.!?。！？]"), "sentence").when(between.contains(","), "comma")
-        .when(between.contains(";"), "semicolon").when(between.contains("/"), "slash").when(between.rlike(r"^\s+$"), "whitespace").otherwise("other")
+        .when(between.contains(";"), "semicolon").when(between.rlike(r"[/\\]"), "slash").when(between.rlike(r"^\s+$"), "whitespace").otherwise("other")
     )

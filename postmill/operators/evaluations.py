@@ -39,8 +39,12 @@ def record(results: DataFrame, inputs: DataFrame) -> tuple[DataFrame, DataFrame]
     output = F.to_json(F.struct("eligible", "outcomes", "rejections", "unknowns"))
     r = r.select("posting_id", F.sha2(F.concat_ws("\n", "policy_hash", "payload"), 256).alias("input_hash"), "policy_hash", "eligible", "rejections", "unknowns", "outcomes", output.alias("output"))
     r = r.dropDuplicates(["input_hash"]).withColumn("output_hash", F.sha2("output", 256))
-    scores = r.where("not eligible").select("posting_id", "input_hash", F.lit("filter").alias("stage"), F.lit("reject").alias("verdict"), F.col("output").alias("rationale"))
-    return r, scores
+    return r, scores(r)
+
+
+def scores(evaluated: DataFrame) -> DataFrame:
+    """The filter score of each rejected evaluation. Where both are used, keep the evaluations as a table first."""
+    return evaluated.where("not eligible").select("posting_id", "input_hash", F.lit("filter").alias("stage"), F.lit("reject").alias("verdict"), F.col("output").alias("rationale"))
 
 
 def replay(fresh: DataFrame, stored: DataFrame, scores: DataFrame) -> DataFrame:

@@ -29,8 +29,9 @@ def prior_average(fetches: DataFrame, threshold: float) -> DataFrame:
     # an attempt that finished at its own start is no history of itself
     own = F.coalesce((F.col("finished_us") <= F.col("started_us")) & F.col("complete") & (F.col("http_status") == 200) & F.col("seen").isNotNull(), F.lit(False))
     total, n = F.col("total") - F.when(own, F.col("seen").cast("decimal(20,4)")).otherwise(0), F.col("n") - own.cast("int")
-    out = rows.withColumn("prior_avg", F.round(total.cast("double") / F.when(n > 0, n), 6)).drop("total", "n")
-    return out.withColumn("suspicious_zero", F.col("complete") & (F.col("seen") == 0) & F.coalesce(F.col("prior_avg") > threshold, F.lit(False)))
+    above = total > F.lit(threshold).cast("decimal(20,4)") * F.when(n > 0, n).cast("decimal(12,0)")  # exact; the mean is rounded for reading only
+    out = rows.withColumn("prior_avg", F.round(total.cast("double") / F.when(n > 0, n), 6)).withColumn("suspicious_zero", F.col("complete") & (F.col("seen") == 0) & F.coalesce(above, F.lit(False)))
+    return out.drop("total", "n")
 
 
 def stale(fetches: DataFrame) -> DataFrame:

@@ -1,7 +1,8 @@
 """The nine eligibility rules over listings, from a policy that is data.
 
 Every rule is evaluated for every listing; none stops the others. A listing is eligible if no rule rejects it, and
-`unknown` never rejects. Tokens are computed once and shared by all rules.
+`unknown` never rejects. Title, description and location labels are fields, searched once for all phrases of the policy;
+rules compare the spans that were found, and only fields that hold a phrase of a template are matched against its pattern.
 """
 
 from __future__ import annotations
@@ -17,7 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import scopes
-from ..functions import tokens as T
+from ..functions.fields import Wanted, searched
 from . import runs
 
 # fixed values: the rules and their order
@@ -70,24 +71,53 @@ class Policy:
         return hashlib.sha256(json.dumps(asdict(self), sort_keys=True, separators=(",", ":")).encode()).hexdigest()
 
 
-EXAMPLE = Policy(titles=("the", "of"), low_seniority=("a",), wrong_disciplines=("of of",), remote=("with",), not_remote=("that that",), clearance=("the",), clearance_obliged=("and",), clearance_obtain=("that and",))
+def wanted(p: Policy) -> tuple[Wanted, ...]:
+    """The classes of phrases that the rules look for; where the rule asks only for presence, one span a field is enough."""
+    named = [
+        Wanted("titles", p.titles, ("title",), True), Wanted("low_seniority", p.low_seniority, ("title",), True), Wanted("wrong_disciplines", p.wrong_disciplines, ("title",), True),
+        Wanted("remote", p.remote), Wanted("not_remote", p.not_remote, once=True), Wanted("remote_denied", p.remote_denied), Wanted("included", p.included_regions), Wanted("excluded", p.excluded_regions),
+        Wanted("list_after", p.list_after, once=True), Wanted("broad_after", p.broad_after, once=True), Wanted("broad", p.broad, once=True), Wanted("clearance", p.clearance, once=True),
+        Wanted("day", ("day", "days")), Wanted("number", tuple(NUMBERS)), Wanted("weekly", WEEKLY), Wanted("office", OFFICE), Wanted("home", ("home office",)), Wanted("called", (*OBLIGED, *PRESENT)),
+    ]
+    return (*named, *[Wanted(f"pair{i}{side}", (x,), ("title", "description")) for i, pair in enumerate(p.discipline_pairs) for side, x in zip("ab", pair, strict=True)])
 
 
-def any_field(fields: tuple[Column, ...], phrases: tuple[str, ...]) -> Column:
-    """True if one field holds one of the phrases; a phrase never reaches from one field into the next."""
-    return reduce(or_, [T.any_phrase(f, phrases) for f in fields])
+class Found:
+    """Columns over the array of spans, by the name of a class."""
 
+    def __init__(self, spans: Column, classes: tuple[Wanted, ...]) -> None:
+        self.spans, self.number = spans, {w.name: i for i, w in enumerate(classes)}
 
-def independent(fields: tuple[Column, ...], phrases: tuple[str, ...], longer: tuple[str, ...]) -> Column:
-    """True if one field holds one of the phrases at a place that no longer phrase of that field contains."""
-    return reduce(or_, [F.size(T.unsuppressed(f, p, longer)) > 0 for f in fields for p in phrases], F.lit(False))
+    def any(self, name: str) -> Column:
+        return F.exists(self.spans, lambda s: s["of"] == self.number[name])
 
+    def of(self, name: str) -> Column:
+        return F.filter(self.spans, lambda s: s["of"] == self.number[name])
 
-def scoped_remote(texts: tuple[Column, ...], p: Policy) -> Column:
-    """True if a broad region or a list of named ones follows `remote`."""
-    broad = [scopes.broad_scope(t, p.broad, _remote(p.broad_after)) for t in texts]
-    named = [scopes.named_scopes(t, p.named_inside, p.named_outside, _remote(p.list_after)) for t in texts]
-    return reduce(or_, [*broad, *(n["included"] | n["excluded"] for n in named)])
+    def independent(self, name: str, longer: str) -> Column:
+        """True if a span of the class lies inside none of the longer phrases of its field."""
+        inside = lambda s, x: (x["of"] == self.number[longer]) & (x["field"] == s["field"]) & (x["first"] <= s["first"]) & (s["after"] <= x["after"])
+        return F.exists(self.of(name), lambda s: ~F.exists(self.spans, lambda x: inside(s, x)))
+
+    def together(self, one: str, two: str) -> Column:
+        """True if a segment holds a phrase of both classes as a whole."""
+        return F.exists(self.of(one), lambda a: a["whole"] & F.exists(self.of(two), lambda b: b["whole"] & _beside(a, b)))
+
+
+def _beside(a: Column, b: Column) -> Column:
+    return (a["field"] == b["field"]) & (a["segment"] == b["segment"])
+
+
+def named_lists(fields: Column, found: Found, p: Policy, after: tuple[str, ...]) -> Column:
+    """struct(included, excluded) of each field; no field where none holds one of the prefixes."""
+    each = F.transform(fields, lambda f: scopes.named_scopes(f["marked"], p.named_inside, p.named_outside, after))
+    return F.when(found.any("list_after"), each).otherwise(F.array().cast("array<struct<included:boolean,excluded:boolean>>"))
+
+
+def broad_fields(fields: Column, found: Found, p: Policy, after: tuple[str, ...]) -> Column:
+    """True if a broad region follows one of the prefixes in one field."""
+    here = F.exists(fields, lambda f: scopes.broad_scope(f["marked"], p.broad, after))
+    return F.when(found.any("broad_after") & found.any("broad"), here).otherwise(F.lit(False))
 
 
 def _remote(phrases: tuple[str, ...]) -> tuple[str, ...]:
@@ -102,54 +132,50 @@ OFFICE = ("office", "in office", "in the office", "onsite", "on site")
 PRESENT = ("report to the office", "report onsite", "report on site")
 
 
-def weekly_attendance(text: Column) -> Column:
+def weekly_attendance(found: Found) -> Column:
     """True if a segment asks for a number of days in an office each week.
 
     Beside the word day or days, in the same segment: a number within two words, a weekly phrase that begins within four, an
     office phrase within eight (`home office` is none), and anywhere in the segment an obligation or a phrase of presence.
     """
-    close = lambda day, reach: F.sequence(day - reach, day + reach)
-
-    def asks(words: Column) -> Column:
-        days = F.concat(T.places(words, "day"), T.places(words, "days"))
-        numbers = F.concat(*[T.places(words, n) for n in NUMBERS])
-        weekly = F.concat(*[T.places(words, p) for p in WEEKLY])
-        office = F.concat(F.array_except(T.places(words, "office"), F.transform(T.places(words, "home"), lambda i: i + 1)), *[T.places(words, p) for p in OFFICE[1:]])
-        near = F.exists(days, lambda d: F.arrays_overlap(close(d, 2), numbers) & F.arrays_overlap(close(d, 4), weekly) & F.arrays_overlap(close(d, 8), office))
-        return (F.arrays_overlap(words, F.array(*map(F.lit, OBLIGED))) | T.any_phrase(words, PRESENT)) & near
-
-    candidates = F.filter(T.segments(F.coalesce(text, F.lit(""))), lambda s: F.lower(s).rlike(r"\bdays?\b") & F.lower(s).rlike("week"))
-    return F.exists(F.transform(candidates, T.tokens), asks)
+    near = lambda d, s, reach: _beside(d, s) & (F.abs(s["first"] - d["first"]) <= reach)
+    at_home = lambda s: (s["after"] - s["first"] == 1) & F.exists(found.of("home"), lambda h: (h["field"] == s["field"]) & (h["after"] == s["after"]))
+    asks = F.exists(
+        found.of("day"),
+        lambda d: F.exists(found.of("number"), lambda s: near(d, s, 2)) & F.exists(found.of("weekly"), lambda s: s["whole"] & near(d, s, 4))
+        & F.exists(found.of("office"), lambda s: near(d, s, 8) & ~at_home(s)) & F.exists(found.of("called"), lambda s: s["whole"] & _beside(d, s)),
+    )
+    return F.when(found.any("day") & found.any("weekly") & found.any("office"), asks).otherwise(F.lit(False))
 
 
-def remote_rule(fields: tuple[Column, ...], texts: tuple[Column, ...], workplace: Column, p: Policy) -> Column:
+def remote_rule(fields: Column, found: Found, workplace: Column, p: Policy) -> Column:
     """The first that holds: attendance rejects; a denial beside an independent positive is unknown; a denial rejects; a positive or a scoped remote passes; else unknown."""
     place = F.lower(F.coalesce(workplace, F.lit("")))
-    denied = any_field(fields, p.remote_denied)
+    lists = named_lists(fields, found, p, _remote(p.list_after))
+    scoped = broad_fields(fields, found, p, _remote(p.broad_after)) | F.exists(lists, lambda n: n["included"] | n["excluded"])
     # a positive inside a denial is no positive of its own
-    positive = independent(fields, p.remote, p.remote_denied)
+    own = found.independent("remote", "remote_denied") | (place == "remote")
     return (
-        F.when(place.isin("hybrid", "on-site", "onsite") | any_field(fields, p.not_remote) | reduce(or_, map(weekly_attendance, texts)), "reject").when(denied & (positive | (place == "remote")), "unknown")
-        .when(denied, "reject").when(positive | (place == "remote") | scoped_remote(texts, p), "pass").otherwise("unknown")
+        F.when(place.isin("hybrid", "on-site", "onsite") | found.any("not_remote") | weekly_attendance(found), "reject").when(found.any("remote_denied") & own, "unknown")
+        .when(found.any("remote_denied"), "reject").when(own | scoped, "pass").otherwise("unknown")
     )
 
 
-def geography_rule(fields: tuple[Column, ...], texts: tuple[Column, ...], codes: Column, remote: Column, p: Policy) -> Column:
+def geography_rule(fields: Column, found: Found, codes: Column, remote: Column, p: Policy) -> Column:
     """Rejects only where the remote rule passed: an exclusion, or codes none of which is included, with nothing that includes.
 
     A broad scope passes unless a phrase excludes, whatever the codes. An inclusion inside an exclusion is none. Scopes
     count for each field; over all fields an inclusion outweighs the lists that name others only.
     """
-    named = [scopes.named_scopes(t, p.named_inside, p.named_outside, p.list_after) for t in texts]
-    listed = reduce(or_, [n["included"] for n in named])
-    broad = reduce(or_, [scopes.broad_scope(t, p.broad, p.broad_after) for t in texts])
-    inside = F.exists(codes, lambda c: c.isin(*p.included_codes)) | independent(fields, p.included_regions, p.excluded_regions) | listed
-    excluded = any_field(fields, p.excluded_regions)
-    outside = excluded | F.exists(codes, lambda c: c.rlike("^[A-Z]{2}$") & ~c.isin(*p.included_codes)) | (reduce(or_, [n["excluded"] for n in named]) & ~listed)
-    return F.when(inside & outside, "unknown").when(inside | (broad & ~excluded), "pass").when(outside & (remote == "pass"), "reject").otherwise("unknown")
+    lists = named_lists(fields, found, p, p.list_after)
+    listed, excluded = F.exists(lists, lambda n: n["included"]), found.any("excluded")
+    inside = F.exists(codes, lambda c: F.upper(c).isin(*p.included_codes)) | found.independent("included", "excluded") | listed
+    foreign = F.exists(codes, lambda c: c.rlike("^[A-Za-z]{2}$") & ~F.upper(c).isin(*p.included_codes))
+    outside = excluded | foreign | (F.exists(lists, lambda n: n["excluded"]) & ~listed)
+    return F.when(inside & outside, "unknown").when(inside | (broad_fields(fields, found, p, p.broad_after) & ~excluded), "pass").when(outside & (remote == "pass"), "reject").otherwise("unknown")
 
 
-def clearance_rule(fields: tuple[Column, ...], p: Policy) -> Column:
+def clearance_rule(fields: Column, found: Found, p: Policy) -> Column:
     """(status, evidence). Obligations reject, waivers pass, both together are unknown; an obligation inside a waiver is none.
 
     Obligations: an obliging phrase, an article or none, and a clearance; or a clearance that `is required`. Waivers: one that is
@@ -181,31 +207,31 @@ def clearance_rule(fields: tuple[Column, ...], p: Policy) -> Column:
             must.append(f"(?:{form}(?!{tail}{required})|{needs}{form})" if if_required else form)
         behind = f"(?<! no{lead})" + (f"(?<! {some(absent)}(?: (?:a|an|the))?{lead})" if absent else "")
         must.append(f"{behind} {c}{required}")
-    padded = [T.padded(f) for f in fields]
-    found = lambda patterns: reduce(or_, [f.rlike("|".join(patterns)) for f in padded])
+    holds = lambda patterns: F.exists(fields, lambda f: f["words"].rlike("|".join(patterns)))
     said = lambda status, i=0: F.struct(F.lit(status).alias("status"), F.lit(EVIDENCE["clearance"][status][i]).alias("evidence"))
-    return F.when(found(must) & found(waivers), said("unknown", 1)).when(found(must), said("reject")).when(found(waivers), said("pass")).otherwise(said("unknown"))
+    return (
+        F.when(~found.any("clearance"), said("unknown")).when(holds(must), F.when(holds(waivers), said("unknown", 1)).otherwise(said("reject"))).when(holds(waivers), said("pass")).otherwise(said("unknown"))
+    )
 
 
 def evaluate(listings: DataFrame, policy: Policy, as_of: Column) -> DataFrame:
     """posting_id, eligible, rejections, unknowns, outcomes (nine of rule, status, evidence, in order), error, policy_hash.
 
     listings: posting_id, title, description, country_codes, workplace, published_at, first_seen_at, action,
-    company_blocked. A date after as_of is an invalid input: `error` says so and eligible is null.
+    company_blocked, and `labels`, an array of location labels, if there are any. A date after as_of is an invalid input:
+    `error` says so and eligible is null.
     """
-    t = listings.withColumn("title_words", T.tokens(F.coalesce("title", F.lit(""))))
-    t = t.withColumn("text_words", T.tokens(F.coalesce("description", F.lit(""))))
-    title, fields, texts = F.col("title_words"), (F.col("title_words"), F.col("text_words")), (F.col("title"), F.col("description"))
+    classes = wanted(policy)
+    labels = F.col("labels") if "labels" in listings.columns else F.lit(None).cast("array<string>")
+    t = listings.withColumn("search", searched(F.col("title"), F.col("description"), labels, classes)).withColumn("fields", F.col("search.fields")).withColumn("spans", F.col("search.spans"))
+    fields, hits = F.col("fields"), Found(F.col("spans"), classes)
     verdict = lambda bad, good="pass": F.when(bad, "reject").otherwise(good)
-    pairs = F.lit(False)
-    for a, b in policy.discipline_pairs:
-        pairs = pairs | reduce(or_, [T.same_segment(F.coalesce(x, F.lit("")), a, b) for x in texts])
-    t = t.withColumn("remote", remote_rule(fields, texts, F.col("workplace"), policy)).withColumn("clearance", clearance_rule(fields, policy))
+    pairs = reduce(or_, [hits.together(f"pair{i}a", f"pair{i}b") for i in range(len(policy.discipline_pairs))], F.lit(False))
+    t = t.withColumn("remote", remote_rule(fields, hits, F.col("workplace"), policy)).withColumn("clearance", clearance_rule(fields, hits, policy))
     age = runs.staleness(F.col("published_at"), F.col("first_seen_at"), as_of, policy.max_age_days)
     found = {
-        "title": verdict(~T.any_phrase(title, policy.titles)), "seniority": verdict(F.arrays_overlap(title, F.array(*map(F.lit, policy.low_seniority)).cast("array<string>"))),
-        "discipline": verdict(T.any_phrase(title, policy.wrong_disciplines) | pairs), "remote": F.col("remote"),
-        "geography": geography_rule(fields, texts, F.coalesce("country_codes", F.array().cast("array<string>")), F.col("remote"), policy), "clearance": F.col("clearance.status"),
+        "title": verdict(~hits.any("titles")), "seniority": verdict(hits.any("low_seniority")), "discipline": verdict(hits.any("wrong_disciplines") | pairs), "remote": F.col("remote"),
+        "geography": geography_rule(fields, hits, F.coalesce("country_codes", F.array().cast("array<string>")), F.col("remote"), policy), "clearance": F.col("clearance.status"),
         "stale": age, "actioned": verdict(F.coalesce(F.col("action") != "none", F.lit(False))), "company": verdict(F.coalesce("company_blocked", F.lit(False))),
     }
     named_by = {"clearance": F.col("clearance.evidence")}

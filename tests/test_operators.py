@@ -5,6 +5,7 @@ import random
 from pyspark.sql import functions as F
 
 from postmill.functions import canonical as C
+from postmill.functions import fields
 from postmill.functions import tokens as T
 from postmill.functions.markup import markdown
 from postmill.functions.scopes import broad_scope, named_scopes
@@ -16,6 +17,11 @@ def one(spark, text, column):
     return spark.createDataFrame([(text,)], "t string").select(column(F.col("t")).alias("x")).first()["x"]
 
 
+def staged(spark, text, first, then):
+    """As one(), with a Python column made before the expressions that use it in lambdas."""
+    return spark.createDataFrame([(text,)], "t string").select(first(F.col("t")).alias("v")).select(then(F.col("v")).alias("x")).first()["x"]
+
+
 def test_description(spark):
     assert one(spark, "\r\n\na  \r\n\n\n\n\nb\t\n\n", C.description) == "a\n\n\nb"
     assert one(spark, None, C.description) is None
@@ -51,9 +57,9 @@ def test_markdown_lines(spark):
 def test_tokens_and_segments(spark):
     assert one(spark, "Don't stop. Now", T.tokens) == ["dont", "stop", "now"]
     assert one(spark, "a. b!\n\nc", lambda t: F.size(T.segments(t))) == 3
-    assert one(spark, "the end of the day", lambda t: T.unsuppressed(T.tokens(t), "the", ("of the",))) == [1]
-    assert one(spark, "one two", lambda t: T.places(T.tokens(t), "one two three")) == []
-    assert one(spark, "x a b c y", lambda t: T.near(T.tokens(t), "x", "y", 4)) is True
+    assert staged(spark, "the end of the day", T.tokens, lambda w: T.unsuppressed(w, "the", ("of the",))) == [1]
+    assert staged(spark, "one two", T.tokens, lambda w: T.places(w, "one two three")) == []
+    assert staged(spark, "x a b c y", T.tokens, lambda w: T.near(w, "x", "y", 4)) is True
 
 
 def test_markdown(spark):
@@ -113,7 +119,7 @@ def test_rules(spark):
 
 def test_named_scopes(spark):
     def found(text):
-        return tuple(one(spark, text, lambda t: named_scopes(t, ("us", "united states"), ("canada", "united kingdom"), ("remote in", "candidates must be based in"))))
+        return tuple(staged(spark, text, fields.marked_text, lambda t: named_scopes(t, ("us", "united states"), ("canada", "united kingdom"), ("remote in", "candidates must be based in"))))
 
     assert found("Remote in Canada.") == (False, True)
     assert found("Remote in the moon") == (False, False)
@@ -130,9 +136,9 @@ def test_named_scopes(spark):
 
 def test_broad_scopes(spark):
     def found(text, *after):
-        return one(spark, text, lambda t: broad_scope(t, ("worldwide", "north america"), after or ("remote", "remote role", "open to candidates", "this job is remote")))
+        return staged(spark, text, fields.marked_text, lambda t: broad_scope(t, ("worldwide", "north america"), after or ("remote", "remote role", "open to candidates", "this job is remote")))
 
-    assert not one(spark, "remote worldwide", lambda t: broad_scope(t, ("worldwide",), ()))
+    assert not staged(spark, "remote worldwide", fields.marked_text, lambda t: broad_scope(t, ("worldwide",), ()))
     assert found("Open to candidates worldwide.") and found("Remote (North America)") and found("This job is remote, from\nnorth america!") and found("Remote role across worldwide")
     assert not found("Remote. Worldwide") and not found("Remote in all of north america") and not found("Remote in north. America") and not found("worldwide remote") and not found(None)
     assert not found("Open to candidates worldwide", "remote", "remote role") and found("remote role worldwide", "remote", "remote role")
@@ -162,8 +168,10 @@ def test_rules_by_scope_and_field(spark):
 
 
 def test_weekly_attendance(spark):
+    classes, no_labels = rules.wanted(rules.Policy(titles=())), F.lit(None).cast("array<string>")
+
     def found(text):
-        return one(spark, text, rules.weekly_attendance)
+        return staged(spark, text, lambda t: fields.searched(F.lit(""), t, no_labels, classes)["spans"], lambda s: rules.weekly_attendance(rules.Found(s, classes)))
 
     assert found("You must work three days per week in the office.") and found("Attendance: 2 days weekly, onsite") and found("Report to the office 4 days each week")
     assert not found("Three days per week in the office.")  # nobody has to
@@ -298,7 +306,10 @@ def test_clearance_templates(spark):
         "without a clearance": ("unknown", "clearance_not_stated"), "clearance": ("unknown", "clearance_not_stated"), "must have no clearance": ("unknown", "clearance_not_stated"), "": ("unknown", "clearance_not_stated"),
         "able to obtain clearance required": ("unknown", "clearance_ambiguous"),
     }
-    got = {t: tuple(one(spark, t, lambda x: rules.clearance_rule((T.tokens(x),), p))) for t in cases}
+    classes, no_labels = rules.wanted(p), F.lit(None).cast("array<string>")
+
+    search = lambda x: fields.searched(F.lit(""), x, no_labels, classes)
+    got = {t: tuple(staged(spark, t, search, lambda v: rules.clearance_rule(v["fields"], rules.Found(v["spans"], classes), p))) for t in cases}
     assert got == cases
 
 
