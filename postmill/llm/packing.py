@@ -26,6 +26,8 @@ CAPACITY, END = 1024, 0
 RUN_TOKENS = 4_000_000
 #: Cost of n tokens in one sequence: LINEAR * n + QUADRATIC * n * n, in units of one token's dense layers.
 LINEAR, QUADRATIC = 1.0, 1 / 2048
+#: Runs of white space (the class of the split pattern) that are cut by hand; the split is the same at any length.
+LONG_RUN = re.compile("[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]{2000,}")
 SHAPE = "doc_id long, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long"
 
 
@@ -39,7 +41,9 @@ class ByteTokens:
     The rank file holds the same vocabulary and merges as the tokenizers file beside it, so ids are equal (tests compare
     them). The split pattern looks ahead only to leave a run of white space its last character; a text without two white
     space characters in a row is split the same way without it, which is much faster. Where a text holds one of the
-    tokenizer's added tokens, that is one id, and the parts around it are encoded by themselves.
+    tokenizer's added tokens, that is one id, and the parts around it are encoded by themselves. Runs of white space that
+    would exhaust the pattern's stack are cut out first, as the pattern cuts them: all but the last character are a piece,
+    and all of them at the end of the text.
     """
 
     def __init__(self, ranks: str, pattern: str, added: dict[str, int]):
@@ -49,6 +53,7 @@ class ByteTokens:
             known = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
         self.full = tiktoken.Encoding("full", pat_str=pattern, mergeable_ranks=known, special_tokens={})
         self.fast = tiktoken.Encoding("fast", pat_str=pattern.replace(r"\s+(?!\S)|", ""), mergeable_ranks=known, special_tokens={})
+        self.piece = tiktoken.Encoding("piece", pat_str=r"(?s).+", mergeable_ranks=known, special_tokens={})
         self.run = re.compile(r"\s\s")
         self.added = added
         self.cut = re.compile("|".join(map(re.escape, sorted(added, key=len, reverse=True))) or r"(?!)")
@@ -63,7 +68,14 @@ class ByteTokens:
         return out + self._plain(text[at:])
 
     def _plain(self, text: str) -> list[int]:
-        return (self.full if self.run.search(text) else self.fast).encode_ordinary(text)
+        if not self.run.search(text):
+            return self.fast.encode_ordinary(text)
+        out, at = [], 0
+        for blanks in LONG_RUN.finditer(text):
+            end = blanks.end() if blanks.end() == len(text) else blanks.end() - 1
+            out += self.full.encode_ordinary(text[at : blanks.start()]) + self.piece.encode_ordinary(text[blanks.start() : end])
+            at = end
+        return out + self.full.encode_ordinary(text[at:])
 
 
 def tokenizer(name: str = "byte_bpe_50k") -> ByteTokens:

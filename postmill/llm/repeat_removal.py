@@ -8,7 +8,8 @@ array and permuted common prefixes tell where strings of WIDTH bytes occur again
 
 An anchor with more distinct contexts than one task should sort has them cut into pieces by the distance of a string's
 begin from the anchor. Strings of a piece share most of their bytes, which become part of its key, and equal pieces are
-one; so the pieces spread over many shards, and sorting them finds the same places.
+one; so the pieces spread over many shards, and sorting them finds the same places. Where even a piece's key is shared by
+too many (a passage a little shorter than a string, in very many texts), its strings are counted by digests instead.
 """
 
 from __future__ import annotations
@@ -181,6 +182,29 @@ def _pieces(width: int):
     return pieces
 
 
+def _by_digest(pieces: DataFrame, width: int) -> DataFrame:
+    """(anchor, context, runs) of pieces that are too many of one key to be sorted in one task.
+
+    Every string that begins in a piece is known by its key and a 128-bit digest; Spark adds up how often each occurs, in
+    parts before the shuffle, so a key's pieces are never together in a task however many there are.
+    """
+
+    def strings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            raws = batch.column("bytes").to_pylist()
+            of = np.repeat(np.arange(len(raws)), [len(r) - width + 1 for r in raws])
+            at = [j for r in raws for j in range(len(r) - width + 1)]
+            digests = b"".join(hashlib.blake2b(r[j : j + width], digest_size=16).digest() for r in raws for j in range(len(r) - width + 1))
+            two = np.frombuffer(digests, dtype="<i8").reshape(-1, 2)
+            some = batch.select(["anchor", "context", "n"]).take(pa.array(of))
+            yield pa.RecordBatch.from_arrays([*some.columns, pa.array(at, pa.int32()), pa.array(two[:, 0]), pa.array(two[:, 1])], ["anchor", "context", "n", "at", "d1", "d2"])
+
+    each = stored(pieces.mapInArrow(strings, "anchor long, context long, n long, at int, d1 long, d2 long"), "strings")
+    again = each.groupBy("anchor", "d1", "d2").agg(F.sum("n").alias("times")).where("times > 1").select("anchor", "d1", "d2")
+    places = each.join(again, ["anchor", "d1", "d2"], "left_semi").groupBy("anchor", "context").agg(F.collect_list("at").alias("at"))  # as many as begin in a piece
+    return places.select("anchor", "context", F.flatten(F.transform("at", lambda j: F.array(j, j))).alias("runs"))
+
+
 def remove_repeats(docs: DataFrame, width: int = WIDTH, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, kept binary, n_bytes, n_removed, n_spans), one row per row of docs.
 
@@ -217,9 +241,11 @@ def remove_repeats(docs: DataFrame, width: int = WIDTH, id_col: str = "doc_id",
     if huge.limit(1).count():
         parts = cut.join(huge, "anchor", "left_semi").select("anchor", "context", "n", "bytes").mapInArrow(_pieces(width), "anchor long, context long, n long, sub long, whole long, shift long, bytes binary")
         parts = stored(parts, "pieces")
-        alike = parts.groupBy(F.col("sub").alias("anchor"), F.col("whole").alias("context")).agg(F.sum("n").alias("n"), F.first("bytes").alias("bytes"))
+        alike = stored(parts.groupBy(F.col("sub").alias("anchor"), F.col("whole").alias("context")).agg(F.sum("n").alias("n"), F.first("bytes").alias("bytes")), "alike")
+        crowded = stored(alike.groupBy("anchor").agg(F.count("*").alias("pieces")).where(F.col("pieces") > MOST_CONTEXTS).select("anchor"), "crowded")
         found_in = (
-            alike.select(shard, "anchor", "context", "n", "bytes").groupBy("shard").applyInArrow(_sorted_shard(width), "anchor long, context long, runs array<int>")
+            alike.join(crowded, "anchor", "left_anti").select(shard, "anchor", "context", "n", "bytes").groupBy("shard").applyInArrow(_sorted_shard(width), "anchor long, context long, runs array<int>")
+            .unionByName(_by_digest(alike.join(crowded, "anchor", "left_semi"), width))
             .select(F.col("anchor").alias("sub"), F.col("context").alias("whole"), "runs").where(F.size("runs") > 0)
         )
         back = parts.select("anchor", "context", "sub", "whole", F.col("shift").cast("int").alias("shift")).join(found_in, ["sub", "whole"])

@@ -177,6 +177,30 @@ def test_repeat_removal(spark, monkeypatch):
         repeat_removal.remove_repeats(docs(spark, texts), 8)
 
 
+def test_repeats_beside_a_passage_that_all_share(spark, monkeypatch):
+    """A passage a little shorter than a string, in many texts: its pieces share a key and are counted by digests."""
+    random = np.random.default_rng(11)
+    word = lambda n: "".join(random.choice(list("abcdef"), n))
+    shared, width = word(74), 80
+    texts = [word(40) + shared + word(40) for _ in range(40)]
+    texts += [texts[0][20:130], word(9) + texts[1][36:118] + word(9), texts[2][:118] + word(30), shared + shared, texts[3] + texts[3]]
+    raws = [t.encode() for t in texts]
+    seen = Counter(r[i : i + width] for r in raws for i in range(len(r) - width + 1))
+    want = {}
+    for k, r in enumerate(raws):
+        gone = [False] * len(r)
+        for i in range(len(r) - width + 1):
+            if seen[r[i : i + width]] > 1:
+                gone[i : i + width] = [True] * width
+        want[k] = bytes(b for b, g in zip(r, gone, strict=True) if not g)
+    paths = []
+    real = repeat_removal._by_digest
+    monkeypatch.setattr(repeat_removal, "_by_digest", lambda pieces, w: paths.append(pieces.count()) or real(pieces, w))
+    monkeypatch.setattr(repeat_removal, "MOST_CONTEXTS", 3)
+    got = repeat_removal.remove_repeats(docs(spark, texts), width).collect()
+    assert {r["doc_id"]: bytes(r["kept"]) for r in got} == want and paths[0] > 30
+
+
 def test_components(spark):
     links = spark.createDataFrame([(i, i + 1) for i in range(30)] + [(50, 40), (41, 50), (60, 60)], "src long, dst long")
     got = {r["node"]: r["component"] for r in components(links).collect()}
@@ -303,6 +327,20 @@ def test_packing(spark, rows):
     assert packing.pack(rows.limit(0)).count() == 0
 
 
+def test_packing_of_long_runs():
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    plain, coder = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json")), packing.tokenizer()
+    for run in (" ", "\n", "\t", "\u00a0", "x", "7", "!", " \n", "ab "):
+        for n in (1999, 2000, 2001, 150_000):
+            for text in (run * n, f"a{run * n}b", f"{run * n}'s {run * n}"):
+                assert coder.ids(text) == plain.encode(text, add_special_tokens=False).ids, (run, n)
+    for run in " \n\tx7":  # beyond what the split pattern's stack takes
+        ids = coder.ids(run * 2_000_000 + "x")
+        assert coder.piece.decode(ids) == run * 2_000_000 + "x"
+
+
 def test_packing_takes_the_cheapest_sequence_with_room():
     lengths = [880] * 50 + [450] * 400 + [130] * 50 + [100] * 255  # 200 sequences of 450 + 450 cost less than those of 880
     pieces = packing.assign(lengths)

@@ -87,3 +87,14 @@ def test_run_keeps_the_rows_that_brute_force_keeps(spark, tmp_path):
     tokens = {(r[0], len(coder.ids(r[1])) + 1) for r in got["n-gram Jaccard join"]}
     # one source has its whole at least once in the mix
     assert {(r["doc_id"], r["doc_tokens"]) for r in corpus_pipeline.run(spark, str(tmp_path)).collect()} == tokens
+
+
+def test_run_of_an_empty_table_and_of_long_texts(spark, tmp_path):
+    pytest.importorskip("public_tokenizers")
+    shape = "doc_id long, text string, lang string, source string, n_chars long"
+    spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    spark.createDataFrame([], shape).write.parquet(str(tmp_path / "documents.parquet"))
+    assert corpus_pipeline.run(spark, str(tmp_path)).collect() == []
+    long = [row(1, text("a", 60) + " " * 1_500_000 + "x"), row(2, text("b", 60) + "\n" * 300_000 + text("c", 60)), row(3, text("d", 60_000))]
+    spark.createDataFrame(long, shape).write.mode("overwrite").parquet(str(tmp_path / "documents.parquet"))
+    assert {r["doc_id"] for r in corpus_pipeline.run(spark, str(tmp_path)).collect()} == {1, 2, 3}
