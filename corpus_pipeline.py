@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from postmill.llm import jaccard_join, line_dedup, mixing, packing, quality_rules
-from postmill.llm.common import discard, stored, table
+from postmill.llm.common import BLANK_RUN, discard, stored, table
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
@@ -33,27 +33,25 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One row of each group of near duplicates, the one of least id, null ids last; rows without words all stay.
 
-    Rows whose id is null or repeated are told apart by a 63-bit hash of all their columns, so texts that only share an id
-    are no duplicates. Rows that agree in all columns are copies, of which one stays.
+    Where ids are null or repeated, rows are known by a number instead, so texts that only share an id are no duplicates.
+    Rows of such ids that agree in all columns are copies, of which one stays.
     """
-    repeated = docs.where("doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1")
-    repeated = stored(repeated.select(F.col("doc_id").alias("again")), "repeated-ids")
-    # the null flags keep a value of one column from standing for that of the next
-    whole = F.xxhash64(*[x for c in COLUMNS for x in (F.col(c).isNull(), F.col(c))]).bitwiseAND(F.lit((1 << 63) - 1))
-    own = F.when(F.col("doc_id").isNotNull() & F.col("again").isNull(), F.col("doc_id")).otherwise(whole)
-    docs = docs.join(repeated, F.col("doc_id") == F.col("again"), "left") if repeated.limit(1).count() else docs.withColumn("again", F.lit(None))
-    rows = docs.select(*COLUMNS, own.alias("row"))
+    docs = docs.select(*COLUMNS)
+    words = F.coalesce(F.regexp_replace("text", BLANK_RUN, "") != "", F.lit(False))
+    some, wordless = docs.where(words), docs.where(~words)
+    repeated = stored(some.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").select(F.col("doc_id").alias("again")), "repeated-ids")
+    if not some.where("doc_id is null").limit(1).count() and not repeated.limit(1).count():
+        classes, _ = jaccard_join.jaccard_classes(some)
+        kept = classes.where("doc_id = component_id").select("doc_id")
+        return some.join(kept, "doc_id", "left_semi").unionByName(wordless)
+    shared = some.join(repeated, F.col("doc_id") == F.col("again"), "left")
+    alone = shared.where("doc_id is not null and again is null").select(*COLUMNS)
+    rows = alone.unionByName(shared.where("doc_id is null or again is not null").select(*COLUMNS).dropDuplicates())
+    rows = stored(rows.withColumn("row", F.monotonically_increasing_id()), "rows")
     classes, _ = jaccard_join.jaccard_classes(rows, id_col="row")
-    classes = classes.groupBy(F.col("doc_id").alias("row")).agg(F.first("n_shingles").alias("n"), F.first("component_id").alias("component"), F.count("*").alias("copies"))
-    ids = rows.select("row", "doc_id").groupBy("row").agg(F.first("doc_id").alias("doc_id"))
-    classes = stored(classes.join(ids, "row"), "classes")
-    least = classes.where("n > 0").groupBy("component").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "row")).alias("least"))
-    kept = classes.join(least.select(F.col("least.row").alias("row"), F.lit(True).alias("first")), "row", "left").where("n = 0 or first")
-    kept = stored(kept.select("row", ((F.col("n") > 0) & (F.col("copies") > 1)).alias("once")), "kept")
-    found = rows.join(kept, "row")
-    if not kept.where("once").limit(1).count():
-        return found.select(*COLUMNS)
-    return found.where("not once").select(*COLUMNS).unionByName(found.where("once").dropDuplicates(["row"]).select(*COLUMNS))
+    classes = classes.select(F.col("doc_id").alias("row"), "component_id").join(rows.select("row", "doc_id"), "row")
+    least = classes.groupBy("component_id").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "row")).alias("least"))
+    return rows.join(least.select("least.row"), "row", "left_semi").select(*COLUMNS).unionByName(wordless)
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

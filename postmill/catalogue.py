@@ -12,7 +12,7 @@ from .functions import fields, markup, scopes
 from .functions import tokens as T
 from .operators import binding, deletes, documents, evaluations, history, integrity, merge, rules, runs, snapshots
 from .sources import listings, payloads
-from .tables import kept
+from .tables import kept, spread
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -391,7 +391,7 @@ def _listings(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _results(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rules.evaluate(_listings(spark, sf_dir), EXAMPLE, F.lit("2024-03-20").cast("timestamp"))
+    return rules.evaluate(spread(_listings(spark, sf_dir)), EXAMPLE, F.lit("2024-03-20").cast("timestamp"))
 
 
 _FOLDED = r"replace(translate(lower({0}), '’‘ʼ＇', ''''''''''), 'ß', 'ss')"

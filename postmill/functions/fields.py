@@ -40,11 +40,24 @@ class Token(NamedTuple):
     end: int
 
 
+@cache
+def _marks() -> str:
+    """All combining marks, as a set of a pattern."""
+    return "".join(chr(c) for c in range(sys.maxunicode + 1) if unicodedata.combining(chr(c)))
+
+
+@cache
+def _mark() -> re.Pattern[str]:
+    return re.compile(f"[{_marks()}]")
+
+
 @cache
 def _clusters() -> re.Pattern[str]:
     """A base character and the marks after it; marks without a base are passed over."""
-    marks = "".join(chr(c) for c in range(sys.maxunicode + 1) if unicodedata.combining(chr(c)))
-    return re.compile(f"[^{marks}][{marks}]*", re.DOTALL)
+    return re.compile(f"[^{_marks()}][{_marks()}]*", re.DOTALL)
+
+
+_SAME = str.maketrans(dict.fromkeys(APOSTROPHES, "'"))
 
 
 @lru_cache(maxsize=100_000)
@@ -57,6 +70,10 @@ def folded(text: str) -> tuple[str, list[int] | None]:
     """The folded text, and the place of each of its characters in the source; None if nothing has moved."""
     if text.isascii():
         return text.lower(), None
+    if unicodedata.is_normalized("NFKC", text) and not _mark().search(text):  # every character is its own base and composed
+        out = text.casefold().translate(_SAME)
+        # folding only lengthens: where the length is the same, nothing has moved
+        return out, None if len(out) == len(text) else [i for i, c in enumerate(text) for _ in c.casefold()]
     out, places = [], []
     for found in _clusters().finditer(text):
         piece = _fold(found[0])

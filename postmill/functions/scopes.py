@@ -3,12 +3,18 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Callable
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 #: A gap within a segment, as the marked text has it.
 GAP = r"(?: | [,;/|] )"
+def let(value: Column, then: Callable[[Column], Column]) -> Column:
+    """then(value), with the value computed once: an expression that occurs twice in lambdas would be computed twice."""
+    return F.get(F.transform(F.array(value), then), F.lit(0))
+
+
 def _words(phrases: tuple[str, ...]) -> str:
     longest_first = sorted(phrases, key=lambda p: (-len(p.split()), p))
     return "(?:" + "|".join(GAP.join(map(re.escape, p.split())) for p in longest_first) + ")"
@@ -33,10 +39,15 @@ def named_scopes(marked: Column, inside: tuple[str, ...], outside: tuple[str, ..
     item, ands = _words((*inside, *outside)), "(?:and|or)"
     separator = rf"(?: [,;/] (?:{ands} )?| {ands} )"
     end = rf"(?=$| \.|(?: | [,;/] ){ands}(?:$| [.,;/|]))"
-    found = rf"(?<=^| )({_words(after)}){GAP}({item}(?:{separator}{item})*){end}"
-    t = F.coalesce(marked, F.lit(""))
-    both = F.arrays_zip(F.transform(F.regexp_extract_all(t, F.lit(found), F.lit(1)), lambda p: F.regexp_replace(p, r" [,;/|] ", " ")).alias("p"), F.regexp_extract_all(t, F.lit(found), F.lit(2)).alias("l"))
-    firsts = F.filter(both, lambda x, i: F.array_position(F.transform(both, lambda y: y["p"]), x["p"]) == i + 1)
+    found = rf"(?<=^| ){_words(after)}{GAP}{item}(?:{separator}{item})*{end}"
+    prefix = lambda x: F.regexp_replace(F.regexp_extract(x, rf"^{_words(after)}", 0), r" [,;/|] ", " ")
     whole = lambda phrases: rf"(?:^| ){_words(phrases)}(?: |$)"
-    has = lambda phrases: F.exists(firsts, lambda x: x["l"].rlike(whole(phrases))) if phrases else F.lit(False)
-    return F.struct(has(inside).alias("included"), (has(outside) & ~has(inside)).alias("excluded"))
+
+    def of_firsts(lists: Column) -> Column:
+        named = F.transform(lists, lambda x: F.regexp_replace(x, rf"^{_words(after)}{GAP}", ""))
+        has = lambda phrases: F.exists(named, lambda x: x.rlike(whole(phrases))) if phrases else F.lit(False)
+        return let(has(inside), lambda included: F.struct(included.alias("included"), (has(outside) & ~included).alias("excluded")))
+
+    firsts = lambda lists, prefixes: F.filter(lists, lambda x, i: F.array_position(prefixes, F.get(prefixes, i)) == i + 1)
+    found = F.regexp_extract_all(F.coalesce(marked, F.lit("")), F.lit(found), F.lit(0))
+    return let(found, lambda lists: let(F.transform(lists, prefix), lambda prefixes: let(firsts(lists, prefixes), of_firsts)))

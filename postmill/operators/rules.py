@@ -96,28 +96,32 @@ class Found:
 
     def independent(self, name: str, longer: str) -> Column:
         """True if a span of the class lies inside none of the longer phrases of its field."""
-        inside = lambda s, x: (x["of"] == self.number[longer]) & (x["field"] == s["field"]) & (x["first"] <= s["first"]) & (s["after"] <= x["after"])
-        return F.exists(self.of(name), lambda s: ~F.exists(self.spans, lambda x: inside(s, x)))
+        inside = lambda s, x: (x["field"] == s["field"]) & (x["first"] <= s["first"]) & (s["after"] <= x["after"])
+        return scopes.let(self.of(longer), lambda around: F.exists(self.of(name), lambda s: ~F.exists(around, lambda x: inside(s, x))))
 
     def together(self, one: str, two: str) -> Column:
         """True if a segment holds a phrase of both classes as a whole."""
-        return F.exists(self.of(one), lambda a: a["whole"] & F.exists(self.of(two), lambda b: b["whole"] & _beside(a, b)))
+        return scopes.let(self.of(two), lambda others: F.exists(self.of(one), lambda a: a["whole"] & F.exists(others, lambda b: b["whole"] & _beside(a, b))))
 
 
 def _beside(a: Column, b: Column) -> Column:
     return (a["field"] == b["field"]) & (a["segment"] == b["segment"])
 
 
-def named_lists(fields: Column, found: Found, p: Policy, after: tuple[str, ...]) -> Column:
-    """struct(included, excluded) of each field; no field where none holds one of the prefixes."""
-    each = F.transform(fields, lambda f: scopes.named_scopes(f["marked"], p.named_inside, p.named_outside, after))
-    return F.when(found.any("list_after"), each).otherwise(F.array().cast("array<struct<included:boolean,excluded:boolean>>"))
+def scoped(fields: Column, found: Found, p: Policy) -> Column:
+    """struct(remote, listed, others, broad): a scope after `remote`; lists that include, lists that name others only, and a broad region, after any prefix.
 
-
-def broad_fields(fields: Column, found: Found, p: Policy, after: tuple[str, ...]) -> Column:
-    """True if a broad region follows one of the prefixes in one field."""
-    here = F.exists(fields, lambda f: scopes.broad_scope(f["marked"], p.broad, after))
-    return F.when(found.any("broad_after") & found.any("broad"), here).otherwise(F.lit(False))
+    Only listings with a span of a prefix are matched. Lists count for each field.
+    """
+    each = lambda after: F.transform(fields, lambda f: scopes.named_scopes(f["marked"], p.named_inside, p.named_outside, after))
+    broad = lambda after: F.exists(fields, lambda f: scopes.broad_scope(f["marked"], p.broad, after))
+    none = F.array().cast("array<struct<included:boolean,excluded:boolean>>")
+    lists = lambda after: F.when(found.any("list_after"), each(after)).otherwise(none)
+    wide = lambda after: F.when(found.any("broad_after") & found.any("broad"), broad(after)).otherwise(F.lit(False))
+    any_ = lambda of, x: F.exists(of, lambda n: n[x])
+    remote = scopes.let(lists(_remote(p.list_after)), lambda of: any_(of, "included") | any_(of, "excluded")) | wide(_remote(p.broad_after))
+    listed = scopes.let(lists(p.list_after), lambda of: F.struct(any_(of, "included").alias("included"), any_(of, "excluded").alias("excluded")))
+    return scopes.let(listed, lambda x: F.struct(remote.alias("remote"), x["included"].alias("listed"), (x["excluded"] & ~x["included"]).alias("others"), wide(p.broad_after).alias("broad")))
 
 
 def _remote(phrases: tuple[str, ...]) -> tuple[str, ...]:
@@ -148,31 +152,29 @@ def weekly_attendance(found: Found) -> Column:
     return F.when(found.any("day") & found.any("weekly") & found.any("office"), asks).otherwise(F.lit(False))
 
 
-def remote_rule(fields: Column, found: Found, workplace: Column, p: Policy) -> Column:
+def remote_rule(found: Found, scope: Column, workplace: Column) -> Column:
     """The first that holds: attendance rejects; a denial beside an independent positive is unknown; a denial rejects; a positive or a scoped remote passes; else unknown."""
     place = F.lower(F.coalesce(workplace, F.lit("")))
-    lists = named_lists(fields, found, p, _remote(p.list_after))
-    scoped = broad_fields(fields, found, p, _remote(p.broad_after)) | F.exists(lists, lambda n: n["included"] | n["excluded"])
     # a positive inside a denial is no positive of its own
     own = found.independent("remote", "remote_denied") | (place == "remote")
     return (
         F.when(place.isin("hybrid", "on-site", "onsite") | found.any("not_remote") | weekly_attendance(found), "reject").when(found.any("remote_denied") & own, "unknown")
-        .when(found.any("remote_denied"), "reject").when(own | scoped, "pass").otherwise("unknown")
+        .when(found.any("remote_denied"), "reject").when(own | scope["remote"], "pass").otherwise("unknown")
     )
 
 
-def geography_rule(fields: Column, found: Found, codes: Column, remote: Column, p: Policy) -> Column:
+def geography_rule(found: Found, scope: Column, codes: Column, remote: Column, p: Policy) -> Column:
     """Rejects only where the remote rule passed: an exclusion, or codes none of which is included, with nothing that includes.
 
     A broad scope passes unless a phrase excludes, whatever the codes. An inclusion inside an exclusion is none. Scopes
     count for each field; over all fields an inclusion outweighs the lists that name others only.
     """
-    lists = named_lists(fields, found, p, p.list_after)
-    listed, excluded = F.exists(lists, lambda n: n["included"]), found.any("excluded")
-    inside = F.exists(codes, lambda c: F.upper(c).isin(*p.included_codes)) | found.independent("included", "excluded") | listed
-    foreign = F.exists(codes, lambda c: c.rlike("^[A-Za-z]{2}$") & ~F.upper(c).isin(*p.included_codes))
-    outside = excluded | foreign | (F.exists(lists, lambda n: n["excluded"]) & ~listed)
-    return F.when(inside & outside, "unknown").when(inside | (broad_fields(fields, found, p, p.broad_after) & ~excluded), "pass").when(outside & (remote == "pass"), "reject").otherwise("unknown")
+    excluded = found.any("excluded")
+    inside = F.exists(codes, lambda c: F.upper(c).isin(*p.included_codes)) | found.independent("included", "excluded") | scope["listed"]
+    outside = excluded | F.exists(codes, lambda c: c.rlike("^[A-Za-z]{2}$") & ~F.upper(c).isin(*p.included_codes)) | scope["others"]
+    sides = F.struct(inside.alias("inside"), outside.alias("outside"))
+    decide = lambda x: F.when(x["inside"] & x["outside"], "unknown").when(x["inside"] | (scope["broad"] & ~excluded), "pass").when(x["outside"] & (remote == "pass"), "reject").otherwise("unknown")
+    return scopes.let(sides, decide)
 
 
 def clearance_rule(fields: Column, found: Found, p: Policy) -> Column:
@@ -209,9 +211,8 @@ def clearance_rule(fields: Column, found: Found, p: Policy) -> Column:
         must.append(f"{behind} {c}{required}")
     holds = lambda patterns: F.exists(fields, lambda f: f["words"].rlike("|".join(patterns)))
     said = lambda status, i=0: F.struct(F.lit(status).alias("status"), F.lit(EVIDENCE["clearance"][status][i]).alias("evidence"))
-    return (
-        F.when(~found.any("clearance"), said("unknown")).when(holds(must), F.when(holds(waivers), said("unknown", 1)).otherwise(said("reject"))).when(holds(waivers), said("pass")).otherwise(said("unknown"))
-    )
+    both = lambda x: F.when(x["must"] & x["waived"], said("unknown", 1)).when(x["must"], said("reject")).when(x["waived"], said("pass")).otherwise(said("unknown"))
+    return F.when(found.any("clearance"), scopes.let(F.struct(holds(must).alias("must"), holds(waivers).alias("waived")), both)).otherwise(said("unknown"))
 
 
 def evaluate(listings: DataFrame, policy: Policy, as_of: Column) -> DataFrame:
@@ -227,11 +228,11 @@ def evaluate(listings: DataFrame, policy: Policy, as_of: Column) -> DataFrame:
     fields, hits = F.col("fields"), Found(F.col("spans"), classes)
     verdict = lambda bad, good="pass": F.when(bad, "reject").otherwise(good)
     pairs = reduce(or_, [hits.together(f"pair{i}a", f"pair{i}b") for i in range(len(policy.discipline_pairs))], F.lit(False))
-    t = t.withColumn("remote", remote_rule(fields, hits, F.col("workplace"), policy)).withColumn("clearance", clearance_rule(fields, hits, policy))
+    t = t.withColumn("scope", scoped(fields, hits, policy)).withColumn("remote", remote_rule(hits, F.col("scope"), F.col("workplace"))).withColumn("clearance", clearance_rule(fields, hits, policy))
     age = runs.staleness(F.col("published_at"), F.col("first_seen_at"), as_of, policy.max_age_days)
     found = {
         "title": verdict(~hits.any("titles")), "seniority": verdict(hits.any("low_seniority")), "discipline": verdict(hits.any("wrong_disciplines") | pairs), "remote": F.col("remote"),
-        "geography": geography_rule(fields, hits, F.coalesce("country_codes", F.array().cast("array<string>")), F.col("remote"), policy), "clearance": F.col("clearance.status"),
+        "geography": geography_rule(hits, F.col("scope"), F.coalesce("country_codes", F.array().cast("array<string>")), F.col("remote"), policy), "clearance": F.col("clearance.status"),
         "stale": age, "actioned": verdict(F.coalesce(F.col("action") != "none", F.lit(False))), "company": verdict(F.coalesce("company_blocked", F.lit(False))),
     }
     named_by = {"clearance": F.col("clearance.evidence")}
