@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from .functions import canonical as C
 from .functions import fields, markup, scopes
 from .functions import tokens as T
-from .operators import binding, deletes, documents, evaluations, history, integrity, merge, rules, runs, snapshots
+from .operators import binding, deletes, documents, evaluations, history, integrity, merge, rules, runs, snapshots, versions
 from .sources import listings, payloads
 from .tables import kept, spread
 
@@ -197,6 +197,72 @@ def merge_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merge.merge(state, versions, batch, observed).log.select("endpoint_id", "seen", "created", "changed", "closed")
 
 
+_RUNS = """
+with j as (select c_nationkey as endpoint_id, c_custkey as external_id, max(o_orderpriority) filter (where o_orderstatus = 'F') as old, max(o_orderpriority) filter (where o_orderstatus <> 'F') as new
+    from orders join customer on c_custkey = o_custkey group by all),
+f as (select n_nationkey as endpoint_id, n_nationkey % 2 = 0 as complete, n_nationkey % 5 = 4 as stale, n_nationkey % 7 = 6 as invalid, case when n_nationkey % 11 = 10 then 'adapter.tls_error' end as transport from nation),
+g as (select *, invalid or transport is not null as bad, not (invalid or transport is not null or stale) as live from f),
+h as (select endpoint_id, external_id, old as hash from j where old is not null union select endpoint_id, external_id, '1-URGENT' from j where old is not null and external_id % 3 = 0),
+v as (select *, row_number() over (order by endpoint_id, external_id, hash) as version_id from h),
+c as (select endpoint_id, external_id, new as hash, (select max(version_id) from v) + row_number() over (order by endpoint_id, external_id) as version_id
+    from j join g using (endpoint_id) where live and new is not null and not exists (select 1 from v where v.endpoint_id = j.endpoint_id and v.external_id = j.external_id and v.hash = j.new))"""
+
+
+def _record_runs(spark: SparkSession, sf_dir: str) -> versions.Recorded:
+    """Customers by their finished orders as listings, by all others as what runs see; nations are endpoints, some of whose fetches are stale, invalid or failed."""
+    t0, t1, t2 = (F.lit(f"2024-01-0{i} 00:00:00").cast("timestamp") for i in (1, 2, 3))
+    of = F.max(F.when(F.col("o_orderstatus") == "F", F.col("o_orderpriority"))), F.max(F.when(F.col("o_orderstatus") != "F", F.col("o_orderpriority")))
+    each = read(spark, sf_dir, "orders").groupBy(F.col("o_custkey").alias("c_custkey")).agg(of[0].alias("old"), of[1].alias("new"))
+    c = read(spark, sf_dir, "customer").join(each, "c_custkey").select(F.col("c_nationkey").alias("endpoint_id"), F.col("c_custkey").alias("external_id"), F.col("c_name").alias("url"), "old", "new")
+    c = kept(c, "customers")
+    state = c.where("old is not null").withColumnRenamed("old", "content_hash").drop("new").select("*", t0.alias("first_seen"), t0.alias("last_seen"), F.lit(None).cast("timestamp").alias("closed_at"))
+    held = state.select("endpoint_id", "external_id", "content_hash")
+    held = held.unionByName(held.where("external_id % 3 = 0").withColumn("content_hash", F.lit("1-URGENT"))).distinct()  # a text that was there before
+    held = versions.numbered(held, ["endpoint_id", "external_id", "content_hash"], name="version_id").select("*", F.lit(0).alias("run_id"), t0.alias("observed_at"))
+    n = F.col("n_nationkey")
+    batch = read(spark, sf_dir, "nation").select(
+        n.alias("endpoint_id"), F.lit(1).alias("run_id"), t1.alias("started_at"), t2.alias("finished_at"), (n % 2 == 0).alias("complete"), F.lit(200).alias("http_status"), (n % 5 == 4).alias("stale"),
+        F.lit(False).alias("suspicious_zero"), F.lit("e").alias("etag"), F.lit(None).cast("string").alias("last_modified"), F.when(n % 11 == 10, "adapter.tls_error").alias("transport"), (n % 7 == 6).alias("invalid"),
+    )
+    return versions.record(state, held, batch, c.where("new is not null").withColumnRenamed("new", "content_hash").drop("old"))
+
+
+@query(_RUNS + """
+, s as (select endpoint_id, count(new) as seen, count(*) filter (where old is null and new is not null) as created, count(*) filter (where old <> new) as changed, count(*) filter (where old is not null and new is not null) as both_,
+    count(*) filter (where old is not null and new is null) as gone from j group by endpoint_id), m as (select endpoint_id, count(*) as made from c group by endpoint_id)
+select endpoint_id, case when bad then 'failed' when complete and not stale then 'complete' else 'incomplete' end as status, case when invalid then 'ingestion.invalid_observation' when bad then transport when stale then 'ingestion.stale_observation' end as code,
+       case when transport is null or invalid then 200 end as http_status, case when bad then 0 else coalesce(seen, 0) end as postings_seen, case when live then coalesce(created, 0) else 0 end as postings_created, case when live then coalesce(changed, 0) else 0 end as postings_changed,
+       case when live then coalesce(both_, 0) + case when complete then coalesce(gone, 0) else 0 end else 0 end as postings_updated, case when live and complete then coalesce(gone, 0) else 0 end as postings_closed, coalesce(made, 0) as versions_created
+from g left join s using (endpoint_id) left join m using (endpoint_id)""")
+def run_log(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _record_runs(spark, sf_dir).log.select("endpoint_id", "status", "code", "http_status", "postings_seen", "postings_created", "postings_changed", "postings_updated", "postings_closed", "versions_created")
+
+
+@query(_RUNS + "select endpoint_id, external_id, hash as content_hash, version_id, row_number() over (partition by endpoint_id order by version_id) as place from c")
+def versions_of_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The versions that the runs created, in order of their ids."""
+    r = _record_runs(spark, sf_dir)
+    return versions.of_run(r.versions, r.state, r.log).select("endpoint_id", "external_id", "content_hash", "version_id", "place")
+
+
+@query(_RUNS + """
+select endpoint_id, external_id, coalesce(c.version_id, v.version_id) as current_version_id from (select *, case when live and new is not null then new else old end as hash from j join g using (endpoint_id) where old is not null or live) k
+left join c using (endpoint_id, external_id, hash) left join v using (endpoint_id, external_id, hash)""")
+def current_versions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The version that each listing points at after the runs; a text that came back has its old one."""
+    return _record_runs(spark, sf_dir).state.select("endpoint_id", "external_id", "current_version_id")
+
+
+@query("""
+select o_orderkey, case when o_custkey % 13 = 0 then 'runner.endpoint_malformed' when o_orderstatus = 'F' then 'runner.endpoint_paused' when o_orderstatus = 'P' then 'runner.endpoint_retired' when o_orderpriority = '1-URGENT' then 'runner.adapter_deferred'
+    when o_orderpriority = '2-HIGH' then 'runner.adapter_not_implemented' when o_orderpriority = '3-MEDIUM' then 'runner.adapter_unsupported' end as code from orders""")
+def endpoint_refusals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders as endpoints whose kinds are their priorities: why they may not run."""
+    kind = F.create_map(*[F.lit(x) for kv in {"1-URGENT": "ashby", "2-HIGH": "workday", "3-MEDIUM": "custom"}.items() for x in kv])[F.col("o_orderpriority")]
+    status = F.when(F.col("o_orderstatus") == "F", "paused").when(F.col("o_orderstatus") == "P", "retired").otherwise("active")
+    return read(spark, sf_dir, "orders").select("o_orderkey", runs.endpoint_refusal(status, F.coalesce(kind, F.lit("greenhouse")), F.col("o_custkey") % 13 != 0).alias("code"))
+
+
 @query("""
 select o.o_orderkey, case when bool_or(l.l_returnflag = 'R') then 'skipped' when bool_or(l.l_returnflag = 'A') then 'applied'
        when bool_or(l.l_linestatus = 'F' and c.c_mktsegment = 'BUILDING') then 'expired' else 'none' end as action
@@ -556,6 +622,17 @@ def board_two_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return listings.board_two(bodies).select("fetch_id", "external_id", "title", "description_md", "posting_url", F.get("locations", 0)["label"].alias("label"), "valid")
 
 
+@query("""
+select page_id, case page_id % 6 when 0 then 'c' || page_id when 1 then 'eu-' || page_id when 3 then 'c' || page_id end as token, case page_id % 6 when 0 then '' when 1 then 'eu' when 3 then '' end as region from pages""")
+def board_two_endpoints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tokens and regions of the second board's URLs that are made from page ids: boards, forms and API calls, some with a port or a step up; and the pages' own URLs."""
+    n = F.col("page_id").cast("string")
+    forms = (("https://jobs.lever.co/c", "/"), ("https://jobs.eu.lever.co/eu-", "/x/apply?a#b"), ("https://jobs.lever.co/c", "/%2e."), ("https://api.lever.co/v0/postings/c", "/id?mode=json"), ("https://api.lever.co:443/v0/postings/c", ""))
+    made = F.coalesce(*[F.when(F.col("page_id") % 6 == i, F.concat(F.lit(a), n, F.lit(b))) for i, (a, b) in enumerate(forms)], F.col("url"))
+    e = read(spark, sf_dir, "pages").select("page_id", payloads.board_two_endpoint(made).alias("e"))
+    return e.select("page_id", "e.token", "e.region")
+
+
 _QUOTED = "'\"' || replace(replace({0}, '\\', '\\\\'), '\"', '\\\"') || '\"'"
 
 

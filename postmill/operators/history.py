@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import canonical as C
+from .scans import running
 
 
 def prior_average(fetches: DataFrame, threshold: float) -> DataFrame:
@@ -23,9 +24,9 @@ def prior_average(fetches: DataFrame, threshold: float) -> DataFrame:
     )
     rows = fetches.select("endpoint_id", F.struct(*columns).alias("fetch"), F.explode(moments).alias("m")).where("m.at is not null or m.kind = 1")
     rows = rows.select("endpoint_id", F.when(F.col("m.kind") == 1, F.col("fetch")).alias("fetch"), "m")
-    upto = Window.partitionBy("endpoint_id").orderBy("m.at", "m.kind").rowsBetween(Window.unboundedPreceding, 0)
     # decimal sums: exact in any order
-    rows = rows.select("fetch", "m.kind", F.sum("m.value").over(upto).alias("total"), F.count("m.value").over(upto).alias("n")).where("kind = 1").select("fetch.*", "total", "n")
+    rows = running(rows.select("endpoint_id", "fetch", "m.*"), ["endpoint_id"], ["at", "kind"], {"total": ("sum", F.col("value")), "n": ("count", F.col("value"))})
+    rows = rows.where("kind = 1").select("fetch.*", "total", "n")
     # an attempt that finished at its own start is no history of itself
     own = F.coalesce((F.col("finished_us") <= F.col("started_us")) & F.col("complete") & (F.col("http_status") == 200) & F.col("seen").isNotNull(), F.lit(False))
     total, n = F.col("total") - F.when(own, F.col("seen").cast("decimal(20,4)")).otherwise(0), F.col("n") - own.cast("int")
@@ -36,9 +37,8 @@ def prior_average(fetches: DataFrame, threshold: float) -> DataFrame:
 
 def stale(fetches: DataFrame) -> DataFrame:
     """Adds stale: another attempt of the endpoint, earlier by id, had no finish or one after this attempt's start."""
-    before = Window.partitionBy("endpoint_id").orderBy("id").rowsBetween(Window.unboundedPreceding, -1)
-    open_ = F.max(F.col("finished_at").isNull()).over(before)
-    return fetches.withColumn("stale", F.coalesce(open_, F.lit(False)) | F.coalesce(F.max("finished_at").over(before) > F.col("started_at"), F.lit(False)))
+    before = running(fetches, ["endpoint_id"], ["id"], {"_open": ("max", F.col("finished_at").isNull()), "_end": ("max", F.col("finished_at"))}, inclusive=False)
+    return before.withColumn("stale", F.coalesce("_open", F.lit(False)) | F.coalesce(F.col("_end") > F.col("started_at"), F.lit(False))).drop("_open", "_end")
 
 
 def validators(fetches: DataFrame, names: tuple[str, ...] = ("etag",)) -> DataFrame:
@@ -69,18 +69,18 @@ def endpoint_health(fetches: DataFrame) -> DataFrame:
     in a row makes an endpoint failing and raises an alert, unless it is failing; a complete 200 with rows makes a failing
     one active. Both are events, so the state is the last event so far; nothing is iterated.
     """
-    w = Window.partitionBy("endpoint_id").orderBy("finished_at", "id")
-    so_far, before = w.rowsBetween(Window.unboundedPreceding, 0), w.rowsBetween(Window.unboundedPreceding, -1)
-    suspicious = F.coalesce("suspicious_zero", F.lit(False))
-    f = fetches.withColumn("_fails", suspicious & F.coalesce(F.lag(suspicious).over(w), F.lit(False)))
+    key, order = ["endpoint_id"], ["finished_at", "id"]
+    f = fetches.withColumn("_suspicious", F.coalesce("suspicious_zero", F.lit(False)))
+    f = running(f, key, order, {"_previous": ("last", F.col("_suspicious"))}, inclusive=False)
+    f = f.withColumn("_fails", F.col("_suspicious") & F.coalesce("_previous", F.lit(False)))
     recovers = F.coalesce(F.col("complete") & (F.col("http_status") == 200) & (F.col("seen") > 0), F.lit(False))
-    f = f.withColumn("_event", F.when(F.col("_fails"), "failing").when(recovers, "active"))
+    f = running(f.withColumn("_event", F.when(F.col("_fails"), "failing").when(recovers, "active")), key, order, {"_failed": ("max", F.col("_fails"))})
     # a recovery changes an endpoint only if it is failing, at first or by an event
-    failed = F.coalesce(F.max("_fails").over(so_far), F.lit(False)) | (F.col("initial_status") == "failing")
-    f = f.withColumn("_event", F.when(failed, F.col("_event")))
-    f = f.withColumn("_before", F.coalesce(F.last("_event", True).over(before), "initial_status")).withColumn("endpoint_status", F.coalesce("_event", "_before"))
+    f = f.withColumn("_event", F.when(F.col("_failed") | (F.col("initial_status") == "failing"), F.col("_event")))
+    f = running(f, key, order, {"_last": ("last", F.col("_event"))}, inclusive=False)
+    f = f.withColumn("_before", F.coalesce("_last", "initial_status")).withColumn("endpoint_status", F.coalesce("_event", "_before"))
     f = f.withColumn("marked_failing", F.col("_fails") & (F.col("_before") != "failing")).withColumn("marked_active", F.coalesce(F.col("_event") == "active", F.lit(False)) & (F.col("_before") == "failing"))
-    return f.withColumn("alert", F.col("marked_failing")).drop("_fails", "_event", "_before")
+    return f.withColumn("alert", F.col("marked_failing")).drop("_suspicious", "_previous", "_fails", "_failed", "_event", "_last", "_before")
 
 
 def fetch_problems(fetches: DataFrame, listings: DataFrame) -> DataFrame:

@@ -10,11 +10,12 @@ from pyspark.sql import functions as F
 
 @dataclass
 class Merged:
-    """state: the next listing state. versions: all content versions. log: one row of counters for each fetch."""
+    """state: the next listing state. versions: all content versions. log: one row of counters for each fetch. fresh: the new versions."""
 
     state: DataFrame
     versions: DataFrame
     log: DataFrame
+    fresh: DataFrame
 
 
 def merge(state: DataFrame, versions: DataFrame, fetches: DataFrame, observed: DataFrame) -> Merged:
@@ -40,6 +41,9 @@ def merge(state: DataFrame, versions: DataFrame, fetches: DataFrame, observed: D
         "*", changed.alias("is_changed"), F.coalesce(closes, F.lit(False)).alias("closes"), F.coalesce(reopens, F.lit(False)).alias("reopens"),
         (seen_ & ~known).alias("is_new"), seen_.alias("is_seen"),
     )
+    # a listing counts as updated once, whatever it is that changes; one that was seen later already keeps its last_seen
+    touched = known & (F.col("closes") | (F.col("is_seen") & (F.col("is_changed") | F.col("reopens") | (F.col("last_seen") < F.col("finished_at")))))
+    flags = flags.withColumn("is_updated", F.coalesce(touched, F.lit(False)))
     after = flags.select(
         *key, F.when(F.col("is_changed"), F.col("new_hash")).otherwise(F.col("content_hash")).alias("content_hash"),
         F.when(F.col("is_changed"), F.col("new_url")).otherwise(F.col("url")).alias("url"),
@@ -51,10 +55,10 @@ def merge(state: DataFrame, versions: DataFrame, fetches: DataFrame, observed: D
     fresh = fresh.join(versions, [*key, "content_hash"], "left_anti")  # a reverted text has its version already
     counts = flags.groupBy("endpoint_id").agg(
         F.count_if("is_seen").alias("seen"), F.count_if("is_new").alias("created"), F.count_if(F.col("is_changed") & ~F.col("is_new")).alias("changed"),
-        F.count_if("closes").alias("closed"), F.count_if("reopens").alias("reopened"),
+        F.count_if("closes").alias("closed"), F.count_if("reopens").alias("reopened"), F.count_if("is_updated").alias("updated"),
     )
-    log = fetches.join(counts, "endpoint_id", "left").na.fill(0, ["seen", "created", "changed", "closed", "reopened"])
-    return Merged(after, versions.unionByName(fresh), log)
+    log = fetches.join(counts, "endpoint_id", "left").na.fill(0, ["seen", "created", "changed", "closed", "reopened", "updated"])
+    return Merged(after, versions.unionByName(fresh), log, fresh)
 
 
 def version_history(observations: DataFrame, key: str, content: str, order: str) -> DataFrame:

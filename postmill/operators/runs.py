@@ -14,6 +14,19 @@ def eligibility(status: Column, kind: Column, kinds: tuple[str, ...]) -> Column:
     )
 
 
+# fixed values: kinds of boards that wait for a decision or for an adapter, and the one that never gets one
+DEFERRED, UNIMPLEMENTED, UNSUPPORTED = ("ashby",), ("workday", "workable", "smartrecruiters", "recruitee"), ("custom",)
+
+
+def endpoint_refusal(status: Column, kind: Column, well_formed: Column) -> Column:
+    """The code for which an endpoint may not run, the first that holds; null if it may."""
+    said = lambda code: F.lit(f"runner.{code}")
+    return (
+        F.when(~F.coalesce(well_formed, F.lit(False)), said("endpoint_malformed")).when(status == "paused", said("endpoint_paused")).when(status == "retired", said("endpoint_retired"))
+        .when(kind.isin(*DEFERRED), said("adapter_deferred")).when(kind.isin(*UNIMPLEMENTED), said("adapter_not_implemented")).when(kind.isin(*UNSUPPORTED), said("adapter_unsupported"))
+    )
+
+
 def outcome(http_status: Column, complete: Column, failed: Column, suspicious: Column) -> Column:
     """The run status that follows from a fetch."""
     return (

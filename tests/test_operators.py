@@ -290,10 +290,26 @@ def test_board_token(spark):
 
     host = "https://boards.greenhouse.io"
     cases = {
-        f"{host}/ab": "ab", f"{host}/ab/": "ab", f"{host}/ab/jobs/1?x=1#y": "ab", f"{host}/ab/jobs/..": None, f"{host}/ab/jobs/%2E.": None, f"{host}/ab/jobs/.x": "ab", f"{host}/ab/jobs/1/2": None, f"{host}.evil.org/ab": None,
+        f"{host}/ab": "ab", f"{host}/ab/": "ab", f"{host}/ab/jobs/1?x=1#y": "ab", f"{host}/ab/jobs/..": None, f"{host}/ab/jobs/%2E.": "ab", f"{host}/ab/jobs/.x": "ab", f"{host}/ab/jobs/1/2": None, f"{host}.evil.org/ab": None,
         f"{host}/embed/job_board?for=c_d&x": "c_d", f"{host}/embed/job_board": None, "https://job-boards.greenhouse.io/z/jobs": "z", "https://boards-api.greenhouse.io/v1/boards/q/jobs/3": "q", f"http{host[5:]}/ab": None, None: None, "": None,
     }
-    assert {u: one(spark, u, board_token) for u in cases} == cases
+    cases |= {f"{host}/ab/jobs/.%2e": "ab", f"{host}/ab/jobs/%2e%2E": None, f"{host}/ab?a?b": None, f"{host}/ab#a?b": None, f"{host}/-ab": None, f"{host}/{'a' * 129}": None, f"{host}/embed/job_board/?for=x#y": "x", f"{host}/embed/job_board?at=x": None}
+    rows = spark.createDataFrame([(u,) for u in cases], "u string").select("u", board_token(F.col("u")).alias("t"))
+    assert {r["u"]: r["t"] for r in rows.collect()} == cases
+
+
+def test_board_two_endpoint(spark):
+    from postmill.sources.payloads import board_two_endpoint
+
+    jobs, api = "https://jobs.lever.co", "https://api.lever.co/v0/postings"
+    cases = {
+        f"{jobs}/abc": ("abc", ""), f"{jobs}/abc/": ("abc", ""), f"{jobs}/abc/post-1": ("abc", ""), f"{jobs}/abc/post-1/apply/?q=1#x": ("abc", ""), "https://jobs.eu.lever.co/eu_board/id-2/apply?x=1#y": ("eu_board", "eu"),
+        api + "/abc": ("abc", ""), api + "/abc/id-1?q=1#x": ("abc", ""), "https://api.eu.lever.co/v0/postings/b/": ("b", "eu"), "http://jobs.lever.co/abc": None, "https://user@jobs.lever.co/abc": None, "https://jobs.lever.co:443/abc": None,
+        "https://jobs.lever.co.example/abc": None, "https://jobslever.co/abc": None, f"{jobs}/": None, f"{jobs}/_bad": None, f"{jobs}/bad.token": None, f"{jobs}/abc/.": None, f"{jobs}/abc/..": None, f"{jobs}/abc/%2e": None,
+        f"{jobs}/abc/%2E.": None, f"{jobs}/abc/id/extra": None, f"{jobs}/abc/id/apply/extra": None, api + "/abc/id/apply": None, api + "/": None, api + "/abc/../other": None, f"{jobs}/abc?x y": None, f"{jobs}/abc/a b": None, None: None, "": None,
+    }
+    rows = spark.createDataFrame([(u,) for u in cases], "u string").select("u", board_two_endpoint(F.col("u")).alias("e"))
+    assert {r["u"]: r["e"] and tuple(r["e"]) for r in rows.collect()} == cases
 
 
 def test_clearance_templates(spark):
