@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from .functions import canonical as C
 from .functions import fields, markup, scopes
 from .functions import tokens as T
-from .operators import binding, deletes, documents, evaluations, history, integrity, merge, rules, runs, snapshots, versions
+from .operators import binding, deletes, documents, evaluations, history, integrity, merge, nearest, rules, runs, snapshots, versions
 from .sources import listings, payloads
 from .tables import kept, spread
 
@@ -379,14 +379,16 @@ with q as (select vec_id as q, embedding as e from embeddings where vec_id % 100
 s as (select q, vec_id, round(list_cosine_similarity(e, embedding), 4) as sim, row_number() over (partition by q order by list_cosine_similarity(e, embedding) desc, vec_id) as place from q, embeddings where vec_id <> q)
 select q, vec_id, sim from s where place <= 3""")
 def cosine_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """For each stated query vector the three nearest of all, exactly; the queries are sent to the vectors, not the reverse."""
-    v = read(spark, sf_dir, "embeddings").select("vec_id", F.transform("embedding", lambda x: x.cast("double")).alias("e"))
-    dot = lambda a, b: F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
-    v = v.select("vec_id", "e", F.sqrt(dot(F.col("e"), F.col("e"))).alias("norm"))
-    q = v.where("vec_id % 100 = 0").select(F.col("vec_id").alias("q"), F.col("e").alias("qe"), F.col("norm").alias("qnorm"))
-    sim = v.join(q, F.col("vec_id") != F.col("q")).select("q", "vec_id", (dot(F.col("e"), F.col("qe")) / (F.col("norm") * F.col("qnorm"))).alias("s"))
-    place = F.row_number().over(Window.partitionBy("q").orderBy(F.col("s").desc(), "vec_id"))  # Spark keeps three of each task before the shuffle
-    return sim.withColumn("place", place).where("place <= 3").select("q", "vec_id", F.round("s", 4).alias("sim"))
+    """For each stated query vector the three nearest of all, exactly."""
+    v = read(spark, sf_dir, "embeddings")
+    return nearest.exact(v, v.where("vec_id % 100 = 0"), 3).select("q", F.col("id").alias("vec_id"), F.round("similarity", 4).alias("sim"))
+
+
+@query()
+def nearest_by_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same by the index of cells; tests measure its recall against the exact search."""
+    v = read(spark, sf_dir, "embeddings")
+    return nearest.by_cells(v, v.where("vec_id % 100 = 0"), 3).select("q", F.col("id").alias("vec_id"), F.round("similarity", 4).alias("sim"))
 
 
 @query(rf"""

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import canonical as C
@@ -33,9 +33,9 @@ def decide(fetches: DataFrame, versions: DataFrame, base: str = "base") -> DataF
     known = versions.groupBy("content_hash").agg(F.min(F.struct("variant", "source_kind")).alias("held"))  # the hash is unique
     usable = (F.col("http_status") == 200) & F.coalesce("complete", F.lit(False)) & F.col("content_hash").isNotNull()
     t = fetches.withColumn("usable", F.coalesce(usable, F.lit(False))).join(known, "content_hash", "left")
-    first = Window.partitionBy("content_hash", "usable").orderBy("id")
-    owner = F.first(F.struct("id", "variant", "source_kind")).over(first)
-    t = t.withColumn("owner", F.when(F.col("usable"), owner))
+    # the least fetch of each content, combined before the shuffle; a content of very many fetches is a skewed side of the join alone
+    owners = fetches.where(usable).groupBy("content_hash").agg(F.min(F.struct("id", "variant", "source_kind")).alias("owner"))
+    t = t.join(owners, "content_hash", "left").withColumn("owner", F.when(F.col("usable"), F.col("owner")))
     inserts = F.col("usable") & F.col("held").isNull() & (F.col("owner.id") == F.col("id"))
     against = F.coalesce("held", F.struct("owner.variant", "owner.source_kind"))
     same = against["variant"].eqNullSafe(F.col("variant")) & against["source_kind"].eqNullSafe(F.col("source_kind"))

@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .scans import running
+
 
 @dataclass
 class Merged:
@@ -62,7 +64,10 @@ def merge(state: DataFrame, versions: DataFrame, fetches: DataFrame, observed: D
 
 
 def version_history(observations: DataFrame, key: str, content: str, order: str) -> DataFrame:
-    """Observations in order to versions: is_new (content never seen for the key) and is_change (differs from the one before)."""
-    w = Window.partitionBy(key).orderBy(order)
-    first = Window.partitionBy(key, content).orderBy(order)
-    return observations.withColumn("is_new", F.row_number().over(first) == 1).withColumn("is_change", ~F.lag(content).over(w).eqNullSafe(F.col(content)))
+    """Observations in order, which tells those of a key apart, to versions: is_new (content never seen for the key) and is_change (differs from the one before)."""
+    first = observations.groupBy(key, content).agg(F.min(order).alias("_first"))  # combined before the shuffle
+    same = observations[key].eqNullSafe(F.col("_key")) & observations[content].eqNullSafe(F.col("_content"))
+    o = observations.join(first.select(F.col(key).alias("_key"), F.col(content).alias("_content"), "_first"), same)
+    o = running(o.drop("_key", "_content"), [key], [order], {"_before": ("last", F.struct(content))}, inclusive=False)
+    is_change = ~F.coalesce(F.col("_before")[content].eqNullSafe(F.col(content)) & F.col("_before").isNotNull(), F.lit(False))
+    return o.withColumn("is_new", F.col(order) == F.col("_first")).withColumn("is_change", is_change).drop("_first", "_before")
