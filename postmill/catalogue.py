@@ -11,7 +11,7 @@ from .functions import canonical as C
 from .functions import fields, markup, scopes
 from .functions import tokens as T
 from .operators import binding, deletes, documents, evaluations, history, integrity, merge, nearest, rules, runs, snapshots, versions
-from .sources import listings, payloads
+from .sources import listings, payloads, redirects
 from .tables import kept, spread
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -635,6 +635,27 @@ def board_two_endpoints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return e.select("page_id", "e.token", "e.region")
 
 
+@query("""
+with recursive r as (select page_id as n, 'https://example.org/p/' || page_id || '?a=1&b=2' as url, case when page_id % 5 = 0 then 200 when page_id % 17 = 8 then 404 else 302 end as status,
+    case when page_id % 11 = 5 then null when page_id % 7 = 3 then 'https://other.org/p/' || (page_id + 1) when page_id % 3 = 1 then '/p/' || (page_id + 1) || '?b=2&a=1' else (page_id + 1) || '?a=1&b=2' end as location from pages),
+t as (select n, url, status, location, regexp_replace(case when location like 'https:%' then location when location like '/%' then 'https://example.org' || location else 'https://example.org/p/' || location end, 'b=2&a=1$', 'b=2&a=1') as target from r),
+c as (select n as fetch_id, url as here, 0 as hops from t union all
+    select c.fetch_id, t.target, c.hops + 1 from c join t on t.url = c.here where c.hops < 3 and t.status = 302 and t.location is not null and t.location not like 'https://other%'),
+l as (select fetch_id, arg_max(here, hops) as url, max(hops) as hops from c group by fetch_id)
+select fetch_id, l.url, t.status, l.hops, case when t.status is null then 'not_recorded' when t.status <> 302 then 'final' when t.location is null then 'no_location' when t.location like 'https://other%' then 'unsafe' else 'too_many' end as outcome
+from l left join t on t.url = l.url""")
+def redirect_chains(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages as recorded responses that redirect to the next page: by URLs, paths and segments, some to another host, some to nowhere, some with parameters in another order."""
+    n = F.col("page_id")
+    address = lambda k: F.concat(F.lit("https://example.org/p/"), k.cast("string"), F.lit("?a=1&b=2"))
+    after = (n + 1).cast("string")
+    location = (
+        F.when(n % 11 == 5, F.lit(None)).when(n % 7 == 3, F.concat(F.lit("https://other.org/p/"), after)).when(n % 3 == 1, F.concat(F.lit("/p/"), after, F.lit("?b=2&a=1"))).otherwise(F.concat(after, F.lit("?a=1&b=2")))
+    )
+    r = read(spark, sf_dir, "pages").select(n.alias("fetch_id"), address(n).alias("url"), F.when(n % 5 == 0, 200).when(n % 17 == 8, 404).otherwise(302).alias("status"), location.alias("location"))
+    return redirects.follow(r.select("fetch_id", "url", F.lit(False).alias("exact")), r)
+
+
 _QUOTED = "'\"' || replace(replace({0}, '\\', '\\\\'), '\"', '\\\"') || '\"'"
 
 
