@@ -8,9 +8,9 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .functions import canonical as C
-from .functions import fields, markup, scopes
+from .functions import fields, markup, scopes, snapshots_json
 from .functions import tokens as T
-from .operators import binding, deletes, documents, evaluations, history, integrity, merge, nearest, rules, runs, snapshots, versions
+from .operators import binding, deletes, documents, evaluations, history, inputs, integrity, merge, nearest, rules, runs, snapshots, versions
 from .sources import listings, payloads, redirects
 from .tables import kept, spread
 
@@ -814,6 +814,37 @@ def score_constraints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return integrity.checks(s, integrity.deep_scores()).unionByName(integrity.one_active(s, "one_active", "user_id"))
 
 
+@query("""
+with b as (select event_id, case event_id % 5 when 0 then '{"z":' || props || ',"a":[1,{"c":null,"b":"é"}]}' when 1 then '{"k":1,"k":2}' when 2 then '[NaN]' when 3 then props || 'x' else '  ' || props end as body, props from events)
+select event_id, case event_id % 5 when 0 then '{"a":[1,{"b":"é","c":null}],"z":' || replace(replace(props, ': ', ':'), ', ', ',') || '}' when 4 then replace(replace(props, ': ', ':'), ', ', ',') end as canonical,
+       case event_id % 5 when 1 then 'doubled_key' when 2 then 'not_finite' when 3 then 'not_json' end as problem from b""")
+def json_snapshots(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Properties of events inside built bodies: canonical text, or why there is none."""
+    i, props = F.col("event_id") % 5, F.col("props")
+    body = F.when(i == 0, F.concat(F.lit('{"z":'), props, F.lit(',"a":[1,{"c":null,"b":"é"}]}'))).when(i == 1, '{"k":1,"k":2}').when(i == 2, "[NaN]").when(i == 3, F.concat(props, F.lit("x"))).otherwise(F.concat(F.lit("  "), props))
+    return read(spark, sf_dir, "events").select("event_id", snapshots_json.canonical(body).alias("s")).select("event_id", "s.canonical", "s.problem")
+
+
+@query("""
+with l as (select l_orderkey, l_linenumber * 1000000 + l_suppkey as item, l_linenumber as version, min(l_returnflag) as flag from lineitem group by all),
+a as (select l_orderkey, string_agg('{"digest_item_id":' || item || ',"posting_id":' || l_orderkey || ',"score_posting_version_id":' || version || ',"state":"' || case flag when 'R' then 'skipped' when 'A' then 'applied' else 'expired' end || '"}', ',' order by item) as facts from l group by l_orderkey),
+m as (select o_orderkey, sha256(o_orderpriority) as content, '{"action_state":[' || coalesce(facts, '') || '],"closed_at":' || case when o_orderstatus = 'F' then '"' || strftime(o_orderdate, '%Y-%m-%dT%H:%M:%S.%fZ') || '"' else 'null' end || ',"company_blocked":' || (o_custkey % 7 = 0)
+    || ',"current_version_id":2,"first_seen_at":"' || strftime(o_orderdate, '%Y-%m-%dT%H:%M:%S.%fZ') || '","source_published_at":null}' as state from orders left join a on l_orderkey = o_orderkey)
+select o_orderkey as posting_id, sha256(state) as mutable_state_hash, sha256('{"a":{"b":[1,2]},"z":"é"}') as policy_manifest_hash, content as posting_version_content_hash,
+       sha256('{"evaluation_as_of":"2024-01-01T00:00:00.000000Z","mutable_state":' || state || ',"mutable_state_hash":"' || sha256(state) || '","policy_manifest":{"a":{"b":[1,2]},"z":"é"},"policy_manifest_hash":"' || sha256('{"a":{"b":[1,2]},"z":"é"}')
+       || '","policy_version":"v1","posting_id":' || o_orderkey || ',"posting_version_content_hash":"' || content || '","posting_version_id":2,"schema_version":1}') as input_hash from m""")
+def input_hashes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The four hashes of orders as listings, whose lines are the actions."""
+    at = F.col("o_orderdate").cast("timestamp")
+    postings = read(spark, sf_dir, "orders").select(
+        F.col("o_orderkey").alias("posting_id"), F.lit(2).alias("current_version_id"), F.when(F.col("o_orderstatus") == "F", at).alias("closed_at"), (F.col("o_custkey") % 7 == 0).alias("company_blocked"), at.alias("first_seen_at"),
+        F.lit(None).cast("timestamp").alias("source_published_at"), F.sha2("o_orderpriority", 256).alias("content_hash"),
+    )
+    facts = read(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("posting_id"), (F.col("l_linenumber") * 1_000_000 + F.col("l_suppkey")).alias("digest_item_id"), F.col("l_linenumber").alias("score_posting_version_id")).agg(F.min("l_returnflag").alias("flag"))
+    state = F.when(F.col("flag") == "R", "skipped").when(F.col("flag") == "A", "applied").otherwise("expired")
+    return inputs.payloads(postings, facts.withColumn("state", state).drop("flag"), F.lit("2024-01-01").cast("timestamp"), {"z": "é", "a": {"b": [1, 2]}}, "v1").drop("payload")
+
+
 @query(r"""
 with v as (select l_orderkey as p, l_linenumber as id, min(l_returnflag) = 'N' as blank from lineitem group by all)
 select o_orderkey as posting_id, case when v.id is null then 'filter.current_version_invalid' when c_custkey is null then 'filter.persisted_input_invalid' when o_orderstatus = 'F' then 'filter.posting_closed'
