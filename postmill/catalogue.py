@@ -11,7 +11,7 @@ from .functions import canonical as C
 from .functions import fields, markup, scopes, snapshots_json
 from .functions import tokens as T
 from .operators import binding, deletes, documents, evaluations, history, inputs, integrity, merge, nearest, rules, runs, snapshots, versions
-from .sources import listings, payloads, redirects
+from .sources import gate, listings, payloads, redirects
 from .tables import kept, spread
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -656,6 +656,23 @@ def redirect_chains(spark: SparkSession, sf_dir: str) -> DataFrame:
     return redirects.follow(r.select("fetch_id", "url", F.lit(False).alias("exact")), r)
 
 
+@query("""
+with r as (select page_id as n, octet_length(encode(html)) as size, page_id % 9 as k from pages)
+select n as page_id, case when k = 0 then 'not_modified' when k in (6, 7, 8) and size <= 4000 then 'ok' else 'rejected' end as outcome,
+       'fetcher.' || case when k = 0 then null when k = 1 then 'non_200_status' when k = 2 then 'wrong_media_type' when k = 3 then 'invalid_content_length' when k = 4 or k = 7 and size > 4000 then 'content_length_exceeds_limit' when size > 4000 then 'streamed_overflow' when k = 5 then 'missing_pdf_signature' end as reason,
+       case when k = 4 then 99999 when k > 4 then size end as byte_count from r""")
+def document_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages as responses with a document: some unchanged, some of another status, type, declared length or beginning, some too long."""
+    k = F.col("page_id") % 9
+    size = F.octet_length("html").cast("long")
+    declared = F.when(k == 3, "many").when(k == 4, "99999").when(k == 7, size.cast("string"))
+    headers = F.map_filter(F.create_map(F.lit("Content-Type"), F.when(k == 2, "text/html").otherwise("Application/PDF; x=y"), F.lit("Content-Length"), declared), lambda _, v: v.isNotNull())
+    head = F.when(k == 5, F.substring("html", 1, 5).cast("binary")).otherwise(F.lit(gate.SIGNATURE))
+    status = F.when(k == 0, 304).when(k == 1, 404).otherwise(200)
+    g = read(spark, sf_dir, "pages").select("page_id", gate.gate(status, headers, size, head, 4000).alias("g"))
+    return g.select("page_id", "g.outcome", "g.reason", "g.byte_count")
+
+
 _QUOTED = "'\"' || replace(replace({0}, '\\', '\\\\'), '\"', '\\\"') || '\"'"
 
 
