@@ -359,10 +359,14 @@ def url_recognise(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read(spark, sf_dir, "pages").select("page_id", payloads.public_url(F.col("url")).alias("public"), payloads.host(F.col("url")).alias("host"))
 
 
-@query("""select event_id, case when not json_valid(props) or json_type(props) <> 'OBJECT' then 'not_an_object' when json_type(props, '$.jobs') is distinct from 'ARRAY' then 'no_jobs' else 'ok' end as envelope,
-       json_extract_string(props, '$.k') as k from events""")
+@query("""
+select event_id, ['ok', 'total_differs', 'bad_total', 'no_jobs', 'not_an_object', 'no_jobs'][event_id % 6 + 1] as envelope, json_extract_string(props, '$.k') as k from events""")
 def json_envelope(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return read(spark, sf_dir, "events").select("event_id", payloads.envelope(F.col("props")).alias("envelope"), F.get_json_object("props", "$.k").alias("k"))
+    """Bodies of a board that are made around the events' properties: whole ones, wrong totals, no list, no object."""
+    i, job = F.col("event_id") % 6, F.concat(F.lit('{"jobs":['), "props", F.lit("]"))
+    total = lambda x: F.concat(job, F.lit(f',"meta":{{"total":{x}}}}}'))
+    body = F.when(i == 0, total("1")).when(i == 1, total("2")).when(i == 2, total('"one"')).when(i == 3, F.lit('{"jobs":{}}')).when(i == 4, F.concat(F.lit("["), "props", F.lit("]"))).otherwise(F.col("props"))
+    return read(spark, sf_dir, "events").select("event_id", payloads.envelope(body).alias("envelope"), F.get_json_object("props", "$.k").alias("k"))
 
 
 @query("""
@@ -577,11 +581,13 @@ def delete_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out
 
 
-@query()
+@query(_SEARCHED + rf"""
+, l as (select *, regexp_extract(marked, {_LIST.format('remote' + _SQL_GAP + 'in')}) || ' ' || regexp_extract(marked, {_LIST.format('for')}) as named from f where k = 2)
+select doc_id, regexp_matches(named, '\b(is|was)\b') as included, regexp_matches(named, '\b(it|as|be)\b') and not regexp_matches(named, '\b(is|was)\b') as excluded from l""")
 def named_scope(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Lists of regions in the texts, with region names and prefixes as a policy would give them."""
-    found = scopes.named_scopes(F.col("marked"), ("us", "usa", "united states"), ("canada", "europe", "united kingdom"), ("work from", "based in", "remote in"))
-    marked = read(spark, sf_dir, "documents").select("doc_id", fields.marked_text(F.col("text")).alias("marked"))
+    """Lists of regions in the texts, with the example policy's names and prefixes."""
+    found = scopes.named_scopes(F.col("marked"), EXAMPLE.named_inside, EXAMPLE.named_outside, EXAMPLE.list_after)
+    marked = spread(read(spark, sf_dir, "documents")).select("doc_id", fields.marked_text(F.replace("text", F.lit(" the "), F.lit(" remote "))).alias("marked"))
     return marked.select("doc_id", found.alias("s")).select("doc_id", "s.included", "s.excluded")
 
 
