@@ -201,6 +201,23 @@ def test_edits_of_odd_tables(spark):
     assert sorted(x["n_chars"] for x in order_minhash.fingerprints(spark.createDataFrame(rows, shape)).collect()) == [0, 4, 4, 5, 5]
 
 
+@pytest.mark.parametrize("name", ["op11_vector_codes", "op12_ranked_search"])
+def test_queries_against_their_sql(spark, name):
+    import duckdb
+
+    from postmill.llm import queries
+
+    place = "/root/testdata/sf0.001"
+    got = queries.queries()[name](spark, place)
+    c = duckdb.connect()
+    for t in ("documents", "benchmark", "embeddings"):
+        c.execute(f"create view {t} as select * from '{place}/{t}.parquet'")
+    want = c.execute(queries.oracle_sql()[name])
+    names = [d[0] for d in want.description]
+    assert sorted(names) == sorted(got.columns)
+    assert sorted(tuple(r[n] for n in names) for r in got.collect()) == sorted(want.fetchall())
+
+
 def test_fingerprints_tell_edits_from_strangers(spark):
     rows = order_minhash.op13_order_minhash(spark, "/root/testdata/sf0.001").collect()
     assert sum(r["near_edited"] > r["near_next"] for r in rows) >= 0.95 * len(rows)
