@@ -769,6 +769,22 @@ def page_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return documents.page_gate(pages)
 
 
+@query("""
+select event_id, case when event_id % 5 = 4 then null else date_trunc('second', ts) end as parsed, case when event_id % 5 <> 4 then strftime(date_trunc('second', ts), '%Y-%m-%dT%H:%M:%S') || '.000000Z' end as written from events""")
+def iso_times(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Times written in five forms of ISO 8601, read back and written again: extended, basic, with an offset, as week dates, and without a zone."""
+    at, i = F.col("ts").cast("timestamp"), F.col("event_id") % 5
+    utc = F.to_utc_timestamp(at, F.current_timezone())
+    week = F.concat_ws("-", F.extract(F.lit("YEAROFWEEK"), utc).cast("string"), F.format_string("W%02d", F.extract(F.lit("WEEK"), utc).cast("int")), (F.weekday(utc) + 1).cast("string"))
+    shifted = F.timestamp_add("MINUTE", F.lit(330), utc)
+    text = (
+        F.when(i == 0, F.date_format(utc, "yyyy-MM-dd'T'HH:mm:ss'Z'")).when(i == 1, F.date_format(utc, "yyyyMMdd'T'HHmmss'+00'")).when(i == 2, F.date_format(shifted, "yyyy-MM-dd HH:mm:ss.0'+05:30'"))
+        .when(i == 3, F.concat(week, F.date_format(utc, "'T'HH:mm:ss'Z'"))).otherwise(F.date_format(utc, "yyyy-MM-dd'T'HH:mm:ss"))
+    )
+    e = read(spark, sf_dir, "events").select("event_id", listings.moment(text).alias("m"))
+    return e.select("event_id", F.to_utc_timestamp("m", F.current_timezone()).cast("timestamp_ntz").alias("parsed"), C.rfc3339(F.col("m")).alias("written"))
+
+
 @query("""select event_id, strftime(ts, '%a, %d %b %Y %H:%M:%S GMT') as header, date_trunc('second', ts) as parsed from events""")
 def http_dates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Times as date headers, and read back."""

@@ -162,7 +162,8 @@ def markdown_lines(text: pd.Series) -> pd.Series:
 
 
 def rfc3339(ts: Column) -> Column:
-    return F.date_format(ts, "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'Z'")
+    """The time in UTC with microseconds, whatever the session's zone."""
+    return F.date_format(F.to_utc_timestamp(ts, F.current_timezone()), "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'Z'")
 
 
 def http_date(ts: Column) -> Column:

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from ..functions import canonical as C
 from ..functions import markup
+from ..functions.scopes import let
 from . import payloads
 
 # fixed values: what the boards send
@@ -45,14 +46,27 @@ def filled(text: Column) -> Column:
     return F.nullif(C.stripped(text), F.lit(""))
 
 
+def _week_date(year: Column, week: Column, day: Column) -> Column:
+    """The date of an ISO week's day; null where the year has no such week or the week no such day."""
+    fourth = F.make_date(year.try_cast("int"), F.lit(1), F.lit(4))  # in week 1, always
+    date = F.date_add(fourth, (week.try_cast("int") - 1) * 7 + day.try_cast("int") - 1 - F.weekday(fourth))
+    sound = day.rlike("^[1-7]$") & (F.extract(F.lit("YEAROFWEEK"), date) == year.try_cast("int")) & (F.extract(F.lit("WEEK"), date) == week.try_cast("int"))
+    return F.when(sound, date)
+
+
 def moment(text: Column) -> Column:
-    """A timestamp from ISO 8601 with an offset or Z; null without one. Dates are calendar dates, basic or extended; fractions are cut to microseconds."""
-    form = r"^(\d{4})-?(\d{2})-?(\d{2})[^\d](\d{2})(?::?(\d{2}))?(?::?(\d{2}))?(?:[.,](\d{1,6})\d*)?(Z|[+-]\d{2})(?::?(\d{2}))?$"
-    t = C.stripped(text)
-    part = lambda i, other="00": F.coalesce(F.nullif(F.regexp_extract(t, form, i), F.lit("")), F.lit(other))
-    zone = F.when(part(8) == "Z", "+00:00").otherwise(F.concat(part(8), F.lit(":"), part(9)))
-    iso = F.concat(part(1), F.lit("-"), part(2), F.lit("-"), part(3), F.lit("T"), part(4), F.lit(":"), part(5), F.lit(":"), part(6), F.lit("."), part(7, "0"), zone)
-    return F.when(t.rlike(form), F.try_to_timestamp(iso))
+    """A timestamp from ISO 8601 with an offset or Z; null without one. Dates are calendar or week dates, basic or extended; fractions are cut to microseconds."""
+    form = r"^(?:(\d{4})-?(\d{2})-?(\d{2})|(\d{4})-?W(\d{2})(?:-?(\d))?)[^\d](\d{2})(?::?(\d{2}))?(?::?(\d{2}))?(?:[.,](\d{1,6})\d*)?(Z|[+-]\d{2})(?::?(\d{2}))?$"
+
+    def read(t: Column) -> Column:
+        part = lambda i, other="00": F.coalesce(F.nullif(F.regexp_extract(t, form, i), F.lit("")), F.lit(other))
+        zone = F.when(part(11) == "Z", "+00:00").otherwise(F.concat(part(11), F.lit(":"), part(12)))
+        of_week = _week_date(part(4, ""), part(5, ""), part(6, "1")).cast("string")
+        date = F.when(part(4, "") != "", of_week).otherwise(F.concat_ws("-", part(1), part(2), part(3)))
+        iso = F.concat(date, F.lit("T"), part(7), F.lit(":"), part(8), F.lit(":"), part(9), F.lit("."), part(10, "0"), zone)
+        return F.when(t.rlike(form), F.try_to_timestamp(iso))
+
+    return let(C.stripped(text), read)
 
 
 def places(labels: Column, country: Column, workplace: Column) -> Column:
