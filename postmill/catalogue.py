@@ -864,6 +864,18 @@ def json_snapshots(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read(spark, sf_dir, "events").select("event_id", snapshots_json.canonical(body).alias("s")).select("event_id", "s.canonical", "s.problem")
 
 
+def _payloads(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Payloads of orders as listings, whose lines are the actions."""
+    at = F.col("o_orderdate").cast("timestamp")
+    postings = read(spark, sf_dir, "orders").select(
+        F.col("o_orderkey").alias("posting_id"), F.lit(2).alias("current_version_id"), F.when(F.col("o_orderstatus") == "F", at).alias("closed_at"), (F.col("o_custkey") % 7 == 0).alias("company_blocked"), at.alias("first_seen_at"),
+        F.lit(None).cast("timestamp").alias("source_published_at"), F.sha2("o_orderpriority", 256).alias("content_hash"),
+    )
+    facts = read(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("posting_id"), (F.col("l_linenumber") * 1_000_000 + F.col("l_suppkey")).alias("digest_item_id"), F.col("l_linenumber").alias("score_posting_version_id")).agg(F.min("l_returnflag").alias("flag"))
+    state = F.when(F.col("flag") == "R", "skipped").when(F.col("flag") == "A", "applied").otherwise("expired")
+    return inputs.payloads(postings, facts.withColumn("state", state).drop("flag"), F.lit("2024-01-01").cast("timestamp"), {"z": "é", "a": {"b": [1, 2]}}, "v1")
+
+
 @query("""
 with l as (select l_orderkey, l_linenumber * 1000000 + l_suppkey as item, l_linenumber as version, min(l_returnflag) as flag from lineitem group by all),
 a as (select l_orderkey, string_agg('{"digest_item_id":' || item || ',"posting_id":' || l_orderkey || ',"score_posting_version_id":' || version || ',"state":"' || case flag when 'R' then 'skipped' when 'A' then 'applied' else 'expired' end || '"}', ',' order by item) as facts from l group by l_orderkey),
@@ -873,15 +885,23 @@ select o_orderkey as posting_id, sha256(state) as mutable_state_hash, sha256('{"
        sha256('{"evaluation_as_of":"2024-01-01T00:00:00.000000Z","mutable_state":' || state || ',"mutable_state_hash":"' || sha256(state) || '","policy_manifest":{"a":{"b":[1,2]},"z":"é"},"policy_manifest_hash":"' || sha256('{"a":{"b":[1,2]},"z":"é"}')
        || '","policy_version":"v1","posting_id":' || o_orderkey || ',"posting_version_content_hash":"' || content || '","posting_version_id":2,"schema_version":1}') as input_hash from m""")
 def input_hashes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The four hashes of orders as listings, whose lines are the actions."""
-    at = F.col("o_orderdate").cast("timestamp")
-    postings = read(spark, sf_dir, "orders").select(
-        F.col("o_orderkey").alias("posting_id"), F.lit(2).alias("current_version_id"), F.when(F.col("o_orderstatus") == "F", at).alias("closed_at"), (F.col("o_custkey") % 7 == 0).alias("company_blocked"), at.alias("first_seen_at"),
-        F.lit(None).cast("timestamp").alias("source_published_at"), F.sha2("o_orderpriority", 256).alias("content_hash"),
+    """The four hashes of orders as listings."""
+    return _payloads(spark, sf_dir).drop("payload")
+
+
+@query("""
+with s as (select distinct l_orderkey from (select l_orderkey, min(l_returnflag) as flag from lineitem group by l_orderkey, l_linenumber, l_suppkey) where flag = 'R')
+select o_orderkey as posting_id, case when o_orderkey = 0 then 'ids' else case o_orderkey % 8 when 1 then 'not_json' when 2 then 'keys' when 3 then 'texts' when 4 then 'mutable_state_hash' when 5 then 'hashes' when 6 then 'not_canonical'
+    when 7 then case when l_orderkey is not null then 'actions' end end end as problem from orders left join s on l_orderkey = o_orderkey""")
+def payload_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Stored payloads, most of them bent: cut off, with another key, version, state, hash or action, or with a blank too many."""
+    k, p = F.col("posting_id") % 8, F.col("payload")
+    swap = lambda a, b: F.replace(p, F.lit(a), F.lit(b))
+    bent = (
+        F.when(k == 1, F.substring(p, 1, 40)).when(k == 2, swap('"posting_id":', '"posting":')).when(k == 3, swap('"schema_version":1', '"schema_version":2')).when(k == 4, F.regexp_replace(p, '"current_version_id":2', '"current_version_id":3'))
+        .when(k == 5, F.regexp_replace(p, '"policy_manifest_hash":"[0-9a-f]{64}', '"policy_manifest_hash":"x')).when(k == 6, swap('{"evaluation', '{ "evaluation')).when(k == 7, swap('"state":"skipped"', '"state":"made up"')).otherwise(p)
     )
-    facts = read(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("posting_id"), (F.col("l_linenumber") * 1_000_000 + F.col("l_suppkey")).alias("digest_item_id"), F.col("l_linenumber").alias("score_posting_version_id")).agg(F.min("l_returnflag").alias("flag"))
-    state = F.when(F.col("flag") == "R", "skipped").when(F.col("flag") == "A", "applied").otherwise("expired")
-    return inputs.payloads(postings, facts.withColumn("state", state).drop("flag"), F.lit("2024-01-01").cast("timestamp"), {"z": "é", "a": {"b": [1, 2]}}, "v1").drop("payload")
+    return _payloads(spark, sf_dir).select("posting_id", inputs.payload_problem(bent).alias("problem"))
 
 
 @query(r"""

@@ -38,3 +38,24 @@ def test_payloads_are_canonical(spark):
         assert value["mutable_state_hash"] == hashlib.sha256(snapshots_json.canonical_text(value["mutable_state"]).encode()).hexdigest() == r["mutable_state_hash"]
         assert value["policy_version"] == 'v"1' and value["evaluation_as_of"] == "2024-02-03T04:05:06.700000Z" and value["policy_manifest_hash"] == r["policy_manifest_hash"]
     assert [a["digest_item_id"] for a in json.loads(got[1]["payload"])["mutable_state"]["action_state"]] == [4, 30] and json.loads(got[2]["payload"])["mutable_state"]["action_state"] == []
+
+
+def test_shapes_of_payloads(spark):
+    action = {"digest_item_id": 4, "posting_id": 1, "score_posting_version_id": 5, "state": "skipped"}
+    state = {"action_state": [action, action | {"digest_item_id": 9}], "closed_at": None, "company_blocked": False, "current_version_id": 5, "first_seen_at": "t", "source_published_at": "t"}
+    digest = lambda x: hashlib.sha256(snapshots_json.canonical_text(x).encode()).hexdigest()
+
+    def payload(of=None, **other):
+        s = state | (of or {})
+        base = {"evaluation_as_of": "t", "mutable_state": s, "mutable_state_hash": digest(s), "policy_manifest": {"a": 1}, "policy_manifest_hash": digest({"a": 1}), "policy_version": "v", "posting_id": 1, "posting_version_content_hash": "0" * 64, "posting_version_id": 5, "schema_version": 1}
+        return base | other
+
+    cases = [
+        (payload(), None), (payload({"action_state": []}), None), ([], "keys"), (payload(more=1), "keys"), (payload(posting_id=True), "ids"), (payload(posting_version_id=0), "ids"), (payload(schema_version=2), "texts"), (payload(policy_manifest=[]), "texts"),
+        (payload(posting_version_content_hash="A" * 64), "hashes"), (payload({"company_blocked": 0}), "state"), (payload({"closed_at": 1}), "state"), (payload({"current_version_id": "5"}), "state"), (payload({"action_state": [action | {"state": "x"}]}), "actions"),
+        (payload({"action_state": [action, action]}), "action_order"), (payload({"action_state": [action | {"digest_item_id": 9}, action]}), "action_order"), (payload(mutable_state_hash="0" * 64), "mutable_state_hash"), (payload(policy_manifest={"a": 2}), "policy_manifest_hash"),
+    ]
+    assert [inputs.shape_problem(p) for p, _ in cases] == [want for _, want in cases]
+    texts = [snapshots_json.canonical_text(payload()), json.dumps(payload()), "{", None]
+    rows = spark.createDataFrame(list(enumerate(texts)), "i int, t string").select("i", inputs.payload_problem(F.col("t")).alias("p"))
+    assert {r["i"]: r["p"] for r in rows.collect()} == {0: None, 1: "not_canonical", 2: "not_json", 3: "not_json"}
