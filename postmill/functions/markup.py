@@ -1,7 +1,13 @@
-"""HTML to Markdown: a small converter on the standard parser, run in Arrow batches."""
+"""HTML to Markdown: elements are opened and closed as the parser meets them, each written when it closes.
+
+A closed element is one piece of its parent, so a page needs one walk and the memory of its open elements. Runs in Arrow
+batches; null stays null, and no markup, however broken, ends a job.
+"""
 
 from __future__ import annotations
 
+import re
+from collections import Counter
 from html import unescape
 from html.parser import HTMLParser
 
@@ -9,40 +15,271 @@ import pandas as pd
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, StringType
 
+HEADINGS = ("h1", "h2", "h3", "h4", "h5", "h6")
+LISTS = ("ul", "ol")
+CELLS = ("td", "th")
+#: Elements whose edges take no white space, neither inside nor beside them.
+BLOCKS = {*HEADINGS, *LISTS, *CELLS, "p", "blockquote", "article", "div", "section", "li", "dl", "dt", "dd", "table", "thead", "tbody", "tfoot", "tr"}
+VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"}
+VERBATIM = {"pre", "code", "kbd", "samp"}
+MARKS = {"b": "**", "strong": "**", "em": "*", "i": "*", "del": "~~", "s": "~~"}
+#: Elements below this depth are not opened: their text belongs to the element at it.
+MOST_DEPTH = 200
+MOST_COLUMNS = 1000
+
+
+class _Element:
+    """An open element: the pieces of its closed children, and what its place among the open ones asks for."""
+
+    def __init__(self, tag: str, attrs: dict, parent: _Element | None) -> None:
+        self.tag, self.attrs, self.parent = tag, attrs, parent
+        self.pieces: list[str] = []
+        self.last: str | None = None  # what the last child was: a tag, "text" or "comment"
+        self.items = self.columns = self.rows = 0
+        self.headed = True  # a row of header cells only
+        above = parent or self
+        up = (lambda name: getattr(above, name)) if parent else (lambda name: False)
+        self.one_line = up("one_line") or bool(parent and parent.tag in (*HEADINGS, *CELLS))
+        self.verbatim = up("verbatim") or bool(parent and parent.tag in VERBATIM)
+        self.kept = up("kept") or tag == "pre"  # white space is kept
+        self.in_item = up("in_item") or bool(parent and parent.tag == "li")
+
+    def ends(self, beside: bool) -> None:
+        """The last text ends here: its white space goes at the edge of a block."""
+        if beside and self.last == "text" and not self.kept:
+            self.pieces[-1] = self.pieces[-1].rstrip(" \t\r\n")
+
+    def text(self) -> str:
+        """The pieces in one; where two meet, their line ends count as the longer of both, two at most."""
+        pieces = [x for x in self.pieces if x]
+        if self.kept:
+            return "".join(pieces)
+        out: list[str] = []
+        open_lines = 0
+        for x in pieces:
+            body = x.lstrip("\n")
+            before = len(x) - len(body)
+            if out and open_lines and before:
+                before = min(2, max(open_lines, before))
+            else:
+                before += open_lines
+            body = body.rstrip("\n")
+            if not body:
+                open_lines = before
+                continue
+            out += ("\n" * before, body)
+            open_lines = len(x) - len(x.rstrip("\n"))
+        out.append("\n" * open_lines)
+        return "".join(out)
+
+
+def _around(text: str, left: str, right: str) -> str:
+    """Marks around the text's body; one blank on either side stays outside."""
+    body = text.strip()
+    return body and " " * text.startswith(" ") + left + body + right + " " * text.endswith(" ")
+
+
+def _shifted(text: str, first: str, other: str) -> str:
+    """Lines after the first prefix and the other ones; blank lines stay bare."""
+    lines = text.split("\n")
+    return "\n".join([first + lines[0], *((other + x) if x else other.rstrip() for x in lines[1:])])
+
+
+def _block(e: _Element, text: str) -> str:
+    body = text.strip(" \t\r\n")
+    return f" {body} " if e.one_line else body and f"\n\n{body}\n\n"
+
+
+def _heading(e: _Element, text: str) -> str:
+    return text if e.one_line else f"\n\n{'#' * int(e.tag[1])} {' '.join(text.split())}".rstrip() + "\n\n"
+
+
+def _quote(e: _Element, text: str) -> str:
+    body = text.strip(" \t\r\n")
+    return f" {body} " if e.one_line else body and f"\n\n{_shifted(body, '> ', '> ')}\n\n"
+
+
+def _list(e: _Element, text: str) -> str:
+    return "\n" + text.rstrip() if e.in_item else "\n\n" + text
+
+
+def _item(e: _Element, text: str) -> str:
+    body = text.strip()
+    mark = "* "
+    if e.parent and e.parent.tag == "ol":
+        start = e.parent.attrs.get("start") or ""
+        mark = f"{(int(start) if re.fullmatch('[0-9]{1,9}', start) else 1) + e.parent.items}. "
+    return _shifted(body, mark, " " * len(mark)) + "\n" if body else "\n"
+
+
+def _link(e: _Element, text: str) -> str:
+    href, title = e.attrs.get("href"), (e.attrs.get("title") or "").replace('"', r"\"")
+    if e.verbatim or not href:
+        return text if e.verbatim or text.strip() else ""
+    if text.strip() == href and not title:
+        return _around(text, "<", ">")
+    return _around(text, "[", f"]({href}" + (f' "{title}")' if title else ")"))
+
+
+def _image(e: _Element, text: str) -> str:
+    alt, src, title = (e.attrs.get(k) or "" for k in ("alt", "src", "title"))
+    name = title.replace('"', r"\"")
+    return alt if e.one_line else f"![{alt}]({src}" + (f' "{name}")' if name else ")")
+
+
+def _marked(e: _Element, text: str) -> str:
+    return text if e.verbatim else _around(text, MARKS[e.tag], MARKS[e.tag])
+
+
+def _code(e: _Element, text: str) -> str:
+    if e.verbatim:
+        return text
+    ticks = max(map(len, re.findall("`+", text)), default=0)
+    pad = " " if ticks else ""
+    return _around(text, "`" * (ticks + 1) + pad, pad + "`" * (ticks + 1))
+
+
+def _pre(e: _Element, text: str) -> str:
+    return text and "\n\n```\n" + text.strip("\r\n") + "\n```\n\n"
+
+
+def _cell(e: _Element, text: str) -> str:
+    return f" {' '.join(text.split(chr(10))).strip()} |" + " |" * (_span(e) - 1)
+
+
+def _span(e: _Element) -> int:
+    span = e.attrs.get("colspan") or ""
+    return min(max(int(span), 1), MOST_COLUMNS) if re.fullmatch("[0-9]{1,9}", span) else 1
+
+
+def _table_of(e: _Element) -> _Element | None:
+    above = e.parent
+    while above and above.tag != "table":
+        above = above.parent
+    return above
+
+
+def _row(e: _Element, text: str) -> str:
+    """A row; a table's first one gets a line of dashes, below itself if it is a header and else below an empty one."""
+    table, row, dashes = _table_of(e), f"|{text}\n", "| " + " | ".join(["---"] * e.columns) + " |\n"
+    if table is None or table.rows or not e.columns:
+        return row
+    if e.headed or e.parent.tag == "thead":
+        return row + dashes
+    return "| " + " | ".join([""] * e.columns) + " |\n" + dashes + row
+
+
+def _table(e: _Element, text: str) -> str:
+    return f"\n\n{text.strip()}\n\n"
+
+
+def _definition(e: _Element, text: str) -> str:
+    body = text.strip()
+    return f" {body} " if e.one_line else body and _shifted(body, ":   ", "    ") + "\n"
+
+
+def _term(e: _Element, text: str) -> str:
+    body = " ".join(text.split())
+    return f" {body} " if e.one_line else body and f"\n\n{body}\n"
+
+
+def _nothing(e: _Element, text: str) -> str:
+    return ""
+
+
+RULES = {
+    **dict.fromkeys(HEADINGS, _heading), **dict.fromkeys(("p", "div", "article", "section", "dl", "figcaption", "caption"), _block), **dict.fromkeys(LISTS, _list), **dict.fromkeys(CELLS, _cell),
+    **dict.fromkeys(MARKS, _marked), **dict.fromkeys(("code", "kbd", "samp"), _code), **dict.fromkeys(("script", "style"), _nothing), "blockquote": _quote, "li": _item, "a": _link, "img": _image, "pre": _pre,
+    "tr": _row, "table": _table, "dt": _term, "dd": _definition, "br": lambda e, text: " " if e.one_line else "  \n", "hr": lambda e, text: "\n\n---\n\n", "q": lambda e, text: f'"{text}"',
+}
+
 
 class _Writer(HTMLParser):
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
-        self.out: list[str] = []
-        self.hidden = 0
+        self.top = self.root = _Element("", {}, None)
+        self.depth = 0
+        self.opened: Counter[str] = Counter()
+        self.too_deep: Counter[str] = Counter()
+        self.data: list[str] = []
+
+    def parse_marked_section(self, i: int, report: int = 1) -> int:
+        return self.parse_bogus_comment(i)  # as browsers do; the parser's own way raises on unknown sections
+
+    def handle_data(self, data: str) -> None:
+        self.data.append(data)
+
+    def _text(self) -> None:
+        """What was read since the last tag is one text."""
+        text, e = "".join(self.data), self.top
+        self.data = []
+        if not text:
+            return
+        if e.last in LISTS and text.strip():
+            e.pieces[-1] += "\n"
+        if not e.kept:
+            text = re.sub(r"[\t ]+", " ", re.sub(r"[\t \r\n]*[\r\n][\t \r\n]*", "\n", text))
+            if e.last in BLOCKS or e.last == "pre" or e.last is None and e.tag in BLOCKS:
+                text = text.lstrip(" \n")
+        e.pieces.append(text)
+        e.last = "text"
+
+    def handle_comment(self, data: str) -> None:
+        self._text()
+        self.top.last = "comment"
+
+    handle_decl = handle_pi = unknown_decl = handle_comment
 
     def handle_starttag(self, tag: str, attrs: list) -> None:
-        self.hidden += tag in ("script", "style")
-        if tag[0] == "h" and tag[1:].isdigit():
-            self.out.append("\n\n" + "#" * int(tag[1:]) + " ")
-        elif tag in ("p", "div", "ul", "ol", "section", "article", "table"):
-            self.out.append("\n\n")
-        elif tag == "li":
-            self.out.append("\n* ")
-        elif tag in ("br", "tr"):
-            self.out.append("\n")
-        elif tag in ("strong", "b"):
-            self.out.append("**")
-        elif tag in ("em", "i"):
-            self.out.append("*")
+        self._text()
+        e = self.top
+        if self.depth >= MOST_DEPTH and tag not in VOID:
+            self.too_deep[tag] += 1
+            return
+        e.ends(tag in BLOCKS or tag == "pre")
+        if e.last in LISTS and tag not in LISTS:
+            e.pieces[-1] += "\n"
+        self.top = _Element(tag, dict(attrs), e)
+        self.depth += 1
+        self.opened[tag] += 1
+        if tag in VOID:
+            self._close()
 
     def handle_endtag(self, tag: str) -> None:
-        self.hidden -= tag in ("script", "style") and self.hidden > 0
-        if tag in ("strong", "b"):
-            self.out.append("**")
-        elif tag in ("em", "i"):
-            self.out.append("*")
-        elif tag in ("p", "div", "ul", "ol", "section", "article", "table") or tag[0] == "h" and tag[1:].isdigit():
-            self.out.append("\n\n")
+        self._text()
+        if self.too_deep[tag]:
+            self.too_deep[tag] -= 1
+        elif self.opened[tag]:
+            while self.top.tag != tag:
+                self._close()
+            self._close()
 
-    def handle_data(self, data: str) -> None:
-        if not self.hidden:
-            self.out.append(" ".join(data.split()) if data.strip() else " " if data else "")
+    def _close(self) -> None:
+        e = self.top
+        up = e.parent
+        e.ends(e.tag in BLOCKS)
+        text = e.text()
+        up.pieces.append(RULES[e.tag](e, text) if e.tag in RULES else text)
+        up.last = e.tag
+        if e.tag == "li":
+            up.items += 1
+        elif e.tag in CELLS:
+            up.columns += _span(e)
+            up.headed = up.headed and e.tag == "th"
+        elif e.tag == "tr":
+            table = _table_of(e)
+            if table:
+                table.rows += 1
+        self.top = up
+        self.depth -= 1
+        self.opened[e.tag] -= 1
+
+    def written(self) -> str:
+        self.close()
+        self._text()
+        while self.top is not self.root:
+            self._close()
+        return self.root.text()
 
 
 def _convert(x: str | None) -> str | None:
@@ -50,12 +287,12 @@ def _convert(x: str | None) -> str | None:
         return None
     writer = _Writer()
     writer.feed(x)
-    writer.close()
-    return "".join(writer.out)
+    return writer.written().strip()
 
 
 @F.pandas_udf(StringType())
 def markdown(html: pd.Series) -> pd.Series:
+    """Markdown of a page or fragment: headings by #, items by * or numbers, emphasis by *, nothing escaped, no blanks at its ends."""
     return html.map(_convert)
 
 

@@ -63,7 +63,7 @@ def test_tokens_and_segments(spark):
 
 
 def test_markdown(spark):
-    assert one(spark, "<h1>A</h1><script>x</script><ul><li>b &amp; c</li></ul>", lambda t: C.description(markdown(t))) == "# A\n\n\n* b & c"
+    assert one(spark, "<h1>A</h1><script>x</script><ul><li>b &amp; c</li></ul>", lambda t: C.description(markdown(t))) == "# A\n\n* b & c"
 
 
 def ts(n):
