@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from .functions import canonical as C
 from .functions import fields, markup, scopes, snapshots_json
 from .functions import tokens as T
-from .operators import binding, deletes, documents, evaluations, history, inputs, integrity, merge, nearest, rules, runs, snapshots, versions
+from .operators import binding, deletes, documents, evaluations, finish, history, inputs, integrity, merge, nearest, rules, runs, snapshots, versions
 from .sources import gate, listings, payloads, redirects
 from .tables import kept, spread
 
@@ -933,3 +933,69 @@ def input_snapshots(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("l_linenumber").alias("digest_item_id"), F.col("l_orderkey").alias("posting_id"), F.lit(1).alias("score_id"), F.lit(1).alias("score_version_id"), F.col("l_orderkey").alias("version_posting_id"), state.alias("state")
     )
     return snapshots.snapshot(postings, postings, versions, companies, actions).select("posting_id", "code", "actions")
+
+
+_COUNTS = """'{{"schema_version":1,"endpoint_id":' || o_custkey || ',"adapter_kind":"a","attempt_recorded":' || {} || '}}'"""
+_RESERVED = _COUNTS.format("""'false,"source_fetch_id":null,"http_status":null,"postings_seen":0,"postings_new":0,"postings_changed":0'""")
+_ATTEMPT = _COUNTS.format("""'true,"source_fetch_id":' || (o_orderkey + 1) || ',"http_status":200,"postings_seen":' || seen || ',"postings_new":' || fresh || ',"postings_changed":' || changed""")
+
+
+@query(f"""
+with f as (select l_orderkey, count(*) as seen, count(*) filter (where l_returnflag = 'N') as fresh, count(*) filter (where l_returnflag = 'R') as changed, max(l_shipdate) as fetched_at, min(l_linestatus) = max(l_linestatus) as whole from lineitem group by l_orderkey),
+o as (select *, l_orderkey is not null as has, case when o_orderkey % 5 = 1 then o_orderdate - interval 1 day when o_orderkey % 5 > 1 then timestamp '2030-01-01' end as clock,
+    case o_orderpriority when '1-URGENT' then 'runner.endpoint_changed' when '2-HIGH' then 'runner.adapter_defect' end as stop,
+    case when o_orderkey % 9 = 0 then 'failed' when o_orderkey % 7 = 0 then case when whole then 'failed' else 'partial' end when whole then 'succeeded' else 'partial' end as m_status,
+    case when o_orderkey % 9 = 0 then 'adapter.tls_error' when o_orderkey % 7 = 0 then case when whole then 'runner.ingestion_result_invalid' else 'ingestion.stale_observation' end when not whole then 'runner.fetch_incomplete' end as m_failure
+    from orders left join f on l_orderkey = o_orderkey),
+p as (select *, o_orderstatus = 'F' as over, coalesce(clock >= case when has then fetched_at else o_orderdate end, false) as timely,
+    case when o_orderkey % 4 = 0 then not has else has and o_orderkey % 6 <> 1 and (o_orderkey % 10 = 3 or m_status = 'succeeded') end as fits from o),
+q as (select *, not over and (has or stop is not null) as now, case when not timely then 'runner.clock_invalid' when has then case when o_orderkey % 16 = 0 then 'runner.ingestion_result_invalid' else m_failure end else stop end as failed from p)
+select o_orderkey as run_id, case when over then case when fits then 'replayed' else 'incompatible' end when now then 'finished' else 'running' end as result,
+    case when over then case when o_orderkey % 4 = 0 or o_orderkey % 10 = 3 then 'failed' else 'succeeded' end when now then case when has and timely and o_orderkey % 16 <> 0 then m_status else 'failed' end else 'running' end as status,
+    case when over then case when o_orderkey % 4 = 0 then 'endpoint_snapshotted' else 'source_fetch_recorded' end
+         when now then case when has then 'source_fetch_recorded' when o_orderkey % 2 = 0 or failed = 'runner.endpoint_changed' then 'adapter_fetch_completed' else 'endpoint_snapshotted' end end as step,
+    case when over then case when not fits then 'runner.pipeline_run_incompatible' when o_orderkey % 4 = 0 then 'runner.cancelled' when o_orderkey % 10 = 3 then 'runner.clock_invalid' end when now then failed end as failure,
+    case when now then case when has then {_ATTEMPT} else {_RESERVED} end end as counts,
+    case when now then case when timely then clock when has then fetched_at else o_orderdate end end as finished_at
+from q""")
+def run_finish(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders as runs, their lines as what was fetched: runs that end by a fetch or a failure, or had ended and are replayed or found wrong."""
+    k, lit = F.col("run_id"), lambda c: F.lit(c)
+    error = lambda code: F.lit('{"code":"%s"}' % code)
+    o = read(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("run_id"), F.col("o_custkey").alias("endpoint_id"), "o_orderstatus", "o_orderpriority", F.col("o_orderdate").cast("timestamp").alias("started_at"))
+    li = read(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("run_id")).agg(
+        F.count("*").alias("seen"), F.count_if(F.col("l_returnflag") == "N").alias("new"), F.count_if(F.col("l_returnflag") == "R").alias("changed"), F.max("l_shipdate").cast("timestamp").alias("fetched_at"),
+        (F.min("l_linestatus") == F.max("l_linestatus")).alias("whole"),
+    )
+    joined = o.join(li, "run_id", "left")
+    fetches = joined.where("seen is not null").select(
+        "run_id", "endpoint_id", (k + 1).alias("fetch_id"), F.when(k % 9 == 0, "failed").when(F.col("whole"), "complete").otherwise("incomplete").alias("status"), lit(200).alias("http_status"), "seen", "new", "changed",
+        F.when(k % 9 == 0, error("adapter.tls_error")).when(k % 7 == 0, error(runs.STALE)).alias("error"), F.col("fetched_at").alias("finished_at"),
+    )
+    over, early, late = F.col("o_orderstatus") == "F", k % 4 == 0, k % 10 == 3
+    kind, seen = lit("a"), F.col("seen") + F.when(k % 6 == 1, 1).otherwise(0)
+    counts = finish.attempt_counts(F.col("endpoint_id"), kind, {"fetch_id": k + 1, "http_status": lit(200), "seen": seen, "new": F.col("new"), "changed": F.col("changed")})
+    ended = joined.select(
+        "run_id", "endpoint_id", kind.alias("adapter_kind"), F.when(~over, "running").when(early | late, "failed").otherwise("succeeded").alias("status"), F.when(over, F.when(early, finish.SNAPSHOTTED).otherwise(finish.RECORDED)).alias("step"),
+        F.when(over, F.when(early, error("runner.cancelled")).when(late, error(finish.CLOCK))).alias("error"), F.when(over & ~early, counts).otherwise(binding.reserved_counts(F.col("endpoint_id"), kind)).alias("counts"), "started_at",
+        F.when(over, F.col("started_at")).alias("finished_at"), F.when(k % 5 == 1, F.col("started_at") - F.expr("interval 1 day")).when(k % 5 > 1, lit("2030-01-01").cast("timestamp")).alias("clock"),
+    )
+    stop = F.when(F.col("o_orderpriority") == "1-URGENT", binding.CHANGED).when(F.col("o_orderpriority") == "2-HIGH", "runner.adapter_defect")
+    failures = o.select("run_id", stop.alias("code"), (k % 2 == 0).alias("fetched"), F.lit(None).cast("timestamp").alias("floor")).where("code is not null")
+    fresh = fetches.where(k % 8 == 0).select("run_id", "endpoint_id", "fetch_id", "status", "http_status", (F.col("seen") + F.when(k % 16 == 0, 1).otherwise(0)).alias("seen"), "new", "changed", runs.reason(F.col("error")).alias("code"))
+    out = finish.finish(ended, fetches, failures, fresh)
+    mine = F.col("result") == "finished"
+    return out.select("run_id", "result", "status", "step", "failure", F.when(mine, F.col("counts")).alias("counts"), F.when(mine, F.col("finished_at")).alias("finished_at"))
+
+
+@query("""
+with v as (select distinct l_orderkey, l_linenumber, l_suppkey from lineitem), c as (select l_orderkey as p, case when l_linenumber = 7 then null else l_linenumber + case when l_returnflag = 'R' then 1 else 0 end end as n, l_suppkey as s from lineitem)
+select 'current_version' as rule, count(*) as violations from c where n is not null and not exists (select 1 from v where l_orderkey = p and l_linenumber = n)
+union all select 'version_owner', count(*) from c where n is not null and not exists (select 1 from v where l_orderkey = p and l_linenumber = n and l_suppkey = s)""")
+def version_owners(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines as versions of their orders: references by two and three columns, some of which point to a line that isn't there."""
+    li = read(spark, sf_dir, "lineitem")
+    current = li.select(F.col("l_orderkey").alias("posting_id"), F.when(F.col("l_linenumber") != 7, F.col("l_linenumber") + (F.col("l_returnflag") == "R").cast("int")).alias("version_id"), F.col("l_suppkey").alias("owner"))
+    return integrity.references(current, "current_version", ("posting_id", "version_id"), li, ("l_orderkey", "l_linenumber")).unionByName(
+        integrity.references(current, "version_owner", ("posting_id", "version_id", "owner"), li, ("l_orderkey", "l_linenumber", "l_suppkey"))
+    )

@@ -19,8 +19,12 @@ def unique(df: DataFrame, rule: str, *keys: str) -> DataFrame:
     return df.where(whole).groupBy(*keys).count().agg(F.lit(rule).alias("rule"), F.count_if(F.col("count") > 1).alias("violations")).select("rule", "violations")
 
 
-def references(df: DataFrame, rule: str, key: str, other: DataFrame, other_key: str) -> DataFrame:
-    lost = df.where(F.col(key).isNotNull()).join(other.select(F.col(other_key).alias(key)).distinct(), key, "left_anti")
+def references(df: DataFrame, rule: str, key: str | tuple[str, ...], other: DataFrame, other_key: str | tuple[str, ...]) -> DataFrame:
+    """Rows whose key, of one column or several, is no key of the other table. A key with a null in any column refers to nothing and passes."""
+    own, others = (key,) if isinstance(key, str) else key, (other_key,) if isinstance(other_key, str) else other_key
+    known = other.select(*[F.col(o).alias(f"_{i}") for i, o in enumerate(others)]).distinct()
+    named = df.select(*[F.col(k).alias(f"_{i}") for i, k in enumerate(own)]).na.drop("any")
+    lost = named.join(known, known.columns, "left_anti")
     return lost.agg(F.count("*").alias("violations")).select(F.lit(rule).alias("rule"), "violations")
 
 
