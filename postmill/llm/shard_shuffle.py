@@ -37,16 +37,15 @@ def external_shuffle(
     of_bytes = docs.agg(F.sum(record_size(F.col(text_col)))).first()[0] or 0
     buckets = max(1, math.ceil(of_bytes / bucket_bytes))
     place = F.when(F.col(id_col).isNotNull(), F.xxhash64(F.lit(seed), F.col(id_col))).otherwise(F.xxhash64(F.lit(seed), F.col(text_col)))
-    records = docs.select(F.pmod(place, F.lit(buckets)).alias("bucket"), F.struct(*[docs[c] for c in docs.columns]).alias("record"))
+    records = docs.select(F.pmod(place, F.lit(buckets)).cast("int").alias("bucket"), F.struct(*[docs[c] for c in docs.columns]).alias("record"))
     before = Window.orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     # one row per bucket: the only thing that one task sees of all data
     base = records.groupBy("bucket").count().select("bucket", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("base"))
-    held = (
-        records.repartition(buckets, "bucket").sortWithinPartitions("bucket")
-        .groupBy("bucket").agg(F.sort_array(F.collect_list(F.struct(F.xxhash64(F.lit(seed + 1), f"record.{id_col}").alias("k"), "record"))).alias("held"))
-        .select("bucket", F.shuffle("held", seed).alias("held"))
-    )
-    dealt = held.join(base, "bucket").select("base", F.posexplode("held").alias("place", "one"))
+    # a bucket's offset travels with its records, so there is one shuffle and no join; a task has one bucket, none has two
+    both = records.unionByName(base, allowMissingColumns=True).repartitionById(buckets, "bucket")
+    one = F.when(F.col("record").isNotNull(), F.struct(F.xxhash64(F.lit(seed + 1), f"record.{id_col}").alias("k"), "record"))
+    held = both.groupBy("bucket").agg(F.sort_array(F.collect_list(one)).alias("held"), F.max("base").alias("base"))
+    dealt = held.select("base", F.posexplode(F.shuffle("held", seed)).alias("place", "one"))
     rank = F.col("base") + F.col("place")
     return dealt.select((rank % shards).cast("int").alias("shard"), F.floor(rank / shards).cast("long").alias("slot"), F.col("one.record").alias("record"))
 

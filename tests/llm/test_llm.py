@@ -2,11 +2,13 @@
 
 import hashlib
 import re
+import struct
 import zlib
 from collections import Counter
 
 import numpy as np
 import pytest
+import xxhash
 from pyspark.sql import functions as F
 
 from postmill.llm import exact_dedup, jaccard_join, line_dedup, mixing, packing, quality_rules, repeat_removal, shard_shuffle, toxicity, warc
@@ -265,6 +267,28 @@ def test_jaccard_join_in_small_blocks(spark, monkeypatch):
     assert [r["component_id"] for r in jaccard_join.jaccard_classes(docs(spark, texts))[0].orderBy("doc_id").collect()] == root
 
 
+def test_shard_shuffle_against_plain_passes(spark):
+    """Buckets by hashes in plain Python: each must take a run of ranks, in an order of its own."""
+    ids = list(range(-50, 950))
+    docs = spark.createDataFrame([(i, "x" * (i % 90)) for i in ids], "doc_id long, text string").repartition(5)
+    size = sum(i % 90 + 16 for i in ids)
+    buckets = -(-size // 4000)
+    by_seed = xxhash.xxh64(struct.pack("<i", shard_shuffle.SEED), seed=42).intdigest()
+    placed = {}
+    for i in ids:
+        h = xxhash.xxh64(struct.pack("<q", i), seed=by_seed).intdigest()
+        placed.setdefault((h - (1 << 64) if h >> 63 else h) % buckets, []).append(i)
+    got = {r["shard"] + 7 * r["slot"]: r["doc_id"] for r in shard_shuffle.external_shuffle(docs, 7, bucket_bytes=4000).select("shard", "slot", "record.doc_id").collect()}
+    assert sorted(got) == list(range(len(ids)))
+    start = moved = 0
+    for _, members in sorted(placed.items()):
+        run = [got[start + k] for k in range(len(members))]
+        assert sorted(run) == sorted(members)
+        moved += run != sorted(run)
+        start += len(members)
+    assert moved == len(placed) > 9
+
+
 def test_mixing(spark):
     d = docs(spark, [" ".join(["w"] * (i % 7)) for i in range(600)] + [None, ""])
     mixed = mixing.mix(d)
