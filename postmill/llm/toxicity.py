@@ -17,6 +17,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -40,48 +41,81 @@ MARKS = ".,;:!?\"'()[]{}#*$%&|<>-_~`“”„«»¿¡"
 END_MARKS = ".!?;"
 
 
-def since(symbol: int, reach: int) -> list[list[int]]:
-    """A transducer's table, next[state][symbol]: the state is how many words ago the symbol was, 0 if over `reach` or never."""
-    return [[1 if x == symbol else 0 if x == END or not 0 < s < reach else s + 1 for x in range(7)] for s in range(reach + 1)]
+class Mark(NamedTuple):
+    """What passes from one transducer to the next: a word's symbol, what lies before it, and the pattern that it settles."""
 
+    word: int
+    target: bool = False
+    negation: bool = False
+    report: bool = False
+    found: int | None = None
 
-def seen(symbol: int) -> list[list[int]]:
-    """The state is whether the clause has had the symbol."""
-    return [[int(x == symbol or (s == 1 and x != END)) for x in range(7)] for s in range(2)]
 
+#: next state and what is written, by state and what is read; state 0 is a clause's begin.
+Table = dict[int, dict[Mark, tuple[int, Mark]]]
 
-def machine() -> tuple[list[list[int]], list[list[tuple[int, ...]]]]:
-    """The composed machine: next[state][symbol] and the patterns emitted there, state 0 at a clause's begin.
 
-    A hit is settled `AFTER` words later or when the clause ends: as reported or negated by what was known when it came,
-    else as aimed if a target came before or since. A hit that follows a hit settles the earlier one.
+def since(symbol: int, reach: int, name: str, alphabet: set[Mark]) -> Table:
+    """Writes whether the symbol lies at most `reach` words back; the state is how many words ago it was, 0 if farther or never."""
+    back = lambda s, x: 1 if x == symbol else 0 if x == END or not 0 < s < reach else s + 1
+    return {s: {m: (back(s, m.word), m._replace(**{name: s > 0})) for m in alphabet} for s in range(reach + 1)}
+
+
+def seen(symbol: int, name: str, alphabet: set[Mark]) -> Table:
+    """Writes whether the clause has had the symbol, which is also the state."""
+    return {s: {m: (int(m.word == symbol or (s == 1 and m.word != END)), m._replace(**{name: s == 1})) for m in alphabet} for s in range(2)}
+
+
+def settling(symbol: int, patterns: int, alphabet: set[Mark]) -> Table:
+    """Holds a hit of the symbol until a target can no longer follow it, then writes its pattern, numbered from `patterns` on.
+
+    State 0 holds nothing, 1 + AFTER * mode + words since a hit. A hit is settled AFTER words later, by the next hit or when
+    the clause ends: as reported or negated by what lay before it, else as aimed if a target came before or since.
     """
-    target, negation, report = since(TARGET, REACH), since(NEGATION, REACH), seen(REPORT)
-    begin = (0, 0, 0, 0, 0, 0)  # target, negation, report; the held hit: kind (0: none), its mode, words since
-    states, order = {begin: 0}, [begin]
-    following: list[list[int]] = []
-    emitted: list[list[tuple[int, ...]]] = []
-    while len(following) < len(order):
-        t, n, r, kind, mode, age = order[len(following)]
-        nexts, outs = [], []
-        for x in range(7):
-            out, held = [], (kind, mode, age)
-            if kind:
-                held = (kind, 1 if x == TARGET and mode == 0 else mode, age + 1)
-                if x in (INSULT, THREAT, END) or held[2] >= AFTER:
-                    out.append(4 * (kind == 2) + held[1])
-                    held = (0, 0, 0)
-            if x in (INSULT, THREAT):
-                held = (1 + (x == THREAT), 3 if r else 2 if n else 1 if t else 0, 0)
-            after = (target[t][x], negation[n][x], report[r][x], *held)
-            if after not in states:
-                states[after] = len(order)
-                order.append(after)
-            nexts.append(states[after])
-            outs.append(tuple(out))
-        following.append(nexts)
-        emitted.append(outs)
-    return following, emitted
+
+    def step(s: int, m: Mark) -> tuple[int, Mark]:
+        if s:
+            mode, age = divmod(s - 1, AFTER)
+            mode = 1 if m.word == TARGET and mode == 0 else mode
+            if m.word in (INSULT, THREAT, END) or age + 1 >= AFTER:
+                s, m = 0, m._replace(found=patterns + mode)
+            else:
+                s = 1 + AFTER * mode + age + 1
+        if m.word == symbol:
+            s = 1 + AFTER * (3 if m.report else 2 if m.negation else 1 if m.target else 0)
+        return s, m
+
+    return {s: {m: step(s, m) for m in alphabet} for s in range(1 + 4 * AFTER)}
+
+
+def written(table: Table) -> set[Mark]:
+    return {out for row in table.values() for _, out in row.values()}
+
+
+def compose(first: Table, second: Table) -> Table:
+    """The transducer that reads what the first reads and writes what the second makes of the first's writing."""
+    states, order, out = {(0, 0): 0}, [(0, 0)], {}
+    for a, b in order:  # grows while it is read
+        row = out[len(out)] = {}
+        for m, (a2, between) in first[a].items():
+            b2, last = second[b][between]
+            if (a2, b2) not in states:
+                states[a2, b2] = len(order)
+                order.append((a2, b2))
+            row[m] = states[a2, b2], last
+    return out
+
+
+def machine() -> tuple[list[list[int]], list[list[tuple[int, ...]]]]:
+    """The composed machine: next[state][symbol] and the patterns emitted there, state 0 at a clause's begin."""
+    whole = since(TARGET, REACH, "target", {Mark(x) for x in range(7)})
+    for step in (
+        lambda marks: since(NEGATION, REACH, "negation", marks), lambda marks: seen(REPORT, "report", marks),
+        lambda marks: settling(INSULT, 0, marks), lambda marks: settling(THREAT, 4, marks),
+    ):
+        whole = compose(whole, step(written(whole)))
+    rows = [[row[Mark(x)] for x in range(7)] for row in whole.values()]
+    return [[s for s, _ in row] for row in rows], [[() if m.found is None else (m.found,) for _, m in row] for row in rows]
 
 
 NEXT, EMITTED = machine()

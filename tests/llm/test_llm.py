@@ -408,6 +408,38 @@ def test_toxicity_patterns():
     assert toxicity.emissions("you fool. you idiot", lexicon)[1] == pytest.approx(np.log1p(3.0))
 
 
+def plain_patterns(symbols):
+    """The patterns of one clause by looking back and ahead at each hit."""
+    t = toxicity
+    out = []
+    for i, x in enumerate(symbols):
+        if x not in (t.INSULT, t.THREAT):
+            continue
+        last = next((j for j in range(i + 1, len(symbols)) if symbols[j] in (t.INSULT, t.THREAT) or j == i + t.AFTER), len(symbols))
+        after = symbols[i + 1 : last + 1]
+        mode = "plain"
+        if t.REPORT in symbols[:i]:
+            mode = "reported"
+        elif t.NEGATION in symbols[max(0, i - t.REACH) : i]:
+            mode = "negated"
+        elif t.TARGET in symbols[max(0, i - t.REACH) : i] or t.TARGET in after:
+            mode = "aimed"
+        out.append(f"{'insult' if x == t.INSULT else 'threat'}_{mode}")
+    return out
+
+
+def test_toxicity_machine_against_plain_rules():
+    rng = np.random.default_rng(3)
+    for _ in range(20_000):
+        symbols = [int(x) for x in rng.integers(0, toxicity.END, rng.integers(0, 12))]
+        state, out = 0, []
+        for x in [*symbols, toxicity.END]:
+            out += [toxicity.PATTERNS[k] for k in toxicity.EMITTED[state][x]]
+            state = toxicity.NEXT[state][x]
+        assert out == plain_patterns(symbols), symbols
+        assert state == 0  # the end of a clause forgets it
+
+
 def test_toxicity_on_held_out_documents(spark):
     d, labels = spark.read.parquet("/root/testdata/sf0.1/documents.parquet"), spark.read.parquet("/root/testdata/sf0.1/labels.parquet")
     away = labels.where(toxicity.part(F.col("doc_id")) == 2)
