@@ -35,7 +35,8 @@ def record(results: DataFrame, inputs: DataFrame) -> tuple[DataFrame, DataFrame]
     inputs: posting_id, payload (canonical JSON). An evaluation is known by its input's hash, which covers the policy too; equal inputs
     are written once. The score's text is the output's canonical JSON.
     """
-    r = results.where("error is null").join(inputs, "posting_id")
+    # outcomes repeat so much that a table of them takes a few bytes a row; by its files' size it would be broadcast, and a row is 200 times that in memory
+    r = results.where("error is null").hint("merge").join(inputs, "posting_id")
     output = F.to_json(F.struct("eligible", "outcomes", "rejections", "unknowns"))
     r = r.select("posting_id", F.sha2(F.concat_ws("\n", "policy_hash", "payload"), 256).alias("input_hash"), "policy_hash", "eligible", "rejections", "unknowns", "outcomes", output.alias("output"))
     r = r.dropDuplicates(["input_hash"]).withColumn("output_hash", F.sha2("output", 256))
@@ -55,7 +56,7 @@ def replay(fresh: DataFrame, stored: DataFrame, scores: DataFrame) -> DataFrame:
     """
     kept = stored.select("input_hash", *[F.col(c).alias(f"_{c}") for c in ("posting_id", "policy_hash", "output", "output_hash", "eligible")])
     sums = scores.where("stage = 'filter'").groupBy("input_hash").agg(F.count("*").alias("n"), F.min("rationale").alias("least"), F.max("rationale").alias("most"))
-    j = fresh.join(kept, "input_hash", "left").join(sums, "input_hash", "left")
+    j = fresh.join(kept.hint("merge"), "input_hash", "left").join(sums.hint("merge"), "input_hash", "left")
     differs = lambda c: ~F.col(c).eqNullSafe(F.col(f"_{c}"))
     n = F.coalesce("n", F.lit(0))
     bad_score = F.when(F.col("eligible"), n > 0).otherwise((n != 1) | ~F.col("least").eqNullSafe(F.col("output")) | ~F.col("most").eqNullSafe(F.col("output")))

@@ -403,6 +403,20 @@ def test_evaluations(spark):
     assert {r["violations"] for r in integrity.checks(kept, evaluations.checks(kept)).collect()} == {0}
 
 
+def test_evaluations_are_not_broadcast(spark, tmp_path):
+    """Files of evaluations are far smaller than their rows: a join must not go by the files' size."""
+    spark.range(1000).select(
+        F.col("id").alias("posting_id"), F.lit(True).alias("eligible"), F.array().cast("array<string>").alias("rejections"), F.array().cast("array<string>").alias("unknowns"),
+        F.array(*[F.struct(F.lit(r).alias("rule"), F.lit("pass").alias("status"), F.lit("x").alias("evidence")) for r in rules.RULES]).alias("outcomes"), F.lit(None).cast("string").alias("error"), F.lit("p").alias("policy_hash"),
+    ).write.parquet(f"{tmp_path}/results")
+    results = spark.read.parquet(f"{tmp_path}/results")
+    kept, scores = evaluations.record(results, results.select("posting_id", F.col("posting_id").cast("string").alias("payload")))
+    for d in (kept, evaluations.replay(kept, kept, scores)):
+        assert d.count() == 1000
+        plan = d._jdf.queryExecution().executedPlan().toString()
+        assert "SortMergeJoin" in plan and "Broadcast" not in plan
+
+
 def test_counts_shape(spark):
     base = {"schema_version": 1, "endpoint_id": 5, "adapter_kind": "a", "attempt_recorded": False, "source_fetch_id": None, "http_status": None, "postings_seen": 0, "postings_new": 0, "postings_changed": 0}
     took = base | {"attempt_recorded": True, "source_fetch_id": 3, "http_status": 200, "postings_seen": 7}
