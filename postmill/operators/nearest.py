@@ -1,14 +1,13 @@
 """Nearest neighbours by cosine: exactly, in blocks of queries, and by an index of cells.
 
 Exact: queries are taken in chunks of bounded size, sent to all tasks, and multiplied as matrices with the batches of
-vectors; a task keeps a heap of k for each query, and only the heaps are shuffled. Index: centres are fitted on a bounded
+vectors, block by block; a task keeps the k best for each query, and only these are shuffled. Index: centres are fitted on a bounded
 sample, every vector is put into the cell of its nearest centre, and a query meets the vectors of its nearest cells.
 Null vectors, vectors of another length, and such as have no direction (zero, null or non-finite components) are left out.
 """
 
 from __future__ import annotations
 
-import heapq
 from collections.abc import Iterator
 
 import numpy as np
@@ -20,6 +19,8 @@ from ..tables import kept
 
 #: Queries that are sent to all tasks at once.
 CHUNK = 4096
+#: Similarities that a task holds at once.
+BLOCK = 1 << 20
 #: The sample that centres are fitted on (vectors of least hash), the number of cells, the rounds, and the cells that a query looks into:
 #: enough for vectors that are nearly noise; such as lie in clusters need far fewer.
 SAMPLE, CELLS, ROUNDS, PROBES = 20_000, 32, 8, 23
@@ -38,27 +39,42 @@ def _matrix(column: pa.Array, width: int) -> np.ndarray:
     return np.asarray(column.flatten(), dtype=np.float64).reshape(len(column), width)
 
 
+def _merged(best: tuple[np.ndarray, np.ndarray], found: np.ndarray, of: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """The k best of each row (similarities, ids) among the best so far and the newly found ones; -inf stands for none."""
+    s, i = np.concatenate([best[0], found], axis=1), np.concatenate([best[1], np.broadcast_to(of, found.shape)], axis=1)
+    bar = np.partition(s, s.shape[1] - k, axis=1)[:, s.shape[1] - k]
+    row, column = np.nonzero((s >= bar[:, None]) & (s > -np.inf))  # equal similarities may be more than k
+    s, i = s[row, column], i[row, column]
+    order = np.lexsort((i, -s, row))
+    row, s, i = row[order], s[order], i[order]
+    place = np.arange(len(row)) - np.searchsorted(row, row)
+    row, s, i, place = (x[place < k] for x in (row, s, i, place))
+    out = np.full(best[0].shape, -np.inf), np.zeros(best[1].shape, np.int64)
+    out[0][row, place], out[1][row, place] = s, i
+    return out
+
+
 def _best(ids: np.ndarray, queries: np.ndarray, k: int):
-    """A task's k best for each query, in heaps; equal similarities go to the smaller id, and no vector is its own neighbour."""
+    """A task's k best for each query; equal similarities go to the smaller id, and no vector is its own neighbour.
+
+    Batches are taken in blocks, so that similarities held at once are BLOCK, or one for each query if these are more.
+    """
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        heaps: list[list[tuple[float, int]]] = [[] for _ in ids]
-        bar = np.full(len(ids), -np.inf)
+        best = np.full((len(ids), k), -np.inf), np.zeros((len(ids), k), np.int64)
+        step = max(1, BLOCK // len(ids))
         for batch in batches:
-            of = np.asarray(batch.column(0))
-            found = queries @ _matrix(batch.column(1), queries.shape[1]).T
-            hit = (found >= bar[:, None]) & (ids[:, None] != of[None, :])
-            for q, i in zip(*(x.tolist() for x in np.nonzero(hit)), strict=True):
-                entry, heap = (float(found[q, i]), -int(of[i])), heaps[q]
-                if len(heap) < k:
-                    heapq.heappush(heap, entry)
-                elif entry > heap[0]:
-                    heapq.heapreplace(heap, entry)
-                if len(heap) == k:
-                    bar[q] = heap[0][0]
-        rows = [(int(ids[q]), -i, s) for q, heap in enumerate(heaps) for s, i in heap]
-        q, i, s = zip(*rows, strict=True) if rows else ((), (), ())
-        yield pa.RecordBatch.from_arrays([pa.array(q, pa.int64()), pa.array(i, pa.int64()), pa.array(s, pa.float64())], ["q", "id", "similarity"])
+            of, vectors = np.asarray(batch.column(0)), _matrix(batch.column(1), queries.shape[1])
+            for at in range(0, len(of), step):
+                some = of[at : at + step]
+                found = queries @ vectors[at : at + step].T
+                found[ids[:, None] == some[None, :]] = -np.inf
+                better = (found >= best[0][:, -1:]).any(axis=1)
+                if better.any():
+                    merged = _merged((best[0][better], best[1][better]), found[better], some, k)
+                    best[0][better], best[1][better] = merged
+        q, place = np.nonzero(best[0] > -np.inf)
+        yield pa.RecordBatch.from_arrays([pa.array(ids[q], pa.int64()), pa.array(best[1][q, place], pa.int64()), pa.array(best[0][q, place], pa.float64())], ["q", "id", "similarity"])
 
     return task
 

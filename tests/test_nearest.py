@@ -35,6 +35,27 @@ def test_exact_against_brute_force(spark, monkeypatch, chunk):
     assert nearest.exact(d.limit(0), d, 4).count() == 0 and nearest.exact(d, d.limit(0), 4).count() == 0
 
 
+def test_memory_of_a_task():
+    """Many queries against a batch: neither the first batch nor equal vectors, which all are candidates, become Python objects."""
+    import tracemalloc
+
+    import pyarrow as pa
+
+    rng = np.random.default_rng(3)
+    queries = rng.normal(size=(2000, 8))
+    vectors = np.concatenate([rng.normal(size=(2000, 8)), np.ones((2000, 8))])
+    batches = [pa.RecordBatch.from_arrays([pa.array(np.arange(4000) + 4000 * n), pa.array(list(vectors))], ["id", "v"]) for n in range(2)]
+    tracemalloc.start()
+    out = next(nearest._best(np.arange(2000), queries, 3)(iter(batches)))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 120e6
+    all_ = queries @ np.concatenate([vectors, vectors]).T
+    all_[np.arange(2000), np.arange(2000)] = -np.inf
+    want = np.lexsort((np.broadcast_to(np.arange(8000), all_.shape), -np.round(all_, 9)), axis=1)[:, :3]
+    assert np.array_equal(np.asarray(out.column(1)).reshape(2000, 3), want)
+
+
 def test_recall_of_the_cells(spark):
     v = spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet")
     q = v.where("vec_id % 100 = 0")
