@@ -16,7 +16,9 @@ from functools import cache, lru_cache
 from itertools import pairwise
 from typing import NamedTuple
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import arrow_udf
@@ -176,6 +178,21 @@ def spans(of: list[Token], kind: str, wanted: tuple[Wanted, ...]) -> list[tuple[
     return out
 
 
+#: Bytes of text that a task turns into Python objects at once: what is made of a slice becomes Arrow arrays before the next.
+SLICE = 1 << 20
+
+
+def _slices(batches: Iterator[tuple[pa.Array, ...]]) -> Iterator[tuple[list, ...]]:
+    """The batches' columns in slices of rows, of bounded bytes in their texts or of one row."""
+    for columns in batches:
+        sizes = [pc.fill_null(pc.binary_length(c), 0).to_numpy(zero_copy_only=False).astype(np.int64) for c in columns if pa.types.is_string(c.type) or pa.types.is_large_string(c.type)]
+        upto, at, n = np.cumsum(sum(sizes)), 0, len(columns[0])
+        while at < n:
+            end = max(at + 1, int(np.searchsorted(upto, (upto[at - 1] if at else 0) + SLICE, side="right")))
+            yield tuple(c.slice(at, end - at).to_pylist() for c in columns)
+            at = end
+
+
 FIELD = "struct<kind:string,ordinal:int,words:string,marked:string>"
 SPAN = "struct<of:int,field:int,first:int,after:int,segment:int,start:int,end:int,whole:boolean>"
 _FIELDS = pa.list_(pa.struct([("kind", pa.string()), ("ordinal", pa.int32()), ("words", pa.string()), ("marked", pa.string())]))
@@ -192,19 +209,20 @@ def searched(title: Column, description: Column, labels: Column, wanted: tuple[W
     """
 
     @arrow_udf(f"struct<fields:array<{FIELD}>,spans:array<{SPAN}>>")
-    def search(titles: pa.Array, texts: pa.Array, labelled: pa.Array) -> pa.Array:
-        all_fields, all_spans = [], []
-        for t, d, ls in zip(titles.to_pylist(), texts.to_pylist(), labelled.to_pylist(), strict=True):
-            sources = [("title", 0, t or "")] + [("description", 0, d)] * (d is not None) + [("location", i, x) for i, x in enumerate(ls or ()) if x is not None]
-            fields, found = [], []
-            for n, (kind, ordinal, text) in enumerate(sources):
-                source = unified(text)
-                of = tokens(source)
-                fields.append({"kind": kind, "ordinal": ordinal, "words": f" {' '.join(x.value for x in of)} ", "marked": marked(source, of)})
-                found += [{"of": c, "field": n, "first": a, "after": b, "segment": of[a].segment, "start": of[a].start, "end": of[b - 1].end, "whole": of[a].segment == of[b - 1].segment} for c, a, b in spans(of, kind, wanted)]
-            all_fields.append(fields)
-            all_spans.append(found)
-        return pa.StructArray.from_arrays([pa.array(all_fields, _FIELDS), pa.array(all_spans, _SPANS)], ["fields", "spans"])
+    def search(batches: Iterator[tuple[pa.Array, pa.Array, pa.Array]]) -> Iterator[pa.Array]:
+        for titles, texts, labelled in _slices(batches):
+            all_fields, all_spans = [], []
+            for t, d, ls in zip(titles, texts, labelled, strict=True):
+                sources = [("title", 0, t or "")] + [("description", 0, d)] * (d is not None) + [("location", i, x) for i, x in enumerate(ls or ()) if x is not None]
+                fields, found = [], []
+                for n, (kind, ordinal, text) in enumerate(sources):
+                    source = unified(text)
+                    of = tokens(source)
+                    fields.append({"kind": kind, "ordinal": ordinal, "words": f" {' '.join(x.value for x in of)} ", "marked": marked(source, of)})
+                    found += [{"of": c, "field": n, "first": a, "after": b, "segment": of[a].segment, "start": of[a].start, "end": of[b - 1].end, "whole": of[a].segment == of[b - 1].segment} for c, a, b in spans(of, kind, wanted)]
+                all_fields.append(fields)
+                all_spans.append(found)
+            yield pa.StructArray.from_arrays([pa.array(all_fields, _FIELDS), pa.array(all_spans, _SPANS)], ["fields", "spans"])
 
     return search(title, description, labels)
 
@@ -212,15 +230,19 @@ def searched(title: Column, description: Column, labels: Column, wanted: tuple[W
 _TOKENS = ArrayType(StructType().add("segment", IntegerType()).add("token", StringType()).add("start", IntegerType()).add("end", IntegerType()).add("gap", StringType()))
 
 
+_ROWS = pa.list_(pa.struct([("segment", pa.int32()), ("token", pa.string()), ("start", pa.int32()), ("end", pa.int32()), ("gap", pa.string())]))
+
+
 @arrow_udf(_TOKENS)
-def token_rows(text: pa.Array) -> pa.Array:
+def token_rows(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
     """A text's tokens in order, each with its segment, its place in the source, and the kind of gap after it (null at the end)."""
-    out = []
-    for x in text.to_pylist():
-        source = unified(x or "")
-        of = tokens(source)
-        out.append([{"segment": t.segment, "token": t.value, "start": t.start, "end": t.end, "gap": g} for t, g in zip(of, gaps(source, of), strict=True)])
-    return pa.array(out, pa.list_(pa.struct([("segment", pa.int32()), ("token", pa.string()), ("start", pa.int32()), ("end", pa.int32()), ("gap", pa.string())])))
+    for (some,) in _slices((x,) for x in texts):
+        out = []
+        for x in some:
+            source = unified(x or "")
+            of = tokens(source)
+            out.append([{"segment": t.segment, "token": t.value, "start": t.start, "end": t.end, "gap": g} for t, g in zip(of, gaps(source, of), strict=True)])
+        yield pa.array(out, _ROWS)
 
 
 @arrow_udf(StringType())
@@ -234,10 +256,10 @@ def fold(text: Column) -> Column:
 
 
 @arrow_udf(StringType())
-def marked_text(text: pa.Array) -> pa.Array:
+def marked_text(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
     """marked() of each text; null counts as empty."""
-    sources = [unified(x or "") for x in text.to_pylist()]
-    return pa.array([marked(s, tokens(s)) for s in sources], pa.string())
+    for (some,) in _slices((x,) for x in texts):
+        yield pa.array([marked(source, tokens(source)) for source in (unified(x or "") for x in some)], pa.string())
 
 
 def token_table(rows: DataFrame, key: str, kind: str, text: Column, ordinal: int = 0) -> DataFrame:

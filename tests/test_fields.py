@@ -87,3 +87,27 @@ def test_labels_are_searched_by_the_rules(spark):
     assert {i: (o["remote"], o["geography"], o["clearance"]) for i, o in got.items()} == {
         1: ("pass", "unknown", "unknown"), 2: ("pass", "reject", "unknown"), 3: ("pass", "pass", "unknown"), 4: ("pass", "reject", "unknown"), 5: ("unknown", "unknown", "reject"), 6: ("unknown", "unknown", "unknown")
     }
+
+
+def test_batches_are_taken_in_slices(spark):
+    """A batch of far more text than a slice: rows stay beside their results, and a task's memory follows the slice."""
+    import tracemalloc
+
+    import pyarrow as pa
+
+    texts = [None if i % 97 == 0 else "" if i % 89 == 0 else f"t{i} is, here. " * (i % 200) for i in range(3000)]
+    d = spark.createDataFrame(list(enumerate(texts)), "i long, text string").coalesce(1)
+    found = fields.searched(F.lit("t"), F.col("text"), F.array(F.col("i").cast("string")), (fields.Wanted("is", ("is",)),))
+    got = d.select("i", fields.token_rows("text").alias("t"), fields.marked_text("text").alias("m"), found.alias("s")).collect()
+    assert len(got) == 3000
+    for r in got:
+        source = fields.unified(texts[r["i"]] or "")
+        of = fields.tokens(source)
+        assert [x["token"] for x in r["t"]] == [x.value for x in of] and r["m"] == fields.marked(source, of)
+        assert r["s"]["fields"][-1]["words"] == f" {r['i']} " and len(r["s"]["spans"]) == source.count(" is")
+    batch = pa.array(["some words, and more. " * 60] * 10_000)
+    tracemalloc.start()
+    n = sum(len(x) for x in fields.token_rows.func(iter([batch])))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert n == 10_000 and peak < 250e6
