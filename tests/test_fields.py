@@ -111,3 +111,16 @@ def test_batches_are_taken_in_slices(spark):
     peak = tracemalloc.get_traced_memory()[1]
     tracemalloc.stop()
     assert n == 10_000 and peak < 250e6
+
+
+def test_marked_text_holds_a_slice():
+    import tracemalloc
+
+    import pyarrow as pa
+
+    batch = pa.array(["some words, and more. " * 60] * 10_000)
+    tracemalloc.start()
+    n = sum(len(x) for x in fields.marked_text.func(iter([batch])))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert n == 10_000 and peak < 12e6
