@@ -202,13 +202,20 @@ def learned_stems(texts: DataFrame) -> dict[str, float]:
 
 
 def fitted(x: np.ndarray, y: np.ndarray, ridge: float = 0.5) -> np.ndarray:
-    """Logistic regression by Newton steps; the last weight is the constant."""
+    """Logistic regression by Newton steps, halved until they lower the loss (whole ones may run away); the last weight is the constant."""
     x = np.column_stack([x, np.ones(len(x))])
+    loss = lambda w: float(np.sum(np.logaddexp(0, x @ w) - y * (x @ w)) + ridge / 2 * w @ w)
     w = np.zeros(x.shape[1])
-    for _ in range(30):
-        p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
+    for _ in range(100):
+        p = 1 / (1 + np.exp(-np.clip(x @ w, -500, 500)))
         grade = x.T @ (p - y) + ridge * w
-        w = w - np.linalg.solve((x * (p * (1 - p) + 1e-6)[:, None]).T @ x + ridge * np.eye(len(w)), grade)
+        step = np.linalg.solve((x * (p * (1 - p))[:, None]).T @ x + ridge * np.eye(len(w)), grade)
+        part, before = 1.0, loss(w)
+        while part > 1e-9 and loss(w - part * step) > before - 1e-4 * part * float(grade @ step):
+            part /= 2
+        if part <= 1e-9 or float(grade @ step) < 1e-10:
+            break
+        w = w - part * step
     return w
 
 

@@ -448,3 +448,20 @@ def test_toxicity_on_held_out_documents(spark):
     toxic, other = got.get((1, True), 0) + got.get((1, False), 0), got.get((0, True), 0) + got.get((0, False), 0)
     print(got)
     assert got[1, True] >= 0.85 * toxic and got.get((0, True), 0) <= 0.02 * other, got
+
+
+def test_toxicity_weights_settle():
+    """Labels that one weight nearly separates: the fit ends where the loss is least."""
+    import numpy as np
+
+    from postmill.llm.toxicity import fitted
+
+    for n in (60, 1_000, 10_000):
+        x = np.zeros((n, 2))
+        x[: n // 10] = 10.9, 11.0
+        x[n // 10 : n // 10 + 3] = 2.4, 3.0
+        y = (np.arange(n) < n // 10).astype(float)
+        w = fitted(x, y)
+        p = 1 / (1 + np.exp(-(np.column_stack([x, np.ones(n)]) @ w)))
+        assert (p[y == 1] > 0.9).all() and (p[y == 0] < 0.3).all()
+        assert np.abs(np.column_stack([x, np.ones(n)]).T @ (p - y) + 0.5 * w).max() < 1e-3  # the least loss
