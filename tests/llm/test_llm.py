@@ -179,6 +179,29 @@ def test_repeat_removal(spark, monkeypatch):
         repeat_removal.remove_repeats(docs(spark, texts), 8)
 
 
+def test_repeats_go_from_400_bytes_on_whatever_their_words(spark):
+    """The query's width counts bytes: a passage of 67 words in two documents stays at 399 bytes and goes whole at 400, with nothing around it."""
+    rng = np.random.default_rng(13)
+    word = lambda n: " ".join("".join(chr(97 + c) for c in rng.integers(0, 26, 5)) for _ in range(n))
+    passage = word(66) + " abc"
+    assert len(passage) == 399 and len(passage.split()) == 67
+    # what stands beside it differs on both sides, so that no longer string is shared
+    below = [word(30) + "1" + passage + "2" + word(30), word(20) + "3" + passage + "4" + word(40)]
+    longer = word(66) + " abcd"
+    whole = [word(30) + "1" + longer + "2" + word(30), word(20) + "3" + longer + "4" + word(40)]
+    got = {r["doc_id"]: (r["n_bytes"], r["n_removed"], r["n_spans"], r["kept"]) for r in repeat_removal.remove_repeats(docs(spark, below + whole)).collect()}
+    assert [got[k] for k in (0, 1)] == [(len(t), 0, 0, t.encode()) for t in below]
+    assert [got[k] for k in (2, 3)] == [(len(t), 400, 1, t.replace(longer, "").encode()) for t in whole]
+
+
+def test_repeat_removal_query_against_all_strings(spark):
+    sf = "/root/testdata/sf0.001"
+    want = without_repeats({r["doc_id"]: r["text"] for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}, 400)
+    got = repeat_removal.op4_suffix_array_dedup(spark, sf).collect()
+    assert {r["doc_id"]: (r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"]) for r in got} == want
+    assert sum(r["n_removed"] > 0 for r in got) > 10
+
+
 def test_repeats_beside_a_passage_that_all_share(spark, monkeypatch):
     """A passage a little shorter than a string, in many texts: its pieces share a key and are counted by digests."""
     random = np.random.default_rng(11)
